@@ -103,3 +103,39 @@ def words(raw: np.ndarray, at: np.ndarray, space: np.ndarray) -> tuple[np.ndarra
     edge[joined] = stop[joined] = True
     starts, ends = np.flatnonzero(edge), np.flatnonzero(stop)
     return starts, ends, np.searchsorted(starts, at)
+
+
+def text_of(df: DataFrame) -> DataFrame:
+    """doc_id and text alone, in the types that the kernels take."""
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def add_columns(df: DataFrame, fields: list[tuple[str, str, pa.DataType]], kernel, text: str = "text") -> DataFrame:
+    """All columns of df, and those that kernel(texts) computes from the text column slice by slice. fields: name, Spark type, Arrow type; a clashing column of df is replaced."""
+    from pyspark.sql import types as T
+
+    names = [f[0] for f in fields]
+    kept = df.drop(*names)
+    schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t, _ in fields)).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                new = kernel(part.column(text))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, t) for v, (_, _, t) in zip(new, fields, strict=True))], [*part.schema.names, *names])
+
+    return kept.mapInArrow(run, schema)
+
+
+def about(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataFrame:
+    """A sample of about rows rows (of each value of group), chosen by a hash of key, so that it is the same on each run. All rows where there are fewer. Few groups are expected."""
+    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20))
+    if group is None:
+        return df.filter(spread < F.lit(rows / max(1, df.count()) * (1 << 20)))
+    share = [(r[0], r[1]) for r in df.groupBy(group).count().collect()]
+    if not share:
+        return df
+    limit = F.lit(0.0)
+    for value, n in share:
+        limit = F.when(F.col(group) == F.lit(value), F.lit(rows / n * (1 << 20))).otherwise(limit)
+    return df.filter(spread < limit)
