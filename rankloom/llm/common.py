@@ -139,3 +139,40 @@ def about(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataF
     for value, n in share:
         limit = F.when(F.col(group) == F.lit(value), F.lit(rows / n * (1 << 20))).otherwise(limit)
     return df.filter(spread < limit)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches of whole runs from sorted batches: rows with equal keys never lie in two of them. A run is held in memory, so runs must be bounded."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if held:
+            last = held[-1]
+            edge = any(c[0] != last.column(k)[last.num_rows - 1].as_py() for c, k in zip(columns, keys, strict=True))
+            if edge:
+                yield pa.Table.from_batches(held)
+                held = []
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        if len(change):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(change[-1]))])
+            held = [batch.slice(int(change[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The lowest number that each of n items reaches over the links i-j."""
+    low = np.arange(n)
+    while True:
+        both = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, both)
+        np.minimum.at(new, j, both)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new

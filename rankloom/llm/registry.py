@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ["langid", "packing", "quality", "toxicity"]
+MODULES = ["langid", "near_vectors", "packing", "quality", "toxicity"]
 
 
 def _merged(what: str) -> dict:
