@@ -17,7 +17,9 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,8 @@ GROUP_PIECES = 1500
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
 #: Bins at least so full are kept after the first round; the rest is pooled.
 WELL_FILLED = 0.995
-#: Distinct chunks and distinct words whose ids a worker remembers.
-CACHE_CHUNKS, CACHE_WORDS = 400_000, 700_000
-LONGEST_CACHED = 64
+#: Distinct chunks whose ids a worker remembers, and their length at most.
+CACHE_CHUNKS, LONGEST_CACHED = 700_000, 64
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -48,40 +49,43 @@ def _default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _plain(chunk: str) -> tuple[str, str]:
-    """A chunk as a word and a closing comma or stop, if it is no more than that and its letters have one lower case only (those of Latin-1); else itself and nothing."""
-    word, sign = (chunk[:-1], chunk[-1]) if chunk[-1:] in (",", ".") else (chunk, "")
-    if word.isalpha() and max(word) <= "\xff":
-        return word.lower(), sign
-    return chunk, ""
+#: A comma or stop that belongs to a longer run of signs.
+_RUN = re.compile(r"[^0-9a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\s][,.] ")
+
+
+def _chunks(text: str) -> list[str]:
+    """The text cut at blanks and line ends. In texts of Latin-1, whose letters have one lower case each, all is lower case, and commas and stops after words are chunks of their own."""
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split(" ")
+    text = text.lower()
+    if not _RUN.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
 
 
 def encode(texts: list[str], vocabulary: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit bytes. No token of this vocabulary spans white space or joins a letter and a sign, and letters count in lower case: so texts are cut at blanks and line ends, and each distinct word is encoded once."""
+    """Each text's ids as little-endian 32-bit bytes. No token of this vocabulary spans white space or joins a letter and a sign, and letters count in lower case: so each distinct chunk is encoded once."""
     if vocabulary not in _tokenizers:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary), {}, {}
-    tokenizer, known, known_words = _tokenizers[vocabulary]
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+        _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary), {}
+    tokenizer, known = _tokenizers[vocabulary]
+    parts = [_chunks(t) for t in texts]
     chunks = set().union(*parts)
     if len(known) + len(chunks) > CACHE_CHUNKS:
         known.clear()
-    if len(known_words) + len(chunks) > CACHE_WORDS:
-        known_words.clear()
-    new = {c: _plain(c) for c in chunks if c not in known}
-    unknown = list({w for pair in new.values() for w in pair if w not in known_words})
-    for i in range(0, len(unknown), 4096):
-        for word, found in zip(unknown[i : i + 4096], tokenizer.encode_batch_fast(unknown[i : i + 4096], add_special_tokens=False), strict=True):
-            known_words[word] = np.array(found.ids, "<u4").tobytes()
-    for chunk, (word, sign) in new.items():
-        known[chunk] = known_words[word] + known_words[sign]
+    new = list(chunks.difference(known))
+    for i in range(0, len(new), 4096):
+        for chunk, found in zip(new[i : i + 4096], tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
+            known[chunk] = array("I", found.ids).tobytes()
     out = [b"".join([known[c] for c in p]) for p in parts]
-    for chunk, (word, _) in new.items():
+    for chunk in new:
         if len(chunk) > LONGEST_CACHED:
             del known[chunk]
-            known_words.pop(word, None)
     return out
 
 
