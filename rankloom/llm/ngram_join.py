@@ -37,7 +37,8 @@ WORDS, PERCENT = 4, 85
 LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 3, 4_000_000, 8, 200_000
 #: Classes with so many copies give only their first document to the index; so many classes at most (others give all copies).
 CLASS_LEAST, CLASS_MOST = 4, 100_000
-ROUNDS = 2
+#: Rounds; the part of a set's n-grams whose lists must name a candidate to try it in a round (other pairs wait until after the rounds).
+ROUNDS, LIKELY = 2, 0.03
 #: log2 of the bits of the filter of documents whose sets are fetched.
 FILTER_BITS = 23
 PAIRS_AT_ONCE = 1 << 20
@@ -163,7 +164,7 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _nearest(index: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each entry of a list, the nearest before it that is in another component and may be linked, judged by size and position."""
+    """a, b, n: for each entry of a list, the nearest before it that is in another component and may be linked, judged by size and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["gram"]):
@@ -177,9 +178,9 @@ def _nearest(index: DataFrame, percent: int) -> DataFrame:
                 fits &= 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= _needed(n[x], n[y], percent)
                 other[y[fits]] = x[fits]
             y = np.flatnonzero(other >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(doc[other[y]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(doc[other[y]]), pa.array(n[y])], ["a", "b", "n"])
 
-    return _by_list(index).mapInArrow(run, "a bigint, b bigint")
+    return _by_list(index).mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
@@ -244,8 +245,11 @@ def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return marked.mapInArrow(run, "doc_id bigint, grams binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """src, dst: the pairs a, b whose sets reach the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """src, dst: the pairs a, b whose sets reach the threshold. Only the sets of these pairs' documents are fetched."""
+    pairs = reliable(pairs.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = reliable(_fetched(docs, wanted, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,20 +284,20 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     large = classes.filter(F.col("copies") >= CLASS_LEAST).orderBy(F.desc("copies"), "rep").limit(CLASS_MOST).select("h1", "h2", "rep").toPandas().sort_values("h1")
     known = docs.filter("doc_id is not null")
     index = reliable(_shared(_indexed(known, k, percent, hot, tuple(large[c].to_numpy(np.int64) for c in ("h1", "h2", "rep")))))
-    sets = reliable(_fetched(known, index.select("doc_id").distinct(), k))
     same = profile.join(classes.filter("copies > 1"), keys).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     edges = reliable(same.filter("src <> dst"))
     for _ in range(rounds):
         found = components(edges)
-        near = _nearest(_labelled(index, found), percent).groupBy("a", "b").count()
+        near = _nearest(_labelled(index, found), percent).groupBy("a", "b").agg(F.count("*").alias("count"), F.first("n").alias("n"))
+        near = near.filter(F.col("count") >= LIKELY * F.col("n"))
         best = near.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
-        edges = reliable(edges.unionByName(_verified(best, sets, percent)))
+        edges = reliable(edges.unionByName(_verified(best, known, k, percent)))
     pairs = _across(_labelled(index, components(edges)), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     top = F.greatest("na", "nb")
     # All shared n-grams are in both prefixes, or behind the end of the prefix that ends first.
     reach = F.col("c") + F.ceil(top * percent / 100) - 1
     pairs = pairs.filter(reach >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).select("a", "b")
-    found = components(edges.unionByName(_verified(pairs, sets, percent)))
+    found = components(edges.unionByName(_verified(pairs, known, k, percent)))
     out = profile.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
