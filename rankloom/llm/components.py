@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars, in DataFrame operations."""
+"""Connected components: edges contracted in partitions of bounded size, then alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import lowest, reliable
@@ -29,24 +30,38 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(run, "src bigint, dst bigint")
 
 
+#: Edges of a partition in which they are contracted at once.
+EDGES_AT_ONCE = 500_000
+
+
+def _contracted(edges: DataFrame, at_once: int) -> tuple[DataFrame, int]:
+    """The edges, contracted in partitions of about at_once, and these partitions' number."""
+    parts = max(1, -(-edges.count() // at_once))
+    return reliable(forest(edges.coalesce(parts))), parts
+
+
 def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
 
+def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """node, component for every node of the edges src-dst: the lowest node that it reaches.
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component for every node of the edges src-dst: the lowest node that it reaches. Only the edges' count and checksum reach the driver."""
-    e = forest(edges.filter("src <> dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = reliable(e)
+    Edges are contracted to forests in partitions of bounded size; as long as there are several such
+    partitions, large and small stars connect them, until nothing changes. edges should be at hand (a
+    checkpoint or table), as they are counted first. Only counts and checksums reach the driver.
+    """
+    e, parts = _contracted(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), at_once)
     before = None
-    while (now := _state(e)) != before:
+    while parts > 1 and (now := _state(e)) != before:
         before = now
-        if not now[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        star = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = reliable(star.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        around = W.partitionBy("src")
+        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        low = both.withColumn("m", F.least("src", F.min("dst").over(around)))
+        large = low.filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        low = large.withColumn("m", F.min("dst").over(around))
+        ends = F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))
+        small = low.select(F.explode(ends).alias("x")).select("x.*").filter("src <> dst")
+        e, _ = _contracted(reliable(small), at_once)
+    roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)

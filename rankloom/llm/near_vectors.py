@@ -135,7 +135,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, window: int = WIND
     coded = _coded(classes.select("rep", "label", "dims", "vector"), passes)
     # Neighbours on two sides of a partition's edge aren't compared in this pass; other passes have other edges.
     dealt = coded.repartitionByRange("pass", "label", "dims", "code", "rep").sortWithinPartitions("pass", "label", "dims", "code", "rep")
-    found = components(_window_links(dealt, threshold, window))
+    found = components(reliable(_window_links(dealt, threshold, window)))
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = classes.join(found.withColumnRenamed("node", "rep"), "rep").join(sizes, "component")
     member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

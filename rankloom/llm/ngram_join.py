@@ -34,14 +34,14 @@ from rankloom.llm.components import components
 #: Words of an n-gram; the threshold as a percentage.
 WORDS, PERCENT = 4, 85
 #: A task hands on n-grams that occur so often among so many; so often in all are ordered last, so many at most.
-LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 3, 4_000_000, 8, 200_000
+LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 2, 2_000_000, 6, 400_000
 #: Classes with so many copies give only their first document to the index; so many classes at most (others give all copies).
 CLASS_LEAST, CLASS_MOST = 4, 100_000
 #: Rounds; the part of a set's n-grams whose lists must name a candidate to try it in a round (other pairs wait until after the rounds).
 ROUNDS, LIKELY = 2, 0.03
 #: log2 of the bits of the filter of documents whose sets are fetched.
 FILTER_BITS = 23
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -146,6 +146,21 @@ def _indexed(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: tu
     return docs.mapInArrow(run, "gram bigint, doc_id bigint, n int, pos int")
 
 
+def _frequent(counts: DataFrame) -> np.ndarray:
+    """The n-grams of the highest counts, the rarest first: all of a count or none, as far as they are HOT_MOST at most."""
+    counts = reliable(counts)
+    total, least = 0, None
+    for n, k in sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True):
+        total += k
+        if total > HOT_MOST:
+            break
+        least = n
+    if least is None:
+        return np.zeros(0, np.uint64)
+    found = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "id"])
+    return found["id"].to_numpy(np.int64).view(np.uint64)
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """The index lists with two entries at least."""
 
@@ -277,8 +292,7 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     docs = text_of(docs)
     told = reliable(_profiled(docs, k))
     profile = told.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2")
-    hot = told.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "id").limit(HOT_MOST).toPandas()
-    hot = hot["id"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    hot = _frequent(told.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST))
     keys = ["n", "h1", "h2"]
     classes = profile.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     large = classes.filter(F.col("copies") >= CLASS_LEAST).orderBy(F.desc("copies"), "rep").limit(CLASS_MOST).select("h1", "h2", "rep").toPandas().sort_values("h1")
@@ -286,18 +300,20 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     index = reliable(_shared(_indexed(known, k, percent, hot, tuple(large[c].to_numpy(np.int64) for c in ("h1", "h2", "rep")))))
     same = profile.join(classes.filter("copies > 1"), keys).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     edges = reliable(same.filter("src <> dst"))
+    # A copy's edge leads to its class's first document: these edges are components as they are.
+    found = same.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("component"))
     for _ in range(rounds):
-        found = components(edges)
         near = _nearest(_labelled(index, found), percent).groupBy("a", "b").agg(F.count("*").alias("count"), F.first("n").alias("n"))
         near = near.filter(F.col("count") >= LIKELY * F.col("n"))
         best = near.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
         edges = reliable(edges.unionByName(_verified(best, known, k, percent)))
-    pairs = _across(_labelled(index, components(edges)), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        found = components(edges)
+    pairs = _across(_labelled(index, found), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     top = F.greatest("na", "nb")
     # All shared n-grams are in both prefixes, or behind the end of the prefix that ends first.
     reach = F.col("c") + F.ceil(top * percent / 100) - 1
     pairs = pairs.filter(reach >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).select("a", "b")
-    found = components(edges.unionByName(_verified(pairs, known, k, percent)))
+    found = components(reliable(edges.unionByName(_verified(pairs, known, k, percent))))
     out = profile.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
