@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES = ["evaluation", "neighbours"]
 
 
 def _merged(what: str) -> dict:
