@@ -114,5 +114,6 @@ def kmers(sequence: Column, k: int, alphabet: str = AMINO_ACIDS) -> Column:
     """All k-mers of the runs of alphabet signs; none goes over another sign."""
     if k < 1:
         raise ValueError("k must be positive")
-    runs = F.filter(F.split(F.upper(sequence), f"[^{alphabet}]"), lambda r: F.length(r) >= k)
+    large = F.translate(sequence, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    runs = F.filter(F.split(large, f"[^{alphabet}]"), lambda r: F.length(r) >= k)
     return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (k - 1)), lambda i: F.substring(r, i, F.lit(k)))))

@@ -96,8 +96,12 @@ def ridge_per_group(train: DataFrame, test: DataFrame, group: str, vector: str,
     rows = train.select(F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), F.col("y").cast("double").alias("y"))
     kind = dict(train.dtypes)[group]
     part = rows.mapInPandas(sums, f"g {kind}, xx array<double>, xy array<double>")
-    add = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    total = part.groupBy("g").agg(add("xx", width * width).alias("xx"), add("xy", width).alias("xy"))
+
+    def total_of(c: str) -> DataFrame:
+        sums_ = part.select("g", F.posexplode(c).alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+        return sums_.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(c))
+
+    total = total_of("xx").join(total_of("xy"), "g")
 
     def solve(frames):
         for x in frames:

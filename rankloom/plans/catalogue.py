@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["evaluation", "neighbours"]
+MODULES = ["evaluation", "neighbours", "results"]
 
 
 def _merged(what: str) -> dict:

@@ -148,8 +148,8 @@ round((sum(tp) * sum(act) - sum(act * pre)) / (sqrt((sum(act) * sum(act) - sum(p
 j AS (SELECT coalesce(t.label, g.label) AS label, t.label IS NOT NULL AS a, g.label IS NOT NULL AS b FROM t FULL JOIN g ON t.doc_id = g.doc_id AND t.label = g.label), c AS (SELECT label, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a AND b) AS fp, count(*) FILTER (a AND NOT b) AS fn FROM j GROUP BY label)
 SELECT count(*) AS n, round(avg((source = 'src1' AND n_chars > 2000)::INT), 6) AS subset_accuracy, (SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) FROM c) AS f1_micro, (SELECT round(avg(2 * tp / (2 * tp + fp + fn)), 6) FROM c) AS f1_macro FROM documents""",
     "regression_block": f"""WITH {ASSAY}, t AS (SELECT measured AS y, score * 1500 AS p, rank() OVER (ORDER BY measured) + (count(*) OVER (PARTITION BY measured) - 1) / 2.0 AS ry, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rp FROM a)
-SELECT count(*) AS n, round(corr(ry, rp), 2) AS spearman, round(corr(y, p), 2) AS pearson, round(avg((y - p) * (y - p)), 2) AS mse, round(avg(abs(y - p)), 2) AS mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 2) AS r2 FROM t""",
-    "regression_per_group": f"WITH {ASSAY}, {_RANKS} SELECT grp, count(*) AS n, round(corr(rm, rs), 2) AS spearman, round(corr(measured, score * 1500), 2) AS pearson, round(avg((measured - score * 1500) ** 2), 2) AS mse, round(avg(abs(measured - score * 1500)), 2) AS mae, round(1 - sum((measured - score * 1500) ** 2) / (var_pop(measured) * count(*)), 2) AS r2 FROM rk GROUP BY grp",
+SELECT count(*) AS n, round(corr(ry, rp), 2) + 0 AS spearman, round(corr(y, p), 2) + 0 AS pearson, round(avg((y - p) * (y - p)), 2) + 0 AS mse, round(avg(abs(y - p)), 2) + 0 AS mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 2) + 0 AS r2 FROM t""",
+    "regression_per_group": f"WITH {ASSAY}, {_RANKS} SELECT grp, count(*) AS n, round(corr(rm, rs), 2) + 0 AS spearman, round(corr(measured, score * 1500), 2) + 0 AS pearson, round(avg((measured - score * 1500) ** 2), 2) + 0 AS mse, round(avg(abs(measured - score * 1500)), 2) + 0 AS mae, round(1 - sum((measured - score * 1500) ** 2) / (var_pop(measured) * count(*)), 2) + 0 AS r2 FROM rk GROUP BY grp",
     "hash_split": f"SELECT c_mktsegment, CASE WHEN {_HASH.format(seed=42, key='c_custkey')} % 10 < 8 THEN 'train' ELSE 'test' END AS split, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 1, 2",
     "group_split": f"SELECT CASE WHEN {_HASH.format(seed=7, key='o_custkey')} % 10 < 8 THEN 'train' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT o_custkey) AS groups, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1",
     "stratified_folds": f"WITH f AS (SELECT *, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_HASH.format(seed=42, key='c_custkey')}, c_custkey) - 1) % 4)::INT AS fold FROM customer) SELECT c_mktsegment, fold, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM f GROUP BY 1, 2",

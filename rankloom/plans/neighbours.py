@@ -202,7 +202,7 @@ SELECT anchor, p.o AS positive, n.o AS negative, round(p.d, 5) AS d_positive, ro
     "hit_label_transfer": f"WITH {_LABELLED}, m AS (SELECT avg(quality) AS m FROM labels) SELECT item_id AS query_id, round(coalesce(quality, m), 6) AS predicted, quality IS NOT NULL AS covered FROM benchmark LEFT JOIN (SELECT query_id, quality FROM k JOIN labels ON doc_id = target_id WHERE r = 1) ON query_id = item_id, m",
     "hit_class_scores": f"WITH {_LABELLED}, s AS (SELECT query_id, quality, max(containment) AS s FROM k JOIN labels ON doc_id = target_id GROUP BY 1, 2), o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, quality) = 1) SELECT item_id AS query_id, coalesce(quality, (SELECT min(quality) FROM labels)) AS predicted, round(coalesce(s, 0), 6) AS best FROM benchmark LEFT JOIN o ON query_id = item_id",
     "hit_coverage": f"WITH {_LABELLED} SELECT count(*) AS n, round(avg((target_id IS NOT NULL)::INT), 6) AS coverage FROM benchmark LEFT JOIN (SELECT * FROM k WHERE r = 1) ON query_id = item_id",
-    "kmer_freq": "WITH r AS (SELECT doc_id, unnest(regexp_split_to_array(upper(text), '[^ACDEFGHIKLMNPQRSTVWY]')) AS s FROM documents), k AS (SELECT doc_id, s[i : i + 1] AS kmer FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM r WHERE length(s) >= 2)), c AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY 1, 2), f AS (SELECT kmer, n / sum(n) OVER (PARTITION BY doc_id) AS freq FROM c) SELECT kmer, count(*) AS n_docs, round(sum(freq), 6) AS total, round(max(freq), 6) AS top FROM f GROUP BY 1",
+    "kmer_freq": "WITH r AS (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACDEFGHIKLMNPQRSTVWY]')) AS s FROM documents), k AS (SELECT doc_id, s[i : i + 1] AS kmer FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM r WHERE length(s) >= 2)), c AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY 1, 2), f AS (SELECT kmer, n / sum(n) OVER (PARTITION BY doc_id) AS freq FROM c) SELECT kmer, count(*) AS n_docs, round(sum(freq), 6) AS total, round(max(freq), 6) AS top FROM f GROUP BY 1",
     "mean_pool": f"WITH {_RES} SELECT protein, i, round(avg(x), 5) AS x FROM d GROUP BY 1, 2",
     "diversity": f"WITH {_RES}, u AS (SELECT protein, i, x / sqrt(sum(x * x) OVER (PARTITION BY protein, pos)) AS x FROM d), s AS (SELECT protein, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM u GROUP BY protein, i) SELECT protein, max(n) AS n, round(1 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)), 5) AS diversity FROM s GROUP BY 1",
     "span_pool": f"WITH {_RES}, m AS (SELECT protein, avg(x) FILTER (pos >= 2 AND pos < 5) AS a, avg(x) AS b FROM d GROUP BY protein, i) SELECT protein AS pair_id, round(sqrt(sum((a - b) * (a - b))), 5) AS distance FROM m GROUP BY 1",

@@ -49,5 +49,5 @@ RESULTS = "r AS (SELECT event_id AS row_no, 'org/model-' || (user_id % 5) AS mod
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles to so many digits, so that sums in another order compare as equal."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """All doubles to so many digits, so that sums in another order compare as equal; no negative zeros."""
+    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
