@@ -193,7 +193,7 @@ def viterbi(text: str, v: Vocabulary, on_commit=None) -> list[int]:
 
 def shared_lattice(parts: list[str], v: Vocabulary) -> Iterator[list[int]]:
     """The ids of short parts in alphabetical order: the survivors at the boundaries of a common beginning are found once. For models of merges."""
-    vocabulary, longest, compatible = v.id, v.longest, v.compatible
+    vocabulary, longest, pairs, compatible = v.id, v.longest, v._pairs, v.compatible
     back, last, before = [0], [""], ""
     for part in parts:
         k, most = 0, min(len(part), len(before))
@@ -203,15 +203,18 @@ def shared_lattice(parts: list[str], v: Vocabulary) -> Iterator[list[int]]:
         for end in range(k + 1, len(part) + 1):
             for b in range(max(0, end - longest), end):
                 p = part[b:end]
-                if (p in vocabulary or b == end - 1) and compatible(last[b], p):
-                    break
+                if p in vocabulary or b == end - 1:
+                    fits = pairs.get((last[b], p))
+                    if compatible(last[b], p) if fits is None else fits:
+                        break
             back.append(b)
             last.append(p)
         found, end = [], len(part)
         while end:
-            found.append(last[end])
+            i = vocabulary.get(last[end])
+            found += v.ids_of(last[end])[::-1] if i is None else (i,)
             end = back[end]
-        yield [i for p in reversed(found) for i in v.ids_of(p)]
+        yield found[::-1]
         before = part
 
 
