@@ -176,3 +176,17 @@ def lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         if (new == low).all():
             return low
         low = new
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def keep_where(docs: DataFrame, made: list[str], judge, condition: str) -> DataFrame:
+    """The rows of docs for which the columns made by judge(docs) meet a condition; columns of docs with the same names come back as they were."""
+    taken = {c: unused(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in made}
+    kept = judge(docs.withColumnsRenamed(taken)).filter(condition)
+    return kept.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns])

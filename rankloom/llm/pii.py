@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, reliable, slices
+from rankloom.llm.common import documents, reliable, slices, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms on either side of a span that count as near; letters of a term; documents in which it must be near the entity.
@@ -202,16 +202,17 @@ def scan(docs: DataFrame, **thresholds) -> DataFrame:
 
 def sanitise(df: DataFrame, **thresholds) -> DataFrame:
     """df with the text redacted: personal data replaced by [kind], disclosing terms removed ([...]) or generalised ([word]); other columns as they are."""
-    marks = scan(df.select(row_key().alias("row"), F.col("text").cast("string").alias("text")), **thresholds).withColumnRenamed("row", "_row")
+    key, row, marks_ = (unused(n, df.columns) for n in ("_key", "_row", "_marks"))
+    marks = scan(df.select(row_key().alias("row"), F.col("text").cast("string").alias("text")), **thresholds)
     flat = F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("by"))), F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["act"] == "remove", "[...]").otherwise("[word]").alias("by"))))
-    marks = marks.select("_row", F.sort_array(flat).alias("_marks"))
+    marks = marks.select(F.col("row").alias(row), F.sort_array(flat).alias(marks_))
     # What stays before each mark, and the mark; then what stays after the last. Marks within an earlier one vanish.
-    pieces = F.expr("""aggregate(_marks, struct(0 as done, '' as out), (a, m) -> struct(
+    pieces = F.expr(f"""aggregate({marks_}, struct(0 as done, '' as out), (a, m) -> struct(
         greatest(a.done, m.end) as done,
         if(m.start < a.done, a.out, concat(a.out, substring(text, a.done + 1, m.start - a.done), m.by)) as out),
         a -> concat(a.out, substring(text, a.done + 1)))""")
-    joined = df.withColumn("_key", row_key()).join(marks, F.col("_key") == F.col("_row"), "left")
-    return joined.withColumn("text", F.when(F.col("_marks").isNull(), F.col("text")).otherwise(pieces)).select(*df.columns)
+    joined = df.withColumn(key, row_key()).join(marks, F.col(key) == F.col(row), "left")
+    return joined.withColumn("text", F.when(F.col(marks_).isNull(), F.col("text")).otherwise(pieces)).select(*df.columns)
 
 
 def row_key() -> F.Column:
