@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm import langid, ngram_join, packing, pii, toxicity
-from rankloom.llm.common import documents, reliable
+from rankloom.llm.common import documents, keep_where, reliable, unused
 
 #: Documents go whose language is unknown, or whose own language has so few of their n-grams at most.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -22,15 +22,16 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language. The model is learnt from their own lang values."""
-    judged = langid.predict(docs.withColumn("text", F.col("text").cast("string")), langid.fit(langid.learnable(docs)))
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = langid.fit(langid.learnable(docs))
+    known = f"lang_pred <> '{langid.UNKNOWN}' and score >= {LEAST_LANGUAGE_SCORE}"
+    return keep_where(docs, ["lang_pred", "score"], lambda d: langid.predict(d, model), known)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the toxicity classifier lets pass."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled(docs, labels, "toxic", toxicity.FOLDS, toxicity.HELD_OUT))
-    return toxicity.predict(docs, model).filter("predicted = 0").select(*docs.columns)
+    return keep_where(docs, ["score", "predicted"], lambda d: toxicity.predict(d, model), "predicted = 0")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
     same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").select(*docs.columns)
+    copy = unused("_copy", docs.columns)
+    return kept.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1).select(*docs.columns)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
