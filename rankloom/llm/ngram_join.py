@@ -178,24 +178,43 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _nearest(index: DataFrame, percent: int) -> DataFrame:
-    """a, b, n: for each entry of a list, the nearest before it that is in another component and may be linked, judged by size and position."""
+def _candidates(index: DataFrame, percent: int, pivot: bool) -> DataFrame:
+    """a, b, comp_b, n: for each entry of a list, one before it that is in another component and may be linked, judged by size and position: with pivot the first in reach, which is much the same one in all lists of a group of copies, else the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["gram"]):
             gram, doc, n, pos, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "n", "pos", "comp"))
             other = np.full(len(gram), -1)
-            for back in (1, 2, 3, 4, 6, 9, 14, 22):
-                if back >= len(gram):
-                    break
-                y, x = np.arange(back, len(gram)), np.arange(len(gram) - back)
-                fits = (other[y] < 0) & (gram[x] == gram[y]) & (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y])
-                fits &= 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= _needed(n[x], n[y], percent)
+            low = _first_in_reach(gram, n, percent)
+            for step in (0, 1, 2) if pivot else (1, 2, 3, 4, 6, 9, 14, 22):
+                y = np.arange(len(gram))
+                x = low + step if pivot else y - step
+                y, x = y[(x < y) & (x >= low)], x[(x < y) & (x >= low)]
+                fits = (other[y] < 0) & (comp[x] != comp[y])
+                fits &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _needed(n[x], n[y], percent)
                 other[y[fits]] = x[fits]
             y = np.flatnonzero(other >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(doc[other[y]]), pa.array(n[y])], ["a", "b", "n"])
+            x = other[y]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(doc[x]), pa.array(comp[x]), pa.array(n[y])], ["a", "b", "comp_b", "n"])
 
-    return _by_list(index).mapInArrow(run, "a bigint, b bigint, n bigint")
+    return _by_list(index).mapInArrow(run, "a bigint, b bigint, comp_b bigint, n bigint")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """a, b: for each set, of the component that most of its lists name, the set that most of them name."""
+    per = found.groupBy("a", "comp_b", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    per = per.groupBy("a", "comp_b").agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.max_by("b", F.struct("c", "b")).alias("b"))
+    return per.filter(F.col("c") >= LIKELY * F.col("n")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+
+
+def _first_in_reach(gram: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For each entry, where the block of its list's entries begins whose size is large enough; lists are ordered by size."""
+    if not len(gram):
+        return np.zeros(0, np.int64)
+    change = np.concatenate([[True], gram[1:] != gram[:-1]])
+    run_no = np.cumsum(change) - 1
+    spread = int(n.max()) + 1
+    return np.maximum(np.flatnonzero(change)[run_no], np.searchsorted(run_no * spread + n, run_no * spread + -(-percent * n // 100)))
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
@@ -206,12 +225,8 @@ def _across(index: DataFrame, percent: int) -> DataFrame:
             gram, doc, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "n", "comp"))
             cuts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
             mixed = np.logical_or.reduceat(np.concatenate([[False], (comp[1:] != comp[:-1]) & (gram[1:] == gram[:-1])]), cuts[:-1])
-            begin = np.repeat(cuts[:-1], np.diff(cuts))
             # A list is ordered by size: the entries in reach of one are a block that ends just before it.
-            least = -(-percent * n // 100)
-            spread = int(n.max()) + 1 if len(n) else 1
-            run_no = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            low = np.maximum(begin, np.searchsorted(run_no * spread + n, run_no * spread + least))
+            low = _first_in_reach(gram, n, percent)
             many = np.where(np.repeat(mixed, np.diff(cuts)), np.arange(len(gram)) - low, 0)
             ends = np.cumsum(many)
             s = 0
@@ -302,10 +317,8 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     edges = reliable(same.filter("src <> dst"))
     # A copy's edge leads to its class's first document: these edges are components as they are.
     found = same.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    for _ in range(rounds):
-        near = _nearest(_labelled(index, found), percent).groupBy("a", "b").agg(F.count("*").alias("count"), F.first("n").alias("n"))
-        near = near.filter(F.col("count") >= LIKELY * F.col("n"))
-        best = near.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
+    for k_round in range(rounds):
+        best = _best(_candidates(_labelled(index, found), percent, k_round == 0))
         edges = reliable(edges.unionByName(_verified(best, known, k, percent)))
         found = components(edges)
     pairs = _across(_labelled(index, found), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
