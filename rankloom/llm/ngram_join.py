@@ -6,9 +6,13 @@ ones last), two sets that reach the threshold share one of their first n - ceil(
 list is ordered by set size and position, so that whole blocks of it are skipped: those whose size is out of
 reach, and in the rounds below those whose position leaves too few n-grams for the overlap needed.
 
+A sketch goes with each entry: SKETCH bits, each the parity of the number of the set's n-grams that fall
+on it. Two sketches differ in no more bits than the sets differ in n-grams, which bounds the overlap from
+above: pairs whose bound is too low are left out within the list, before a row is made of them.
+
 Answers are derived from those of similar sets: as soon as a set is verified to be linked to another,
-it takes over that one's answer, its component. Rounds first verify each set against the one candidate
-that shares most of its index lists and lies in another component. Then only pairs across components are
+it takes over that one's answer, its component. Rounds first verify the likeliest pairs that would join
+the components met in a list, one for each two components. Then only pairs across components are
 left; they are counted over all lists, those whose count can't lead to the overlap are skipped, and all
 others are verified. No pair inside a component is looked at, so a group of near copies costs a few pairs per set.
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
+from rankloom.llm.common import documents, lowest, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
 from rankloom.llm.components import components
 
 #: Words of an n-gram; the threshold as a percentage.
@@ -37,8 +41,10 @@ WORDS, PERCENT = 4, 85
 LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 2, 2_000_000, 6, 400_000
 #: Classes with so many copies give only their first document to the index; so many classes at most (others give all copies).
 CLASS_LEAST, CLASS_MOST = 4, 100_000
-#: Rounds; the part of a set's n-grams whose lists must name a candidate to try it in a round (other pairs wait until after the rounds).
-ROUNDS, LIKELY = 2, 0.03
+#: Rounds before all pairs across components are counted.
+ROUNDS = 2
+#: Words of 64 bits of a set's sketch.
+SKETCH = tuple(f"sketch{w}" for w in range(4))
 #: log2 of the bits of the filter of documents whose sets are fetched.
 FILTER_BITS = 23
 PAIRS_AT_ONCE = 1 << 18
@@ -83,9 +89,21 @@ def _sum_per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
+def _sketches(grams: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The words of each set's sketch: on each bit the parity of the n-grams that fall on it."""
+    place = mix(grams + _STEP) >> np.uint64(32)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    word = (place >> np.uint64(6)) % np.uint64(len(SKETCH))
+    out = []
+    for w in range(len(SKETCH)):
+        parity = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), np.where(word == w, bit, np.uint64(0))]))
+        out.append((parity[at[1:]] ^ parity[at[:-1]]).view(np.int64))
+    return out
+
+
 def _profiled(docs: DataFrame, k: int) -> DataFrame:
-    """For each document: id, set size and two hashes of the set; for n-grams frequent in a task (kind 1): n-gram and count."""
-    names = ["kind", "id", "n", "h1", "h2"]
+    """For each document: id, set size, two hashes of the set and its sketch; for n-grams frequent in a task (kind 1): n-gram and count."""
+    names = ["kind", "id", "n", "h1", "h2", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -95,7 +113,7 @@ def _profiled(docs: DataFrame, k: int) -> DataFrame:
             often = n >= LOCAL_LEAST
             g, n = g[often].view(np.int64), n[often]
             zero = np.zeros(len(g), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(g), pa.array(n.astype(np.int64)), pa.array(zero), pa.array(zero)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(g), pa.array(n.astype(np.int64)), *[pa.array(zero)] * (2 + len(SKETCH))], names)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -103,14 +121,14 @@ def _profiled(docs: DataFrame, k: int) -> DataFrame:
                 held.append(grams)
                 size += len(grams)
                 h1, h2 = _sum_per_row(grams, at), _sum_per_row(mix(grams ^ _STEP), at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *map(pa.array, _sketches(grams, at))], names)
                 if size >= LOCAL_GRAMS:
                     yield frequent()
                     held, size = [], 0
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, id bigint, n bigint, h1 bigint, h2 bigint")
+    return docs.mapInArrow(run, "kind int, " + ", ".join(f"{c} bigint" for c in names[1:]))
 
 
 def _indexed(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
@@ -178,33 +196,82 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _candidates(index: DataFrame, percent: int, pivot: bool) -> DataFrame:
-    """a, b, comp_b, n: for each entry of a list, one before it that is in another component and may be linked, judged by size and position: with pivot the first in reach, which is much the same one in all lists of a group of copies, else the nearest."""
+def _sketched(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
+
+
+def _apart(sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+
+
+def _may_reach(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the overlap of sets of a and b n-grams can be as large as needed, where so many bits of their sketches differ."""
+    return a + b - apart >= 2 * _needed(a, b, percent)
+
+
+def _list_pairs(gram: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs x, y of entries of one list, x before y, in different components whose sizes may be linked; about PAIRS_AT_ONCE at a time."""
+    if not len(gram):
+        return
+    cuts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
+    mixed = np.logical_or.reduceat(np.concatenate([[False], (comp[1:] != comp[:-1]) & (gram[1:] == gram[:-1])]), cuts[:-1])
+    # A list is ordered by size: the entries in reach of one are a block that ends just before it.
+    low = _first_in_reach(gram, n, percent)
+    many = np.where(np.repeat(mixed, np.diff(cuts)), np.arange(len(gram)) - low, 0)
+    ends = np.cumsum(many)
+    s = 0
+    while s < len(many):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PAIRS_AT_ONCE, "right")))
+        y = np.repeat(np.arange(s, e), many[s:e])
+        x = low[y] + np.arange(len(y)) - np.repeat(np.cumsum(many[s:e]) - many[s:e], many[s:e])
+        far = comp[x] != comp[y]
+        yield x[far], y[far]
+        s = e
+
+
+def _candidates(index: DataFrame, percent: int) -> DataFrame:
+    """a, b, comp_a, comp_b: from each list, pairs that would join all components in it that may be linked, judged by size, position and sketch: each component's likeliest pair, as long as there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["gram"]):
             gram, doc, n, pos, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "n", "pos", "comp"))
-            other = np.full(len(gram), -1)
-            low = _first_in_reach(gram, n, percent)
-            for step in (0, 1, 2) if pivot else (1, 2, 3, 4, 6, 9, 14, 22):
-                y = np.arange(len(gram))
-                x = low + step if pivot else y - step
-                y, x = y[(x < y) & (x >= low)], x[(x < y) & (x >= low)]
-                fits = (other[y] < 0) & (comp[x] != comp[y])
-                fits &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _needed(n[x], n[y], percent)
-                other[y[fits]] = x[fits]
-            y = np.flatnonzero(other >= 0)
-            x = other[y]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(doc[x]), pa.array(comp[x]), pa.array(n[y])], ["a", "b", "comp_b", "n"])
-
-    return _by_list(index).mapInArrow(run, "a bigint, b bigint, comp_b bigint, n bigint")
+            sketch = _sketched(table)
+            comp_no, list_no = np.unique(comp, return_inverse=True)[1], np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+            node = np.unique(list_no * len(comp) + comp_no, return_inverse=True)[1]
+            label, found = np.arange(len(node)), []
+            for x, y in _list_pairs(gram, n, comp, percent):
+                use = label[node[x]] != label[node[y]]
+                x, y = x[use], y[use]
+                use = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _needed(n[x], n[y], percent)
+                x, y = x[use], y[use]
+                apart = _apart(sketch, x, y)
+                use = _may_reach(apart, n[x], n[y], percent)
+                x, y, apart = x[use], y[use], apart[use]
+                order = np.lexsort((doc[x], doc[y], apart / (n[x] + n[y])))
+                x, y = x[order], y[order]
+                while len(x):
+                    ends = np.stack([label[node[x]], label[node[y]]], 1)
+                    of, first = np.unique(ends, return_index=True)
+                    best = np.unique(first // 2)
+                    found.append(np.stack([x[best], y[best]], 1))
+                    i, j = np.searchsorted(of, ends[best]).T
+                    joined = np.arange(len(node))
+                    joined[of] = of[lowest(i, j, len(of))]
+                    label = joined[label]
+                    use = label[node[x]] != label[node[y]]
+                    x, y = x[use], y[use]
+            x, y = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
+            flip = doc[x] > doc[y]
+            a, b = np.where(flip, x, y), np.where(flip, y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[a], doc[b], comp[a], comp[b])], ["a", "b", "comp_a", "comp_b"])
+
+    return _by_list(index).mapInArrow(run, "a bigint, b bigint, comp_a bigint, comp_b bigint")
 
 
 def _best(found: DataFrame) -> DataFrame:
-    """a, b: for each set, of the component that most of its lists name, the set that most of them name."""
-    per = found.groupBy("a", "comp_b", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    per = per.groupBy("a", "comp_b").agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.max_by("b", F.struct("c", "b")).alias("b"))
-    return per.filter(F.col("c") >= LIKELY * F.col("n")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    """a, b: for each two components, the pair that most lists name."""
+    per = found.groupBy("comp_a", "comp_b", "a", "b").agg(F.count("*").alias("c"))
+    return per.groupBy("comp_a", "comp_b").agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def _first_in_reach(gram: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -218,28 +285,18 @@ def _first_in_reach(gram: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: all pairs of a list's entries in different components whose sizes may be linked."""
+    """a, b, na, nb: all pairs of a list's entries in different components that may be linked, judged by their sizes and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["gram"]):
             gram, doc, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "n", "comp"))
-            cuts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
-            mixed = np.logical_or.reduceat(np.concatenate([[False], (comp[1:] != comp[:-1]) & (gram[1:] == gram[:-1])]), cuts[:-1])
-            # A list is ordered by size: the entries in reach of one are a block that ends just before it.
-            low = _first_in_reach(gram, n, percent)
-            many = np.where(np.repeat(mixed, np.diff(cuts)), np.arange(len(gram)) - low, 0)
-            ends = np.cumsum(many)
-            s = 0
-            while s < len(many):
-                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PAIRS_AT_ONCE, "right")))
-                y = np.repeat(np.arange(s, e), many[s:e])
-                x = low[y] + np.arange(len(y)) - np.repeat(np.cumsum(many[s:e]) - many[s:e], many[s:e])
-                far = comp[x] != comp[y]
-                y, x = y[far], x[far]
+            sketch = _sketched(table)
+            for x, y in _list_pairs(gram, n, comp, percent):
+                near = _may_reach(_apart(sketch, x, y), n[x], n[y], percent)
+                x, y = x[near], y[near]
                 flip = doc[x] > doc[y]
-                a, b = np.where(flip, y, x), np.where(flip, x, y)
+                a, b = np.where(flip, x, y), np.where(flip, y, x)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
-                s = e
 
     return _by_list(index).mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
@@ -296,10 +353,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "src bigint, dst bigint")
 
 
-def _labelled(index: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return index.withColumn("comp", F.col("doc_id"))
-    return index.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+def _labelled(index: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
+    """The index with each entry's component and sketch."""
+    docs = sketches.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return index.join(docs.withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), ["doc_id", "n"])
 
 
 def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -317,11 +374,12 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     edges = reliable(same.filter("src <> dst"))
     # A copy's edge leads to its class's first document: these edges are components as they are.
     found = same.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    for k_round in range(rounds):
-        best = _best(_candidates(_labelled(index, found), percent, k_round == 0))
+    sketches = told.filter("kind = 0 and n > 0 and id is not null").groupBy(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("n")).agg(F.max(F.struct(*SKETCH)).alias("s")).select("doc_id", "n", "s.*")
+    for _ in range(rounds):
+        best = _best(_candidates(_labelled(index, sketches, found), percent))
         edges = reliable(edges.unionByName(_verified(best, known, k, percent)))
         found = components(edges)
-    pairs = _across(_labelled(index, found), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = _across(_labelled(index, sketches, found), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     top = F.greatest("na", "nb")
     # All shared n-grams are in both prefixes, or behind the end of the prefix that ends first.
     reach = F.col("c") + F.ceil(top * percent / 100) - 1
