@@ -41,8 +41,8 @@ WORDS, PERCENT = 4, 85
 LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 2, 2_000_000, 6, 400_000
 #: Classes with so many copies give only their first document to the index; so many classes at most (others give all copies).
 CLASS_LEAST, CLASS_MOST = 4, 100_000
-#: Rounds before all pairs across components are counted.
-ROUNDS = 2
+#: Rounds before all pairs across components are counted; of sets larger than LARGE, whose sketches tell little, they try pairs named by the lists of so large a part of a set (others wait until after the rounds).
+ROUNDS, LARGE, LIKELY = 1, 512, 0.03
 #: Words of 64 bits of a set's sketch.
 SKETCH = tuple(f"sketch{w}" for w in range(4))
 #: log2 of the bits of the filter of documents whose sets are fetched.
@@ -230,7 +230,7 @@ def _list_pairs(gram: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int)
 
 
 def _candidates(index: DataFrame, percent: int) -> DataFrame:
-    """a, b, comp_a, comp_b: from each list, pairs that would join all components in it that may be linked, judged by size, position and sketch: each component's likeliest pair, as long as there are any."""
+    """a, b, comp_a, comp_b, n: from each list, pairs that would join all components in it that may be linked, judged by size, position and sketch: each component's likeliest pair, as long as there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["gram"]):
@@ -263,14 +263,15 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
             x, y = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
             flip = doc[x] > doc[y]
             a, b = np.where(flip, x, y), np.where(flip, y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[a], doc[b], comp[a], comp[b])], ["a", "b", "comp_a", "comp_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[a], doc[b], comp[a], comp[b], n[a])], ["a", "b", "comp_a", "comp_b", "n"])
 
-    return _by_list(index).mapInArrow(run, "a bigint, b bigint, comp_a bigint, comp_b bigint")
+    return _by_list(index).mapInArrow(run, "a bigint, b bigint, comp_a bigint, comp_b bigint, n bigint")
 
 
 def _best(found: DataFrame) -> DataFrame:
     """a, b: for each two components, the pair that most lists name."""
-    per = found.groupBy("comp_a", "comp_b", "a", "b").agg(F.count("*").alias("c"))
+    per = found.groupBy("comp_a", "comp_b", "a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    per = per.filter((F.col("n") <= LARGE) | (F.col("c") >= LIKELY * F.col("n")))
     return per.groupBy("comp_a", "comp_b").agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
