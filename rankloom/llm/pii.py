@@ -1,10 +1,12 @@
 """Operator 2: personal data, and the terms that give it away.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers; each distinct value is a
-protected entity. Which terms reveal it follows from the corpus: for a term near an entity, the pointwise
-mutual information log2(N n(e,t) / (n(e) n(t))) says how many of the entity's -log2(n(e)/N) bits the term
-discloses. What stays hidden is log2(n(t) / n(e,t)) bits (n: documents). A term near an entity in enough
-documents that leaves at most REMOVE_BITS is removed, and one that leaves at most GENERALISE_BITS is
+protected entity, and so is what values share: the domain, network, issuer or number block. Which terms
+reveal it follows from the corpus: for a term near an entity, the pointwise mutual information
+log2(N n(e,t) / (n(e) n(t))) says how many of the entity's -log2(n(e)/N) bits the term discloses. What stays
+hidden is log2(n(t) / n(e,t)) bits (n: documents). Counts are smoothed: SMOOTH documents more are taken to have
+the term without the entity, so that values in one or two documents are judged too, but on weaker evidence. A
+term near an entity that leaves at most REMOVE_BITS is removed, and one that leaves at most GENERALISE_BITS is
 generalised to its kind of word, wherever it occurs in the corpus.
 
 Terms are runs of letters, in lower case, of MIN_TERM at least; near are the WINDOW terms on either side
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import documents, reliable, slices, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms on either side of a span that count as near; letters of a term; documents in which it must be near the entity.
-WINDOW, MIN_TERM, SUPPORT = 6, 4, 3
+#: Terms on either side of a span that count as near; letters of a term; documents added to those that have a term.
+WINDOW, MIN_TERM, SMOOTH = 6, 4, 0.5
 #: Bits of an entity that may stay hidden for a term to be removed, or to be generalised.
 REMOVE_BITS, GENERALISE_BITS = 0.2, 1.0
 #: Characters on either side of a span in which near terms are looked for.
@@ -95,6 +97,14 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _NOT_DIGIT.sub('', value)}"
 
 
+def _entities(kind: str, value: str) -> tuple[str, str]:
+    """A value's entity and the coarser one that it is part of: an address's domain, a network of 256, a card's issuer, a block of 10,000 numbers."""
+    exact = _entity(kind, value)
+    form = exact.partition(":")[2]
+    shared = {"email": form.rpartition("@")[2], "ip": form.rpartition(".")[0], "card": form[:6], "phone": form[:-4]}[kind]
+    return exact, f"{kind}-part:{shared}"
+
+
 def _near(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
     """Entities and terms: the terms near each span and outside all of them."""
     out = set()
@@ -103,7 +113,7 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
             # The term at the far end may be cut.
             whole = [m for m in side if m.start() > a - REACH and m.end() < b + REACH or a < REACH]
             free = [m for m in whole if m.end() - m.start() >= MIN_TERM and not any(x < m.end() and m.start() < y for _, x, y in spans)]
-            out |= {(_entity(kind, text[a:b]), m.group().lower()) for m in free[:WINDOW]}
+            out |= {(e, m.group().lower()) for e in _entities(kind, text[a:b]) for m in free[:WINDOW]}
     return out
 
 
@@ -178,12 +188,12 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row string, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,term:string>>")
 
 
-def disclosing(near: DataFrame, docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
+def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
     """term and act (remove or generalise) of the terms that reveal an entity. near: row, entity, term, once a document."""
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
+    joint = near.groupBy("entity", "term").agg(F.count("*").alias("together"))
     joint = reliable(joint.groupBy("term").agg(F.max("together").alias("together")))
     total = _occurrences(docs, joint, False).groupBy("term").agg(F.sum("n").alias("n"))
-    hidden = F.log2(F.greatest(F.col("n"), F.col("together")) / F.col("together"))
+    hidden = F.log2((F.greatest(F.col("n"), F.col("together")) + smooth) / F.col("together"))
     judged = joint.join(total, "term").withColumn("hidden", hidden).filter(F.col("hidden") <= generalise)
     return judged.select("term", F.when(F.col("hidden") <= remove, "remove").otherwise("generalise").alias("act"))
 

@@ -87,6 +87,21 @@ def test_disclosing_terms_are_hidden(spark):
     assert "codename" in out[0].text and out[10].text == rows[5][1] and out[0]["_marks"] == "mine"
 
 
+def test_terms_near_rare_values_are_hidden(spark):
+    rows = [(1, "the codename zanzibar belongs to boss@corp.example.com today")]
+    rows += [(2 + i, f"the codename quetzal belongs to ann{i}@zoo.example.org today") for i in range(2)]
+    rows += [(4 + i, "the codename ocelot belongs to 10.1.2.3 today") for i in range(2)]
+    rows += [(6 + i, f"the codename marmoset belongs to m{i}@den.example.net today") for i in range(5)]
+    rows += [(20 + i, "the codename belongs to people here today") for i in range(40)] + [(99, "quetzal and ocelot")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert out[1] == "the codename [word] belongs to [email] today"
+    assert all("[word]" in out[i] and "quetzal" not in out[i] and "ocelot" not in out[i] for i in range(2, 6)) and out[99] == "[word] and [word]"
+    # Five addresses, each in one document, share a domain: the evidence is enough to remove the term.
+    assert all(out[i] == "the codename [...] belongs to [email] today" for i in range(6, 11)) and out[20] == rows[-2][1]
+    assert {r.doc_id: r.n_term for r in pii.digest(df).collect()} == {r[0]: 2 if r[0] == 99 else int(r[0] < 11) for r in rows}
+
+
 def test_packing(spark, edges):
     import public_tokenizers
     from tokenizers import Tokenizer
