@@ -3,9 +3,13 @@
 Equal vectors are joined first and go on as one. In each pass every vector gets a code of the signs of
 its products with the pass's random directions; all vectors of a label are ordered by the code, read
 from the first sign to the last, and each is compared with the next ones of a window of fixed width. Links
-that the cosine confirms join components over all passes. The number of passes follows from the largest
-label, so that a pair at the threshold is missed by all passes with less than a set chance. The passes
-only have to connect a component; the links of its vectors are then counted in full, block by block.
+that the cosine confirms join components over all passes. How crowded a vector's place is shows in each pass: the
+signs it shares with the rows at the window's two ends. A linked vector that shares one sign more is within the
+window, which gives the chance that a pair at the threshold is missed there (taken as independent of the
+crowd). Vectors whose chance over all passes is above MISS stay open: rounds of fresh passes go over them
+alone, and those still open after ROUNDS are compared in full within their label, block by block. So a link is
+missed only if one of its ends was closed by that estimate. The passes only have to connect a component; the
+links of its vectors are then counted in full, block by block.
 
 Defined results: vectors that are null, zero, or hold null or non-finite parts, and those without label,
 link with nothing; vectors of different length don't link. Repeated rows count as vectors of their own.
@@ -29,6 +33,8 @@ THRESHOLD = 0.98
 WINDOW, SIGNS, MISS = 192, 40, 1e-5
 #: Rows of a product at once; vectors of a block in which a component's links are counted.
 CHUNK, BLOCK = 512, 4096
+#: Rounds of passes before the vectors that are still open are compared in full.
+ROUNDS = 3
 
 
 def _usable(vector: str) -> F.Column:
@@ -38,7 +44,7 @@ def _usable(vector: str) -> F.Column:
 
 
 def passes_for(largest: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold, among largest vectors, has been in no common window with a chance of miss at most."""
+    """Passes of a round: those after which a pair at the threshold, among largest vectors whose codes spread evenly, has been in no common window with a chance of miss at most."""
     same_sign = 1 - math.acos(threshold) / math.pi
     signs = max(0.0, math.log2(max(1, largest) / window)) + 1
     return max(4, math.ceil(math.log(miss) / math.log1p(-min(0.99, same_sign**signs))))
@@ -51,7 +57,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _coded(vectors: DataFrame, passes: int) -> DataFrame:
+def _coded(vectors: DataFrame, passes: int, no: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -59,7 +65,7 @@ def _coded(vectors: DataFrame, passes: int) -> DataFrame:
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 if d not in planes:
-                    planes[d] = np.random.default_rng(20_011).standard_normal((int(d), passes * SIGNS))
+                    planes[d] = np.random.default_rng(20_011 + no).standard_normal((int(d), passes * SIGNS))
                 up = _matrix(part.column("vector"), int(d)) @ planes[d] >= 0
                 for p in range(passes):
                     code = up[:, p * SIGNS : (p + 1) * SIGNS] @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
@@ -68,11 +74,31 @@ def _coded(vectors: DataFrame, passes: int) -> DataFrame:
     return vectors.mapInArrow(run, "pass int, rep bigint, label bigint, dims int, vector array<double>, code bigint")
 
 
+def _log_missed(key: np.ndarray, code: np.ndarray, a: int, b: int, window: int, threshold: float, starts: bool, ends: bool) -> np.ndarray:
+    """For the rows a to b (exclusive) of sorted rows: the log of the chance that a pair at the threshold is outside the window. Whether the rows start and end with the partition's: beyond its edges nothing was compared."""
+    at, same_sign = np.arange(a, b), 1 - math.acos(threshold) / math.pi
+    shared = np.full(b - a, -1)
+    for other, edge, known in ((at - window, 0, starts), (at + window, len(code) - 1, ends)):
+        inside = (other >= 0) & (other < len(code))
+        to = np.where(inside, other, edge)
+        same = (key[at] == key[to]).all(1)
+        # The bit length of the difference is the place of the first sign that differs.
+        signs = np.where(inside | ~np.bool_(known), SIGNS - np.frexp((code[at] ^ code[to]).astype(np.float64))[1], SIGNS)
+        shared = np.maximum(shared, np.where(same, signs, -1))
+    return np.where(shared < SIGNS, np.log1p(-np.minimum(1 - 1e-15, same_sign ** (shared + 1.0))), 0.0)
+
+
 def _window_links(coded: DataFrame, threshold: float, window: int) -> DataFrame:
-    """src, dst: confirmed links of each partition's sorted rows, as one from every vector to the lowest it reaches among the rows at hand."""
+    """src, dst: confirmed links of each partition's sorted rows, as one from every vector to the lowest it reaches among the rows at hand; and for each row src and missed, the log of the chance that a link of it isn't among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
+        keys, codes, reps, done, starts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, True
+
+        def judged(until: int, ends: bool) -> pa.RecordBatch:
+            missed = _log_missed(keys, codes, done, until, window, threshold, starts, ends)
+            return pa.RecordBatch.from_arrays([pa.array(reps[done:until]), pa.nulls(until - done, pa.int64()), pa.array(missed)], ["src", "dst", "missed"])
+
         for batch in batches:
             table = pa.Table.from_batches([batch] if tail is None else [*tail.to_batches(), batch])
             rows = len(table)
@@ -91,10 +117,71 @@ def _window_links(coded: DataFrame, threshold: float, window: int) -> DataFrame:
             none = np.zeros(0, np.int64)
             low = lowest(np.concatenate([none, *src]), np.concatenate([none, *dst]), rows)
             away = np.flatnonzero(low != np.arange(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[away]), pa.array(rep[low[away]])], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[away]), pa.array(rep[low[away]]), pa.nulls(len(away), pa.float64())], ["src", "dst", "missed"])
             tail = table.slice(max(0, rows - window))
+            new = slice(rows - len(batch), rows)
+            keys, codes, reps = np.concatenate([keys, key[new]]), np.concatenate([codes, batch.column("code").to_numpy()]), np.concatenate([reps, rep[new]])
+            if len(reps) - window > done:
+                yield judged(len(reps) - window, False)
+                done = len(reps) - window
+                gone = max(0, done - window)
+                keys, codes, reps, done, starts = keys[gone:], codes[gone:], reps[gone:], done - gone, starts and not gone
+        if len(reps):
+            yield judged(len(reps), True)
+
+    return coded.mapInArrow(run, "src bigint, dst bigint, missed double")
+
+
+def _block_pairs(vectors: DataFrame, group: list[str]) -> DataFrame:
+    """The vectors of each two blocks i and j of a group. vectors: with block and blocks, the group's number of them."""
+    other = vectors.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("blocks", "o")
+    return pairs.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j", "rep")
+
 
-    return coded.mapInArrow(run, "src bigint, dst bigint")
+def _in_blocks(vectors: DataFrame, group: list[str], block: int) -> DataFrame:
+    sizes = vectors.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return vectors.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+
+def _all_links(vectors: DataFrame, threshold: float, block: int) -> DataFrame:
+    """src, dst: the links of all vectors of a label, as one from every vector to the lowest it reaches in each pair of blocks."""
+    keys = ["label", "dims", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys):
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            rep = table.column("rep").to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(table)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                x = _matrix(table.column("vector").slice(a, b - a), int(key[a, 1]))
+                low = np.arange(b - a)
+                for s in range(0, b - a, CHUNK):
+                    i, j = np.nonzero(x[s : s + CHUNK] @ x.T >= threshold)
+                    # What is joined already needs no link.
+                    new = low[i + s] != low[j]
+                    low = lowest(low[i[new] + s], low[j[new]], b - a)[low]
+                away = np.flatnonzero(low != np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a:b][away]), pa.array(rep[a:b][low[away]])], ["src", "dst"])
+
+    return _block_pairs(_in_blocks(vectors, keys[:2], block), keys[:2]).mapInArrow(run, "src bigint, dst bigint")
+
+
+def _links(classes: DataFrame, threshold: float, window: int, passes: int, block: int) -> DataFrame:
+    """src, dst: links that connect all components."""
+    vectors = classes.select("rep", "label", "dims", "vector")
+    left, told = vectors, None
+    for no in range(ROUNDS):
+        # Neighbours on two sides of a partition's edge aren't compared in this pass, and count as missed.
+        dealt = _coded(left, passes, no).repartitionByRange("pass", "label", "dims", "code", "rep").sortWithinPartitions("pass", "label", "dims", "code", "rep")
+        new = reliable(_window_links(dealt, threshold, window))
+        told = new if told is None else told.unionByName(new)
+        missed = told.filter("missed is not null").groupBy(F.col("src").alias("rep")).agg(F.sum("missed").alias("missed"))
+        # A closed vector's links are found: only those between open ones are sought on.
+        left = reliable(left.join(missed.filter(F.col("missed") > math.log(MISS)), "rep", "left_semi"))
+        if left.isEmpty():
+            return told.filter("dst is not null").select("src", "dst")
+    return told.filter("dst is not null").select("src", "dst").unionByName(_all_links(left, threshold, block))
 
 
 def _counted(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -132,16 +219,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, window: int = WIND
     if passes is None:
         largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
         passes = passes_for(largest or 1, threshold, window)
-    coded = _coded(classes.select("rep", "label", "dims", "vector"), passes)
-    # Neighbours on two sides of a partition's edge aren't compared in this pass; other passes have other edges.
-    dealt = coded.repartitionByRange("pass", "label", "dims", "code", "rep").sortWithinPartitions("pass", "label", "dims", "code", "rep")
-    found = components(reliable(_window_links(dealt, threshold, window)))
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = classes.join(found.withColumnRenamed("node", "rep"), "rep").join(sizes, "component")
-    member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "copies", "dims", "vector")
-    counts = _counted(pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep"), threshold).groupBy("rep").agg(F.sum("links").alias("links"))
+    found = components(reliable(_links(classes, threshold, window, passes, block)))
+    member = classes.join(found.withColumnRenamed("node", "rep"), "rep").select("component", "rep", "copies", "dims", "vector")
+    counts = _counted(_block_pairs(_in_blocks(member, ["component"], block), ["component"]), threshold).groupBy("rep").agg(F.sum("links").alias("links"))
     judged = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     judged = judged.select(*keys, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     linked = good.select("vec_id", *keys).join(judged, keys).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))

@@ -153,6 +153,18 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_in_a_dense_label(spark):
+    rng = np.random.default_rng(5)
+    n, middle = 1500, np.eye(64)[0]
+    x = np.sqrt(0.95) * middle + np.sqrt(0.05 / 63) * np.concatenate([np.zeros((n, 1)), rng.standard_normal((n, 63))], 1)
+    x[n // 2 :] = x[: n - n // 2] + 0.195 / np.sqrt(63) * rng.standard_normal((n - n // 2, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98) & ~np.eye(n, dtype=bool)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df, window=8, block=400).collect()}
+    assert links.any(1).sum() > 500 and [got[i] for i in range(n)] == links.sum(1).tolist()
+
+
 def test_merkle(spark, edges):
     got = merkle.with_next(edges.select("doc_id", "text"), 3).select("doc_id", "text", "next_text").collect()
     order = sorted([(d, t or "") for d, t in EDGES if d is not None], reverse=True) + [(None, EDGES[-1][1])]
