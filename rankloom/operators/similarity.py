@@ -74,6 +74,53 @@ def retrieval_per_query(neighbours: DataFrame, labels: DataFrame, ks: list[int])
     return out.select("query_id", "eligible", *[F.coalesce(f"hit_{k}", F.lit(0)).alias(f"hit_{k}") for k in ks], F.when(F.col("_others") > 0, F.coalesce("_ap", F.lit(0.0)) / F.col("_others")).otherwise(0.0).alias("ap"))
 
 
+def average_precision(df: DataFrame, block: int = BLOCK, most: int = 1000) -> DataFrame:
+    """query_id, eligible, ap of each labelled row over the full cosine ranking of all other rows; ties go to the smaller target. df: id, vector, label.
+
+    A target's rank is one more than the rows ahead of it, counted over blocks. Targets of a query's label go
+    to these blocks in slices of about most, so that no label has to fit into a task.
+    """
+    v = F.col("vector").cast("array<double>")
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    rows = df.select(F.col("id").cast("bigint").alias("id"), "label", F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v).alias("vector"))
+    rows = rows.join(rows.groupBy("label").agg(F.count("*").alias("size")), "label", "left")
+    ng = max(1, math.ceil(rows.count() / block))
+    a = rows.select("label", F.col("id").alias("query_id"), F.col("vector").alias("_a"), F.ceil(F.col("size") / most).alias("_s"))
+    b = rows.select("label", F.col("id").alias("target_id"), F.col("vector").alias("_b"))
+    score = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    same = a.join(b, "label").filter("query_id <> target_id").select("query_id", "target_id", F.round(score, 12).alias("score"), F.pmod(F.xxhash64("target_id"), F.col("_s")).alias("slice"))
+    slices = same.groupBy("query_id", "slice").agg(F.collect_list("target_id").alias("targets"), F.collect_list("score").alias("scores"))
+    asked = slices.join(rows.select(F.col("id").alias("query_id"), "vector"), "query_id")
+    # A task holds block * block scores, or the slices of block / 8 queries.
+    nq = max(1, math.ceil(rows.select(F.sum(F.ceil(F.col("size") / most))).first()[0] or 0) * 8 // block)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = asked.select("*", F.pmod(F.xxhash64("query_id", "slice"), F.lit(nq)).alias("bq"), every(ng).alias("bg"))
+    g = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), every(nq).alias("bq"))
+
+    def ahead(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "target_id": [], "score": [], "ahead": []}).astype({"query_id": "int64", "target_id": "int64", "score": "float64", "ahead": "int64"})]
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            ids, b = right["id"].to_numpy(), np.stack(right["vector"].to_list())
+            for query, targets, scores, vector in zip(left["query_id"], left["targets"], left["scores"], left["vector"], strict=True):
+                s = np.round(b @ vector, 12)
+                s[ids == query] = -np.inf
+                order = np.argsort(-s, kind="stable")
+                first, last = (np.searchsorted(-s[order], -np.asarray(scores), side) for side in ("left", "right"))
+                # Of rows with the same score those of smaller ids are ahead; a target is never ahead of itself.
+                ties = [int(np.searchsorted(ids[order[x:y]], t)) if y > x else 0 for x, y, t in zip(first, last, targets, strict=True)]
+                at = np.minimum(np.searchsorted(ids, targets), len(ids) - 1)
+                own = (ids[at] == targets) & (s[at] > scores)
+                out.append(pd.DataFrame({"query_id": query, "target_id": targets, "score": scores, "ahead": first + np.array(ties) - own}))
+        return pd.concat(out[1:] or out)
+
+    found = q.groupBy("bq", "bg").cogroup(g.groupBy("bq", "bg")).applyInPandas(ahead, "query_id bigint, target_id bigint, score double, ahead bigint")
+    ranked = found.groupBy("query_id", "target_id").agg(F.max("score").alias("score"), (F.sum("ahead") + 1).alias("rank"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "target_id"))
+    per = ranked.withColumn("_p", place / F.col("rank")).groupBy("query_id").agg(F.avg("_p").alias("ap"))
+    return rows.filter("label is not null").select(F.col("id").alias("query_id"), (F.col("size") > 1).alias("eligible")).join(per, "query_id", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+
+
 def retrieval(per_query: DataFrame, ks: list[int]) -> DataFrame:
     """recall and map over all queries and over eligible ones, and both counts."""
     ok = F.col("eligible")

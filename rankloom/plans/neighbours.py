@@ -35,6 +35,10 @@ def retrieval_per_query(spark: SparkSession, d: str) -> DataFrame:
     return rounded(similarity.retrieval_per_query(similarity.nearest(v, v, 30, "cosine", True), _labels(spark, d), [1, 10, 30]))
 
 
+def retrieval_full_ap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.average_precision(vectors(spark, d)))
+
+
 def nn_transfer_levels(spark: SparkSession, d: str) -> DataFrame:
     c, a, h = (F.col("label") % 2).cast("string"), (F.col("label") % 5).cast("string"), F.col("label").cast("string")
     lv = lambda df: df.select("id", "vector", c.alias("c"), F.concat_ws(".", c, a).alias("a"), F.concat_ws(".", c, a, h).alias("h"))
@@ -163,7 +167,7 @@ def apc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pairs.average_product_correction(m).groupBy("protein").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean")), 5)
 
 
-QUERIES = {f.__name__: f for f in (cosine_retrieval_recall, retrieval_map, retrieval_per_query, nn_transfer_levels, knn_vote, knn_regression, hard_triplets, shared_kmer_hits, ranked_hits, best_hit, decontaminate, contamination_report, hit_label_transfer, hit_class_scores, hit_coverage, kmer_freq, mean_pool, diversity, span_pool, contacts, precision_at_l, apc)}
+QUERIES = {f.__name__: f for f in (cosine_retrieval_recall, retrieval_map, retrieval_per_query, retrieval_full_ap, nn_transfer_levels, knn_vote, knn_regression, hard_triplets, shared_kmer_hits, ranked_hits, best_hit, decontaminate, contamination_report, hit_label_transfer, hit_class_scores, hit_coverage, kmer_freq, mean_pool, diversity, span_pool, contacts, precision_at_l, apc)}
 
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _COSINE = f"{_E}, n AS (SELECT a.id AS q, b.id AS t, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id QUALIFY r <= 30)"
@@ -186,6 +190,7 @@ SQL = {
     "cosine_retrieval_recall": f"WITH {_COSINE}, f AS (SELECT q, min(r) AS f FROM n WHERE hit GROUP BY q) SELECT count(*) AS n, round(avg(coalesce(f <= 1, false)::INT), 6) AS recall_1, round(avg(coalesce(f <= 10, false)::INT), 6) AS recall_10, round(avg(coalesce(f <= 30, false)::INT), 6) AS recall_30 FROM e LEFT JOIN f ON q = id",
     "retrieval_map": f"WITH {_PER} SELECT count(*) AS n, count(*) FILTER (eligible) AS n_eligible, round(avg(ap), 6) AS map, round(avg(ap) FILTER (eligible), 6) AS map_eligible, round(avg(hit_1), 6) AS recall_1, round(avg(hit_1) FILTER (eligible), 6) AS recall_1_eligible, round(avg(hit_10), 6) AS recall_10, round(avg(hit_10) FILTER (eligible), 6) AS recall_10_eligible FROM p",
     "retrieval_per_query": f"WITH {_PER} SELECT query_id, eligible, hit_1, hit_10, hit_30, round(ap, 6) AS ap FROM p",
+    "retrieval_full_ap": f"WITH {_E}, n AS (SELECT a.id AS q, (a.label = b.label)::INT AS h, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id), k AS (SELECT q, r, h, sum(h) OVER (PARTITION BY q ORDER BY r) AS k FROM n), s AS (SELECT label, count(*) - 1 AS others FROM e GROUP BY 1) SELECT id AS query_id, others > 0 AS eligible, round(CASE WHEN others > 0 THEN coalesce(sum(CASE WHEN h = 1 THEN k / r END), 0) / others ELSE 0 END, 6) AS ap FROM e JOIN s USING (label) JOIN k ON q = id GROUP BY id, others",
     "nn_transfer_levels": f"""WITH {_KNN}, l AS (SELECT id, unnest(['c', 'a', 'h']) AS level, unnest([(label % 2)::VARCHAR, (label % 2) || '.' || (label % 5), (label % 2) || '.' || (label % 5) || '.' || label]) AS lab, id % 20 = 0 AS q FROM e),
 k AS (SELECT level, lab, count(*) AS n_all, count(*) FILTER (NOT q) AS n_look FROM l GROUP BY 1, 2)
 SELECT a.level, count(*) FILTER (n_all > 1) AS n_answerable, count(*) FILTER (n_look > 0) AS n_strict, round(coalesce(avg((a.lab = b.lab)::INT) FILTER (n_all > 1), 0), 6) AS accuracy FROM l a JOIN n ON n.query_id = a.id AND r = 1 JOIN l b ON b.id = n.t AND b.level = a.level JOIN k ON k.level = a.level AND k.lab = a.lab WHERE a.q GROUP BY 1""",

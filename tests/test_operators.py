@@ -1,5 +1,6 @@
 """Operators on hand-built inputs with known answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,25 @@ def test_bootstrap_is_the_same_in_any_partitioning(spark):
     assert (a.low, a.high) == pytest.approx((b.low, b.high)) and a.low < 2 < a.high
 
 
+def test_average_precision_ranks_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((150, 8))
+    x[100:110] = x[:10]
+    label = np.arange(150) % 2
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id bigint, vector array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = []
+    for i in range(150):
+        order = [j for j in np.argsort(-np.round(unit @ unit[i], 12), kind="stable") if j != i]
+        hit = label[order] == label[i]
+        wanted.append((np.cumsum(hit) / np.arange(1, 150))[hit].mean())
+    for block, most in ((2048, 1000), (40, 16)):
+        got = {r.query_id: r.ap for r in similarity.average_precision(df, block, most).collect()}
+        assert [got[i] for i in range(150)] == pytest.approx(wanted)
+    near = {r.query_id: r.ap for r in similarity.retrieval_per_query(similarity.nearest(df, df, 30, "cosine", True), df.select("id", "label"), [1]).collect()}
+    assert max(near.values()) <= 30 / 74 < min(wanted)
+
+
 def test_result_table_merges_and_recovers(spark, tmp_path):
     rows = lambda v: spark.createDataFrame([("m", "t", "d", v)], "Model string, Task string, Date string, value double").withColumn("n", F.lit(1))
     for v in (1.0, 2.0):
