@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import lowest, reliable
@@ -44,6 +43,12 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
+def _lowest_around(edges: DataFrame) -> DataFrame:
+    """The edges with the lowest node m among src and its neighbours; the minima are joined back, so that a node of very many edges can be split."""
+    low = reliable(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
+    return edges.join(low, "src")
+
+
 def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """node, component for every node of the edges src-dst: the lowest node that it reaches.
 
@@ -55,11 +60,9 @@ def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     before = None
     while parts > 1 and (now := _state(e)) != before:
         before = now
-        around = W.partitionBy("src")
-        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.withColumn("m", F.least("src", F.min("dst").over(around)))
-        large = low.filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        low = large.withColumn("m", F.min("dst").over(around))
+        both = reliable(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        large = _lowest_around(both).filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        low = _lowest_around(reliable(large))
         ends = F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))
         small = low.select(F.explode(ends).alias("x")).select("x.*").filter("src <> dst")
         e, _ = _contracted(reliable(small), at_once)

@@ -1,26 +1,32 @@
 """Operator 10: exact n-gram Jaccard join by set-relation skipping.
 
 A document's set holds the hashes of its distinct word n-grams. Documents with equal sets form a class
-and are linked at once. The sets are indexed by prefixes: under one global order of n-grams (frequent
-ones last), two sets that reach the threshold share one of their first n - ceil(t * n) + 1. Each index
-list is ordered by set size and position, so that whole blocks of it are skipped: those whose size is out of
-reach, and in the rounds below those whose position leaves too few n-grams for the overlap needed.
+and are linked at once; a task indexes each class that it meets once. The sets are indexed by prefixes:
+under one global order of n-grams (frequent ones last), two sets that reach the threshold share one of
+their first n - ceil(t * n) + 1, and the first that they share stands so early in both that the overlap
+needed still fits behind it. Each index list is ordered by set size and position, so that blocks of it
+are skipped: those whose size is out of reach, and those whose position leaves too few n-grams.
 
 A sketch goes with each entry: SKETCH bits, each the parity of the number of the set's n-grams that fall
 on it. Two sketches differ in no more bits than the sets differ in n-grams, which bounds the overlap from
-above: pairs whose bound is too low are left out within the list, before a row is made of them.
+above: pairs whose bound is too low are left out within the list, before a row is made of them. A
+document keeps a sketch in proportion to its set as well, of which that one is folded; it judges the pairs found
+before their sets are fetched. The sets of those that remain are compared in full.
 
 Answers are derived from those of similar sets: as soon as a set is verified to be linked to another,
-it takes over that one's answer, its component. Rounds first verify the likeliest pairs that would join
-the components met in a list, one for each two components. Then only pairs across components are
-left; they are counted over all lists, those whose count can't lead to the overlap are skipped, and all
-others are verified. No pair inside a component is looked at, so a group of near copies costs a few pairs per set.
+it takes over that one's answer, its component. A round compares each entry with the WINDOW before it in
+its list and verifies the likeliest pairs that would join components. Then every pair of entries across
+components is judged, and named only by the first of the lists that both sets are known to share. No pair inside
+a component is looked at, so a group of near copies costs a few pairs per set.
+
+Lists of n-grams that occur more than LIST_MOST times are dealt out in blocks: in a round, each block stands
+for itself; then, a list's entries outside its largest component meet all others, block by block.
 
 Which n-grams count as frequent changes the order and so the cost, never the result.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than n
-are one n-gram; equal ids are one document in links, each row is returned; rows without id link with
-nothing and have no component. Other columns of the input are left out.
+are one n-gram; rows of equal ids are one document, which links where one of their texts does, and each row is
+returned; rows without id link with nothing and have no component. Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import documents, lowest, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
@@ -39,11 +46,15 @@ from rankloom.llm.components import components
 WORDS, PERCENT = 4, 85
 #: A task hands on n-grams that occur so often among so many; so often in all are ordered last, so many at most.
 LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 2, 2_000_000, 6, 400_000
-#: Classes with so many copies give only their first document to the index; so many classes at most (others give all copies).
-CLASS_LEAST, CLASS_MOST = 4, 100_000
-#: Rounds before all pairs across components are counted; of sets larger than LARGE, whose sketches tell little, they try pairs named by the lists of so large a part of a set (others wait until after the rounds).
-ROUNDS, LARGE, LIKELY = 1, 512, 0.03
-#: Words of 64 bits of a set's sketch.
+#: Classes that a task remembers to have indexed, before it forgets them all (copies met after that are indexed again).
+SEEN_MOST = 1 << 20
+#: Entries of an index list that one task takes; longer lists are dealt out in blocks.
+LIST_MOST = 20_000
+#: Entries before it in its list with which a round compares an entry; rounds before all pairs across components are judged.
+WINDOW, ROUNDS = 64, 1
+#: First n-grams of a document's entries, by which a pair is left to an earlier list.
+FIRST = tuple(f"first{i}" for i in range(4))
+#: Words of 64 bits of a set's sketch in the index.
 SKETCH = tuple(f"sketch{w}" for w in range(4))
 #: log2 of the bits of the filter of documents whose sets are fetched.
 FILTER_BITS = 23
@@ -89,21 +100,27 @@ def _sum_per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-def _sketches(grams: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The words of each set's sketch: on each bit the parity of the n-grams that fall on it."""
-    place = mix(grams + _STEP) >> np.uint64(32)
-    bit = np.uint64(1) << (place & np.uint64(63))
-    word = (place >> np.uint64(6)) % np.uint64(len(SKETCH))
-    out = []
-    for w in range(len(SKETCH)):
-        parity = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), np.where(word == w, bit, np.uint64(0))]))
-        out.append((parity[at[1:]] ^ parity[at[:-1]]).view(np.int64))
-    return out
+def _sketches(grams: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
+    """The words of each set's sketch (on each bit the parity of the n-grams that fall on it), and a sketch of at least as many bits as the set has n-grams, of which the first is folded."""
+    place = (mix(grams + _STEP) >> np.uint64(32)).astype(np.int64)
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    coarse = 64 * len(SKETCH)
+    words_ = np.packbits((np.bincount(row * coarse + (place & (coarse - 1)), minlength=len(n) * coarse) & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(n), len(SKETCH))
+    bits = np.maximum(coarse, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    fine = np.packbits((np.bincount(begin[row] + (place & (bits[row] - 1)), minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return list(np.ascontiguousarray(words_.T)), [fine[a:b] for a, b in zip(begin[:-1] // 8, begin[1:] // 8, strict=True)]
+
+
+def _hashes(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    return _sum_per_row(grams, at).view(np.int64), _sum_per_row(mix(grams ^ _STEP), at).view(np.int64)
 
 
 def _profiled(docs: DataFrame, k: int) -> DataFrame:
-    """For each document: id, set size, two hashes of the set and its sketch; for n-grams frequent in a task (kind 1): n-gram and count."""
-    names = ["kind", "id", "n", "h1", "h2", *SKETCH]
+    """For each document: id, set size, two hashes of the set and its sketches; for n-grams frequent in a task (kind 1): n-gram and count."""
+    names = ["kind", "id", "n", "h1", "h2", *SKETCH, "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -113,59 +130,66 @@ def _profiled(docs: DataFrame, k: int) -> DataFrame:
             often = n >= LOCAL_LEAST
             g, n = g[often].view(np.int64), n[often]
             zero = np.zeros(len(g), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(g), pa.array(n.astype(np.int64)), *[pa.array(zero)] * (2 + len(SKETCH))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(g), pa.array(n.astype(np.int64)), *[pa.array(zero)] * (2 + len(SKETCH)), pa.nulls(len(g), pa.binary())], names)
 
         for batch in batches:
             for part in slices(batch, "text"):
                 grams, at = shingle_sets(part.column("text"), k)
                 held.append(grams)
                 size += len(grams)
-                h1, h2 = _sum_per_row(grams, at), _sum_per_row(mix(grams ^ _STEP), at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *map(pa.array, _sketches(grams, at))], names)
+                coarse, fine = _sketches(grams, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, _hashes(grams, at)), *map(pa.array, coarse), pa.array(fine, pa.binary())], names)
                 if size >= LOCAL_GRAMS:
                     yield frequent()
                     held, size = [], 0
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, " + ", ".join(f"{c} bigint" for c in names[1:]))
+    return docs.mapInArrow(run, "kind int, " + ", ".join(f"{c} bigint" for c in names[1:-1]) + ", fine binary")
 
 
-def _indexed(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """gram, doc_id, n, pos: the prefix of each document's set under the order (frequency, hash). hot: frequent n-grams, the rarest first; classes: hashes and first document of large classes."""
+def _indexed(docs: DataFrame, k: int, percent: int, hot: np.ndarray, blocks: np.ndarray) -> DataFrame:
+    """gram, block, blocks, doc_id, h1, n, pos: the prefix of each set under the order (frequency, hash), sets that a task has met before left out. hot: frequent n-grams, the rarest first; blocks: how many their lists have."""
     order = np.argsort(hot, kind="stable")
-    held = docs.sparkSession.sparkContext.broadcast((hot[order], order.astype(np.int64) + 1, classes))
+    held = docs.sparkSession.sparkContext.broadcast((hot[order], order.astype(np.int64) + 1, blocks[order]))
+    names = ["gram", "block", "blocks", "doc_id", "h1", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank, (c1, c2, rep) = held.value
+        known, rank, many = held.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 grams, at = shingle_sets(part.column("text"), k)
                 doc = part.column("doc_id").to_numpy()
                 n = np.diff(at)
-                keep = n > 0
-                if len(c1):
-                    h1, h2 = _sum_per_row(grams, at).view(np.int64), _sum_per_row(mix(grams ^ _STEP), at).view(np.int64)
-                    p = np.minimum(np.searchsorted(c1, h1), len(c1) - 1)
-                    keep &= ~((c1[p] == h1) & (c2[p] == h2) & (rep[p] != doc))
+                h1, h2 = _hashes(grams, at)
+                keep = np.zeros(len(n), bool)
+                for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+                    if key not in seen:
+                        keep[i] = True
+                        seen.add(key)
+                if len(seen) > SEEN_MOST:
+                    seen.clear()
                 row = np.repeat(np.arange(len(n)), n)
-                last = np.zeros(len(grams), np.int64)
+                last, split = np.zeros(len(grams), np.int64), np.ones(len(grams), np.int32)
                 if len(known):
                     p = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    last = np.where(known[p] == grams, rank[p], 0)
+                    same = known[p] == grams
+                    last, split = np.where(same, rank[p], 0), np.where(same, many[p], 1).astype(np.int32)
                     moved = np.lexsort((last, row))
-                    grams = grams[moved]
+                    grams, split = grams[moved], split[moved]
                 pos = np.arange(len(grams)) - at[:-1][row]
                 prefix = n - -(-percent * n // 100) + 1
                 use = keep[row] & (pos < prefix[row])
-                row, pos = row[use], pos[use]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[use].view(np.int64)), pa.array(doc[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "doc_id", "n", "pos"])
+                row, pos, split = row[use], pos[use], split[use]
+                block = (mix(h1.view(np.uint64))[row] % split.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[use].view(np.int64)), pa.array(block), pa.array(split), pa.array(doc[row]), pa.array(h1[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names)
 
-    return docs.mapInArrow(run, "gram bigint, doc_id bigint, n int, pos int")
+    return docs.mapInArrow(run, "gram bigint, block int, blocks int, doc_id bigint, h1 bigint, n int, pos int")
 
 
-def _frequent(counts: DataFrame) -> np.ndarray:
-    """The n-grams of the highest counts, the rarest first: all of a count or none, as far as they are HOT_MOST at most."""
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the highest counts and these, the rarest first: all of a count or none, as far as they are HOT_MOST at most."""
     counts = reliable(counts)
     total, least = 0, None
     for n, k in sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True):
@@ -174,21 +198,25 @@ def _frequent(counts: DataFrame) -> np.ndarray:
             break
         least = n
     if least is None:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "id"])
-    return found["id"].to_numpy(np.int64).view(np.uint64)
+    return found["id"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The index lists with two entries at least."""
+    """The entries of index lists that hold two sets at least; of equal sets one in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["gram"]):
-            g = table.column("gram").to_numpy()
-            same = g[1:] == g[:-1]
-            yield from table.filter(pa.array(np.concatenate([same, [False]]) | np.concatenate([[False], same]))).to_batches()
+        for table in runs(batches, ["gram", "block"]):
+            g, block, h = (table.column(c).to_numpy() for c in ("gram", "block", "h1"))
+            same = (g[1:] == g[:-1]) & (block[1:] == block[:-1])
+            fresh = np.concatenate([[True], ~same | (h[1:] != h[:-1])])
+            other = np.concatenate([[False], same & fresh[1:]])
+            list_no = np.cumsum(np.concatenate([[0], ~same]))
+            shared = np.bincount(list_no[other], minlength=list_no[-1] + 1)[list_no] > 0
+            yield from table.filter(pa.array(fresh & (shared | (table.column("blocks").to_numpy() > 1)))).to_batches()
 
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, rows.schema)
+    return rows.repartition("gram", "block").sortWithinPartitions("gram", "block", "h1", "n", "doc_id").mapInArrow(run, rows.schema)
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -209,41 +237,49 @@ def _may_reach(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return a + b - apart >= 2 * _needed(a, b, percent)
 
 
-def _list_pairs(gram: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs x, y of entries of one list, x before y, in different components whose sizes may be linked; about PAIRS_AT_ONCE at a time."""
-    if not len(gram):
-        return
-    cuts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
-    mixed = np.logical_or.reduceat(np.concatenate([[False], (comp[1:] != comp[:-1]) & (gram[1:] == gram[:-1])]), cuts[:-1])
-    # A list is ordered by size: the entries in reach of one are a block that ends just before it.
-    low = _first_in_reach(gram, n, percent)
-    many = np.where(np.repeat(mixed, np.diff(cuts)), np.arange(len(gram)) - low, 0)
+def _partner_most(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size of a set whose overlap with a set of n n-grams can be as large as needed, if their first common one stands at pos."""
+    return (n - pos) * (100 + percent) // percent - n
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number for each run of equal keys."""
+    return np.cumsum(np.concatenate([[0], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])) if len(keys[0]) else np.zeros(0, np.int64)
+
+
+def _pairs(list_no: np.ndarray, n: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs x, y of a list's entries, y in of, x from start to end (given for each of), that size and position let link; about PAIRS_AT_ONCE at a time."""
+    # A list is ordered by size: the entries in reach of one are a block, which its position cuts off above.
+    spread = int(n.max()) * 2 + 2 if len(n) else 1
+    at = list_no * spread + n
+    low = np.maximum(start, np.searchsorted(at, list_no[of] * spread + -(-percent * n[of] // 100)))
+    most = np.minimum(np.minimum(100 * n[of] // percent, _partner_most(n[of], pos[of], percent)), spread - 1)
+    high = np.minimum(end, np.searchsorted(at, list_no[of] * spread + np.maximum(most, 0), "right"))
+    many = np.maximum(high - low, 0)
     ends = np.cumsum(many)
     s = 0
     while s < len(many):
         e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PAIRS_AT_ONCE, "right")))
-        y = np.repeat(np.arange(s, e), many[s:e])
-        x = low[y] + np.arange(len(y)) - np.repeat(np.cumsum(many[s:e]) - many[s:e], many[s:e])
-        far = comp[x] != comp[y]
-        yield x[far], y[far]
+        y = np.repeat(of[s:e], many[s:e])
+        x = np.repeat(low[s:e] - (ends[s:e] - many[s:e] - (ends[s - 1] if s else 0)), many[s:e]) + np.arange(len(y))
+        need = _needed(n[x], n[y], percent)
+        use = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+        yield x[use], y[use]
         s = e
 
 
 def _candidates(index: DataFrame, percent: int) -> DataFrame:
-    """a, b, comp_a, comp_b, n: from each list, pairs that would join all components in it that may be linked, judged by size, position and sketch: each component's likeliest pair, as long as there are any."""
+    """a, b, comp_a, comp_b: from each list, pairs of near entries that would join components in it, judged by size, position and sketch: each component's likeliest pair, as long as there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["gram"]):
-            gram, doc, n, pos, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "n", "pos", "comp"))
-            sketch = _sketched(table)
-            comp_no, list_no = np.unique(comp, return_inverse=True)[1], np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
-            node = np.unique(list_no * len(comp) + comp_no, return_inverse=True)[1]
-            label, found = np.arange(len(node)), []
-            for x, y in _list_pairs(gram, n, comp, percent):
+        for table in runs(batches, ["gram", "block"]):
+            gram, block, doc, n, pos, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "block", "doc_id", "n", "pos", "comp"))
+            sketch, list_no = _sketched(table), _numbered(gram, block)
+            node = np.unique(list_no * len(comp) + np.unique(comp, return_inverse=True)[1], return_inverse=True)[1]
+            label, found, every = np.arange(len(node)), [], np.arange(len(node))
+            for x, y in _pairs(list_no, n, pos, every - WINDOW, every, every, percent):
                 use = label[node[x]] != label[node[y]]
                 x, y = x[use], y[use]
-                use = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _needed(n[x], n[y], percent)
-                x, y = x[use], y[use]
                 apart = _apart(sketch, x, y)
                 use = _may_reach(apart, n[x], n[y], percent)
                 x, y, apart = x[use], y[use], apart[use]
@@ -263,47 +299,76 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
             x, y = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
             flip = doc[x] > doc[y]
             a, b = np.where(flip, x, y), np.where(flip, y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[a], doc[b], comp[a], comp[b], n[a])], ["a", "b", "comp_a", "comp_b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[a], doc[b], comp[a], comp[b])], ["a", "b", "comp_a", "comp_b"])
 
-    return _by_list(index).mapInArrow(run, "a bigint, b bigint, comp_a bigint, comp_b bigint, n bigint")
+    return _by_list(index, "block").mapInArrow(run, "a bigint, b bigint, comp_a bigint, comp_b bigint")
 
 
 def _best(found: DataFrame) -> DataFrame:
     """a, b: for each two components, the pair that most lists name."""
-    per = found.groupBy("comp_a", "comp_b", "a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    per = per.filter((F.col("n") <= LARGE) | (F.col("c") >= LIKELY * F.col("n")))
+    per = found.groupBy("comp_a", "comp_b", "a", "b").agg(F.count("*").alias("c"))
     return per.groupBy("comp_a", "comp_b").agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
-def _first_in_reach(gram: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """For each entry, where the block of its list's entries begins whose size is large enough; lists are ordered by size."""
-    if not len(gram):
-        return np.zeros(0, np.int64)
-    change = np.concatenate([[True], gram[1:] != gram[:-1]])
-    run_no = np.cumsum(change) - 1
-    spread = int(n.max()) + 1
-    return np.maximum(np.flatnonzero(change)[run_no], np.searchsorted(run_no * spread + n, run_no * spread + -(-percent * n // 100)))
+def _dealt(index: DataFrame, most: int) -> DataFrame:
+    """The index with the columns place and side: entries are to meet at a place of their list, those of side 0 all others there, those of sides 1 and 2 each other.
 
+    Short lists are one place. Of a long list, blocks of its largest component meet blocks of the rest, and
+    these one another; with one component alone it is left out.
+    """
+    short = index.filter("blocks = 1").withColumns({"place": F.lit(0).cast("bigint"), "side": F.lit(0)})
+    long = index.filter("blocks > 1")
+    per = long.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    per = per.filter(F.col("all") > F.col("top.c")).select("gram", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / most).alias("mains"), F.ceil((F.col("all") - F.col("top.c")) / most).alias("rests"))
+    at = lambda n: F.pmod(F.xxhash64("doc_id", "h1"), F.col(n))
+    place = lambda kind, i, j: ((F.lit(kind).cast("bigint") * (1 << 30) + i) * (1 << 30) + j)
+    spot = lambda p, side: F.struct(p.alias("place"), side.cast("int").alias("side"))
+    other = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    main = F.transform(other("rests"), lambda j: spot(place(1, at("mains"), j), F.lit(1)))
+    rest = F.transform(other("mains"), lambda i: spot(place(1, i, at("rests")), F.lit(2)))
+    both = F.transform(other("rests"), lambda j: spot(place(2, F.least(at("rests"), j), F.greatest(at("rests"), j)), F.when(j == at("rests"), 0).when(j > at("rests"), 1).otherwise(2)))
+    spots = F.when(F.col("comp") == F.col("main"), main).otherwise(F.concat(rest, both))
+    met = long.join(per, "gram").select(*index.columns, F.explode(spots).alias("spot")).select(*index.columns, "spot.*")
+    return short.unionByName(met)
 
-def _across(index: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: all pairs of a list's entries in different components that may be linked, judged by their sizes and sketches."""
+
+def _across(index: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b: all pairs of a list's entries in different components that may be linked, judged by size, position and sketch, unless one of the FIRST n-grams of both stands before this list's and so names them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["gram"]):
-            gram, doc, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "n", "comp"))
-            sketch = _sketched(table)
-            for x, y in _list_pairs(gram, n, comp, percent):
+        for table in runs(batches, ["gram", "place"]):
+            gram, place, doc, n, pos, comp, side = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "place", "doc_id", "n", "pos", "comp", "side"))
+            sketch, list_no = _sketched(table), _numbered(gram, place)
+            first = np.stack([table.column(c).to_numpy() for c in FIRST], 1)
+            # A first n-gram counts where it stands before this list's: as long as the entry's own is not met among them.
+            counts = np.logical_and.accumulate(first != gram[:, None], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(list_no)) + 1, [len(gram)]])
+            comp_no = np.unique(comp, return_inverse=True)[1]
+            kind, inverse, often = np.unique(list_no * len(comp) + comp_no, return_inverse=True, return_counts=True)
+            by = np.lexsort((kind, -often, kind // len(comp)))
+            top = np.zeros(len(kind), bool)
+            top[by[np.flatnonzero(np.diff(kind[by] // len(comp), prepend=-1))]] = True
+            rest = ~top[inverse]
+            of = np.flatnonzero(rest)
+            for x, y in _pairs(list_no, n, pos, cuts[:-1][list_no[of]], cuts[1:][list_no[of]], of, percent):
+                use = (comp[x] != comp[y]) & (~rest[x] | (x < y)) & ((side[x] == 0) | (side[y] == 0) | (side[x] != side[y]))
+                x, y = x[use], y[use]
                 near = _may_reach(_apart(sketch, x, y), n[x], n[y], percent)
                 x, y = x[near], y[near]
-                flip = doc[x] > doc[y]
-                a, b = np.where(flip, x, y), np.where(flip, y, x)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
+                named = np.zeros(len(x), bool)
+                for i in range(len(FIRST)):
+                    for j in range(len(FIRST)):
+                        named |= counts[x, i] & counts[y, j] & (first[x, i] == first[y, j])
+                x, y = x[~named], y[~named]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y]))], ["a", "b"])
 
-    return _by_list(index).mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+    around = W.partitionBy("doc_id", "h1", "n").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    named = index.withColumns({c: F.coalesce(F.nth_value("gram", i + 1).over(around), F.col("gram")) for i, c in enumerate(FIRST)})
+    return _by_list(_dealt(named, most), "place").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _by_list(index: DataFrame) -> DataFrame:
-    return index.repartition("gram").sortWithinPartitions("gram", "n", "pos", "doc_id")
+def _by_list(index: DataFrame, part: str) -> DataFrame:
+    return index.repartition("gram", part).sortWithinPartitions("gram", part, "n", "pos", "doc_id")
 
 
 def _bitmap(ids: DataFrame, column: str) -> bytes:
@@ -330,12 +395,36 @@ def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 grams, at = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([grams[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "grams"])
 
-    return marked.mapInArrow(run, "doc_id bigint, grams binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return marked.mapInArrow(run, "doc_id bigint, grams binary").join(wanted, "doc_id", "left_semi").dropDuplicates()
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch with fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), 0)
+
+
+def _likely(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that may be linked, judged by sketches in proportion to the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for x, y in zip(batch.column("fine_a"), batch.column("fine_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                size = min(len(x), len(y))
+                apart.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum(dtype=np.int64)))
+            near = _may_reach(np.array(apart, np.int64), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = told.filter("kind = 0 and n > 0 and id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id", "h1", "n"])
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """src, dst: the pairs a, b whose sets reach the threshold. Only the sets of these pairs' documents are fetched."""
-    pairs = reliable(pairs.select("a", "b"))
+def _verified(pairs: DataFrame, told: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """src, dst: the pairs a, b whose sets reach the threshold. Only the sets of pairs that may be linked are fetched."""
+    pairs = reliable(_likely(reliable(pairs), told, percent))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = reliable(_fetched(docs, wanted, k))
 
@@ -350,42 +439,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
+    sets = sets.filter(F.length("grams") > 0)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", "ga", "gb").mapInArrow(run, "src bigint, dst bigint")
+    return both.select("a", "b", "ga", "gb").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
 def _labelled(index: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
     """The index with each entry's component and sketch."""
     docs = sketches.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return index.join(docs.withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), ["doc_id", "n"])
+    return index.join(docs.withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), ["doc_id", "h1", "n"])
 
 
-def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS, list_most: int = LIST_MOST) -> DataFrame:
     """doc_id, n_shingles, component_id of all rows with doc_id and text."""
     docs = text_of(docs)
     told = reliable(_profiled(docs, k))
     profile = told.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2")
-    hot = _frequent(told.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST))
+    hot, often = _frequent(told.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST))
     keys = ["n", "h1", "h2"]
-    classes = profile.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    large = classes.filter(F.col("copies") >= CLASS_LEAST).orderBy(F.desc("copies"), "rep").limit(CLASS_MOST).select("h1", "h2", "rep").toPandas().sort_values("h1")
+    # Written first, so that the join's skewed side (a class of many copies) can be split.
+    classes = reliable(profile.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
     known = docs.filter("doc_id is not null")
-    index = reliable(_shared(_indexed(known, k, percent, hot, tuple(large[c].to_numpy(np.int64) for c in ("h1", "h2", "rep")))))
-    same = profile.join(classes.filter("copies > 1"), keys).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    index = reliable(_shared(_indexed(known, k, percent, hot, -(-often // list_most))))
+    same = profile.join(classes, keys).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     edges = reliable(same.filter("src <> dst"))
-    # A copy's edge leads to its class's first document: these edges are components as they are.
-    found = same.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    sketches = told.filter("kind = 0 and n > 0 and id is not null").groupBy(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("n")).agg(F.max(F.struct(*SKETCH)).alias("s")).select("doc_id", "n", "s.*")
+    found = components(edges)
+    sketches = told.filter("kind = 0 and n > 0 and id is not null").groupBy(F.col("id").alias("doc_id"), "h1", F.col("n").cast("int").alias("n")).agg(F.max(F.struct(*SKETCH)).alias("s")).select("doc_id", "h1", "n", "s.*")
     for _ in range(rounds):
         best = _best(_candidates(_labelled(index, sketches, found), percent))
-        edges = reliable(edges.unionByName(_verified(best, known, k, percent)))
+        edges = reliable(edges.unionByName(_verified(best, told, known, k, percent)))
         found = components(edges)
-    pairs = _across(_labelled(index, sketches, found), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    top = F.greatest("na", "nb")
-    # All shared n-grams are in both prefixes, or behind the end of the prefix that ends first.
-    reach = F.col("c") + F.ceil(top * percent / 100) - 1
-    pairs = pairs.filter(reach >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))).select("a", "b")
-    found = components(reliable(edges.unionByName(_verified(pairs, known, k, percent))))
+    pairs = _across(_labelled(index, sketches, found), percent, list_most)
+    found = components(reliable(edges.unionByName(_verified(pairs, told, known, k, percent))))
     out = profile.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
