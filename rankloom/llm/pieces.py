@@ -9,8 +9,9 @@ many nodes can still be extended; whenever the backpointers of all of them lead
 ids up to it are committed and what lies before is forgotten. The window is so bounded by the text's
 longest ambiguity, not by its length.
 
-Between two characters that no piece joins, every path has a boundary. So texts are cut there, and equal
-parts are encoded once. Characters without a piece become byte pieces. The vocabulary marks blanks with
+Between two characters that no piece joins, every path has a boundary, and everything before it is
+committed. So texts are cut there, and equal parts between two such commitments are encoded once, all by the
+same routine, whatever their length. Characters without a piece become byte pieces. The vocabulary marks blanks with
 U+2581 and is decoded back to blanks, so only texts that hold U+2581 itself don't return exactly.
 
 Defined results: null or empty text has no ids and decodes to an empty text; repeated rows are each encoded.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import documents, slices, text_of
 
 BLANK = "▁"
-#: Parts and pairs of pieces that a worker remembers; characters of a part that is remembered.
+#: Parts and pairs of pieces that a worker remembers; characters of a part that is remembered beyond its batch.
 CACHE_PARTS, CACHE_PAIRS, LONGEST_CACHED = 600_000, 400_000, 48
 
 
@@ -128,94 +129,82 @@ class Vocabulary:
         return [self.byte_ids[b] for b in piece.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
 
-def viterbi(text: str, v: Vocabulary, on_commit=None) -> list[int]:
-    """The ids of a text. on_commit, if given, gets the boundary and the number of nodes kept at each commitment."""
-    out: list[int] = []
-    base = 0  # nodes before this boundary are forgotten
+def streamed(texts: list[str], v: Vocabulary, on_commit=None) -> Iterator[list[int]]:
+    """The ids of each text. Of one that begins like the text before it, the survivors at the boundaries of that beginning are taken over, so texts are best in order.
+
+    Only the nodes from the last commitment on are kept. on_commit, if given, gets the boundary and the number of nodes kept at each commitment within a text.
+    """
+    vocabulary, longest, merges, pairs, compatible = v.id, v.longest, v.merges, v._pairs, v.compatible
+    scores, floor, ids_of = v.scores, v.floor, v.ids_of
+    before = ""
+    base = sure = 0  # nodes before base are forgotten; what made that safe reaches up to sure
+    out: list[int] = []  # the ids up to base
     back: list[int] = [0]  # of each node from base on: the boundary its survivor comes from
     last: list[str] = [""]  # and its survivor's piece
     cost: list[float] = [0.0]
-    vocabulary, longest, merges = v.id, v.longest, v.merges
-    floor = v.floor
-    check = 4 * longest
-
-    def path(end: int) -> list[str]:
-        found = []
-        while end > base:
-            found.append(last[end - base])
-            end = back[end - base]
-        return found[::-1]
-
-    for end in range(1, len(text) + 1):
-        start, piece, best = -1, "", None
-        for b in range(max(base, end - longest), end):
-            p = text[b:end]
-            if p not in vocabulary and b != end - 1 or back[b - base] < 0:
-                continue
+    for text in texts:
+        k, most = 0, min(len(text), len(before))
+        while k < most and text[k] == before[k]:
+            k += 1
+        if k < sure:
+            base = sure = k = 0
+            out, back, last, cost = [], [0], [""], [0.0]
+        del back[k + 1 - base :], last[k + 1 - base :], cost[k + 1 - base :]
+        check = max(k, base + 2 * longest)
+        for end in range(k + 1, len(text) + 1):
+            low = end - longest
             if merges:
-                if v.compatible(last[b - base], p):
-                    start, piece = b, p
-                    break
+                for b in range(low if low > base else base, end):
+                    p = text[b:end]
+                    if p in vocabulary or b == end - 1:
+                        one = last[b - base]
+                        fits = pairs.get((one, p))
+                        if compatible(one, p) if fits is None else fits:
+                            break
             else:
-                s = cost[b - base] + (v.scores[vocabulary[p]] if p in vocabulary else floor)
-                if best is None or s > best:
-                    start, piece, best = b, p, s
-        back.append(start)
-        last.append(piece)
-        cost.append(best or 0.0)
-        if end - base >= check:
-            # All boundaries on the path of one extensible node that the others' paths share; the last of them.
-            live = [e for e in range(max(base + 1, end - longest + 1), end + 1) if back[e - base] >= 0]
-            common = None
-            for e in live:
-                on = set()
-                while e > base:
-                    on.add(e)
-                    e = back[e - base]
-                common = on if common is None else common & on
-            if common:
-                at = max(common)
-                for p in path(at):
-                    out += v.ids_of(p)
-                k = at - base
-                back, last, cost = back[k:], last[k:], cost[k:]
-                back[0] = at
-                base = at
-                check = 4 * longest
-                if on_commit:
-                    on_commit(at, len(back))
-            else:
-                check += longest
-    for p in path(len(text)):
-        out += v.ids_of(p)
-    return out
-
-
-def shared_lattice(parts: list[str], v: Vocabulary) -> Iterator[list[int]]:
-    """The ids of short parts in alphabetical order: the survivors at the boundaries of a common beginning are found once. For models of merges."""
-    vocabulary, longest, pairs, compatible = v.id, v.longest, v._pairs, v.compatible
-    back, last, before = [0], [""], ""
-    for part in parts:
-        k, most = 0, min(len(part), len(before))
-        while k < most and part[k] == before[k]:
-            k += 1
-        del back[k + 1 :], last[k + 1 :]
-        for end in range(k + 1, len(part) + 1):
-            for b in range(max(0, end - longest), end):
-                p = part[b:end]
-                if p in vocabulary or b == end - 1:
-                    fits = pairs.get((last[b], p))
-                    if compatible(last[b], p) if fits is None else fits:
-                        break
+                best = None
+                for x in range(low if low > base else base, end):
+                    q = text[x:end]
+                    if q in vocabulary or x == end - 1:
+                        total = cost[x - base] + (scores[vocabulary[q]] if q in vocabulary else floor)
+                        if best is None or total > best:
+                            b, p, best = x, q, total
+                cost.append(best)
             back.append(b)
             last.append(p)
-        found, end = [], len(part)
-        while end:
-            i = vocabulary.get(last[end])
-            found += v.ids_of(last[end])[::-1] if i is None else (i,)
-            end = back[end]
-        yield found[::-1]
-        before = part
+            if end >= check:
+                # No edge is longer than the longest piece, so only so many nodes can be extended. The last boundary that all their paths share:
+                common = None
+                for e in range(max(base + 1, low + 1), end + 1):
+                    on = set()
+                    while e > base:
+                        on.add(e)
+                        e = back[e - base]
+                    common = on if common is None else common & on
+                check = end + longest
+                if common:
+                    at, found, e = max(common), [], max(common)
+                    while e > base:
+                        found.append(last[e - base])
+                        e = back[e - base]
+                    for p in reversed(found):
+                        out += ids_of(p)
+                    back, last, cost = back[at - base :], last[at - base :], cost[at - base :]
+                    base, sure = at, end
+                    if on_commit:
+                        on_commit(at, len(back))
+        found, e = [], len(text)
+        while e > base:
+            i = vocabulary.get(last[e - base])
+            found += ids_of(last[e - base])[::-1] if i is None else (i,)
+            e = back[e - base]
+        yield out + found[::-1]
+        before = text
+
+
+def viterbi(text: str, v: Vocabulary, on_commit=None) -> list[int]:
+    """The ids of one text."""
+    return next(streamed([text], v, on_commit))
 
 
 def parts_of(text: str) -> list[str]:
@@ -236,15 +225,15 @@ def parts_of(text: str) -> list[str]:
 class Encoder:
     """Encodes texts with one vocabulary; remembers the ids of parts (without their first blank)."""
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+    def __init__(self, v: Vocabulary, on_commit=None):
+        self.v, self.known, self.on_commit = v, {}, on_commit
         # Where a piece joins a sign and a following blank, parts aren't independent.
         self.apart = v.merges and not any(p[1] == BLANK and p[0] != BLANK for p in v.joined)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit bytes."""
         if not self.apart:
-            return [array("i", viterbi(BLANK + t.replace(" ", BLANK), self.v) if t else []).tobytes() for t in texts]
+            return [array("i", viterbi(BLANK + t.replace(" ", BLANK), self.v, self.on_commit) if t else []).tobytes() for t in texts]
         known, v = self.known, self.v
         parts = [parts_of(t) if t else [] for t in texts]
         every = set().union(*parts)
@@ -254,17 +243,15 @@ class Encoder:
         # Where no piece joins the last two signs, a path has a boundary: a word and its closing sign.
         cut = {p: p[:-1] for p in new if len(p) > 1 and p[-2:] not in v.joined}
         words = {cut.get(p, p) for p in new}.difference(known)
-        short = sorted(w for w in words if len(w) <= LONGEST_CACHED)
-        for w, ids in zip(short, shared_lattice([BLANK + w for w in short], v), strict=True):
+        ordered = sorted(words)
+        for w, ids in zip(ordered, streamed([BLANK + w for w in ordered], v, self.on_commit), strict=True):
             known[w] = array("i", ids).tobytes()
-        long = [w for w in words if len(w) > LONGEST_CACHED]
-        for w in long:
-            known[w] = array("i", viterbi(BLANK + w, v)).tobytes()
         for p, w in cut.items():
             known[p] = known[w] + array("i", v.ids_of(p[-1])).tobytes()
         out = [b"".join([known[p] for p in ps]) for ps in parts]
-        for w in [*long, *(p for p in cut if len(p) > LONGEST_CACHED)]:
-            known.pop(w, None)
+        for w in {*words, *cut}:
+            if len(w) > LONGEST_CACHED:
+                known.pop(w, None)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
