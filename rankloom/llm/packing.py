@@ -3,10 +3,12 @@
 Documents become token ids (each closed by one end id), longer ones are cut into pieces of the
 capacity. Whole pieces fill a sequence alone. The others are dealt by a hash of their number into
 groups of bounded size; each group is packed by several islands. An island's individual is a set of
-bins. Crossover injects whole well-filled bins of one parent into the other, drops the bins that now
+bins; the first one is best fit, largest first, and where that reaches the bound that the tokens' sum sets, nothing is
+left to gain and evolution ends. Crossover injects whole well-filled bins of one parent into the other, drops the bins that now
 repeat a document, and best-fits the displaced documents, largest first. Between epochs each island's
-elite moves to the next island of its group. Bins that stay poorly filled are opened again, pooled
-over groups and packed once more, so that groups cost no more than a few open bins in all.
+elite moves to the next island of its group. Bins that are full stay; all others are opened again, pooled
+over groups, dealt into fewer groups and packed once more, turn by turn, until one group holds what is left (or hardly a bin
+more is filled): so groups cost no open bins of their own.
 
 Defined results: null or empty text is one piece of one end id; repeated rows are packed each on its
 own; an empty table gives no rows; other columns of the input are left out.
@@ -33,10 +35,12 @@ from rankloom.llm.common import documents, reliable, slices
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of a group, about; the group's memory and time are bounded by it.
-GROUP_PIECES = 1500
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
-#: Bins at least so full are kept after the first round; the rest is pooled.
+GROUP_PIECES = 20_000
+ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 3, 6, 24
+#: Bins at least so full are handed on whole by crossover.
 WELL_FILLED = 0.995
+#: A turn after which more than this part of its pieces is left is the last one.
+TURN_LEFT, TURNS = 0.9, 32
 #: Distinct chunks whose ids a worker remembers, and their length at most.
 CACHE_CHUNKS, LONGEST_CACHED = 700_000, 64
 
@@ -187,13 +191,13 @@ def evolve(sizes: list[int], seed: int, capacity: int, elites: list[list[int]] =
     for e in elites:
         bins = _bins(e)
         people.append((bins, [capacity - sum(sizes[i] for i in x) for x in bins]))
-    while len(people) < population:
+    least = -(-sum(sizes) // capacity)
+    while len(people) < population and not (people and len(people[-1][0]) <= least):
         jitter = 0.0 if not people else 0.08
         order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * (1 + jitter * (rng.random() - 0.5)), i))
         bins, room = [], []
         _best_fit(order, sizes, bins, room, capacity)
         people.append((bins, room))
-    least = -(-sum(sizes) // capacity)
     for _ in range(children):
         people.sort(key=lambda x: _fitness(x[1], capacity), reverse=True)
         if len(people[0][0]) <= least:
@@ -235,19 +239,23 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
     cut = reliable(pieces(docs, capacity, vocabulary, with_ids).withColumn("key", F.monotonically_increasing_id()))
     items = cut.filter(F.col("length") < capacity).select("key", "length")
     n = items.count()
-    placed = []
-    first = reliable(_islands(items, max(1, math.ceil(n / group_pieces)), capacity, islands, epochs))
-    fill = first.groupBy("grp", "bin").agg(F.sum("length").alias("fill"))
-    judged = first.join(fill, ["grp", "bin"])
-    placed.append(judged.filter(F.col("fill") >= WELL_FILLED * capacity).select("key", F.lit(0).alias("turn"), "grp", "bin"))
-    rest = judged.filter(F.col("fill") < WELL_FILLED * capacity).select("key", "length")
-    left = rest.count()
-    again = _islands(rest, max(1, math.ceil(left / group_pieces)), capacity, islands, epochs)
-    placed.append(again.select("key", F.lit(1).alias("turn"), "grp", "bin"))
-    where = placed[0].unionByName(placed[1]).withColumn("sequence_id", (F.col("grp") * 2 + F.col("turn")) * (1 << 24) + F.col("bin"))
+    placed, turn = None, 0
+    while True:
+        groups = max(1, math.ceil(n / group_pieces))
+        packed = reliable(_islands(items, groups, capacity, islands, epochs))
+        judged = packed.join(packed.groupBy("grp", "bin").agg(F.sum("length").alias("fill")), ["grp", "bin"])
+        rest = reliable(judged.filter(F.col("fill") < capacity).select("key", "length"))
+        left = rest.count()
+        last = groups == 1 or left > TURN_LEFT * n or turn + 1 == TURNS
+        stay = judged if last else judged.filter(F.col("fill") == capacity)
+        stay = stay.select("key", "length", ((F.col("grp") * TURNS + turn) * (1 << 24) + F.col("bin")).alias("sequence_id"))
+        placed = stay if placed is None else placed.unionByName(stay)
+        if last or not left:
+            break
+        items, n, turn = rest, left, turn + 1
     # A sequence has at most capacity pieces, so its window is bounded.
     before = F.sum("length").over(W.partitionBy("sequence_id").orderBy("key"))
-    offsets = where.join(items, "key").select("key", "sequence_id", (before - F.col("length")).alias("offset"))
+    offsets = placed.select("key", "sequence_id", (before - F.col("length")).alias("offset"))
     return cut.join(offsets, "key", "left").select(*[c for c in cut.columns if c != "key"], F.coalesce("sequence_id", -1 - F.col("key")).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("bigint").alias("offset"))
 
 
