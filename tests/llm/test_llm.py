@@ -43,13 +43,27 @@ def test_pieces_equal_the_library(spark, edges):
     assert pieces.encode(edges.limit(0)).count() == 0
 
 
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def test_viterbi_commits_in_a_bounded_window():
     v = pieces.encoder(None).v
     seen = []
     text = pieces.BLANK + "".join(random.Random(5).choice("etaoinshrdlu") for _ in range(5000))
-    whole = next(pieces.shared_lattice([text], v))
-    assert pieces.viterbi(text, v, lambda at, kept: seen.append(kept)) == whole
+    m = library()
+    assert pieces.viterbi(text, v, lambda at, kept: seen.append(kept)) == m.encode(text[1:])
     assert len(seen) > 50 and max(seen) < 8 * v.longest
+    # The query's own path: all parts, whatever their length, go through the same routine.
+    seen.clear()
+    e = pieces.Encoder(v, lambda at, kept: seen.append(kept))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["https", "defgh", "ing", "internationalization", "0123", "--", " ", "é", "日本"]) for _ in range(rng.randint(0, 120))) for _ in range(200)] + ["ab" * 2000, "-" * 3000]
+    assert [np.frombuffer(x, "<i4").tolist() for x in e.encode(texts)] == m.encode(texts)
+    assert len(seen) > 500 and max(seen) < 8 * v.longest
 
 
 def test_unigram_viterbi_finds_the_best_sum():
@@ -65,6 +79,9 @@ def test_unigram_viterbi_finds_the_best_sum():
     for _ in range(100):
         t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))
         assert sum(scores[i] for i in pieces.viterbi(t, v)) == pytest.approx(best(t)[0])
+    # Many texts in order take over each other's survivors, also where the earlier one has committed beyond the place.
+    many = sorted("".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) for _ in range(200))
+    assert list(pieces.streamed(many, v)) == [pieces.viterbi(t, v) for t in many]
 
 
 def test_personal_data_patterns(spark):
@@ -216,26 +233,39 @@ def test_language(spark, edges):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
-def test_counts_follow_edits(spark, edges):
-    encode = token_counts.encoding().encode_ordinary
-    count = lambda t: len(encode(t))
+def test_counts_follow_edits(spark, edges, tmp_path):
+    c = token_counts.counter()
+    count = lambda t: len(c.encoding.encode_ordinary(t))
     rng = random.Random(7)
-    sign = lambda: rng.choice("ab  \n\tThe ing.,'s 12éß日😀-")
-    for leaf in (4, 64):
-        for _ in range(40):
-            s = "".join(sign() for _ in range(rng.randint(0, 150)))
-            tree = token_counts.CountTree(s, count, leaf)
-            for _ in range(6):
-                a = rng.randint(0, len(s))
-                b = rng.randint(a, min(len(s), a + 20))
-                new = "".join(sign() for _ in range(rng.choice([0, 1, 200])))
-                s = s[:a] + new + s[b:]
-                assert tree.edit(a, b, new) == count(s) and tree.text() == s
-    got = token_counts.counted(edges).collect()
-    assert sorted(r.n_tokens for r in got) == sorted(count(t or "") for _, t in EDGES)
-    long = token_counts.CountTree("word " * 20_000, count)
+    some = lambda n: "".join(rng.choice(["a", "b", " ", "  ", "\n", "\t", "The", "ing", ".", ",", "'s", "'", "ll", "12", "é", "ß", "日", "😀", "-"]) for _ in range(n))
+    for _ in range(300):
+        s = some(rng.choice([0, 3, 150, 1200]))
+        tree = token_counts.CountTree.of(s, c)
+        for _ in range(5):
+            a = rng.randint(-2, len(s) + 2)
+            b = a + rng.choice([0, 1, 20, 300])
+            new = some(rng.choice([0, 1, 5, 200]))
+            start = min(max(0, a), len(s))
+            s = s[:start] + new + s[min(max(start, b), len(s)) :]
+            assert tree.edit(a, b, new) == count(s) and tree.text == s
+            assert tree.sizes == [len(p) for p in c.cut(s)] and sum(tree.leaves) == len(tree.sizes) and tree.chars[1] == len(s)
+    long = token_counts.CountTree.of("word " * 20_000, c)
     long.edit(50_000, 50_001, "X")
-    assert long.encoded < 2000
+    assert long.encoded < 50
+    # States are a table: stored, read again, edited twice, each time from what was stored.
+    states = token_counts.states(edges)
+    assert sorted(r.n_tokens for r in token_counts.totals(states).collect()) == sorted(count(t or "") for _, t in EDGES)
+    assert "lang_pred" in states.columns and states.limit(0).count() == 0
+    states.write.parquet(str(tmp_path / "0"))
+    texts = sorted(t or "" for _, t in EDGES)
+    for k, (a, b, new) in enumerate([(3, 9, " it's 2024"), (0, 0, "x")]):
+        kept = spark.read.parquet(str(tmp_path / str(k))).drop("encoded_chars")
+        step = F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("new")), F.lit(None))
+        token_counts.edited(kept.withColumn("changes", step), "changes").write.parquet(str(tmp_path / str(k + 1)))
+        texts = sorted(t[:a] + new + t[b:] for t in texts)
+        got = spark.read.parquet(str(tmp_path / str(k + 1)))
+        assert sorted((r.text, r.node_tokens[1]) for r in got.collect()) == [(t, count(t)) for t in texts]
+        assert max(r.encoded_chars for r in got.collect()) < 40
 
 
 def sets_of(text, k):
