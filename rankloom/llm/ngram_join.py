@@ -15,7 +15,7 @@ before their sets are fetched. The sets of those that remain are compared in ful
 
 Answers are derived from those of similar sets: as soon as a set is verified to be linked to another,
 it takes over that one's answer, its component. A round compares each entry with the WINDOW before it in
-its list and verifies the likeliest pairs that would join components. Then every pair of entries across
+its list and with the first ones in reach, and verifies, for each document, the likeliest partner found, as long as that joins components. Then every pair of entries across
 components is judged, and named only by the first of the lists that both sets are known to share. No pair inside
 a component is looked at, so a group of near copies costs a few pairs per set.
 
@@ -32,6 +32,7 @@ returned; rows without id link with nothing and have no component. Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, lowest, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
+from rankloom.llm.common import documents, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
 from rankloom.llm.components import components
 
 #: Words of an n-gram; the threshold as a percentage.
@@ -50,12 +51,15 @@ LOCAL_LEAST, LOCAL_GRAMS, HOT_LEAST, HOT_MOST = 2, 2_000_000, 6, 400_000
 SEEN_MOST = 1 << 20
 #: Entries of an index list that one task takes; longer lists are dealt out in blocks.
 LIST_MOST = 20_000
-#: Entries before it in its list with which a round compares an entry; rounds before all pairs across components are judged.
-WINDOW, ROUNDS = 64, 1
+#: Entries of its list, before it and at the list's beginning, with which a round compares an entry; rounds at most before all pairs across
+#: components are judged; partners of a document that a round judges; how much chance shifts the share of differing bits in later rounds.
+WINDOW, ROUNDS, PARTNERS, CHANCE = 64, 4, 12, 0.02
 #: First n-grams of a document's entries, by which a pair is left to an earlier list.
 FIRST = tuple(f"first{i}" for i in range(4))
 #: Words of 64 bits of a set's sketch in the index.
 SKETCH = tuple(f"sketch{w}" for w in range(4))
+#: Bits for each n-gram of the sketch by which found pairs are judged.
+FINE = 4
 #: log2 of the bits of the filter of documents whose sets are fetched.
 FILTER_BITS = 23
 PAIRS_AT_ONCE = 1 << 18
@@ -101,13 +105,13 @@ def _sum_per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sketches(grams: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
-    """The words of each set's sketch (on each bit the parity of the n-grams that fall on it), and a sketch of at least as many bits as the set has n-grams, of which the first is folded."""
+    """The words of each set's sketch (on each bit the parity of the n-grams that fall on it), and a sketch of at least FINE bits for each n-gram, of which the first is folded."""
     place = (mix(grams + _STEP) >> np.uint64(32)).astype(np.int64)
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     coarse = 64 * len(SKETCH)
     words_ = np.packbits((np.bincount(row * coarse + (place & (coarse - 1)), minlength=len(n) * coarse) & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(n), len(SKETCH))
-    bits = np.maximum(coarse, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = np.maximum(coarse, 1 << np.ceil(np.log2(np.maximum(FINE * n, 1))).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(bits)])
     fine = np.packbits((np.bincount(begin[row] + (place & (bits[row] - 1)), minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
     return list(np.ascontiguousarray(words_.T)), [fine[a:b] for a, b in zip(begin[:-1] // 8, begin[1:] // 8, strict=True)]
@@ -247,15 +251,15 @@ def _numbered(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])) if len(keys[0]) else np.zeros(0, np.int64)
 
 
-def _pairs(list_no: np.ndarray, n: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs x, y of a list's entries, y in of, x from start to end (given for each of), that size and position let link; about PAIRS_AT_ONCE at a time."""
+def _pairs(list_no: np.ndarray, n: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, percent: int, first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs x, y of a list's entries, y in of, x from start to end (given for each of; so many of the first ones in reach), that size and position let link; about PAIRS_AT_ONCE at a time."""
     # A list is ordered by size: the entries in reach of one are a block, which its position cuts off above.
     spread = int(n.max()) * 2 + 2 if len(n) else 1
     at = list_no * spread + n
     low = np.maximum(start, np.searchsorted(at, list_no[of] * spread + -(-percent * n[of] // 100)))
     most = np.minimum(np.minimum(100 * n[of] // percent, _partner_most(n[of], pos[of], percent)), spread - 1)
     high = np.minimum(end, np.searchsorted(at, list_no[of] * spread + np.maximum(most, 0), "right"))
-    many = np.maximum(high - low, 0)
+    many = np.maximum((high if first is None else np.minimum(high, low + first)) - low, 0)
     ends = np.cumsum(many)
     s = 0
     while s < len(many):
@@ -268,46 +272,38 @@ def _pairs(list_no: np.ndarray, n: np.ndarray, pos: np.ndarray, start: np.ndarra
         s = e
 
 
-def _candidates(index: DataFrame, percent: int) -> DataFrame:
-    """a, b, comp_a, comp_b: from each list, pairs of near entries that would join components in it, judged by size, position and sketch: each component's likeliest pair, as long as there are any."""
+def _candidates(index: DataFrame, percent: int, no: int) -> DataFrame:
+    """doc, other: for each entry its likeliest partners in another component, one among the WINDOW entries before it and one among the first WINDOW in reach (those of small positions, which differ from others least), judged by size, position and sketch; in rounds after the first with some chance, so that not the same ones fail again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["gram", "block"]):
             gram, block, doc, n, pos, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "block", "doc_id", "n", "pos", "comp"))
-            sketch, list_no = _sketched(table), _numbered(gram, block)
-            node = np.unique(list_no * len(comp) + np.unique(comp, return_inverse=True)[1], return_inverse=True)[1]
-            label, found, every = np.arange(len(node)), [], np.arange(len(node))
-            for x, y in _pairs(list_no, n, pos, every - WINDOW, every, every, percent):
-                use = label[node[x]] != label[node[y]]
+            sketch, list_no, every = _sketched(table), _numbered(gram, block), np.arange(len(gram))
+            near = _pairs(list_no, n, pos, every - WINDOW, every, every, percent)
+            central = _pairs(list_no, n, pos, np.zeros_like(every), every - WINDOW, every, percent, WINDOW)
+            for x, y in chain(near, central):
+                use = comp[x] != comp[y]
                 x, y = x[use], y[use]
                 apart = _apart(sketch, x, y)
                 use = _may_reach(apart, n[x], n[y], percent)
                 x, y, apart = x[use], y[use], apart[use]
-                order = np.lexsort((doc[x], doc[y], apart / (n[x] + n[y])))
+                chance = (mix((doc[x] ^ (doc[y] << 20) ^ (no << 50)).view(np.uint64)) >> np.uint64(40)) / float(1 << 24)
+                order = np.lexsort((doc[x], apart / (n[x] + n[y]) + (CHANCE * chance if no else 0), y))
                 x, y = x[order], y[order]
-                while len(x):
-                    ends = np.stack([label[node[x]], label[node[y]]], 1)
-                    of, first = np.unique(ends, return_index=True)
-                    best = np.unique(first // 2)
-                    found.append(np.stack([x[best], y[best]], 1))
-                    i, j = np.searchsorted(of, ends[best]).T
-                    joined = np.arange(len(node))
-                    joined[of] = of[lowest(i, j, len(of))]
-                    label = joined[label]
-                    use = label[node[x]] != label[node[y]]
-                    x, y = x[use], y[use]
-            x, y = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
-            flip = doc[x] > doc[y]
-            a, b = np.where(flip, x, y), np.where(flip, y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[a], doc[b], comp[a], comp[b])], ["a", "b", "comp_a", "comp_b"])
-
-    return _by_list(index, "block").mapInArrow(run, "a bigint, b bigint, comp_a bigint, comp_b bigint")
-
-
-def _best(found: DataFrame) -> DataFrame:
-    """a, b: for each two components, the pair that most lists name."""
-    per = found.groupBy("comp_a", "comp_b", "a", "b").agg(F.count("*").alias("c"))
-    return per.groupBy("comp_a", "comp_b").agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
+                best = np.flatnonzero(np.diff(y, prepend=-1))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[y[best]]), pa.array(doc[x[best]])], ["doc", "other"])
+
+    return _by_list(index, "block").mapInArrow(run, "doc bigint, other bigint")
+
+
+def _best(found: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """a, b: each document with its likeliest partner of the PARTNERS that most of its lists name, judged by sketches in proportion to the sets."""
+    per = found.groupBy("doc", "other").agg(F.count("*").alias("c"))
+    # As many partners as a document has entries, twice, at most.
+    few = per.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "other"))), 1, PARTNERS).alias("best"))
+    pairs = few.select("doc", F.explode("best.other").alias("other")).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    best = _likely(reliable(pairs), told, percent).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _dealt(index: DataFrame, most: int) -> DataFrame:
@@ -404,7 +400,7 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that may be linked, judged by sketches in proportion to the sets."""
+    """The pairs a, b that may be linked, judged by sketches in proportion to the sets, and the bits in which these differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,18 +409,20 @@ def _likely(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 size = min(len(x), len(y))
                 apart.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum(dtype=np.int64)))
-            near = _may_reach(np.array(apart, np.int64), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+            apart = np.array(apart, np.int64)
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            near = _may_reach(apart, n_a, n_b, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart / (n_a + n_b))], ["a", "b", "apart"]).filter(pa.array(near, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = told.filter("kind = 0 and n > 0 and id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id", "h1", "n"])
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint, apart double").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
-def _verified(pairs: DataFrame, told: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """src, dst: the pairs a, b whose sets reach the threshold. Only the sets of pairs that may be linked are fetched."""
-    pairs = reliable(_likely(reliable(pairs), told, percent))
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """src, dst: the pairs a, b whose sets reach the threshold. Only the sets of these pairs' documents are fetched."""
+    pairs = reliable(pairs.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = reliable(_fetched(docs, wanted, k))
 
@@ -465,12 +463,15 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     edges = reliable(same.filter("src <> dst"))
     found = components(edges)
     sketches = told.filter("kind = 0 and n > 0 and id is not null").groupBy(F.col("id").alias("doc_id"), "h1", F.col("n").cast("int").alias("n")).agg(F.max(F.struct(*SKETCH)).alias("s")).select("doc_id", "h1", "n", "s.*")
-    for _ in range(rounds):
-        best = _best(_candidates(_labelled(index, sketches, found), percent))
-        edges = reliable(edges.unionByName(_verified(best, told, known, k, percent)))
+    for no in range(rounds):
+        best = _best(_candidates(_labelled(index, sketches, found), percent, no), told, percent)
+        new = reliable(_verified(best, known, k, percent))
+        if new.isEmpty():
+            break
+        edges = reliable(edges.unionByName(new))
         found = components(edges)
-    pairs = _across(_labelled(index, sketches, found), percent, list_most)
-    found = components(reliable(edges.unionByName(_verified(pairs, told, known, k, percent))))
+    pairs = reliable(_across(_labelled(index, sketches, found), percent, list_most))
+    found = components(reliable(edges.unionByName(_verified(_likely(pairs, told, percent), known, k, percent))))
     out = profile.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
