@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_TERM, SMOOTH = 6, 4, 0.5
 #: Bits of an entity that may stay hidden for a term to be removed, or to be generalised.
 REMOVE_BITS, GENERALISE_BITS = 0.2, 1.0
-#: Characters on either side of a span in which near terms are looked for.
-REACH = 40 * WINDOW
 #: log2 of the bits of the filters that keep other terms out of shuffles.
 FILTER_BITS = 24
 
@@ -105,15 +105,36 @@ def _entities(kind: str, value: str) -> tuple[str, str]:
     return exact, f"{kind}-part:{shared}"
 
 
+def _before(text: str, end: int, free) -> list[re.Match]:
+    """The last WINDOW free terms that end at end or before it."""
+    reach = 64 * WINDOW
+    while True:
+        start = max(0, end - reach)
+        # A term at the place where the look back ends may be cut there; it is left to a longer look.
+        found = [m for m in _TERM.finditer(text, start, end) if (m.start() > start or start == 0) and free(m)]
+        if len(found) >= WINDOW or start == 0:
+            return found[-WINDOW:]
+        reach *= 4
+
+
 def _near(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
-    """Entities and terms: the terms near each span and outside all of them."""
+    """Entities and terms: the WINDOW terms on either side of each span that lie outside all spans."""
     out = set()
+    taken = sorted((a, b) for _, a, b in spans)
+    starts = [a for a, _ in taken]
+    ends = list(accumulate((b for _, b in taken), max))
+
+    def free(m: re.Match) -> bool:
+        # Only whole runs of letters, not those that a span's edge cuts.
+        if m.end() - m.start() < MIN_TERM or _TERM.match(text, m.end()) or m.start() and _TERM.match(text, m.start() - 1, m.start()):
+            return False
+        # Of the spans that begin before the term's end, the furthest end.
+        k = bisect_left(starts, m.end())
+        return k == 0 or ends[k - 1] <= m.start()
+
     for kind, a, b in spans:
-        for side in (list(_TERM.finditer(text, max(0, a - REACH), a))[::-1], list(_TERM.finditer(text, b, b + REACH))):
-            # The term at the far end may be cut.
-            whole = [m for m in side if m.start() > a - REACH and m.end() < b + REACH or a < REACH]
-            free = [m for m in whole if m.end() - m.start() >= MIN_TERM and not any(x < m.end() and m.start() < y for _, x, y in spans)]
-            out |= {(e, m.group().lower()) for e in _entities(kind, text[a:b]) for m in free[:WINDOW]}
+        near = [*_before(text, a, free), *islice((m for m in _TERM.finditer(text, b) if free(m)), WINDOW)]
+        out |= {(e, m.group().lower()) for e in _entities(kind, text[a:b]) for m in near}
     return out
 
 
@@ -191,7 +212,10 @@ def _found(docs: DataFrame) -> DataFrame:
 def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
     """term and act (remove or generalise) of the terms that reveal an entity. near: row, entity, term, once a document."""
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    joint = reliable(joint.groupBy("term").agg(F.max("together").alias("together")))
+    joint = joint.groupBy("term").agg(F.max("together").alias("together"))
+    # The documents that have a term near some value are a part of those that have it: a term that is too frequent there already needs no count.
+    seen = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    joint = reliable(joint.join(seen, "term").filter(F.log2((F.col("seen") + smooth) / F.col("together")) <= generalise).select("term", "together"))
     total = _occurrences(docs, joint, False).groupBy("term").agg(F.sum("n").alias("n"))
     hidden = F.log2((F.greatest(F.col("n"), F.col("together")) + smooth) / F.col("together"))
     judged = joint.join(total, "term").withColumn("hidden", hidden).filter(F.col("hidden") <= generalise)
