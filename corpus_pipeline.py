@@ -39,9 +39,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     groups = ngram_join.ngram_join(docs, NEAR_WORDS, NEAR_PERCENT)
     others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
-    same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    copy = unused("_copy", docs.columns)
-    return kept.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1).select(*docs.columns)
+    own = F.concat_ws(":", F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    key, copy = unused("_key", docs.columns), unused("_copy", docs.columns)
+    repeated = reliable(docs.select(own.alias(key)).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    if repeated.isEmpty():
+        return kept
+    # Texts move only where rows share an id (or, without one, a text).
+    kept = kept.withColumn(key, own)
+    once = kept.join(repeated, key, "left_anti")
+    first = kept.join(repeated, key, "left_semi").withColumn(copy, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64("text")))).filter(F.col(copy) == 1)
+    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
