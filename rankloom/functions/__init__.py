@@ -86,12 +86,22 @@ def shift_mutations(text: Column, by: int) -> Column:
     return F.array_join(F.transform(F.split(text, ":"), lambda m: F.concat(F.substring(m, 1, 1), (F.regexp_extract(m, r"(\d+)", 1).cast("int") + by).cast("string"), F.substring(m, -1, 1))), ":")
 
 
-def apply_mutations(sequence: Column, mutations: Column) -> Column:
-    """The sequence with all mutations put in; null where a mutation names another wild type than the sequence has."""
-    fits = F.forall(mutations, lambda m: F.substring(sequence, m["pos"] + 1, F.lit(1)) == m["wt"])
+def apply_mutations(sequence: Column, mutations: Column, alphabet: str = AMINO_ACIDS) -> Column:
+    """The sequence with all mutations put in; null where a mutation names another wild type than the sequence has, or a symbol outside the alphabet."""
+    fits = F.forall(mutations, lambda m: (F.substring(sequence, m["pos"] + 1, F.lit(1)) == m["wt"]) & F.contains(F.lit(alphabet), m["mut"]))
     return F.when(fits, F.aggregate(mutations, sequence, lambda s, m: F.overlay(s, m["mut"], m["pos"] + 1, F.lit(1))))
 
 
+def standardised(value: Column, mean: Column, deviation: Column) -> Column:
+    """The value less the mean, over the deviation and a little more."""
+    return (value - mean) / (deviation + 1e-10)
+
+
+def missing_parts(vector: Column) -> Column:
+    """How many parts of a vector are null or no number: those that unit() counts as 0."""
+    return F.size(F.filter(vector, lambda x: x.isNull() | F.isnan(x)))
+
+
 def unit(vector: Column) -> Column:
     """A vector of length one; zero vectors and missing parts: parts become 0."""
     clean = F.transform(vector, lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)))

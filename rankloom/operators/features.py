@@ -13,10 +13,8 @@ from rankloom.functions import kmers
 
 def kmer_frequencies(df: DataFrame, key: str, sequence: str, k: int, alphabet: str) -> DataFrame:
     """key, kmer, freq: the share of each k-mer among the sequence's; none for sequences without."""
-    each = df.select(key, F.explode(kmers(F.col(sequence), k, alphabet)).alias("kmer"))
-    counts = each.groupBy(key, "kmer").agg(F.count("*").alias("n"))
-    total = counts.groupBy(key).agg(F.sum("n").alias("_t"))
-    return counts.join(total, key).select(key, "kmer", (F.col("n") / F.col("_t")).alias("freq"))
+    each = df.select(key, kmers(F.col(sequence), k, alphabet).alias("_k")).select(key, F.size("_k").alias("_t"), F.explode("_k").alias("kmer"))
+    return each.groupBy(key, "_t", "kmer").agg((F.count("*") / F.col("_t")).alias("freq")).select(key, "kmer", "freq")
 
 
 def require_width(alphabet: str, k: int, rows: int, most_bytes: int = 16 << 30) -> int:
@@ -64,9 +62,52 @@ def span_distance(df: DataFrame, pairs: DataFrame, metric: str = "cosine") -> Da
     return both.select("pair_id", d.alias("distance"))
 
 
-def embed_distinct(df: DataFrame, sequence: str, embedder: Callable[[], Callable[[list[str]], list]], cache: DataFrame | None = None) -> DataFrame:
-    """df with embedding: each distinct sequence is embedded once, or taken from a cache of key (sha2 of the sequence) and embedding. embedder: makes the function once per task."""
-    keyed = df.withColumn("_key", F.sha2(F.col(sequence), 256))
+def pair_vectors(pairs: DataFrame, vectors: DataFrame, left: str, right: str, out: str = "vector") -> DataFrame:
+    """pairs with the vectors of both members, one after the other. vectors: id, vector."""
+    for side in (left, right):
+        pairs = pairs.join(vectors.select(F.col("id").alias(side), F.col("vector").alias(f"_{side}")), side)
+    return pairs.withColumn(out, F.concat(f"_{left}", f"_{right}")).drop(f"_{left}", f"_{right}")
+
+
+def cosine_to(variants: DataFrame, vectors: DataFrame, variant: str, wild: str, out: str = "cosine") -> DataFrame:
+    """variants with the cosine of each one's vector and its wild type's; 0 where either is zero. vectors: id, vector."""
+    from rankloom.functions import dot, unit
+
+    for side in (variant, wild):
+        variants = variants.join(vectors.select(F.col("id").alias(side), unit(F.col("vector")).alias(f"_{side}")), side)
+    return variants.withColumn(out, dot(F.col(f"_{variant}"), F.col(f"_{wild}"))).drop(f"_{variant}", f"_{wild}")
+
+
+def embed_residues(df: DataFrame, key: str, sequence: str, embedder: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """key, pos, vec: a vector for each position of each sequence. embedder: makes the function once per task; it gives a list of vectors for each sequence."""
+    schema = f"{key} {dict(df.dtypes)[key]}, pos int, vec array<float>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = embedder()
+        for x in frames:
+            for k, rows in zip(x[key], f(x[sequence].tolist()), strict=True):
+                yield pd.DataFrame({key: [k] * len(rows), "pos": range(len(rows)), "vec": [list(map(float, v)) for v in rows]})
+
+    return df.select(key, sequence).mapInPandas(run, schema)
+
+
+def profile_rows(df: DataFrame, key: str, sequence: str, scorer: Callable[[], Callable[[str, list[int]], list]], alphabet: str) -> DataFrame:
+    """wt_id, pos, symbol, logp for the positions (an array column) of each sequence. scorer: makes the function once per task; it gives a row of log probabilities in the alphabet's order for each position."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = scorer()
+        for x in frames:
+            for k, s, places in zip(x[key], x[sequence], x["positions"], strict=True):
+                places = list(map(int, places))
+                rows = [(k, p, a, float(v)) for p, values in zip(places, f(s, places), strict=True) for a, v in zip(alphabet, values, strict=True)]
+                yield pd.DataFrame(rows, columns=["wt_id", "pos", "symbol", "logp"])
+
+    return df.select(key, sequence, "positions").mapInPandas(run, f"wt_id {dict(df.dtypes)[key]}, pos int, symbol string, logp double")
+
+
+def embed_distinct(df: DataFrame, sequence: str, embedder: Callable[[], Callable[[list[str]], list]], cache: DataFrame | None = None, model: str = "") -> DataFrame:
+    """df with embedding: each distinct sequence is embedded once, or taken from a cache of key and embedding. The key is the sha2 of the model's name and settings and the sequence, so that a vector of another configuration is never taken. embedder: makes the function once per task."""
+    keyed = df.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(model), F.col(sequence)), 256))
     todo = keyed.select("_key", F.col(sequence).alias("_s")).dropDuplicates(["_key"])
     if cache is not None:
         todo = todo.join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")

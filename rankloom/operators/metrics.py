@@ -109,6 +109,14 @@ def regression(df: DataFrame, truth: str, predicted: str, groups: list[str]) ->
     return out.select(*groups, "n", "spearman", "pearson", "mse", "mae", "r2")
 
 
+def score_board(df: DataFrame, group: str, measured: str, binary: str, scores: list[str]) -> DataFrame:
+    """score, group, spearman, auc, n of several scores of the same rows; a score that is constant or not finite in a group is left out there."""
+    long = df.select(group, measured, binary, F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("_s")) for s in scores])).alias("x")).select(group, measured, binary, "x.*")
+    good = long.groupBy("score", group).agg((F.min("_s") < F.max("_s")).alias("a"), F.bool_and(F.col("_s").isNotNull() & ~F.isnan("_s") & (F.abs("_s") != float("inf"))).alias("b")).filter("a and b").select("score", group)
+    rows = long.join(good, ["score", group])
+    return spearman(rows, measured, "_s", ["score", group]).join(auc(rows, binary, "_s", ["score", group]).drop("n", "n_pos"), ["score", group])
+
+
 def hierarchical_mean(df: DataFrame, value: str, levels: list[list[str]]) -> DataFrame:
     """The mean of the means, from the finest level's keys to the whole."""
     for keys in levels:

@@ -35,6 +35,24 @@ def numeric_label(label: Column) -> Column:
     return label.cast("string").try_cast("int")
 
 
+def first_label(df: DataFrame, column: str) -> Column:
+    """A label column as it is, or the first element of its lists."""
+    return F.try_element_at(F.col(column), F.lit(1)) if dict(df.dtypes)[column].startswith("array") else F.col(column)
+
+
+def parsed_label(df: DataFrame, column: str, problem: str) -> Column:
+    """A label (of lists, the first element) for a problem: regression as a double; classes as text, integers without leading zeros or signs of plus."""
+    label = first_label(df, column).cast("string")
+    if problem == "regression":
+        return label.try_cast("double")
+    return F.coalesce(F.trim(label).try_cast("int").cast("string"), label)
+
+
+def without_spaces(sequence: Column) -> Column:
+    """A sequence without any white space."""
+    return F.regexp_replace(sequence, r"\s+", "")
+
+
 def label_list(text: Column) -> Column:
     """Labels divided by commas or blanks."""
     return F.filter(F.split(F.regexp_replace(text, ",", " "), r"\s+"), lambda x: x != "")
@@ -46,10 +64,20 @@ def mapped(label: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, label.cast("string")), label.cast("string")) if mapping else label.cast("string")
 
 
-def vocabulary(df: DataFrame, label: str) -> DataFrame:
-    """label and index (from 0, in alphabetical order) of all distinct labels, a number bounded by the task."""
-    order = W.partitionBy(F.lit(0)).orderBy(label)
-    return df.filter(F.col(label).isNotNull()).select(label).distinct().withColumn("index", F.row_number().over(order) - 1)
+def vocabulary(df: DataFrame, label: str, *others: DataFrame) -> DataFrame:
+    """label and index of all distinct labels of the splits given, a number bounded by the task: integers keep their value, others are counted from 0 in alphabetical order."""
+    every = df.select(label)
+    for other in others:
+        every = every.union(other.select(label))
+    found = every.filter(F.col(label).isNotNull()).distinct()
+    if dict(df.dtypes)[label] in ("tinyint", "smallint", "int", "bigint"):
+        return found.withColumn("index", F.col(label).cast("int"))
+    return found.withColumn("index", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(label)) - 1)
+
+
+def width(vocabulary_: DataFrame) -> int:
+    """The classes that a vocabulary's indices need."""
+    return (vocabulary_.agg(F.max("index")).first()[0] or 0) + 1
 
 
 def residue_labels(text: Column, alphabet: str) -> Column:
@@ -58,6 +86,32 @@ def residue_labels(text: Column, alphabet: str) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.coalesce(F.array_position(places, c), F.lit(0)).cast("int") - 1)
 
 
+#: The symbols of three and of eight states of secondary structure, in the order of their numbers.
+THREE_STATES, EIGHT_STATES = "HEC", "GHIBESTC"
+
+
+def decoded_labels(task: str, column: str, text: Column) -> Column:
+    """A label string as numbers, by what its task and column are called: disorder (listed numbers, or signs 0 and 1), eight states, three states (other symbols -1), else listed integers or digits. The more special name wins, as names overlap."""
+    name = task.lower()
+    digits = F.transform(F.regexp_extract_all(text, F.lit(r"(\d)"), F.lit(1)), lambda d: d.cast("int"))
+    if "disorder" in name or column.startswith("disorder"):
+        listed = F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double").cast("int"))
+        bits = F.transform(F.regexp_extract_all(text, F.lit("([01])"), F.lit(1)), lambda d: d.cast("int"))
+        return F.when(text.rlike(r"[.\[]"), listed).otherwise(bits)
+    if column == "dssp8" or "ss8" in name or "dssp8" in name:
+        return residue_labels(text, EIGHT_STATES)
+    if "ss3" in name or "secondary structure" in name:
+        return residue_labels(text, THREE_STATES)
+    listed = F.transform(F.filter(F.split(text, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))
+    return F.when(F.contains(text, F.lit(",")), listed).otherwise(digits)
+
+
+def span_content_differs(labels: Column, declared: Column, most: float = 1e-3) -> Column:
+    """Whether the labelled share of a sequence is another than declared (null: nothing declared, no difference); null for an empty one."""
+    share = F.aggregate(labels, F.lit(0), lambda a, x: a + x) / F.size(labels)
+    return F.when(F.size(labels) > 0, F.coalesce(F.abs(share - declared) > most, F.lit(False)))
+
+
 def span_labels(length: Column, regions: Column, term: str = "disorder") -> Column:
     """0 or 1 for each position from 1 to length: whether a region (start, end, term; both ends inside) of the term covers it."""
     good = F.filter(regions, lambda r: F.lower(F.trim(r["term"])) == term)
@@ -69,15 +123,105 @@ def digit_scores(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\d)"), F.lit(1)), lambda d: d.cast("int"))
 
 
+def trimmed_pair(sequence: Column, labels: Column) -> list[Column]:
+    """A sequence and its labels, both cut to the shorter of the two; null where there are no labels."""
+    n = F.least(F.length(sequence), F.size(labels))
+    some = F.size(labels) > 0
+    return [F.when(some, F.substring(sequence, F.lit(1), n)), F.when(some, F.slice(labels, F.lit(1), n))]
+
+
+def routed_score(score: Column, raw: Column, split: Column) -> Column:
+    """A struct of score (the number, or the parsed raw target) and split (test, or train for all else); null where no number is left."""
+    value = F.coalesce(score.cast("double"), F.trim(raw.cast("string")).try_cast("double"))
+    return F.when(value.isNotNull() & ~F.isnan(value), F.struct(value.alias("score"), F.when(F.lower(F.trim(split)) == "test", "test").otherwise("train").alias("split")))
+
+
+def aligned(df: DataFrame, keys: list[str], vectors: str, labels: str, length: str, window: int, most: float = 0.5) -> DataFrame:
+    """keys, pos, vec, label of each position that has both, and misaligned (0 or 1): whether the entity's numbers of vectors and labels differ and no cut of sequences longer than window - 2 explains it. An error where more than most of all entities are misaligned."""
+    n_v, n_l = F.size(vectors), F.size(labels)
+    cut = (n_v < n_l) & (F.col(length) > window - 2)
+    rows = df.filter(n_v > 0).withColumn("misaligned", ((n_v != n_l) & ~cut).cast("int"))
+    bad, n = rows.agg(F.coalesce(F.sum("misaligned"), F.lit(0)), F.count("*")).first()
+    if bad > most * n:
+        raise ValueError(f"{bad} of {n} entities have other numbers of labels than of vectors")
+    both = F.least(n_v, n_l)
+    zipped = F.arrays_zip(F.slice(vectors, F.lit(1), both).alias("v"), F.slice(labels, F.lit(1), both).alias("l"))
+    return rows.select(*keys, "misaligned", F.posexplode(zipped).alias("pos", "x")).select(*keys, "misaligned", "pos", F.col("x.v").alias("vec"), F.col("x.l").alias("label"))
+
+
+def without_ignored(df: DataFrame, label: str = "label") -> DataFrame:
+    """Positions with a label: negative ones say that there is no truth."""
+    return df.filter(F.col(label) >= 0)
+
+
+def routed_probe(kind: Column, mode: Column, requested: Column, special: list[str], task: Column, multilabel: tuple[str, ...] = ("linear", "torch_linear")) -> Column:
+    """The probe that a task is run with: auto goes by the task's kind; retrieval and zero-shot tasks have the linear name, and so has what a multilabel task can't use."""
+    auto = F.when(kind.isin("multilabel", "token_classification") | task.isin(*special), "torch_linear").otherwise("linear")
+    probe = F.when(requested == "auto", auto).otherwise(requested)
+    return F.when((kind == "retrieval") | (mode == "zeroshot"), "linear").when((kind == "multilabel") & ~probe.isin(*multilabel), "linear").otherwise(probe)
+
+
+def probe_name(probe: Column, normalised: Column, weights: Column) -> Column:
+    """A probe's name in results: neighbours say whether vectors have length one and votes are weighted."""
+    return F.when(probe != "knn", probe).otherwise(F.concat(probe, F.when(normalised, "_l2").otherwise(""), F.when(weights == "distance", "_dist").otherwise("")))
+
+
 def prefix_labels(*parts: str) -> list[Column]:
     """c, c.a, c.a.t and so on."""
     return [F.concat_ws(".", *parts[: k + 1]) for k in range(len(parts))]
 
 
-def pick_split(df: DataFrame, column: str, wanted: str) -> DataFrame:
-    """Rows of a split by name; validation has several names."""
+def split_names(found: list[str], wanted: str) -> list[str]:
+    """Those of the split names found (in lower case) that a wanted one means: itself, of validation its other names, else the first that holds it."""
     names = VALIDATION if wanted.lower() in VALIDATION else (wanted.lower(),)
-    return df.filter(F.lower(F.trim(column)).isin(*names))
+    exact = [x for x in found if x in names]
+    return exact or [x for x in sorted(found) if any(n in x for n in names)][:1]
+
+
+def pick_split(df: DataFrame, column: str, wanted: str) -> DataFrame:
+    """Rows of a split by name. An error names the splits that there are if it isn't one of them."""
+    name = F.lower(F.trim(column))
+    found = [r[0] for r in df.select(name.alias("s")).distinct().collect() if r[0] is not None]
+    names = split_names(found, wanted)
+    if not names:
+        raise ValueError(f"no split {wanted}: found {sorted(found)}")
+    return df.filter(name.isin(*names))
+
+
+def staged(df: DataFrame, column: str, stages: dict[str, str], out: str = "stage") -> tuple[DataFrame, bool]:
+    """df with the stage that each row's split is for, rows of other splits left out, and whether the last stage has no rows and needs cross-validation of the first. An error if the first stage has none."""
+    name = F.lower(F.trim(column))
+    sizes = {r[0]: r[1] for r in df.groupBy(name.alias("s")).count().collect() if r[0] is not None}
+    chosen = {stage: split_names(list(sizes), wanted) for stage, wanted in stages.items()}
+    first, *_, last = chosen
+    if not chosen[first]:
+        raise ValueError(f"no rows for {first}: found {sorted(sizes)}")
+    pairs = [(names, stage) for stage, names in chosen.items() if names]
+    of = F.coalesce(*[F.when(name.isin(*names), F.lit(stage)) for names, stage in pairs])
+    return df.withColumn(out, of).filter(F.col(out).isNotNull()), not chosen[last]
+
+
+def bucket_split(df: DataFrame, key: str, out: str = "split") -> DataFrame:
+    """test for the first of ten hash buckets of the key, validation for the second, train for the others."""
+    bucket = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("bigint") % 10
+    return df.withColumn(out, F.when(bucket == 0, "test").when(bucket == 1, "validation").otherwise("train"))
+
+
+def hold_out_last(df: DataFrame, entity: str, least: int = 5, out: str = "split") -> DataFrame:
+    """train for the first floor(0.8 n) entities in order, test for the last ones; an error below least entities."""
+    from rankloom.operators.metrics import running_counts
+
+    every = df.select(entity).distinct()
+    n = every.count()
+    if n < least:
+        raise ValueError(f"{n} entities, {least} are needed to hold some out")
+    order = running_counts(every, entity, []).select(entity, F.when(F.col("before") < max(1, n * 8 // 10), "train").otherwise("test").alias(out))
+    return df.join(order, entity)
+
+
+def answerable(queries: DataFrame, lookup: DataFrame, label: str) -> DataFrame:
+    """The queries whose label the lookup has."""
+    return queries.join(lookup.select(label).distinct(), label, "left_semi")
 
 
 def hash_split(df: DataFrame, seed: int, *keys: str, out: str = "split") -> DataFrame:
@@ -110,6 +254,14 @@ def cap(df: DataFrame, rows: int, seed: int, key: str) -> DataFrame:
     return df.orderBy(split_hash(seed, key), key).limit(rows)
 
 
+def capped_split(df: DataFrame, rows: int, seed: int, key: str) -> DataFrame:
+    """A split of twice as many rows as wanted, each side capped at rows."""
+    some = hash_split(cap(df, 2 * rows, seed, key), seed, key)
+    order = W.partitionBy("split").orderBy(split_hash(seed, key), key)
+    # Two splits of at most twice the cap.
+    return some.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).drop("_r")
+
+
 def top_labels(df: DataFrame, label: str, k: int) -> DataFrame:
     """The k most frequent labels and their counts; of equal ones the first in order."""
     return df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(k)
@@ -122,8 +274,16 @@ def keep_top_labels(df: DataFrame, label: str, k: int) -> DataFrame:
 
 def keep_top_in_sets(df: DataFrame, labels: str, k: int) -> DataFrame:
     """Label sets cut to the k most frequent labels; rows without any go."""
-    top = [r[0] for r in top_labels(df.select(F.explode(labels).alias("_l")), "_l", k).collect()]
-    return df.withColumn(labels, F.array_intersect(labels, F.array(*[F.lit(x) for x in top]).cast("array<string>"))).filter(F.size(labels) > 0)
+    top = top_labels(df.select(F.explode(labels).alias("_l")), "_l", k).agg(F.collect_list("_l").alias("_top"))
+    # One row of k labels.
+    return df.crossJoin(F.broadcast(top)).withColumn(labels, F.array_intersect(labels, "_top")).filter(F.size(labels) > 0).drop("_top")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """df, or an error that says what has no rows left."""
+    if df.isEmpty():
+        raise ValueError(f"no rows left: {what}")
+    return df
 
 
 def group_limits(df: DataFrame, group: str, key: str, most: int | None = None, rows: int | None = None) -> DataFrame:
@@ -148,6 +308,14 @@ def require_complete(expected: DataFrame, done: DataFrame, keys: list[str]) -> D
     return done
 
 
+def require_disjoint(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """parts, or an error that names some units that lie in several of them."""
+    shared = parts.groupBy(*keys).agg(F.countDistinct(part).alias("n")).filter("n > 1").limit(10).collect()
+    if shared:
+        raise ValueError(f"units in several parts: {[tuple(r)[:-1] for r in shared]}")
+    return parts
+
+
 def balanced_pairs(df: DataFrame, entity: str, label: str, key: str, seed: int, most: int = 2000) -> DataFrame:
     """Per entity as many positive as negative rows, at most half of most each, the first in a hashed order."""
     sizes = df.groupBy(entity).agg(F.least(F.count_if(F.col(label)), F.count_if(~F.col(label)), F.lit(most // 2)).alias("_k"))

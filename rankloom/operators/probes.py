@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import class_metrics, confusion, regression
+from rankloom.operators.metrics import class_metrics, confusion, regression, spearman
 
 
 def scaled(train: DataFrame, others: list[DataFrame], vector: str) -> list[DataFrame]:
@@ -61,6 +62,36 @@ def cross_validated(df: DataFrame, vector: str, kind: str, problem: str, fold: s
     return out
 
 
+def holdout(train: DataFrame, test: DataFrame, vector: str, kind: str, problem: str, key: str, draws: int = 200, seed: int = 42) -> DataFrame:
+    """The metric block of a probe on held-out rows, with the interval of the mean of its hits (classes) or absolute errors (regression), the draws that went into it, and the seconds of the fit."""
+    from rankloom.operators.bootstrap import mean_interval
+
+    a, b = scaled(train, [test], vector)
+    s = a.agg(F.count("*"), F.stddev_pop("y"), F.countDistinct("y")).first()
+    began = time.monotonic()
+    model = make_probe(kind, problem, s[0], s[1] or 1.0, s[2]).fit(a)
+    seconds = time.monotonic() - began
+    predicted = model.transform(b)
+    each = F.abs(F.col("y") - F.col("prediction")) if problem == "regression" else (F.col("y") == F.col("prediction")).cast("double")
+    inner = mean_interval(predicted.select(key, each.alias("_v")), key, "_v", draws, seed)
+    # One row each.
+    return evaluate(predicted, problem).crossJoin(inner.withColumnsRenamed({"mean": "interval_of", "low": "interval_low", "high": "interval_high"})).withColumn("fit_seconds", F.lit(seconds))
+
+
+def residue_probe(positions: DataFrame, entity: str, k: int, seed: int) -> DataFrame:
+    """The mean over k folds of a linear probe on positions (entity, vec, label): positions without truth go, all of an entity's lie in one fold. With spearman of the predicted and true labels, as these may be ordered, and n_folds."""
+    from rankloom.operators.prepare import folds, without_ignored
+
+    rows = folds(without_ignored(positions), k, seed, entity, group=entity).withColumn("y", F.col("label").cast("double"))
+    out = None
+    for f in range(k):
+        predicted = fit_predict(rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), "vec", "linear", "classification")
+        # One row each.
+        block = evaluate(predicted, "classification").crossJoin(spearman(predicted, "y", "prediction", []).select("spearman"))
+        out = block if out is None else out.unionByName(block)
+    return out.agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in out.columns if c != "n"], F.count("*").alias("n_folds"))
+
+
 def multilabel(train: DataFrame, test: DataFrame, vector: str, labels: str, vocabulary: list[str]) -> DataFrame:
     """test with predicted: the labels whose own logistic regression says yes."""
     a, b = scaled(train, [test], vector)

@@ -21,15 +21,16 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosin
     is one product in a task, which hands on k candidates per query; the best of them win. metric: cosine
     (zero vectors score 0) or euclidean (score is the negative distance).
     """
-    nq, ng = max(1, math.ceil(queries.count() / block)), max(1, math.ceil(gallery.count() / block))
-    q = queries.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("bq"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ng - 1).cast("bigint"))).alias("bg"))
-    g = gallery.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("bq"))
+    # Few large blocks of queries: each vector of the gallery is sent once to each of them.
+    nq, ng = max(1, math.ceil(queries.count() / (4 * block))), max(1, math.ceil(gallery.count() / block))
+    q = queries.select(F.col("id").cast("bigint").alias("id"), F.col("vector"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("bq"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ng - 1).cast("bigint"))).alias("bg"))
+    g = gallery.select(F.col("id").cast("bigint").alias("id"), F.col("vector"), F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("bq"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "target_id": [], "score": []}).astype({"query_id": "int64", "target_id": "int64", "score": "float64"})
         right = right.sort_values("id")
-        a, b = np.stack(left["vector"].to_list()), np.stack(right["vector"].to_list())
+        a, b = np.stack(left["vector"].to_list()).astype(float), np.stack(right["vector"].to_list()).astype(float)
         ids, out = right["id"].to_numpy(), []
         if metric == "cosine":
             a, b = (x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1) for x in (a, b))
@@ -140,33 +141,38 @@ def knn_mean(neighbours: DataFrame, values: DataFrame) -> DataFrame:
     return neighbours.join(values.select(F.col("id").alias("target_id"), "value"), "target_id").groupBy("query_id").agg(F.avg("value").alias("predicted"))
 
 
-def transfer_levels(nearest_one: DataFrame, queries: DataFrame, lookup: DataFrame, levels: list[str]) -> DataFrame:
-    """Per level: n_answerable (the label occurs more than once in queries and lookup together), n_strict (it occurs in lookup) and the accuracy of the nearest row's label over answerable queries."""
+def transfer_judged(nearest_one: DataFrame, queries: DataFrame, lookup: DataFrame, levels: list[str]) -> DataFrame:
+    """Per query and level: in_all, in_lookup (how often its label occurs in queries and lookup together, and in lookup) and right (whether the nearest row has it)."""
     pairs = nearest_one.filter("rank = 1").join(queries.select(F.col("id").alias("query_id"), *[F.col(c).alias(f"_q_{c}") for c in levels]), "query_id", "right").join(lookup.select(F.col("id").alias("target_id"), *[F.col(c).alias(f"_t_{c}") for c in levels]), "target_id", "left")
-    long = pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(f"_q_{c}").alias("truth"), F.col(f"_t_{c}").alias("found")) for c in levels])).alias("x")).select("x.*")
+    long = pairs.select("query_id", F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(f"_q_{c}").alias("truth"), F.col(f"_t_{c}").alias("found")) for c in levels])).alias("x")).select("query_id", "x.*")
     tall = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("truth")) for c in levels])).alias("x")).select("x.*")
     held = tall(lookup).groupBy("level", "truth").agg(F.count("*").alias("in_lookup"))
     both = tall(lookup).unionByName(tall(queries)).groupBy("level", "truth").agg(F.count("*").alias("in_all"))
     judged = long.join(both, ["level", "truth"]).join(held, ["level", "truth"], "left")
-    ok = F.col("in_all") > 1
-    return judged.groupBy("level").agg(F.count_if(ok).alias("n_answerable"), F.count_if(F.col("in_lookup") > 0).alias("n_strict"), F.coalesce(F.avg(F.when(ok, (F.coalesce(F.col("found"), F.lit("")) == F.col("truth")).cast("double"))), F.lit(0.0)).alias("accuracy"))
-
-
-def shared_kmer_hits(queries: DataFrame, targets: DataFrame, least: int = 1, most_targets: int | None = None) -> DataFrame:
-    """query_id, target_id, shared, qcov, tcov, containment from id and kmers (arrays). k-mers in more than most_targets targets can be left out of the search to find candidates; shares are then counted over the others."""
-    q = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct("kmers")).alias("kmer"))
-    t = targets.select(F.col("id").alias("target_id"), F.explode(F.array_distinct("kmers")).alias("kmer"))
-    if most_targets is not None:
-        t = t.join(t.groupBy("kmer").count().filter(F.col("count") > most_targets).select("kmer"), "kmer", "left_anti")
-    nq, nt = q.groupBy("query_id").agg(F.count("*").alias("nq")), t.groupBy("target_id").agg(F.count("*").alias("nt"))
-    hits = q.join(t, "kmer").groupBy("query_id", "target_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    out = hits.join(nq, "query_id").join(nt, "target_id")
+    return judged.select("level", "query_id", "in_all", "in_lookup", (F.coalesce(F.col("found"), F.lit("")) == F.col("truth")).alias("right"))
+
+
+def transfer_levels(nearest_one: DataFrame, queries: DataFrame, lookup: DataFrame, levels: list[str]) -> DataFrame:
+    """Per level: n_answerable (the label occurs more than once in queries and lookup together), n_strict (it occurs in lookup) and the accuracy of the nearest row's label over answerable queries."""
+    judged, ok = transfer_judged(nearest_one, queries, lookup, levels), F.col("in_all") > 1
+    return judged.groupBy("level").agg(F.count_if(ok).alias("n_answerable"), F.count_if(F.col("in_lookup") > 0).alias("n_strict"), F.coalesce(F.avg(F.when(ok, F.col("right").cast("double"))), F.lit(0.0)).alias("accuracy"))
+
+
+def shared_kmer_hits(queries: DataFrame, targets: DataFrame, least: int = 1) -> DataFrame:
+    """query_id, target_id, shared, qcov, tcov, containment from id and kmers (arrays). Each row counts its own k-mers, so targets are neither grouped nor shuffled before the join, and not at all where the queries' k-mers are few enough for Spark to broadcast them."""
+    each = lambda df, side, n: df.select(F.col("id").alias(side), F.array_distinct("kmers").alias("k")).select(side, F.size("k").alias(n), F.explode("k").alias("kmer"))
+    shared = each(queries, "query_id", "nq").join(each(targets, "target_id", "nt"), "kmer")
+    out = shared.groupBy("query_id", "target_id", "nq", "nt").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     return out.select("query_id", "target_id", "shared", (F.col("shared") / F.col("nq")).alias("qcov"), (F.col("shared") / F.col("nt")).alias("tcov"), (F.col("shared") / F.least("nq", "nt")).alias("containment"))
 
 
-def rank_hits(hits: DataFrame, score: str, most: int) -> DataFrame:
-    """The first hits of each query by score, then by target."""
-    order = W.partitionBy("query_id").orderBy(F.desc(score), "target_id")
+#: Fixed value: the hits of a query that a search hands on at most.
+HITS_MOST = 300
+
+
+def rank_hits(hits: DataFrame, score: str, most: int = HITS_MOST, expected: str | None = None) -> DataFrame:
+    """The first hits of each query by expected value (less is better), where there is one, then by score, then by target."""
+    order = W.partitionBy("query_id").orderBy(*([F.asc(expected)] if expected else []), F.desc(score), "target_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
@@ -192,6 +198,14 @@ def transfer_value(best: DataFrame, queries: DataFrame, values: DataFrame) -> Da
     return got.crossJoin(F.broadcast(mean)).select("query_id", F.coalesce("value", "_m").alias("predicted"), F.col("value").isNotNull().alias("covered"))  # one row of means
 
 
+def transfer_labels(best: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """query_id, predicted, covered: the label set of the best hit, or an empty one. labels: id, labels."""
+    got = best.filter("rank = 1").join(labels.select(F.col("id").alias("target_id"), "labels"), "target_id").select("query_id", "labels")
+    every = queries.select(F.col("id").alias("query_id")).join(got, "query_id", "left")
+    none = F.array().cast(dict(labels.dtypes)["labels"])
+    return every.select("query_id", F.coalesce("labels", none).alias("predicted"), F.col("labels").isNotNull().alias("covered"))
+
+
 def class_scores(hits: DataFrame, queries: DataFrame, labels: DataFrame, score: str) -> DataFrame:
     """query_id, predicted, best: the class of the highest score among hits; queries without hits get the first class."""
     first = labels.agg(F.min("label").alias("_f"))
@@ -202,6 +216,21 @@ def class_scores(hits: DataFrame, queries: DataFrame, labels: DataFrame, score:
     return got.select("query_id", F.coalesce("label", "_f").alias("predicted"), F.coalesce("s", F.lit(0.0)).alias("best"))
 
 
+def triplet_levels(df: DataFrame, bucket: str, levels: dict[str, str | None]) -> DataFrame:
+    """Per level: anchors that have both partners, and the mean soft margin log(1 + exp(d_positive - d_negative)) of their hardest triplet in a bucket of bounded size: the farthest row of the same label, and the nearest of another label with the same parent. levels: a label column and its parent's (or None); df: id, vector, bucket and these."""
+    names = list(levels)
+    side = lambda s: df.select(bucket, F.col("id").alias(f"id_{s}"), F.col("vector").alias(f"v_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in names])
+    square = lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))
+    d = F.sqrt(F.aggregate(F.zip_with("v_a", "v_b", square), F.lit(0.0), lambda s, x: s + x))
+    met = side("a").join(side("b"), bucket).filter("id_a <> id_b").withColumn("d", d)
+    same = {c: F.col(f"{c}_a") == F.col(f"{c}_b") for c in names}
+    far = [F.max(F.when(same[c], F.col("d"))).alias(f"p_{c}") for c in names]
+    near = [F.min(F.when(~same[c] & (same[p] if p else F.lit(True)), F.col("d"))).alias(f"n_{c}") for c, p in levels.items()]
+    per = met.groupBy("id_a").agg(*far, *near)
+    long = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(f"p_{c}").alias("p"), F.col(f"n_{c}").alias("n")) for c in names])).alias("x")).select("x.*")
+    return long.filter("p is not null and n is not null").groupBy("level").agg(F.count("*").alias("n_anchors"), F.avg(F.log1p(F.exp(F.col("p") - F.col("n")))).alias("loss"))
+
+
 def hard_triplets(df: DataFrame, bucket: str) -> DataFrame:
     """Per anchor of a bucket of bounded size: the farthest row of its label, the nearest of another, both distances. df: id, label, vector and bucket."""
     a = df.select(bucket, F.col("id").alias("anchor"), F.col("label").alias("_la"), F.col("vector").alias("_va"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +75,67 @@ def symmetric_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("id", "pos").agg((F.sum((F.exp("lp") - F.exp("lq")) * (F.col("lp") - F.col("lq"))) / 2).alias("divergence"))
 
 
+def window_divergence(divergence: DataFrame, mutations: DataFrame, reach: int) -> DataFrame:
+    """variant_id and score: less the divergence summed over the positions around each mutation, over all of a variant's mutations. divergence: wt_id, pos, divergence; mutations: variant_id, wt_id, pos."""
+    around = window_sum(divergence, "wt_id", "pos", "divergence", reach, "_w")
+    return mutations.join(around.select("wt_id", "pos", "_w"), ["wt_id", "pos"]).groupBy("variant_id").agg((-F.sum("_w")).alias("score"))
+
+
+def soft_target_delta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, pos and sum p (log p - log q) of two profiles of id, pos, symbol, logp: the change that b's log probabilities mean under a's."""
+    j = a.select("id", "pos", "symbol", F.col("logp").alias("lp")).join(b.select("id", "pos", "symbol", F.col("logp").alias("lq")), ["id", "pos", "symbol"])
+    return j.groupBy("id", "pos").agg(F.sum(F.exp("lp") * (F.col("lq") - F.col("lp"))).alias("delta"))
+
+
+def conservation_delta(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key and score: less the mean squared change of a value at a variant's positions."""
+    return pairs.groupBy(key).agg(F.avg(-(F.col(b) - F.col(a)) * (F.col(b) - F.col(a))).alias("score"))
+
+
+def weighted_scores(changes: DataFrame, weights: DataFrame) -> DataFrame:
+    """variant_id and score: the sum of each mutated position's change times the position's weight. changes: variant_id, wt_id, pos, change; weights: wt_id, pos, weight (1 where there is none)."""
+    j = changes.join(weights, ["wt_id", "pos"], "left")
+    return j.groupBy("variant_id").agg(F.sum(F.col("change") * F.coalesce("weight", F.lit(1.0))).alias("score"))
+
+
+def likelihood_delta(mutants: DataFrame, wild: DataFrame) -> DataFrame:
+    """id and delta: a mutant's mean log likelihood less its wild type's. mutants: id, wt_id, mean_logp; wild: wt_id, mean_logp."""
+    return mutants.join(wild.select("wt_id", F.col("mean_logp").alias("_w")), "wt_id").select("id", (F.col("mean_logp") - F.col("_w")).alias("delta"))
+
+
+def edited_pairs(variants: DataFrame, reach: int | None = None) -> DataFrame:
+    """variant_id, wt_pos, mut_pos, mut_at, is_edit of aligned positions of wild type and mutant; replaced ones count as aligned, and positions without a partner have null there (mut_at: mut_pos, or where in the mutant a position was deleted). With reach, those at most so far from an edit in the wild type.
+
+    Alignment is by longest common blocks within a row; only rows of sequences pass through Python.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = []
+            for key, wt, mut in zip(x["variant_id"], x["wt"], x["mut"], strict=True):
+                for tag, a, b, c, d in SequenceMatcher(None, wt or "", mut or "", autojunk=False).get_opcodes():
+                    both = min(b - a, d - c)
+                    rows += [(key, a + k, c + k, c + k, tag != "equal") for k in range(both)]
+                    rows += [(key, i, None, d, True) for i in range(a + both, b)] + [(key, None, i, i, True) for i in range(c + both, d)]
+            out = pd.DataFrame(rows, columns=["variant_id", "wt_pos", "mut_pos", "mut_at", "is_edit"])
+            yield out.astype({"wt_pos": "Int64", "mut_pos": "Int64"})
+
+    kind = dict(variants.dtypes)["variant_id"]
+    pairs = variants.select("variant_id", "wt", "mut").mapInPandas(run, f"variant_id {kind}, wt_pos bigint, mut_pos bigint, mut_at bigint, is_edit boolean")
+    if reach is None:
+        return pairs
+    span = pairs.filter("is_edit and wt_pos is not null").groupBy("variant_id").agg((F.min("wt_pos") - reach).alias("_lo"), (F.max("wt_pos") + reach).alias("_hi"))
+    return pairs.join(span, "variant_id").filter("wt_pos between _lo and _hi").drop("_lo", "_hi")
+
+
+def edit_spans(pairs: DataFrame, pad: int = 0) -> DataFrame:
+    """variant_id, start, end (exclusive): the positions of the mutant that enclose all its edits, at least one, padded; 0 and 0 where nothing is edited. pairs: of edited_pairs()."""
+    edit = F.col("is_edit")
+    per = pairs.groupBy("variant_id").agg(F.min(F.when(edit, F.col("mut_at"))).alias("lo"), F.max(F.when(edit, F.coalesce(F.col("mut_pos") + 1, F.col("mut_at")))).alias("hi"), (F.max("mut_pos") + 1).alias("length"))
+    end = F.least("length", F.greatest("hi", F.col("lo") + 1) + pad)
+    return per.select("variant_id", F.when(F.col("lo").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("lo") - pad)).alias("start"), F.when(F.col("lo").isNull(), 0).otherwise(end).alias("end"))
+
+
 def window_sum(df: DataFrame, key: str, pos: str, value: str, reach: int, out: str) -> DataFrame:
     """The sum of a value over the positions from pos - reach to pos + reach."""
     return df.withColumn(out, F.sum(value).over(W.partitionBy(key).orderBy(pos).rangeBetween(-reach, reach)))

@@ -31,10 +31,19 @@ def latest(df: DataFrame, keys: list[str], date: str, order: str) -> DataFrame:
 
 def collect_latest(df: DataFrame, write_keys: list[str], cell_keys: list[str], date: str, order: str) -> DataFrame:
     """The last write of each full key, then of each cell the one of the latest date; of equal dates the key that was first seen later wins."""
-    w = W.partitionBy(*write_keys)
-    seen = df.withColumn("_first", F.min(order).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc(order)))).filter("_r = 1")
-    cell = W.partitionBy(*cell_keys).orderBy(F.desc_nulls_last(date), F.desc("_first"))
-    return seen.withColumn("_r", F.row_number().over(cell)).filter("_r = 1").drop("_r", "_first")
+    return latest_cells(last_writes(df.withColumn("first_seen", F.col(order)), write_keys, order), cell_keys, date).drop("first_seen")
+
+
+def last_writes(df: DataFrame, write_keys: list[str], order: str) -> DataFrame:
+    """The last row of each full key by order, with the least first_seen of the key's rows."""
+    per = df.groupBy(*write_keys).agg(F.max_by(F.struct(*[c for c in df.columns if c != "first_seen"]), order).alias("_x"), F.min("first_seen").alias("first_seen"))
+    return per.select("_x.*", "first_seen")
+
+
+def latest_cells(writes: DataFrame, cell_keys: list[str], date: str) -> DataFrame:
+    """Of each cell's writes the one of the latest date; of equal dates the one that was first seen last."""
+    cell = W.partitionBy(*cell_keys).orderBy(F.desc_nulls_last(date), F.desc("first_seen"))
+    return writes.withColumn("_r", F.row_number().over(cell)).filter("_r = 1").drop("_r")
 
 
 def merge_new(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -78,6 +87,89 @@ def pivot_report(df: DataFrame, row: str, column: str, value: str, columns: list
     return df.groupBy(row).pivot(column, columns).agg(F.avg(value))
 
 
+#: The columns in which a metric is looked for where a row lacks its task's own, in this order.
+SCANNED = ("AUC", "Spearman", "F1_Macro", "Accuracy", "MCC", "Recall@10", "MSE")
+#: The keys of a record's metrics that stand in for its task's own one, in this order, and what they are called.
+RECORD_KEYS = (("eval_spearman", "Spearman"), ("eval_auc", "AUC"), ("eval_accuracy", "Accuracy"), ("eval_f1_macro", "F1_Macro"), ("eval_matthews_correlation", "MCC"), ("eval_mcc", "MCC"))
+
+
+def long_rows(df: DataFrame, keys: list[str], declared: str) -> DataFrame:
+    """keys, metric_name, metric_value of wide rows: the declared metric, else the first of SCANNED that has a value, called what it is; and for rows whose metric isn't MSE a second row of their MSE."""
+    found = F.coalesce(*[F.when((F.col(declared) == m) & F.col(m).isNotNull(), F.struct(F.lit(m).alias("metric_name"), F.col(m).cast("double").alias("metric_value"))) for m in SCANNED if m in df.columns], *[F.when(F.col(m).isNotNull(), F.struct(F.lit(m).alias("metric_name"), F.col(m).cast("double").alias("metric_value"))) for m in SCANNED if m in df.columns], F.struct(F.col(declared).alias("metric_name"), F.lit(None).cast("double").alias("metric_value")))
+    more = F.when((F.col("_f.metric_name") != "MSE") & F.col("MSE").isNotNull(), F.array(F.struct(F.lit("MSE").alias("metric_name"), F.col("MSE").cast("double").alias("metric_value")))) if "MSE" in df.columns else F.lit(None)
+    none = F.array().cast("array<struct<metric_name:string,metric_value:double>>")
+    return df.withColumn("_f", found).select(*keys, F.explode(F.concat(F.array("_f"), F.coalesce(more, none))).alias("x")).select(*keys, "x.*")
+
+
+def long_records(df: DataFrame, keys: list[str], declared: str, metrics: str) -> DataFrame:
+    """keys, metric_name, metric_value of records with a map of metrics, whose keys are compared in lower case: the declared metric (also without the ending _Macro), else the first of RECORD_KEYS, called what it is; and for records of another metric a second row of their AUC."""
+    lower = F.map_from_entries(F.transform(F.map_entries(metrics), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].cast("double").alias("value"))))
+    at = lambda key: F.try_element_at("_m", key if not isinstance(key, str) else F.lit(key))
+    named = lambda name, value: F.when(value.isNotNull(), F.struct(name.alias("metric_name"), value.alias("metric_value")))
+    own = F.lower(F.concat(F.lit("eval_"), F.col(declared)))
+    found = F.coalesce(named(F.col(declared), at(own)), named(F.col(declared), at(F.regexp_replace(own, "_macro", ""))), *[named(F.lit(n), at(k)) for k, n in RECORD_KEYS], F.struct(F.col(declared).alias("metric_name"), F.lit(None).cast("double").alias("metric_value")))
+    extra = F.when((F.lower(declared) != "auc") & at("eval_auc").isNotNull(), F.array(F.struct(F.lit("AUC").alias("metric_name"), at("eval_auc").alias("metric_value"))))
+    none = F.array().cast("array<struct<metric_name:string,metric_value:double>>")
+    return df.withColumn("_m", lower).select(*keys, F.explode(F.concat(F.array(found), F.coalesce(extra, none))).alias("x")).select(*keys, "x.*")
+
+
+def with_rule(parts: dict[str, DataFrame], column: str, value: str) -> DataFrame:
+    """One row per aggregation rule: its name and value. parts: a frame of one row for each rule."""
+    out = None
+    for rule, df in parts.items():
+        row = df.select(F.lit(rule).alias(column), F.col(value).cast("double").alias(value))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def panel_mean(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The mean of finite values, their number, and the detail: an array of group and value in order."""
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf"))
+    some = df.filter(finite)
+    return some.agg(F.avg(value).alias("mean"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list(F.struct(group, value))).alias("detail"))
+
+
+def ordered_models(df: DataFrame, model: str, stages: list[str], out: str = "place") -> DataFrame:
+    """df with the place of each model: the number of the first stage whose name it holds, else after all stages."""
+    place = F.coalesce(*[F.when(F.contains(F.lower(F.col(model)), F.lit(s.lower())), F.lit(k)) for k, s in enumerate(stages)], F.lit(len(stages)))
+    return df.withColumn(out, place)
+
+
+def baseline_views(df: DataFrame, views: list[tuple[str, str]], keys: list[str], model: str, value: str, baseline: str, order: str) -> DataFrame:
+    """The deltas against the baseline of each view (a probe and a split), one after the other."""
+    out = None
+    for probe, split in views:
+        part = baseline_delta(df.filter((F.col("probe") == probe) & (F.col("split") == split)), keys, model, value, baseline, order)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def side_by_side(df: DataFrame, task: str, model: str, value: str, order: str, models: list[str]) -> DataFrame:
+    """A row per task with the last value of each model, null where it has none."""
+    last = df.groupBy(task, model).agg(F.max_by(value, order).alias("_v"))
+    return last.groupBy(task).pivot(model, models).agg(F.first("_v"))
+
+
+def lift(df: DataFrame, score: str, value: str, baseline: str) -> DataFrame:
+    """df with lift: the value less that of the baseline score. One row for each score."""
+    base = df.filter(F.col(score) == baseline).select(F.col(value).alias("_b"))
+    # One row.
+    return df.join(F.broadcast(base), F.lit(True), "left").withColumn("lift", F.col(value) - F.col("_b")).drop("_b")
+
+
+def registry(tasks: DataFrame, metrics: dict[str, str], presets: dict[str, Column]) -> DataFrame:
+    """key, name, type, metric, preset: each task once for each preset that it belongs to. tasks: key, type; metrics: the headline metric of a type."""
+    metric = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in metrics.items()])
+    member = F.array_compact(F.array(*[F.when(c, F.lit(p)) for p, c in presets.items()]))
+    return tasks.select("key", F.initcap("key").alias("name"), "type", metric.alias("metric"), F.explode(member).alias("preset"))
+
+
+def task_families(kinds: DataFrame, modes: DataFrame, kind: str, mode: str, prefix: str) -> DataFrame:
+    """key, kind, mode: a task for each kind and mode, two small tables."""
+    both = kinds.select(kind).distinct().crossJoin(F.broadcast(modes.select(mode).distinct()))
+    return both.select(F.concat_ws("_", F.lit(prefix), F.lower(F.regexp_replace(kind, r"\s+", "_")), F.lower(F.regexp_replace(mode, r"\s+", "_"))).alias("key"), kind, mode)
+
+
 def movers(df: DataFrame, delta: str, k: int, dead: float = 1e-4) -> DataFrame:
     """The k largest lifts and the k largest losses beyond the dead band."""
     up = df.filter(F.col(delta) > dead).orderBy(F.desc(delta), *[c for c in df.columns if c != delta]).limit(k).withColumn("side", F.lit("lift"))

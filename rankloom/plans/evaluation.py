@@ -103,19 +103,23 @@ def ensemble_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(variants.ensemble_grid(assay(spark, d), "grp", "measured", ["score", "y"], 0.5), 5)
 
 
+#: Draws of the intervals.
+DRAWS = 1000
+
+
 def bootstrap_ci_mean(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d).select("doc_id", (F.col("y") == F.col("p")).cast("double").alias("hit"))
-    return rounded(bootstrap.mean_interval(p, "doc_id", "hit", 200, 42))
+    return rounded(bootstrap.mean_interval(p, "doc_id", "hit", bootstrap.draws(p.count(), DRAWS), 42))
 
 
 def bootstrap_half_width(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d).select("doc_id", (F.col("y") == F.col("p")).cast("double").alias("hit"))
-    return rounded(bootstrap.half_width(p, "doc_id", "hit", 200, 7))
+    return rounded(bootstrap.half_width(p, "doc_id", "hit", DRAWS, 7))
 
 
 def bootstrap_ci_metric(spark: SparkSession, d: str) -> DataFrame:
     both = lambda w: F.sum(w * F.col("y") * F.col("p"))
-    return rounded(bootstrap.metric_interval(predictions(spark, d), "doc_id", lambda w: 2 * both(w) / (F.sum(w * F.col("y")) + F.sum(w * F.col("p"))), 200, 42))
+    return rounded(bootstrap.metric_interval(predictions(spark, d), "doc_id", lambda w: 2 * both(w) / (F.sum(w * F.col("y")) + F.sum(w * F.col("p"))), DRAWS, 42))
 
 
 QUERIES = {f.__name__: f for f in (assay_leaderboard, spearman_per_group, assay_auc_per_group, pooled_auc, binary_auc_ap, confusion, class_metrics, per_class_f1, multilabel_f1, regression_block, regression_per_group, hash_split, group_split, stratified_folds, grouped_folds, within_group_split, sample_cap, topk_labels_multiclass, label_vocabulary, zscore_ensemble, ensemble_grid, bootstrap_ci_mean, bootstrap_half_width, bootstrap_ci_metric)}
@@ -126,8 +130,14 @@ _HASH = "(('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT)"
 _POISSON = " + ".join(f"(u >= {p})::INT" for p in bootstrap.POISSON)
 
 
+def weights_sql(seed: int, rows: str, key: str, draws: int) -> str:
+    """A common table w: rows with a replicate and its weight; four replicates share a hash."""
+    u = f"(('0x' || substr(md5('{seed}|' || x.{key} || '|' || (i.replicate // 4)), 1 + 8 * (i.replicate % 4), 8))::BIGINT)"
+    return f"w AS (SELECT *, {_POISSON} AS w FROM (SELECT x.*, i.replicate, {u} / 4294967296.0 AS u FROM {rows} x CROSS JOIN (SELECT unnest(range({draws}))::INT AS replicate) i))"
+
+
 def _weights(seed: int, rows: str) -> str:
-    return f"w AS (SELECT *, {_POISSON} AS w FROM (SELECT x.*, i.replicate, {_HASH.format(seed=seed, key=chr(120) + '.doc_id || chr(124) || i.replicate')} / 4294967296.0 AS u FROM {rows} x CROSS JOIN (SELECT unnest(range(200)) AS replicate) i))"
+    return weights_sql(seed, rows, "doc_id", DRAWS)
 
 
 SQL = {

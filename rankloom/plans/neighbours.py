@@ -24,26 +24,38 @@ def cosine_retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
     return rounded(similarity.recall_at(similarity.nearest(v, v, 30, "cosine", True), _labels(spark, d), [1, 10, 30]))
 
 
-def retrieval_map(spark: SparkSession, d: str) -> DataFrame:
+def _per_query(spark: SparkSession, d: str, ks: list[int]) -> DataFrame:
+    """Hits among the first neighbours, and the average precision of the whole ranking."""
     v = vectors(spark, d)
-    per = similarity.retrieval_per_query(similarity.nearest(v, v, 30, "cosine", True), _labels(spark, d), [1, 10])
-    return rounded(similarity.retrieval(per, [1, 10]))
+    first = similarity.retrieval_per_query(similarity.nearest(v, v, max(ks), "cosine", True), _labels(spark, d), ks).drop("ap")
+    return first.join(similarity.average_precision(v).select("query_id", "ap"), "query_id")
+
+
+def retrieval_map(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.retrieval(_per_query(spark, d, [1, 10]), [1, 10]))
 
 
 def retrieval_per_query(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return rounded(similarity.retrieval_per_query(similarity.nearest(v, v, 30, "cosine", True), _labels(spark, d), [1, 10, 30]))
+    return rounded(_per_query(spark, d, [1, 10, 30]))
 
 
 def retrieval_full_ap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(similarity.average_precision(vectors(spark, d)))
 
 
-def nn_transfer_levels(spark: SparkSession, d: str) -> DataFrame:
+def _transfer_sides(spark: SparkSession, d: str) -> tuple:
     c, a, h = (F.col("label") % 2).cast("string"), (F.col("label") % 5).cast("string"), F.col("label").cast("string")
     lv = lambda df: df.select("id", "vector", c.alias("c"), F.concat_ws(".", c, a).alias("a"), F.concat_ws(".", c, a, h).alias("h"))
     q, g = (lv(x) for x in _sides(spark, d))
-    return rounded(similarity.transfer_levels(similarity.nearest(q, g, 1, "euclidean"), q, g, ["c", "a", "h"]))
+    return similarity.nearest(q, g, 1, "euclidean"), q, g, ["c", "a", "h"]
+
+
+def transfer_judged(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.transfer_judged(*_transfer_sides(spark, d))
+
+
+def nn_transfer_levels(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.transfer_levels(*_transfer_sides(spark, d)))
 
 
 def knn_vote(spark: SparkSession, d: str) -> DataFrame:
@@ -62,10 +74,14 @@ def hard_triplets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shingled(df: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """id and kmers: the runs of n words of each text. The words are a column of their own, so that they are cut once."""
-    rows = df.select(F.col(key).alias("id"), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w")).filter(F.size("w") >= n)
-    each = rows.select("id", F.posexplode("w").alias("i", "a"), "w")
-    return each.filter(F.col("i") <= F.size("w") - n).select("id", F.concat_ws(" ", "a", *[F.get("w", F.col("i") + k) for k in range(1, n)]).alias("kmer")).groupBy("id").agg(F.collect_set("kmer").alias("kmers"))
+    """id and kmers: the runs of n words of each text, made within the row."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    rows = df.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") >= n)
+    # One word more each time: runs of two words and the word after them, and so on.
+    runs = F.slice("w", F.lit(1), F.size("w") - (n - 1))
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice("w", F.lit(1 + k), F.size("w") - (n - 1)), lambda a, b: F.concat_ws(" ", a, b))
+    return rows.select("id", runs.alias("kmers"))
 
 
 def _text_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +93,7 @@ def shared_kmer_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_hits(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(similarity.rank_hits(_text_hits(spark, d), "containment", 10))
+    return rounded(similarity.rank_hits(_text_hits(spark, d), "containment"))
 
 
 def best_hit(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +113,7 @@ def contamination_report(spark: SparkSession, d: str) -> DataFrame:
 def _hits_to_labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lab = table(spark, d, "labels")
     hits = _text_hits(spark, d).join(lab.select(F.col("doc_id").alias("target_id")), "target_id", "left_semi")
-    return similarity.rank_hits(hits, "containment", 10), table(spark, d, "benchmark").select(F.col("item_id").alias("id")), lab
+    return similarity.rank_hits(hits, "containment"), table(spark, d, "benchmark").select(F.col("item_id").alias("id")), lab
 
 
 def hit_label_transfer(spark: SparkSession, d: str) -> DataFrame:
@@ -150,20 +166,20 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, d: str) -> DataFrame:
-    c = pairs.contacts(_positions(spark, d), 8.0, 6, 30)
+    c = pairs.contacts(_positions(spark, d), 8.0, 6)
     return rounded(c.groupBy("protein").agg(F.count("*").alias("n"), F.count_if("contact").alias("n_contacts"), F.avg("distance").alias("mean_distance")))
 
 
 def precision_at_l(spark: SparkSession, d: str) -> DataFrame:
     p = _positions(spark, d)
-    c = pairs.contacts(p, 8.0, 6, 30).withColumn("score", F.round(100 * F.abs(F.sin(F.col("i") * 12.9 + F.col("j") * 78.2)), 3))
+    c = pairs.contacts(p, 8.0, 6).withColumn("score", F.round(100 * F.abs(F.sin(F.col("i") * 12.9 + F.col("j") * 78.2)), 3))
     lengths = p.groupBy("protein").agg(F.max("pos").alias("length"))
     per = pairs.precision_at(c, lengths, [1, 2, 5])
     return rounded(pairs.mean_or_zero(per, ["band", "part"], "precision"), 5)
 
 
 def apc(spark: SparkSession, d: str) -> DataFrame:
-    m = pairs.contacts(_positions(spark, d), 8.0, 6, 30).select("protein", "i", "j", F.col("distance").alias("score"))
+    m = pairs.contacts(_positions(spark, d), 8.0, 6).select("protein", "i", "j", F.col("distance").alias("score"))
     return rounded(pairs.average_product_correction(m).groupBy("protein").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean")), 5)
 
 
@@ -171,8 +187,9 @@ QUERIES = {f.__name__: f for f in (cosine_retrieval_recall, retrieval_map, retri
 
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _COSINE = f"{_E}, n AS (SELECT a.id AS q, b.id AS t, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id QUALIFY r <= 30)"
-_PER = f"""{_COSINE}, h AS (SELECT q, r, hit::INT AS h, sum(hit::INT) OVER (PARTITION BY q ORDER BY r) AS k FROM n), s AS (SELECT label, count(*) - 1 AS others FROM e GROUP BY 1),
-p AS (SELECT id AS query_id, others > 0 AS eligible, max(CASE WHEN r <= 1 THEN h ELSE 0 END) AS hit_1, max(CASE WHEN r <= 10 THEN h ELSE 0 END) AS hit_10, max(h) AS hit_30, CASE WHEN others > 0 THEN coalesce(sum(CASE WHEN h = 1 THEN k / r END), 0) / others ELSE 0 END AS ap FROM e JOIN s USING (label) JOIN h ON q = id GROUP BY id, others)"""
+_RANKED = f"{_E}, n AS (SELECT a.id AS q, b.id AS t, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id)"
+_PER = f"""{_RANKED}, h AS (SELECT q, r, hit::INT AS h, sum(hit::INT) OVER (PARTITION BY q ORDER BY r) AS k FROM n), s AS (SELECT label, count(*) - 1 AS others FROM e GROUP BY 1),
+p AS (SELECT id AS query_id, others > 0 AS eligible, max(CASE WHEN r <= 1 THEN h ELSE 0 END) AS hit_1, max(CASE WHEN r <= 10 THEN h ELSE 0 END) AS hit_10, max(CASE WHEN r <= 30 THEN h ELSE 0 END) AS hit_30, CASE WHEN others > 0 THEN coalesce(sum(CASE WHEN h = 1 THEN k / r END), 0) / others ELSE 0 END AS ap FROM e JOIN s USING (label) JOIN h ON q = id GROUP BY id, others)"""
 _KNN = f"{_E}, n AS (SELECT a.id AS query_id, b.label, b.id AS t, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r FROM e a JOIN e b ON a.id % 20 = 0 AND b.id % 20 <> 0 QUALIFY r <= 5)"
 _W = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
 _HITS = f"""bw AS (SELECT item_id AS id, {_W} AS w FROM benchmark), dw AS (SELECT doc_id AS id, {_W} AS w FROM documents),
@@ -182,25 +199,26 @@ nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1), nc AS (SELECT id, count(*) A
 hits AS (SELECT query_id, target_id, shared, shared / nb.n AS qcov, shared / nc.n AS tcov, shared / least(nb.n, nc.n) AS containment FROM (SELECT b.id AS query_id, c.id AS target_id, count(*) AS shared FROM b JOIN c ON b.k = c.k GROUP BY 1, 2) JOIN nb ON nb.id = query_id JOIN nc ON nc.id = target_id)"""
 _SHOWN = "query_id, target_id, shared, round(qcov, 6) AS qcov, round(tcov, 6) AS tcov, round(containment, 6) AS containment"
 _BEST = f"{_HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY containment DESC, query_id) AS r FROM hits WHERE containment >= 0.3 QUALIFY r = 1)"
-_LABELLED = f"{_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY containment DESC, target_id) AS r FROM hits WHERE target_id IN (SELECT doc_id FROM labels) QUALIFY r <= 10)"
+_LABELLED = f"{_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY containment DESC, target_id) AS r FROM hits WHERE target_id IN (SELECT doc_id FROM labels) QUALIFY r <= 300)"
 _RES = "v AS (SELECT vec_id AS protein, unnest(range(8)) AS pos, embedding AS e FROM embeddings), x AS (SELECT protein, pos, unnest(range(8)) AS i, e FROM v), d AS (SELECT protein, pos, i::INT AS i, e[pos * 8 + i + 1]::DOUBLE AS x FROM x)"
-_POS = "p AS (SELECT user_id AS protein, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS pos, value AS x, (props->>'$.k')::DOUBLE AS y, hour(ts)::DOUBLE AS z, event_type <> 'error' AS valid FROM events), c AS (SELECT a.protein, a.pos AS i, b.pos AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance FROM p a JOIN p b ON a.protein = b.protein AND b.pos BETWEEN a.pos + 6 AND a.pos + 30 WHERE a.valid AND b.valid)"
+_POS = "p AS (SELECT user_id AS protein, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS pos, value AS x, (props->>'$.k')::DOUBLE AS y, hour(ts)::DOUBLE AS z, event_type <> 'error' AS valid FROM events), c AS (SELECT a.protein, a.pos AS i, b.pos AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance FROM p a JOIN p b ON a.protein = b.protein AND b.pos >= a.pos + 6 WHERE a.valid AND b.valid)"
+
+LEVELS_SQL = """l AS (SELECT id, unnest(['c', 'a', 'h']) AS level, unnest([(label % 2)::VARCHAR, (label % 2) || '.' || (label % 5), (label % 2) || '.' || (label % 5) || '.' || label]) AS lab, id % 20 = 0 AS q FROM e),
+k AS (SELECT level, lab, count(*) AS n_all, count(*) FILTER (NOT q) AS n_look FROM l GROUP BY 1, 2)"""
 
 SQL = {
     "cosine_retrieval_recall": f"WITH {_COSINE}, f AS (SELECT q, min(r) AS f FROM n WHERE hit GROUP BY q) SELECT count(*) AS n, round(avg(coalesce(f <= 1, false)::INT), 6) AS recall_1, round(avg(coalesce(f <= 10, false)::INT), 6) AS recall_10, round(avg(coalesce(f <= 30, false)::INT), 6) AS recall_30 FROM e LEFT JOIN f ON q = id",
     "retrieval_map": f"WITH {_PER} SELECT count(*) AS n, count(*) FILTER (eligible) AS n_eligible, round(avg(ap), 6) AS map, round(avg(ap) FILTER (eligible), 6) AS map_eligible, round(avg(hit_1), 6) AS recall_1, round(avg(hit_1) FILTER (eligible), 6) AS recall_1_eligible, round(avg(hit_10), 6) AS recall_10, round(avg(hit_10) FILTER (eligible), 6) AS recall_10_eligible FROM p",
     "retrieval_per_query": f"WITH {_PER} SELECT query_id, eligible, hit_1, hit_10, hit_30, round(ap, 6) AS ap FROM p",
     "retrieval_full_ap": f"WITH {_E}, n AS (SELECT a.id AS q, (a.label = b.label)::INT AS h, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id), k AS (SELECT q, r, h, sum(h) OVER (PARTITION BY q ORDER BY r) AS k FROM n), s AS (SELECT label, count(*) - 1 AS others FROM e GROUP BY 1) SELECT id AS query_id, others > 0 AS eligible, round(CASE WHEN others > 0 THEN coalesce(sum(CASE WHEN h = 1 THEN k / r END), 0) / others ELSE 0 END, 6) AS ap FROM e JOIN s USING (label) JOIN k ON q = id GROUP BY id, others",
-    "nn_transfer_levels": f"""WITH {_KNN}, l AS (SELECT id, unnest(['c', 'a', 'h']) AS level, unnest([(label % 2)::VARCHAR, (label % 2) || '.' || (label % 5), (label % 2) || '.' || (label % 5) || '.' || label]) AS lab, id % 20 = 0 AS q FROM e),
-k AS (SELECT level, lab, count(*) AS n_all, count(*) FILTER (NOT q) AS n_look FROM l GROUP BY 1, 2)
-SELECT a.level, count(*) FILTER (n_all > 1) AS n_answerable, count(*) FILTER (n_look > 0) AS n_strict, round(coalesce(avg((a.lab = b.lab)::INT) FILTER (n_all > 1), 0), 6) AS accuracy FROM l a JOIN n ON n.query_id = a.id AND r = 1 JOIN l b ON b.id = n.t AND b.level = a.level JOIN k ON k.level = a.level AND k.lab = a.lab WHERE a.q GROUP BY 1""",
+    "nn_transfer_levels": f"""WITH {_KNN}, {LEVELS_SQL} SELECT a.level, count(*) FILTER (n_all > 1) AS n_answerable, count(*) FILTER (n_look > 0) AS n_strict, round(coalesce(avg((a.lab = b.lab)::INT) FILTER (n_all > 1), 0), 6) AS accuracy FROM l a JOIN n ON n.query_id = a.id AND r = 1 JOIN l b ON b.id = n.t AND b.level = a.level JOIN k ON k.level = a.level AND k.lab = a.lab WHERE a.q GROUP BY 1""",
     "knn_vote": f"WITH {_KNN}, c AS (SELECT query_id, label, count(*) AS k FROM n GROUP BY 1, 2) SELECT query_id, label AS predicted FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, label) = 1",
     "knn_regression": f"WITH {_KNN} SELECT query_id, round(avg(label), 6) AS predicted FROM n GROUP BY 1",
     "hard_triplets": f"""WITH {_E}, d AS (SELECT a.id AS anchor, b.id AS o, a.label = b.label AS same, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id // 64 = b.id // 64 AND a.id <> b.id),
 p AS (SELECT anchor, o, d FROM d WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY d DESC, o) = 1), n AS (SELECT anchor, o, d FROM d WHERE NOT same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY d, o) = 1)
 SELECT anchor, p.o AS positive, n.o AS negative, round(p.d, 5) AS d_positive, round(n.d, 5) AS d_negative FROM p JOIN n USING (anchor)""",
     "shared_kmer_hits": f"WITH {_HITS} SELECT {_SHOWN} FROM hits",
-    "ranked_hits": f"WITH {_HITS} SELECT {_SHOWN}, row_number() OVER (PARTITION BY query_id ORDER BY hits.containment DESC, target_id)::INT AS rank FROM hits QUALIFY rank <= 10",
+    "ranked_hits": f"WITH {_HITS} SELECT {_SHOWN}, row_number() OVER (PARTITION BY query_id ORDER BY hits.containment DESC, target_id)::INT AS rank FROM hits QUALIFY rank <= 300",
     "best_hit": f"WITH {_BEST} SELECT {_SHOWN} FROM best",
     "decontaminate": f"WITH {_BEST} SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT target_id FROM best)",
     "contamination_report": f"WITH {_BEST}, t AS (SELECT 'task' || (query_id % 3) AS task, target_id FROM best) SELECT task, count(DISTINCT target_id) AS n_leaking, round(count(DISTINCT target_id) * 100.0 / (SELECT count(*) FROM documents), 6) AS percent FROM t GROUP BY GROUPING SETS ((task), ())",

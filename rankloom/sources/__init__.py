@@ -33,8 +33,39 @@ def write_stop_list(df: DataFrame, path: str, key: str = "id") -> None:
 
 
 def header_fields(df: DataFrame, header: str) -> DataFrame:
-    """fields: the header's tokens `K=V` as a map with keys in lower case."""
-    return df.withColumn("fields", F.str_to_map(F.lower(header), F.lit(" "), F.lit("=")))
+    """fields: the header's tokens `K=V` as a map; other tokens have no value."""
+    return df.withColumn("fields", F.str_to_map(header, F.lit(" "), F.lit("=")))
+
+
+def header_split(df: DataFrame, header: str) -> DataFrame:
+    """split of a header's tokens SET and VALIDATION: test, else validation where that is true, else train."""
+    at = lambda key: F.lower(F.try_element_at("fields", F.lit(key)))
+    return header_fields(df, header).withColumn("split", F.when(at("SET") == "test", "test").when(at("VALIDATION") == "true", "validation").otherwise("train")).drop("fields")
+
+
+def read_variants(spark: SparkSession, path: str, columns: list[str], assay: str | None = None, value=None) -> DataFrame:
+    """The columns wanted of a variant table in parquet, of one assay where its column and value are given: both reach the scan."""
+    rows = spark.read.parquet(path)
+    return (rows if assay is None else rows.filter(F.col(assay) == value)).select(*columns)
+
+
+def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An assay reference: delimited text with a header, read with a given schema."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def stop_union(*lists: DataFrame, key: str = "id") -> DataFrame:
+    """The distinct ids of several stop lists."""
+    out = lists[0].select(key)
+    for other in lists[1:]:
+        out = out.unionByName(other.select(key))
+    return out.distinct()
+
+
+def newest_named(df: DataFrame, name: str, path: str, time: str, legacy: str = "_results") -> DataFrame:
+    """The rows of the newest of the files that are called name, or name and the legacy ending (without their type)."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+    return newest(df.filter(stem.isin(name, name + legacy)).withColumn("_name", F.lit(name)), ["_name"], path, time).drop("_name")
 
 
 def read_label_list(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
@@ -91,23 +122,29 @@ def with_file(df: DataFrame) -> DataFrame:
 
 
 def append_results(spark: SparkSession, new: DataFrame, path: str, recovery: str, keys: list[str], order: str) -> str:
-    """Merges new rows into a result table of parquet, partitioned by Model, and returns the path written. If the old table can't be read, the new rows go to the recovery path instead."""
-    from pyspark.errors import AnalysisException
+    """Merges new rows into a result table of parquet, partitioned by Model, and returns the path written. If the old rows can't be read, the new ones go to the recovery path instead, and the old files stay as they are.
+
+    The merged rows are staged in full before a partition of the table is replaced, and the staged copy goes afterwards; a run that ends between leaves it for the next.
+    """
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     from rankloom.operators.warehouse import merge_new
 
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = f"{path}_staged"
+    if not files.exists(hadoop(path)):
         new.write.partitionBy("Model").parquet(path)
         return path
     try:
         old = spark.read.parquet(path)
-    except AnalysisException:
+        touched = new.select("Model").distinct()
+        # Old files are read here: a damaged one shows now or never.
+        merge_new(old.join(touched, "Model", "left_semi"), new, keys, order).write.mode("overwrite").parquet(staged)
+    except (PySparkException, Py4JJavaError):
         new.write.mode("append").parquet(recovery)
         return recovery
-    touched = new.select("Model").distinct()
-    merged = merge_new(old.join(touched, "Model", "left_semi"), new, keys, order)
-    staged = f"{path}_staged"
-    merged.write.mode("overwrite").parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Model").parquet(path)
+    files.delete(hadoop(staged), True)
     return path
