@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of bytes inside words (with the blanks at their edges), each present or
 not. A pass over a bounded sample of the labelled documents counts, per bucket, the toxic and the other
-documents that have it. The most telling buckets stay; each is scaled by its log-count ratio, and a
+documents that have it. The most telling buckets stay, few enough that a sample of some thousand documents supports them; each is scaled by its log-count ratio, and a
 logistic regression is fitted on the scaled features of the same sample. A score is the sigmoid of the summed
 weights of the buckets present in the whole text.
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import about, add_columns, documents, fold, slices, text_of, utf8
 
 #: Lengths of the n-grams in bytes, log2 of the buckets, buckets that stay, least documents of a bucket.
-LENGTHS, BUCKET_BITS, FEATURES, LEAST = (4, 5, 6), 18, 3000, 4
+LENGTHS, BUCKET_BITS, FEATURES, LEAST = (5, 6, 7), 20, 1000, 4
 #: Labelled documents that the model is fitted on, about (whole texts); smoothing of counts; L2 penalty; steps; their length.
-SAMPLE, ALPHA, PENALTY, STEPS, RATE = 20_000, 1.0, 1e-4, 250, 0.3
+SAMPLE, ALPHA, PENALTY, STEPS, RATE = 20_000, 1.0, 1e-2, 250, 0.3
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 
 _SPACE = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
@@ -103,14 +103,11 @@ def fit(rows: DataFrame, features: int = FEATURES) -> dict:
     if not yes or not no:
         share = yes / max(1, yes + no)
         return {"lookup": lookup, "weights": np.zeros(1), "bias": float(np.log((share + 1e-6) / (1 - share + 1e-6)))}
-    # The number of buckets is fixed, so these counts are bounded.
-    counts = _class_counts(rows).filter(F.col("yes") + F.col("no") >= LEAST).toPandas()
-    p, q = (counts["yes"].to_numpy() + ALPHA) / (yes + 2 * ALPHA), (counts["no"].to_numpy() + ALPHA) / (no + 2 * ALPHA)
-    ratio = np.log(p / q)
-    telling = (p - q) * ratio
-    best = np.argsort(-telling, kind="stable")[:features]
-    lookup[counts["bucket"].to_numpy()[best]] = np.arange(len(best))
-    ratio = ratio[best]
+    p, q = (F.col("yes") + ALPHA) / (yes + 2 * ALPHA), (F.col("no") + ALPHA) / (no + 2 * ALPHA)
+    counts = _class_counts(rows).filter(F.col("yes") + F.col("no") >= LEAST).select("bucket", F.log(p / q).alias("ratio"), ((p - q) * F.log(p / q)).alias("telling"))
+    best = counts.orderBy(F.desc("telling"), "bucket").limit(features).toPandas()
+    lookup[best["bucket"].to_numpy(np.int64)] = np.arange(len(best))
+    ratio = best["ratio"].to_numpy(float)
     held = rows.sparkSession.sparkContext.broadcast(lookup)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +118,12 @@ def fit(rows: DataFrame, features: int = FEATURES) -> dict:
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(f.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("label"), lists], ["label", "f"])
 
-    taken = rows.select("label", "text").mapInArrow(extract, "label int, f array<int>").toPandas()
-    size = taken["f"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(taken)), size)
-    feature = np.concatenate([np.zeros(0, np.int64), *taken["f"]]).astype(np.int64)
-    weights, bias = _regress(row, feature, ratio, taken["label"].to_numpy().astype(float))
+    # The sample's features alone reach the driver, as flat arrays.
+    taken = rows.select("label", "text").mapInArrow(extract, "label int, f array<int>").toArrow().combine_chunks()
+    label, lists = taken.column("label").to_numpy().astype(float), taken.column("f")
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in lists.chunks)])
+    feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists.chunks)])
+    weights, bias = _regress(np.repeat(np.arange(len(label)), size), feature, ratio, label)
     return {"lookup": lookup, "weights": weights * ratio, "bias": bias}
 
 
