@@ -3,7 +3,7 @@
 Each language's most frequent byte n-grams, save those far more frequent in another language, go into
 a Bloom filter. The filters of all languages are
 bit-sliced: one table whose slot holds a bit for each language, so the slots of an n-gram, ANDed,
-give the mask of all languages that have it. A text's masks are counted per language, each count is
+give the mask of all languages that have it; more languages than a slot has bits take several such tables. A text's masks are counted per language, each count is
 corrected for the filter's false positives (hits = true + (grams - true) * rate), and the largest decides.
 
 Defined results: a text that is null, empty or without a letter is `und` with score 0; ties go to the
@@ -26,6 +26,8 @@ from rankloom.llm.common import about, add_columns, documents, fold, mix, slices
 UNKNOWN = "und"
 #: Lengths in bytes of the n-grams; n-grams kept for a language; slots of the table; hash functions.
 LENGTHS, TOP, SLOTS_BITS, HASHES = (3, 4), 20_000, 20, 3
+#: Languages of a table: the bits of its widest slot.
+WIDTH = 64
 #: Training documents of a language, about (whole texts).
 SAMPLE = 2500
 #: A language has an n-gram if its frequency there is at least this part of its frequency anywhere.
@@ -62,7 +64,7 @@ def _slots(h: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, top: int = TOP) -> dict:
-    """The model: languages in order, the bit-sliced table, and each language's rate of false positives. At most 64 languages."""
+    """The model: languages in order, the bit-sliced tables (each for WIDTH languages at most), and each language's rate of false positives."""
     known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
     rows = about(known, "doc_id", sample, label).select(F.col(label).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -80,29 +82,30 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, top: int = T
     counts = counts.withColumn("rate", rate).withColumn("most", F.max("rate").over(W.partitionBy("gram"))).filter(F.col("rate") >= PART * F.col("most"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = counts.withColumn("r", rank).filter(F.col("r") <= top).groupBy("lang").agg(F.collect_list("gram").alias("grams")).orderBy("lang").collect()
-    if len(best) > 64:
-        raise ValueError(f"{len(best)} languages; a mask holds 64")
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(best) <= bits)
-    table = np.zeros(1 << SLOTS_BITS, kind)
-    for k, row in enumerate(best):
-        for s in _slots(np.array(row["grams"], np.int64).astype(np.uint64)):
-            table[s] |= kind(1 << k)
-    rates = [float(np.mean((table >> kind(k)) & kind(1)) ** HASHES) for k in range(len(best))]
-    return {"languages": [r["lang"] for r in best], "table": table, "rates": rates}
+    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, WIDTH)) if len(best) <= bits or bits == WIDTH)
+    tables, rates = [], []
+    for start in range(0, len(best), WIDTH):
+        table = np.zeros(1 << SLOTS_BITS, kind)
+        for k, row in enumerate(best[start : start + WIDTH]):
+            for s in _slots(np.array(row["grams"], np.int64).astype(np.uint64)):
+                table[s] |= kind(1 << k)
+        rates += [float(np.mean((table >> kind(k)) & kind(1)) ** HASHES) for k in range(len(best[start : start + WIDTH]))]
+        tables.append(table)
+    return {"languages": [r["lang"] for r in best], "tables": tables, "rates": rates}
 
 
 def scores(texts: pa.Array, model: dict) -> tuple[list[str], np.ndarray]:
     """Each text's language and the share of its n-grams that this language truly has."""
-    languages, table = model["languages"], model["table"]
+    languages = model["languages"]
     hits, total = np.zeros((len(texts), max(1, len(languages)))), np.zeros(len(texts))
     for h, at in grams(texts):
-        mask = None
-        for s in _slots(h):
-            mask = table[s] if mask is None else mask & table[s]
         total += np.diff(at)
-        for k in range(len(languages)):
-            sums = np.concatenate([[0], np.cumsum((mask >> table.dtype.type(k)) & table.dtype.type(1), dtype=np.int64)])
-            hits[:, k] += sums[at[1:]] - sums[at[:-1]]
+        slots = list(_slots(h))
+        for no, table in enumerate(model["tables"]):
+            mask = np.bitwise_and.reduce([table[s] for s in slots])
+            for k in range(min(WIDTH, len(languages) - no * WIDTH)):
+                sums = np.concatenate([[0], np.cumsum((mask >> table.dtype.type(k)) & table.dtype.type(1), dtype=np.int64)])
+                hits[:, no * WIDTH + k] += sums[at[1:]] - sums[at[:-1]]
     rates = np.array(model["rates"] or [0.0])
     share = np.clip((hits / np.maximum(total, 1)[:, None] - rates) / (1 - rates), 0, 1)
     best = share.argmax(1)
