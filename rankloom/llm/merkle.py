@@ -3,8 +3,9 @@
 A text's sections are its lines; a section's paragraphs are its runs up to a sign followed by white
 space, 48 characters at most, as many texts have no other breaks. A paragraph's hash is the SHA-256 of its
 text, a section's that of its paragraphs' hashes, the root's that of its sections' hashes. Equal roots
-mean equal texts; where roots differ, the sections that differ locate the edits, and within them the
-paragraphs. The fingerprint holds the whole root, 16 digits of each section and 8 of each paragraph:
+mean equal texts; where roots differ, the sections whose hash the other text lacks locate the edits (an inserted
+section moves the others, and is found alone), and within them the
+paragraphs. The fingerprint holds the whole root in hexadecimal, and in base 64 the first 48 bits of each section and 24 of each paragraph:
 `root|section:paragraphs;section:paragraphs...`.
 
 Defined results: null text counts as empty, with one section without paragraphs; repeated rows are
@@ -13,6 +14,8 @@ documents of their own that follow each other; rows without id come after all ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,17 @@ from rankloom.llm.common import documents
 PARAGRAPH = r"(?s).{0,46}?[^\p{L}\p{N}\s](?:\s+|$)|.{1,48}(?:\s+|$)|.{1,48}"
 
 
+#: Bytes of text of a bucket, about; buckets at most (beyond that they grow: rows pass through one sorted, none of them held).
+BUCKET_BYTES, BUCKETS_MOST = 24 << 20, 1 << 16
+#: Hexadecimal digits of a section's and of a paragraph's hash that a fingerprint keeps.
+SECTION_DIGITS, PARAGRAPH_DIGITS = 12, 6
+
+
+def short(hash_: Column, digits: int) -> Column:
+    """The first digits of a hexadecimal hash in base 64, which takes two thirds of the signs."""
+    return F.base64(F.unhex(F.substring(hash_, 1, digits)))
+
+
 def tree(text: Column) -> Column:
     """The paragraphs' hashes, by section."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
@@ -32,18 +46,18 @@ def tree(text: Column) -> Column:
 def fingerprint(leaves: Column) -> Column:
     """The fingerprint of a tree()."""
     sections = F.transform(leaves, lambda x: F.sha2(F.concat_ws("", x), 256))
-    parts = F.transform(F.arrays_zip(sections.alias("s"), leaves.alias("p")), lambda z: F.concat(F.substring(z["s"], 1, 16), F.lit(":"), F.concat_ws("", F.transform(z["p"], lambda h: F.substring(h, 1, 8)))))
+    parts = F.transform(F.arrays_zip(sections.alias("s"), leaves.alias("p")), lambda z: F.concat(short(z["s"], SECTION_DIGITS), F.lit(":"), F.concat_ws("", F.transform(z["p"], lambda h: short(h, PARAGRAPH_DIGITS)))))
     return F.concat(F.sha2(F.concat_ws("", sections), 256), F.lit("|"), F.concat_ws(";", parts))
 
 
 def leaves_of(tree_: Column) -> Column:
-    """The distinct paragraphs of a tree(), by 8 digits."""
-    return F.array_distinct(F.transform(F.flatten(tree_), lambda h: F.substring(h, 1, 8)))
+    """The distinct paragraphs of a tree(), as a fingerprint keeps them."""
+    return F.array_distinct(F.transform(F.flatten(tree_), lambda h: short(h, PARAGRAPH_DIGITS)))
 
 
 def leaves(print_: Column) -> Column:
     """The same from a fingerprint."""
-    every = F.regexp_extract_all(F.regexp_replace(print_, "^[^|]*[|]|[0-9a-f]{16}:|;", ""), F.lit("[0-9a-f]{8}"), F.lit(0))
+    every = F.regexp_extract_all(F.regexp_replace(print_, "^[^|]*[|]|[A-Za-z0-9+/]{8}:|;", ""), F.lit("[A-Za-z0-9+/]{4}"), F.lit(0))
     return F.array_distinct(every)
 
 
@@ -55,11 +69,11 @@ def likeness(a: Column, b: Column, x: Column | None = None, y: Column | None = N
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers (from 1) of the sections in which two fingerprints differ, place by place; empty if the roots are equal."""
+    """A struct of removed and added: numbers (from 1) of the sections of a that b lacks, and of those of b that a lacks, whatever their places; both empty if the roots are equal, or if the same sections stand in another order or number."""
     x, y = F.split(F.substring_index(a, "|", -1), ";"), F.split(F.substring_index(b, "|", -1), ";")
-    places = F.sequence(F.lit(1), F.greatest(F.size(x), F.size(y)))
-    found = F.filter(places, lambda i: ~F.try_element_at(x, i).eqNullSafe(F.try_element_at(y, i)))
-    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.array().cast("array<int>")).otherwise(found)
+    lacking = lambda of, other: F.filter(F.sequence(F.lit(1), F.size(of)), lambda i: ~F.array_contains(other, F.element_at(of, i)))
+    same, none = F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.array().cast("array<int>")
+    return F.struct(F.when(same, none).otherwise(lacking(x, y)).alias("removed"), F.when(same, none).otherwise(lacking(y, x)).alias("added"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -71,11 +85,12 @@ def _bucket(doc_id: str, bounds: list[int]) -> Column:
     """How many of the ordered bounds are at most doc_id, found in two steps; -1 without id."""
     if not bounds:
         return F.when(F.col(doc_id).isNull(), -1).otherwise(0)
-    groups = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    step = max(64, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     below = lambda array: F.size(F.filter(array, lambda b: b <= F.col(doc_id)))
     group = below(F.array(*[F.lit(g[0]) for g in groups]))
     own = F.element_at(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), F.greatest(group, F.lit(1)))
-    return F.when(F.col(doc_id).isNull(), -1).when(group == 0, 0).otherwise((group - 1) * 64 + below(own))
+    return F.when(F.col(doc_id).isNull(), -1).when(group == 0, 0).otherwise((group - 1) * step + below(own))
 
 
 def _printed(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -93,7 +108,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     least = F.lit(-(1 << 63))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if buckets is None:
-        buckets = min(4096, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(1, min(BUCKETS_MOST, size // BUCKET_BYTES + 1))
     cuts = [i / buckets for i in range(1, buckets)]
     found = rows.agg(F.percentile_approx("doc_id", cuts, 20 * buckets)).first()[0] if cuts else None
     rows = rows.withColumn("bucket", _bucket("doc_id", sorted(set(found or [])))).withColumn("h", F.xxhash64("text"))
@@ -105,7 +121,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     after = after.select("b", F.col("f.doc_id").alias("i"), F.col("f.h").alias("h"))
     head = rows.withColumn("i", F.coalesce("doc_id", least)).join(F.broadcast(after), ["i", "h"]).select("b", "text").dropDuplicates(["b"])
     head = _printed(head, "text", "own").select("b", F.struct("text", "own").alias("head"))
-    chained = _printed(rows.repartition("bucket"), "text", "own")
+    chained = _printed(rows.repartition(buckets, "bucket"), "text", "own")
     order = W.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("h"))
     chained = chained.withColumn("next", F.lead(F.struct("text", "own")).over(order))
     joined = chained.join(head, (F.col("bucket") == F.col("b")) & F.col("next").isNull(), "left").withColumn("next", F.coalesce("next", "head"))
