@@ -9,7 +9,8 @@ window, which gives the chance that a pair at the threshold is missed there (tak
 crowd). Vectors whose chance over all passes is above MISS stay open: rounds of fresh passes go over them
 alone, and those still open after ROUNDS are compared in full within their label, block by block. So a link is
 missed only if one of its ends was closed by that estimate. The passes only have to connect a component; the
-links of its vectors are then counted in full, block by block.
+links of its vectors are then counted in full, block by block. A component's vectors lie in shells by their angle to
+one of them, each as wide as the angle at the threshold: linked vectors lie in one shell or in two that adjoin, so no others are compared.
 
 Defined results: vectors that are null, zero, or hold null or non-finite parts, and those without label,
 link with nothing; vectors of different length don't link. Repeated rows count as vectors of their own.
@@ -71,7 +72,7 @@ def _coded(vectors: DataFrame, passes: int, no: int) -> DataFrame:
                     code = up[:, p * SIGNS : (p + 1) * SIGNS] @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), *part.columns, pa.array(code)], ["pass", *part.schema.names, "code"])
 
-    return vectors.mapInArrow(run, "pass int, rep bigint, label bigint, dims int, vector array<double>, code bigint")
+    return vectors.mapInArrow(run, f"pass int, rep bigint, label bigint, dims int, vector {dict(vectors.dtypes)['vector']}, code bigint")
 
 
 def _log_missed(key: np.ndarray, code: np.ndarray, a: int, b: int, window: int, threshold: float, starts: bool, ends: bool) -> np.ndarray:
@@ -184,23 +185,53 @@ def _links(classes: DataFrame, threshold: float, window: int, passes: int, block
     return told.filter("dst is not null").select("src", "dst").unionByName(_all_links(left, threshold, block))
 
 
+def _shelled(member: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The vectors of each two blocks i and j that are to be compared: of one shell (side 0, or of the two blocks 0 and 1), or of a shell (side 0) and the next one (side 1; across is 1)."""
+    v = F.col("vector")
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    pivot = member.filter("rep = component").select("component", v.alias("p"))
+    both = member.join(pivot, "component")
+    cosine = F.aggregate(F.zip_with("vector", "p", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) / (length(v) * length(F.col("p")))
+    # A little wider than the angle, for what rounding does to it.
+    shell = F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / (math.acos(threshold) + 1e-6)).cast("int")
+    dealt = reliable(_in_blocks(both.withColumn("shell", shell).drop("p"), ["component", "shell"], block))
+    keys = ["component", "shell"]
+    own = _explained(dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), F.least("block", "o"), F.greatest("block", "o"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1), 0)
+    sizes = dealt.select(*keys, "blocks").distinct()
+    after = dealt.join(sizes.select("component", (F.col("shell") - 1).alias("shell"), F.col("blocks").alias("others")), keys)
+    before = dealt.join(sizes.select("component", (F.col("shell") + 1).alias("shell"), F.col("blocks").alias("others")), keys)
+    each = lambda df: df.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).drop("others")
+    low = _explained(each(after), F.col("block"), F.col("o"), F.lit(0), 1)
+    high = _explained(each(before).withColumn("shell", F.col("shell") - 1), F.col("o"), F.col("block"), F.lit(1), 1)
+    every = own.unionByName(low).unionByName(high)
+    return every.repartition(*PLACE).sortWithinPartitions(*PLACE, "rep")
+
+
+#: Where two blocks meet.
+PLACE = ["component", "shell", "across", "i", "j"]
+
+
+def _explained(rows: DataFrame, i: F.Column, j: F.Column, side: F.Column, across: int) -> DataFrame:
+    return rows.select("component", "shell", F.lit(across).alias("across"), i.alias("i"), j.alias("j"), side.alias("side"), "rep", "copies", "dims", "vector")
+
+
 def _counted(blocks: DataFrame, threshold: float) -> DataFrame:
-    """rep, links: of each pair of blocks, the linked vectors of the other block (or of the same one), copies included."""
+    """rep, links: where two blocks meet, the linked vectors of the other block (or of the same one), copies included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["component", "i", "j"]):
-            key = np.stack([table.column(c).to_numpy() for c in ("component", "i", "j")], 1)
+        for table in runs(batches, PLACE):
+            key = np.stack([table.column(c).to_numpy() for c in PLACE], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(table)]
-            rep, block, copies = (table.column(c).to_numpy() for c in ("rep", "block", "copies"))
+            rep, side, copies = (table.column(c).to_numpy() for c in ("rep", "side", "copies"))
             links = np.zeros(len(table), np.int64)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 x = _matrix(table.column("vector").slice(a, b - a), int(table.column("dims")[a].as_py()))
-                own, n = block[a:b], copies[a:b]
+                own, n = side[a:b], copies[a:b]
                 for s in range(0, b - a, CHUNK):
                     e = min(b - a, s + CHUNK)
                     near = x[s:e] @ x.T >= threshold
                     near[np.arange(e - s), np.arange(s, e)] = False
-                    if key[a, 1] != key[a, 2]:
+                    if key[a, 2] or key[a, 3] != key[a, 4]:
                         near &= own[s:e, None] != own
                     links[a + s : a + e] = near @ n
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], ["rep", "links"])
@@ -210,7 +241,7 @@ def _counted(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, passes: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept from rows with vec_id, embedding and label."""
-    rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<float>" if dict(df.dtypes)["embedding"] == "array<float>" else "array<double>").alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & _usable("vector"), F.lit(False)))
     good = rows.filter("ok").select("vec_id", "label", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
     keys = ["label", "h1", "h2"]
@@ -221,7 +252,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, window: int = WIND
         passes = passes_for(largest or 1, threshold, window)
     found = components(reliable(_links(classes, threshold, window, passes, block)))
     member = classes.join(found.withColumnRenamed("node", "rep"), "rep").select("component", "rep", "copies", "dims", "vector")
-    counts = _counted(_block_pairs(_in_blocks(member, ["component"], block), ["component"]), threshold).groupBy("rep").agg(F.sum("links").alias("links"))
+    counts = _counted(_shelled(member, threshold, block), threshold).groupBy("rep").agg(F.sum("links").alias("links"))
     judged = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     judged = judged.select(*keys, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     linked = good.select("vec_id", *keys).join(judged, keys).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
