@@ -36,7 +36,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of a group, about; the group's memory and time are bounded by it.
 GROUP_PIECES = 20_000
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 3, 6, 24
+ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 12
 #: Bins at least so full are handed on whole by crossover.
 WELL_FILLED = 0.995
 #: A turn after which more than this part of its pieces is left is the last one.
