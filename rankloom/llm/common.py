@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -26,10 +27,12 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that the session names (a temporary one only where none is named, as in tests)."""
+    """Cuts the lineage with a checkpoint in the shared folder that the session names. Where none is named, as in tests, a temporary one will do in a local session; on a cluster that is an error, as other machines would not see it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
