@@ -1,5 +1,6 @@
 """The operators of llm against brute force, round trips and edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -192,7 +193,39 @@ def test_merkle(spark, edges):
     df = spark.createDataFrame([("a one. b two.\nc three.", "a one. b two.\nc four."), ("same", "same"), (None, "")], "a string, b string")
     p = df.select(merkle.fingerprint(merkle.tree(F.col("a"))).alias("a"), merkle.fingerprint(merkle.tree(F.col("b"))).alias("b"))
     rows = p.select(merkle.likeness(F.col("a"), F.col("b")).alias("l"), merkle.differing_sections(F.col("a"), F.col("b")).alias("d")).collect()
-    assert (rows[0].l, rows[0].d) == (pytest.approx(2 * 2 / 6), [2]) and (rows[1].l, rows[1].d) == (1.0, []) and rows[2].l == 1.0
+    assert (rows[0].l, rows[0].d) == (pytest.approx(2 * 2 / 6), ([2], [2])) and (rows[1].l, rows[1].d) == (1.0, ([], [])) and rows[2].l == 1.0
+
+
+def test_merkle_trees_by_hand(spark, tmp_path):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    cut = re.compile(r"(?s).{0,46}?(?:[^\w\s]|_)(?:\s+|$)|.{1,48}(?:\s+|$)|.{1,48}")
+    short = lambda h, n: base64.b64encode(bytes.fromhex(h[:n])).decode()
+
+    def by_hand(text):
+        tree = [[sha(p) for p in cut.findall(line)] for line in text.split("\n")]
+        sections = [sha("".join(x)) for x in tree]
+        return sha("".join(sections)) + "|" + ";".join(short(s, 12) + ":" + "".join(short(h, 6) for h in x) for s, x in zip(sections, tree, strict=True))
+
+    rows = [(i, t) for i, t in enumerate(prose(40))] + [(50, None), (51, ""), (52, "one line.\n\nthree lines, and more"), (53, "word " * 5000), (54, "x" * 20_000)]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], f"{SCHEMA}, bucket string, own int")
+    got = {r.doc_id: r for r in merkle.fingerprints(df).collect()}
+    assert all(got[i].fingerprint == by_hand(t or "") for i, t in rows)
+    # An inserted line is located, whatever it does to the places of the others.
+    a, b = "first line.\nsecond one.\nthird.", "first line.\nnew here.\nsecond one.\nthird."
+    p = spark.createDataFrame([(a, b)], "a string, b string").select(*[merkle.fingerprint(merkle.tree(F.col(c))).alias(c) for c in "ab"])
+    assert p.select(merkle.differing_sections(F.col("a"), F.col("b"))).first()[0] == ([], [2])
+    # The query itself: edited texts and likeness, in descending order of ids.
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in merkle.op5_merkle_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert out[i].n_chars == len(t) and out[i].edited_sha256 == sha(edited)
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (by_hand(t), by_hand(edited))
+        assert (out[i].near_edited == 1.0) == (t == edited) and 0 <= out[i].near_next <= 1
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert merkle.op5_merkle_fingerprints(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_classifiers(spark, edges):
