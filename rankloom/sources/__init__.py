@@ -93,8 +93,9 @@ def load_splits(spark: SparkSession, files: dict[str, str], columns: list[str],
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines; lines that can't be read go."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    rows = spark.read.schema(T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
+    parsed = F.from_json("value", T.StructType([*kind.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("_r"))
+    return rows.filter(F.col("_r").isNotNull() & F.col("_r._bad").isNull()).select("_r.*").drop("_bad")
 
 
 def append_records(df: DataFrame, path: str) -> None:

@@ -15,25 +15,29 @@ def one(df):
 
 
 def test_hits_are_filtered_by_identity_and_coverage(spark):
-    rows = [("t1", "CLEAR", 0.95, 0.99, 0.99), ("t2", "PARTIAL", 0.91, 0.20, 0.95), ("t3", "REMOTE", 0.10, 0.99, 0.99), ("t4", "CLEAR", 0.40, 0.99, 0.99)]
+    rows = [("q7", "near", 0.62, 0.85, 0.90), ("q9", "near", 0.70, 0.81, 0.99), ("q7", "short", 0.88, 0.97, 0.35), ("q8", "far", 0.22, 0.95, 0.91), ("q9", "far", 0.22, 0.99, 0.99), ("q7", "none", 0.05, 0.10, 0.10)]
     hits = spark.createDataFrame(rows, "query_id string, target_id string, fident double, qcov double, tcov double")
     found = lambda i, c: {r.target_id: (r.query_id, r.fident) for r in similarity.strongest_per_target(hits, "fident", i, c).collect()}
-    assert found(0.3, 0.8) == {"CLEAR": ("t1", 0.95)}
-    assert set(found(0.05, 0.8)) == {"CLEAR", "REMOTE"}
-    assert set(found(0.3, 0.1)) == {"CLEAR", "PARTIAL"}
+    assert found(0.5, 0.8) == {"near": ("q9", 0.70)}
+    # Of equally strong queries the first by id.
+    assert found(0.2, 0.8) == {"near": ("q9", 0.70), "far": ("q8", 0.22)}
+    assert set(found(0.5, 0.3)) == {"near", "short"} and found(0.9, 0.0) == {}
 
 
 def test_fasta_round_trip_and_stop_list(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">sp|P1|FOO description here\nMKTA\nYIAK\n\n>P2\nWWWW\n")
+    (tmp_path / "a.fa").write_text(">seq-1 kind=x\nGATT\nACA\n\n>seq-2\nCCGG\n>seq-3 y\nT T\n")
     got = sources.read_fasta(spark, str(tmp_path / "a.fa"))
-    assert sorted((r.id, r.seq) for r in got.collect()) == [("P2", "WWWW"), ("sp|P1|FOO", "MKTAYIAK")]
+    assert sorted((r.id, r.seq) for r in got.collect()) == [("seq-1", "GATTACA"), ("seq-2", "CCGG"), ("seq-3", "TT")]
     sources.write_fasta(got.coalesce(1), str(tmp_path / "out"))
-    assert sources.read_fasta(spark, str(tmp_path / "out")).count() == 2
+    assert sources.read_fasta(spark, str(tmp_path / "out")).count() == 3
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.fa").write_text((tmp_path / "a.fa").read_text())
-    stop = spark.createDataFrame([("P2",)], "id string")
+    lists = [spark.createDataFrame([(x,) for x in ids], "id string") for ids in (["seq-2"], ["seq-2", "seq-3"])]
+    stop = sources.stop_union(*lists)
     filter_corpus(spark, str(tmp_path / "in"), stop, str(tmp_path / "kept"), str(tmp_path / "ck")).awaitTermination()
-    assert [r.id for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == ["sp|P1|FOO"]
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == ["seq-1"]
+    sources.write_stop_list(stop, str(tmp_path / "stop"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "stop")).collect()] == ["seq-2", "seq-3"]
 
 
 def test_kmers_never_bridge_other_signs(spark):
@@ -47,23 +51,32 @@ def test_kmers_never_bridge_other_signs(spark):
 
 
 def test_contacts_and_precision(spark):
-    line = spark.createDataFrame([("p", i, 3.0 * i, 0.0, 0.0, i != 3) for i in range(6)], "protein string, pos int, x double, y double, z double, valid boolean")
-    got = {(r.i, r.j) for r in pairs.contacts(line).filter("contact").collect()}
-    assert got == {(i, j) for i in range(6) for j in range(i + 1, 6) if j - i <= 2 and 3 not in (i, j)}
-    true = {(0, 19), (1, 18), (2, 17), (3, 16)}
-    score = {(0, 19): 10.0, (1, 18): 9.0, (0, 15): 8.0, (1, 14): 7.0}
-    rows = [("p", i, j, score.get((i, j), 0.0), (i, j) in true) for i in range(20) for j in range(i + 1, 20)]
+    # Points on a circle of radius 10, one step of 30 degrees each; the chord of k steps is 20 sin(15 k degrees): 5.2, 10, 14.1 and so on.
+    ring = [("p", k, 10 * float(np.cos(np.pi * k / 6)), 10 * float(np.sin(np.pi * k / 6)), 1.0, k != 7) for k in range(12)]
+    df = spark.createDataFrame(ring, "protein string, pos int, x double, y double, z double, valid boolean")
+    got = {(r.i, r.j) for r in pairs.contacts(df, 8.0).filter("contact").collect()}
+    assert got == {(i, i + 1) for i in range(11) if 7 not in (i, i + 1)} | {(0, 11)}
+    true = {(2, 29), (5, 20), (6, 20), (1, 9)}
+    score = {(2, 29): 0.9, (3, 28): 0.8, (5, 20): 0.7, (6, 20): 0.6, (7, 21): 0.5, (1, 9): 0.1}
+    rows = [("p", i, j, score.get((i, j), 0.0), (i, j) in true) for i in range(30) for j in range(i + 1, 30)]
     df = spark.createDataFrame(rows, "protein string, i int, j int, score double, contact boolean")
-    lengths = spark.createDataFrame([("p", 20)], "protein string, length int")
-    per = {r.band: r.precision for r in pairs.precision_at(df, lengths, [5]).collect()}
-    assert "long" not in per and per["medium"] == 0.5
+    lengths = spark.createDataFrame([("p", 10)], "protein string, length int")
+    per = {(r.band, r.part): r.precision for r in pairs.precision_at(df, lengths, [5, 20]).collect()}
+    # Ten over five gives two candidates, ten over twenty at least one.
+    assert per[("long", 5)] == 0.5 and per[("long", 20)] == 1.0 and per[("medium", 5)] == 1.0 and per[("short", 20)] == 1.0
+    assert pairs.precision_at(df.filter("j - i < 24"), lengths, [5]).filter("band = 'long'").count() == 0
 
 
 def test_span_labels_and_decoding(spark):
-    df = spark.createDataFrame([(6, [(2, 4, "disorder")]), (7, [(2, 3, "Disorder "), (5, 6, "disorder")]), (6, [(2, 3, "disorder"), (4, 5, "protein binding")]), (5, [(3, 99, "disorder")])], "n int, r array<struct<start:int,end:int,term:string>>")
+    rows = [(4, [(1, 2, "disorder"), (4, 4, "DISORDER ")]), (5, [(2, 4, "disorder"), (3, 5, "disorder")]), (3, [(1, 3, "linker")]), (3, [(0, 1, "disorder"), (3, 40, "disorder")]), (0, [(1, 2, "disorder")])]
+    df = spark.createDataFrame(rows, "n int, r array<struct<start:int,end:int,term:string>>")
     got = [r[0] for r in df.select(prepare.span_labels(F.col("n"), F.col("r"))).collect()]
-    assert got == [[0, 1, 1, 1, 0, 0], [0, 1, 1, 0, 1, 1, 0], [0, 1, 1, 0, 0, 0], [0, 0, 1, 1, 1]]
-    assert one(spark.createDataFrame([("HXE",)], "s string").select(prepare.residue_labels(F.col("s"), "HEC"))) == [0, -1, 1]
+    assert got == [[1, 1, 0, 1], [0, 1, 1, 1, 1], [0, 0, 0], [1, 0, 1], []]
+    decode = lambda task, column, text: one(spark.createDataFrame([(text,)], "s string").select(prepare.decoded_labels(task, column, F.col("s"))))
+    assert decode("SS3", "y", "CHE?") == [2, 0, 1, -1] and decode("any", "dssp8", "GC-B") == [0, 7, -1, 3]
+    # The more special name wins: disorder before states.
+    assert decode("Disorder of the SS3 set", "y", "['1.0', '0.0']") == [1, 0] and decode("x", "disorder_y", "01H1") == [0, 1, 1]
+    assert decode("x", "y", "12, 7,") == [12, 7] and decode("x", "y", "a9b1") == [9, 1]
 
 
 def test_mutations(spark):
@@ -139,7 +152,17 @@ def test_average_precision_ranks_all_rows(spark):
 
 
 def test_result_table_merges_and_recovers(spark, tmp_path):
-    rows = lambda v: spark.createDataFrame([("m", "t", "d", v)], "Model string, Task string, Date string, value double").withColumn("n", F.lit(1))
-    for v in (1.0, 2.0):
-        sources.append_results(spark, rows(v), str(tmp_path / "r"), str(tmp_path / "rec"), ["Model", "Task", "Date"], "n")
-    assert [r.value for r in spark.read.parquet(str(tmp_path / "r")).collect()] == [2.0]
+    rows = lambda m, v: spark.createDataFrame([(m, "t", "d", v)], "Model string, Task string, Date string, value double").withColumn("n", F.lit(1))
+    table, rescue = str(tmp_path / "r"), str(tmp_path / "rec")
+    put = lambda df: sources.append_results(spark, df, table, rescue, ["Model", "Task", "Date"], "n")
+    for m, v in (("m", 1.0), ("other", 5.0), ("m", 2.0)):
+        assert put(rows(m, v)) == table
+    assert sorted(r.value for r in spark.read.parquet(table).collect()) == [2.0, 5.0]
+    assert not (tmp_path / "r_staged").exists()
+    # A damaged file: the new row is rescued, and nothing of the table changes.
+    part = next((tmp_path / "r" / "Model=m").glob("*.parquet"))
+    part.write_bytes(b"no parquet at all")
+    before = sorted(p.name for p in (tmp_path / "r").rglob("*.parquet"))
+    assert put(rows("m", 3.0)) == rescue
+    assert [r.value for r in spark.read.parquet(rescue).collect()] == [3.0]
+    assert sorted(p.name for p in (tmp_path / "r").rglob("*.parquet")) == before
