@@ -120,6 +120,48 @@ def test_terms_near_rare_values_are_hidden(spark):
     assert {r.doc_id: r.n_term for r in pii.digest(df).collect()} == {r[0]: 2 if r[0] == 99 else int(r[0] < 11) for r in rows}
 
 
+def test_near_terms_and_bits_by_hand(spark):
+    rng = random.Random(41)
+    parts = ["alpha", "be", "gamma9delta", "éclair", " ", ", ", "10.1.2.3", "a@b.example.org", "  ", "x" * 700, " the ", "omega"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 50))) for _ in range(300)]
+    term = re.compile(r"[^\W\d_]+")
+
+    def terms_of(t, spans):
+        return [m for m in term.finditer(t) if len(m.group()) >= pii.MIN_TERM and not any(x < m.end() and m.start() < y for _, x, y in spans)]
+
+    together, seen = {}, {}
+    for t in texts:
+        spans, near = pii.base_spans(t), set()
+        free = terms_of(t, spans)
+        for kind, a, b in spans:
+            for m in [m for m in free if m.end() <= a][-pii.WINDOW :] + [m for m in free if m.start() >= b][: pii.WINDOW]:
+                near |= {(e, m.group().lower()) for e in pii._entities(kind, t[a:b])}
+        assert near == pii._near(t, spans)
+        for pair in near:
+            together[pair] = together.get(pair, 0) + 1
+        for x in {m.group().lower() for m in term.finditer(t) if len(m.group()) >= pii.MIN_TERM}:
+            seen[x] = seen.get(x, 0) + 1
+    # Bits that stay hidden: log2 of the documents with the term (and half a one more) over those that have it near the entity.
+    wanted = {}
+    for (_, x), n in together.items():
+        hidden = np.log2((seen[x] + pii.SMOOTH) / n)
+        if hidden <= pii.GENERALISE_BITS:
+            wanted[x] = min(wanted.get(x, 9.0), hidden)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    docs = df.select(pii.row_key().alias("row"), "text")
+    near = pii._found(docs).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term")
+    got = {r.term: r.act for r in pii.disclosing(near, docs).collect()}
+    assert got == {x: "remove" if h <= pii.REMOVE_BITS else "generalise" for x, h in wanted.items()} and got
+    # Base spans against the contract's patterns.
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    more = ["call +1 (988) 555-2485 or +12 3", "4111 1111 1111 1111 and 4111-1111-1111-1112", "1.2.3.4.5 999.1.1.1 001.002.003.004", "a.b+c@x-y.example..org @b.c d@e", "٣+1"]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    good = {"email": lambda x: True, "ip": lambda x: all(int(p) <= 255 for p in x.split(".")), "card": lambda x: 16 <= len(digits(x)) <= 19 and pii.luhn(digits(x)), "phone": lambda x: 8 <= len(digits(x)) <= 15}
+    for t in texts + more:
+        assert pii.base_spans(t) == [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t) if good[k](m.group())]
+    assert pii.digest(df.limit(0)).count() == 0
+
+
 def test_packing(spark, edges):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -266,6 +308,84 @@ def test_language(spark, edges):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_more_languages_than_bits(spark):
+    rng = random.Random(6)
+    sounds = ["".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(2)) for _ in range(70 * 6)]
+    own = [sounds[i * 6 : i * 6 + 6] for i in range(70)]
+    rows = [(i * 10 + j, " ".join(rng.choice(own[i]) for _ in range(30)), f"l{i:02d}") for i in range(70) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = langid.fit(docs)
+    assert len(m["languages"]) == 70 and len(m["tables"]) == 2
+    got = langid.predict(docs, m).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.98
+    # Masks and corrected shares against exact sets of n-grams.
+    few = docs.filter("lang < 'l05'")
+    m = langid.fit(few)
+    texts = pa.array([r[1] for r in rows[:60]])
+    table, exact = m["tables"][0], {}
+    for row in few.collect():
+        for h, _ in langid.grams(pa.array([row.text])):
+            exact.setdefault(row.lang, set()).update(h.tolist())
+    for h, _ in langid.grams(texts):
+        mask = np.bitwise_and.reduce([table[s] for s in langid._slots(h)])
+        for k, lang in enumerate(m["languages"]):
+            has = (mask >> np.uint8(k)) & 1 == 1
+            inside = np.array([g in exact[lang] for g in h.tolist()])
+            # Whatever is in no training text can only be a false positive, and these are few.
+            assert (has & ~inside).mean() <= 5 * m["rates"][k] + 0.01
+
+
+def test_held_out_toxicity(spark):
+    rng = random.Random(9)
+    bad = ["grumbledorf", "zackenquist", "murkelbold", "snarfwicket"]
+    rows, labels = [], []
+    for i, t in enumerate(prose(700, 17)):
+        w = t.split()
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    m = toxicity.fit(toxicity.labelled(docs, known, "toxic", toxicity.FOLDS, toxicity.HELD_OUT))
+    got = toxicity.predict(docs, m).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).join(known, "doc_id").toPandas()
+    assert len(got) > 100 and got[got.toxic == 1].predicted.mean() > 0.95 and got[got.toxic == 0].predicted.mean() < 0.03
+    # A score is the sigmoid of summed weights of the buckets that a whole text has.
+    text = rows[0][1]
+    _, f = toxicity.present(pa.array([text]), m["lookup"])
+    assert toxicity.scores(pa.array([text]), m)[0] == pytest.approx(1 / (1 + np.exp(-(m["weights"][f].sum() + m["bias"]))))
+    one_class = toxicity.fit(docs.limit(5).withColumn("label", F.lit(1)))
+    assert toxicity.predict(docs.limit(0), one_class).count() == 0 and toxicity.scores(pa.array([None, ""]), one_class).min() > 0.9
+
+
+def test_queries_keep_their_contracts(spark, tmp_path):
+    from rankloom.llm import registry
+
+    texts = prose(30, 2)
+    docs = [(i, t, "xx" if i % 2 else "yy", "s", len(t)) for i, t in enumerate([*texts, texts[0], texts[1] + " jo@site.example.org"])] + [(40, None, None, None, None), (41, "", None, None, 0)]
+    wide = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wide.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    spark.createDataFrame([(i, [1.0, float(i % 5)], i % 2) for i in range(12)] + [(20, None, 1), (21, [0.0, 0.0], 1), (22, [1.0, float("nan")], 0), (23, [1.0], None)], "vec_id bigint, embedding array<double>, label int").write.parquet(str(tmp_path / "a" / "embeddings.parquet"))
+    for name in ("documents", "labels", "embeddings"):
+        spark.read.parquet(str(tmp_path / "a" / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    columns = {
+        "op1": "doc_id n_ids ids_crc32 round_trip ids", "op2": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_term", "op3": "doc_id piece start length ids_crc32 sequence_id offset", "op4": "vec_id n_links component_id kept",
+        "op5": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op6": "doc_id held_out score predicted", "op7": "doc_id held_out lang_pred score", "op8": "doc_id held_out score predicted",
+        "op9": "doc_id n_tokens n_leaves edited_tokens edited_chars encoded_chars", "op10": "doc_id n_shingles component_id",
+    }
+    queries = registry.queries()
+    assert sorted(k.split("_")[0] for k in queries) == sorted(columns)
+    for name, query in queries.items():
+        out = query(spark, str(tmp_path / "a"))
+        assert out.columns == columns[name.split("_")[0]].split(), name
+        rows = out.collect()
+        assert len(rows) == (16 if name.startswith("op4") else len(docs)), name
+        assert all(r.score is not None and 0 <= r.score <= 1 for r in rows if "score" in r)
+        assert query(spark, str(tmp_path / "none")).count() == 0, name
+
+
 def test_counts_follow_edits(spark, edges, tmp_path):
     c = token_counts.counter()
     count = lambda t: len(c.encoding.encode_ordinary(t))
@@ -335,6 +455,54 @@ def test_ngram_join(spark, edges):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def brute_components(rows, k, percent):
+    """By id: the distinct shingles of all its texts' sets, and the smallest id reachable over links of any of its texts."""
+    s = {}
+    for d, t in rows:
+        s.setdefault(d, []).append(sets_of(t, k))
+    linked = lambda a, b: any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in s[a] for y in s[b])
+    ids = sorted(s)
+    low = {d: d for d in ids}
+
+    def root(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if linked(a, b) and root(a) != root(b):
+                low[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in ids}
+
+
+def test_ngram_join_of_crowded_lists(spark):
+    # A large group of near copies whose lists are dealt out in blocks, among large sets of a few hundred shingles, equal sets and ids that stand for two texts.
+    rng = random.Random(31)
+    base = prose(1, 77)[0].split() * 3
+    base = [f"{w}{i}" for i, w in enumerate(base)][:90]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    long = [f"{a}{i}" for i, a in enumerate(prose(1, 5)[0].split() * 40)][:1500]
+    for i in range(12):
+        w = list(long)
+        for _ in range(rng.choice([0, 10, 25, 40])):
+            w[rng.randrange(len(w))] = f"other{rng.randrange(10**6)}"
+        rows.append((300 + i, " ".join(w)))
+    rows += [(400 + i, rows[3][1]) for i in range(9)] + [(500, rows[5][1]), (500, "quite another text of no kin to it"), (501, "quite another text of no kin to it")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    wanted = brute_components(rows, 4, 85)
+    assert wanted[501] == wanted[500] == wanted[5]
+    for most, rounds in ((20_000, 4), (16, 0), (16, 2)):
+        got = ngram_join.ngram_join(df, rounds=rounds, list_most=most).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got} == wanted
+
+
 def test_components_in_many_partitions(spark):
     rng = random.Random(13)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
