@@ -43,6 +43,8 @@ class Vocabulary:
         self.id = {p: i for i, p in enumerate(pieces) if i not in skip and p}
         self.pieces, self.scores, self.byte_ids, self.unknown, self.merges = pieces, scores, byte_ids, unknown, merges
         self.longest = max(map(len, self.id), default=1)
+        # Every ending of a piece, and whether it is one itself: a run of signs that is no such ending ends no piece.
+        self.endings = {p[k:]: False for p in self.id for k in range(1, len(p))} | dict.fromkeys(self.id, True)
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.floor = min(scores, default=0.0) - 10.0
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -135,7 +137,7 @@ def streamed(texts: list[str], v: Vocabulary, on_commit=None) -> Iterator[list[i
     Only the nodes from the last commitment on are kept. on_commit, if given, gets the boundary and the number of nodes kept at each commitment within a text.
     """
     vocabulary, longest, merges, pairs, compatible = v.id, v.longest, v.merges, v._pairs, v.compatible
-    scores, floor, ids_of = v.scores, v.floor, v.ids_of
+    scores, floor, ids_of, endings = v.scores, v.floor, v.ids_of, v.endings
     before = ""
     base = sure = 0  # nodes before base are forgotten; what made that safe reaches up to sure
     out: list[int] = []  # the ids up to base
@@ -153,22 +155,31 @@ def streamed(texts: list[str], v: Vocabulary, on_commit=None) -> Iterator[list[i
         check = max(k, base + 2 * longest)
         for end in range(k + 1, len(text) + 1):
             low = end - longest
+            # The edges that end here, from the shortest on: a sign alone, and pieces.
+            b = end - 1
+            edges = [(b, text[b:end])]
+            stop = low if low > base else base
+            while b > stop:
+                b -= 1
+                p = text[b:end]
+                whole = endings.get(p)
+                if whole is None:
+                    break
+                if whole:
+                    edges.append((b, p))
+            edges.reverse()
             if merges:
-                for b in range(low if low > base else base, end):
-                    p = text[b:end]
-                    if p in vocabulary or b == end - 1:
-                        one = last[b - base]
-                        fits = pairs.get((one, p))
-                        if compatible(one, p) if fits is None else fits:
-                            break
+                for b, p in edges:  # noqa: B007
+                    one = last[b - base]
+                    fits = pairs.get((one, p))
+                    if compatible(one, p) if fits is None else fits:
+                        break
             else:
                 best = None
-                for x in range(low if low > base else base, end):
-                    q = text[x:end]
-                    if q in vocabulary or x == end - 1:
-                        total = cost[x - base] + (scores[vocabulary[q]] if q in vocabulary else floor)
-                        if best is None or total > best:
-                            b, p, best = x, q, total
+                for x, q in edges:
+                    total = cost[x - base] + (scores[vocabulary[q]] if q in vocabulary else floor)
+                    if best is None or total > best:
+                        b, p, best = x, q, total
                 cost.append(best)
             back.append(b)
             last.append(p)
