@@ -7,20 +7,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_counts(df: DataFrame, value: str, groups: list[str], extra: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
+def _buckets(df: DataFrame, buckets: int | None = None) -> int:
+    return buckets or max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def quantiles(df: DataFrame, values: list[str], buckets: int | None = None) -> dict[str, list]:
+    """Bounds that deal the values of several columns into buckets, all from one pass."""
+    n = _buckets(df, buckets)
+    if n == 1:
+        return {v: [] for v in values}
+    cuts = [i / n for i in range(1, n)]
+    row = df.agg(*[F.percentile_approx(v, cuts, 40 * n).alias(f"b{k}") for k, v in enumerate(values)]).first()
+    return {v: sorted(set(row[k] or [])) for k, v in enumerate(values)}
+
+
+def _bucket(value: str, bounds: list) -> Column:
+    """How many bounds are at most the value: first among every 16th of them, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    below = lambda array: F.size(F.filter(array, lambda b: b <= F.col(value)))
+    if len(bounds) <= 16:
+        return below(F.array(*[F.lit(b) for b in bounds]))
+    parts = [bounds[i : i + 16] for i in range(0, len(bounds), 16)]
+    part = below(F.array(*[F.lit(p[0]) for p in parts]))
+    own = F.element_at(F.array(*[F.array(*[F.lit(b) for b in p]) for p in parts]), F.greatest(part, F.lit(1)))
+    return F.when(part == 0, 0).otherwise((part - 1) * 16 + below(own))
+
+
+def running_counts(df: DataFrame, value: str, groups: list[str], extra: dict[str, Column] | None = None, bounds: list | None = None) -> DataFrame:
     """One row per group and value: n (rows), before (rows of smaller values) and, for each extra aggregate, its sum here and before_<name>.
 
     Values are dealt into buckets by quantiles, and sums run inside a bucket and over the buckets' totals,
     so no task holds all values of a large group. Rows with null value are left out.
     """
     extra = extra or {}
-    if buckets is None:
-        buckets = max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     some = df.filter(F.col(value).isNotNull())
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set((some.agg(F.percentile_approx(value, cuts, 10_000)).first()[0] if cuts else None) or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(value))) if bounds else F.lit(0)
-    per = some.groupBy(*groups, value).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in extra.items()]).withColumn("_b", bucket)
+    if bounds is None:
+        bounds = quantiles(some, [value])[value]
+    per = some.groupBy(*groups, value).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in extra.items()]).withColumn("_b", _bucket(value, bounds))
     names = ["n", *extra]
     sums = per.groupBy(*groups, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
     over = W.partitionBy(*(groups or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -34,17 +58,24 @@ def running_counts(df: DataFrame, value: str, groups: list[str], extra: dict[str
     return joined.select(*groups, value, *names, *[(F.coalesce(F.sum(k).over(inside), F.lit(0)) + F.col(f"_o_{k}")).alias("before" if k == "n" else f"before_{k}") for k in names])
 
 
-def tie_ranks(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
+def tie_ranks(df: DataFrame, value: str, groups: list[str], out: str, extra: dict[str, Column] | None = None, bounds: list | None = None) -> DataFrame:
     """group, value and the mean rank (from 1) of the rows with this value."""
-    return running_counts(df, value, groups).select(*groups, value, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    return running_counts(df, value, groups, extra, bounds).select(*groups, value, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
     """spearman and n per group; groups of fewer than two rows go, constant ones count 0."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = rows.join(tie_ranks(rows, a, groups, "_ra"), [*groups, a]).join(tie_ranks(rows, b, groups, "_rb"), [*groups, b])
-    out = ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("_ra", "_rb"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
-    return out.filter("n >= 2")
+    bounds = quantiles(rows, [a, b])
+    # Rows with the same values are one weighted row in the joins, so that a frequent value costs no more than its distinct partners.
+    pairs = rows.groupBy(*groups, a, b).agg(F.count("*").alias("_c"))
+    ranked = pairs.join(tie_ranks(rows, a, groups, "_ra", None, bounds[a]), [*groups, a]).join(tie_ranks(rows, b, groups, "_rb", None, bounds[b]), [*groups, b])
+    total = lambda c: F.sum(F.col("_c") * c)
+    x, y = F.col("_ra"), F.col("_rb")
+    sums = ranked.groupBy(*groups).agg(F.sum("_c").alias("n"), total(x).alias("_x"), total(y).alias("_y"), total(x * x).alias("_xx"), total(y * y).alias("_yy"), total(x * y).alias("_xy"))
+    spread = (F.col("n") * F.col("_xx") - F.col("_x") * F.col("_x")) * (F.col("n") * F.col("_yy") - F.col("_y") * F.col("_y"))
+    value = F.when(spread > 0, (F.col("n") * F.col("_xy") - F.col("_x") * F.col("_y")) / F.sqrt(spread)).otherwise(0.0)
+    return sums.filter("n >= 2").select(*groups, "n", value.alias("spearman"))
 
 
 def auc(df: DataFrame, label: str, score: str, groups: list[str]) -> DataFrame:
