@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block of the exact search.
 BLOCK = 2048
+#: Digits to which cosines are compared in rankings: products of blocks differ in the last bits.
+DIGITS = 10
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
@@ -86,15 +88,31 @@ def average_precision(df: DataFrame, block: int = BLOCK, most: int = 1000) -> Da
     rows = df.select(F.col("id").cast("bigint").alias("id"), "label", F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v).alias("vector"))
     rows = rows.join(rows.groupBy("label").agg(F.count("*").alias("size")), "label", "left")
     ng = max(1, math.ceil(rows.count() / block))
-    a = rows.select("label", F.col("id").alias("query_id"), F.col("vector").alias("_a"), F.ceil(F.col("size") / most).alias("_s"))
-    b = rows.select("label", F.col("id").alias("target_id"), F.col("vector").alias("_b"))
-    score = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    same = a.join(b, "label").filter("query_id <> target_id").select("query_id", "target_id", F.round(score, 12).alias("score"), F.pmod(F.xxhash64("target_id"), F.col("_s")).alias("slice"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    numbered = rows.filter("label is not null").select("id", "vector", F.xxhash64("label").alias("h"), F.ceil(F.col("size") / most).alias("slices"), F.pmod(F.xxhash64("id"), F.lit(ng)).alias("b"))
+    asking = numbered.select("*", F.col("b").alias("i"), every(ng).alias("j"))
+    # New columns, so that the two sides of the cogroup are told apart.
+    asked_of = numbered.select(*[F.col(c).alias(c) for c in ("id", "vector", "h")], every(ng).alias("i"), F.col("b").alias("j"))
+
+    def alike(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The scores of all pairs of one label in two blocks."""
+        out = [pd.DataFrame({"query_id": [], "target_id": [], "score": [], "slices": []}).astype({"query_id": "int64", "target_id": "int64", "score": "float64", "slices": "int64"})]
+        if len(left) and len(right):
+            a, b = np.stack(left["vector"].to_list()), np.stack(right["vector"].to_list())
+            ids, others, h = left["id"].to_numpy(), right["id"].to_numpy(), right["h"].to_numpy()
+            for s in range(0, len(a), 256):
+                part = slice(s, s + 256)
+                x, y = np.nonzero((left["h"].to_numpy()[part, None] == h) & (ids[part, None] != others))
+                score = np.round((a[part] @ b.T)[x, y], DIGITS)
+                out.append(pd.DataFrame({"query_id": ids[part][x], "target_id": others[y], "score": score, "slices": left["slices"].to_numpy()[part][x]}))
+        return pd.concat(out[1:] or out)
+
+    same = asking.groupBy("i", "j").cogroup(asked_of.groupBy("i", "j")).applyInPandas(alike, "query_id bigint, target_id bigint, score double, slices bigint")
+    same = same.withColumn("slice", F.pmod(F.xxhash64("target_id"), F.col("slices")))
     slices = same.groupBy("query_id", "slice").agg(F.collect_list("target_id").alias("targets"), F.collect_list("score").alias("scores"))
     asked = slices.join(rows.select(F.col("id").alias("query_id"), "vector"), "query_id")
     # A task holds block * block scores, or the slices of block / 8 queries.
     nq = max(1, math.ceil(rows.select(F.sum(F.ceil(F.col("size") / most))).first()[0] or 0) * 8 // block)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     q = asked.select("*", F.pmod(F.xxhash64("query_id", "slice"), F.lit(nq)).alias("bq"), every(ng).alias("bg"))
     g = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), every(nq).alias("bq"))
 
@@ -104,7 +122,7 @@ def average_precision(df: DataFrame, block: int = BLOCK, most: int = 1000) -> Da
             right = right.sort_values("id")
             ids, b = right["id"].to_numpy(), np.stack(right["vector"].to_list())
             for query, targets, scores, vector in zip(left["query_id"], left["targets"], left["scores"], left["vector"], strict=True):
-                s = np.round(b @ vector, 12)
+                s = np.round(b @ vector, DIGITS)
                 s[ids == query] = -np.inf
                 order = np.argsort(-s, kind="stable")
                 first, last = (np.searchsorted(-s[order], -np.asarray(scores), side) for side in ("left", "right"))
