@@ -78,9 +78,10 @@ def _shingled(df: DataFrame, key: str, n: int = 3) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     rows = df.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") >= n)
     # One word more each time: runs of two words and the word after them, and so on.
-    runs = F.slice("w", F.lit(1), F.size("w") - (n - 1))
+    many = F.greatest(F.lit(0), F.size("w") - (n - 1))
+    runs = F.slice("w", F.lit(1), many)
     for k in range(1, n):
-        runs = F.zip_with(runs, F.slice("w", F.lit(1 + k), F.size("w") - (n - 1)), lambda a, b: F.concat_ws(" ", a, b))
+        runs = F.zip_with(runs, F.slice("w", F.lit(1 + k), many), lambda a, b: F.concat_ws(" ", a, b))
     return rows.select("id", runs.alias("kmers"))
 
 
