@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import about, add_columns, documents, fold, slices, text_of, utf8
 
 #: Lengths of the n-grams in bytes, log2 of the buckets, buckets that stay, least documents of a bucket.
-LENGTHS, BUCKET_BITS, FEATURES, LEAST = (5, 6, 7), 20, 1000, 4
+LENGTHS, BUCKET_BITS, FEATURES, LEAST = (5, 6, 7), 18, 1000, 4
 #: Labelled documents that the model is fitted on, about (whole texts); smoothing of counts; L2 penalty; steps; their length.
 SAMPLE, ALPHA, PENALTY, STEPS, RATE = 20_000, 1.0, 1e-2, 250, 0.3
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
