@@ -53,7 +53,7 @@ SEEN_MOST = 1 << 20
 LIST_MOST = 20_000
 #: Entries of its list, before it and at the list's beginning, with which a round compares an entry; rounds at most before all pairs across
 #: components are judged; partners of a document that a round judges; how much chance shifts the share of differing bits in later rounds.
-WINDOW, ROUNDS, PARTNERS, CHANCE = 64, 4, 12, 0.02
+WINDOW, ROUNDS, PARTNERS, CHANCE = 64, 2, 12, 0.02
 #: First n-grams of a document's entries, by which a pair is left to an earlier list.
 FIRST = tuple(f"first{i}" for i in range(4))
 #: Words of 64 bits of a set's sketch in the index.
