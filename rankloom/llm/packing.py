@@ -42,7 +42,7 @@ WELL_FILLED = 0.995
 #: A turn after which more than this part of its pieces is left is the last one.
 TURN_LEFT, TURNS = 0.9, 32
 #: Distinct chunks whose ids a worker remembers, and their length at most.
-CACHE_CHUNKS, LONGEST_CACHED = 700_000, 64
+CACHE_CHUNKS, LONGEST_CACHED = 450_000, 64
 
 _tokenizers: dict[str, tuple] = {}
 
