@@ -27,7 +27,7 @@ PARAGRAPH = r"(?s).{0,46}?[^\p{L}\p{N}\s](?:\s+|$)|.{1,48}(?:\s+|$)|.{1,48}"
 
 
 #: Bytes of text of a bucket, about; buckets at most (beyond that they grow: rows pass through one sorted, none of them held).
-BUCKET_BYTES, BUCKETS_MOST = 24 << 20, 1 << 16
+BUCKET_BYTES, BUCKETS_MOST = 8 << 20, 1 << 16
 #: Hexadecimal digits of a section's and of a paragraph's hash that a fingerprint keeps.
 SECTION_DIGITS, PARAGRAPH_DIGITS = 12, 6
 
@@ -121,7 +121,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     after = after.select("b", F.col("f.doc_id").alias("i"), F.col("f.h").alias("h"))
     head = rows.withColumn("i", F.coalesce("doc_id", least)).join(F.broadcast(after), ["i", "h"]).select("b", "text").dropDuplicates(["b"])
     head = _printed(head, "text", "own").select("b", F.struct("text", "own").alias("head"))
-    chained = _printed(rows.repartition(buckets, "bucket"), "text", "own")
+    # In as many partitions as any shuffle, so that the join below finds the texts where they are.
+    chained = _printed(rows.repartition("bucket"), "text", "own")
     order = W.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("h"))
     chained = chained.withColumn("next", F.lead(F.struct("text", "own")).over(order))
     joined = chained.join(head, (F.col("bucket") == F.col("b")) & F.col("next").isNull(), "left").withColumn("next", F.coalesce("next", "head"))
