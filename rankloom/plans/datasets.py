@@ -10,7 +10,10 @@ from rankloom import sources
 from rankloom.operators import audit, prepare, warehouse
 from rankloom.plans.tables import results, rounded, table, vectors
 
-_K = F.get_json_object("props", "$.k").cast("int")
+
+
+def _k() -> F.Column:
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def one_assay(spark: SparkSession, d: str) -> DataFrame:
@@ -72,20 +75,20 @@ def prefix_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def routed_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("value", _K.alias("k"))
+    e = table(spark, d, "events").select("value", _k().alias("k"))
     routed = prepare.routed_score(F.when(F.col("k") % 3 != 0, F.col("value")), F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).otherwise("n/a"), F.when(F.col("k") % 5 == 0, " TEST").otherwise("some"))
     return rounded(e.select(routed.alias("x")).filter("x is not null").groupBy("x.split").agg(F.count("*").alias("n"), F.sum("x.score").alias("total")), 2)
 
 
 def clean_names(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.concat(F.lit("org name/model:"), F.col("user_id") % 5).alias("model"), _K.alias("k"), "event_type")
+    e = table(spark, d, "events").select(F.concat(F.lit("org name/model:"), F.col("user_id") % 5).alias("model"), _k().alias("k"), "event_type")
     samples = F.when(F.col("k") % 5 == 0, None).when(F.col("k") % 5 == 1, "").when(F.col("k") % 5 == 2, "Full").when(F.col("k") % 5 == 3, "100.0").otherwise(F.col("k").cast("string"))
     rows = e.select(fn.safe_name(F.col("model")).alias("safe"), fn.short_name(F.col("model")).alias("short"), fn.sample_key(samples).alias("samples"), fn.clean_sequence(F.when(F.length("event_type") > 5, F.concat("event_type", F.lit(" 1"))).otherwise("")).alias("sequence"))
     return rows.groupBy("safe", "short", "samples", "sequence").agg(F.count("*").alias("n"))
 
 
 def probe_routing(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_type", _K.alias("k"), "user_id")
+    e = table(spark, d, "events").select("event_type", _k().alias("k"), "user_id")
     kind = F.when(F.col("k") % 4 == 0, "multilabel").when(F.col("k") % 4 == 1, "retrieval").when(F.col("k") % 4 == 2, "binary").otherwise("token_classification")
     requested = F.when(F.col("user_id") % 3 == 0, "auto").when(F.col("user_id") % 3 == 1, "knn").otherwise("linear")
     mode = F.when(F.col("k") % 10 == 2, "zeroshot").otherwise("holdout")
@@ -95,7 +98,7 @@ def probe_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_lookup(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("value", F.when(_K % 4 == 0, " Train").when(_K % 4 == 1, "VALID").when(_K % 4 == 2, "held_Test_a").otherwise("other").alias("s"))
+    e = table(spark, d, "events").select("value", F.when(_k() % 4 == 0, " Train").when(_k() % 4 == 1, "VALID").when(_k() % 4 == 2, "held_Test_a").otherwise("other").alias("s"))
     rows, needs_folds = prepare.staged(e, "s", {"train": "train", "validation": "validation", "test": "test"})
     return rounded(rows.groupBy("stage").agg(F.count("*").alias("n"), F.sum("value").alias("total")).withColumn("needs_folds", F.lit(needs_folds)), 2)
 
