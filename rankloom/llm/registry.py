@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ["langid", "merkle", "near_vectors", "ngram_join", "packing", "periodic", "pieces", "pii", "quality", "token_counts", "toxicity", "turns"]
+MODULES = ["langid", "merkle", "near_vectors", "ngram_join", "packing", "periodic", "pieces", "pii", "quality", "suffixes", "token_counts", "toxicity", "turns"]
 
 
 def _merged(what: str) -> dict:
