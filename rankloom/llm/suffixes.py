@@ -63,14 +63,8 @@ def _values(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
-def _eight(raw: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number (the first the most significant)."""
-    view = np.lib.stride_tricks.as_strided(raw[: len(raw) - 7].view(), (len(raw) - 7, 8), (1, 1))
-    return np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64)
-
-
 def _loads(raw: np.ndarray) -> np.ndarray:
-    """The same in the machine's order, without a copy; raw must be contiguous."""
+    """The eight bytes from each place on as one number, without a copy; raw must be contiguous."""
     return np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
 
 
@@ -104,7 +98,8 @@ def runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         stop = valid.copy()
         stop[:-1] &= (h[1:] != h[:-1]) | ~valid[1:]
         first, last = np.flatnonzero(new), np.flatnonzero(stop)
-        out.append((first + low, last + low, h[first] >> np.uint64(PLACE)))
+        # Least hashes are small ones: mixed again, digits spread evenly over buckets.
+        out.append((first + low, last + low, mix(h[first] >> np.uint64(PLACE)) >> np.uint64(PLACE)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first, last, digit = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -225,9 +220,9 @@ def _entries(buckets: int):
 
 def radix(raw: np.ndarray, start: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that are equal through DEPTH bytes (and have one digit): their numbers, ordered by group, and where the groups begin (with the end as a last entry). Most significant digit first; groups of one drop out at each pass."""
-    live, group = np.arange(len(start)), digit
+    live, group, eight = np.arange(len(start)), digit, _loads(raw)
     for d in [*range(0, DEPTH - 7, 8), *([DEPTH - 8] if DEPTH % 8 else [])]:
-        value = eight[start[live] + d] if d else (eight := _eight(np.concatenate([raw, np.zeros(8, np.uint8)])))[start[live]]
+        value = eight[start[live] + d].byteswap()
         order = np.lexsort((value, group))
         live, group, value = live[order], group[order], value[order]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])]) if len(live) else np.zeros(0, bool)
@@ -238,36 +233,44 @@ def radix(raw: np.ndarray, start: np.ndarray, digit: np.ndarray) -> tuple[np.nda
     return live, np.concatenate([edges, [len(live)]])
 
 
+def _stretches(raw: np.ndarray, begin: np.ndarray, digit: np.ndarray, windows: np.ndarray, smallest: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of the windows of runs that have one smallest id: the run's number, first and last window, id."""
+    of = np.repeat(np.arange(len(begin)), windows)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    own = smallest[of]
+    live, edges = radix(raw, begin[of] + place, digit[of])
+    if len(live):
+        own[live] = np.repeat(np.minimum.reduceat(own[live], edges[:-1]), np.diff(edges))
+    at = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (own[1:] != own[:-1])]))
+    return number[of[at]], place[at], place[np.concatenate([at[1:], [len(of)]]) - 1], own[at]
+
+
 def _smallest(table: pa.Table) -> pa.Table:
     """Pass 3, of a bucket: to each group, stretches of its runs' windows with the smallest id that has them, where one of its own is larger."""
     groups = table.column("group").to_pylist()
     parts = [unpack(x.as_py()) for x in table.column("blob")]
-    key, digit, hot, least, most, size, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
     owner = np.repeat(np.arange(len(groups)), [len(p[0]) for p in parts])
+    key, digit, hot, least, most, size, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     size = size.astype(np.int64)
     begin = np.cumsum(size) - size
     _, one, which = np.unique(key, return_index=True, return_inverse=True)
     smallest = np.full(len(one), LAST)
     np.minimum.at(smallest, which, least)
-    # Windows of digits with several runs.
+    # Windows of digits with several runs, some digits at a time.
     by_digit = np.argsort(digit[one], kind="stable")
     d = digit[one][by_digit]
     same = np.concatenate([[False], d[1:] == d[:-1]])
     several = np.zeros(len(one), bool)
     several[by_digit] = same | np.concatenate([same[1:], [False]])
     several &= ~hot[one]
-    run_ = np.flatnonzero(several)
-    windows = size[one[run_]] - DEPTH + 1
-    of = np.repeat(run_, windows)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    own = smallest[of]
-    live, edges = radix(raw, begin[one[of]] + place, digit[one[of]])
-    if len(live):
-        own[live] = np.repeat(np.minimum.reduceat(own[live], edges[:-1]), np.diff(edges))
-    # Stretches of windows of one run with one smallest id.
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (own[1:] != own[:-1])]) if len(of) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    stretch = [of[at], place[at], place[np.concatenate([at[1:], [len(of)]]) - 1] if len(at) else at, own[at]]
+    by_digit = by_digit[several[by_digit]]
+    d, windows = digit[one[by_digit]], size[one[by_digit]] - DEPTH + 1
+    edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+    step = (np.concatenate([[0], np.cumsum(windows)])[edges]) // STEP
+    edges = np.concatenate([edges[np.concatenate([[True], step[1:] != step[:-1]])], [len(d)]]) if len(d) else [0]
+    found = [_stretches(raw, begin[one[r]], digit[one[r]], w, smallest[r], r) for r, w in ((by_digit[x:y], windows[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True))]
+    stretch = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
     rest = np.flatnonzero(~several)
     stretch = [np.concatenate(x) for x in zip(stretch, [rest, np.zeros(len(rest), np.int64), size[one[rest]] - DEPTH, smallest[rest]], strict=True)]
     order = np.argsort(stretch[0], kind="stable")
