@@ -62,5 +62,5 @@ def pair_features(residues: DataFrame, pairs: DataFrame) -> DataFrame:
     """protein, i, j and features: products and absolute differences of both vectors' parts, and log1p of the separation. residues: protein, pos, vec."""
     a, b = (residues.select("protein", F.col("pos").alias(s), F.col("vec").alias(f"_{s}")) for s in ("i", "j"))
     both = pairs.join(a, ["protein", "i"]).join(b, ["protein", "j"])
-    f = F.concat(F.zip_with("_i", "_j", lambda x, y: (x * y).cast("double")), F.zip_with("_i", "_j", lambda x, y: F.abs(x - y).cast("double")), F.array(F.log1p(F.abs(F.col("i") - F.col("j")))))
+    f = F.concat(F.zip_with("_i", "_j", lambda x, y: x.cast("double") * y.cast("double")), F.zip_with("_i", "_j", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.array(F.log1p(F.abs(F.col("i") - F.col("j")))))
     return both.withColumn("features", f).drop("_i", "_j")

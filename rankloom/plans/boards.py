@@ -9,7 +9,7 @@ from rankloom import functions as fn
 from rankloom import sources
 from rankloom.operators import bootstrap, features, metrics, similarity, warehouse
 from rankloom.plans import neighbours
-from rankloom.plans.evaluation import _RANKS, weights_sql
+from rankloom.plans.evaluation import _RANKS, DRAWS, MEAN_DRAWS, weights_sql
 from rankloom.plans.results import baseline_delta, latest_results
 from rankloom.plans.tables import ASSAY, PREDICTIONS, RESULTS, assay, predictions, reference, results, rounded, table, vectors
 
@@ -46,17 +46,18 @@ def panel_mean(spark: SparkSession, d: str) -> DataFrame:
 def retrieval_report(spark: SparkSession, d: str) -> DataFrame:
     per = neighbours.retrieval_per_query(spark, d).filter("eligible")
     long = per.select("query_id", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in ("hit_1", "hit_10", "ap")])).alias("x")).select("query_id", "x.*")
-    return rounded(bootstrap.mean_interval(long, "query_id", "v", 100, 42, ["metric"]))
+    return rounded(bootstrap.mean_interval(long, "query_id", "v", MEAN_DRAWS, 42, ["metric"]))
 
 
 def transfer_interval(spark: SparkSession, d: str) -> DataFrame:
     judged = neighbours.transfer_judged(spark, d).filter("in_all > 1")
-    width = bootstrap.half_width(judged.withColumn("v", F.col("right").cast("double")), "query_id", "v", 100, 42, ["level"])
+    width = bootstrap.half_width(judged.withColumn("v", F.col("right").cast("double")), "query_id", "v", DRAWS, 42, ["level"])
     return rounded(judged.groupBy("level").agg(F.count("*").alias("n_answerable"), F.avg(F.col("right").cast("double")).alias("accuracy")).join(width, "level"), 5)
 
 
 def bootstrap_ci_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bootstrap.drawn_interval(predictions(spark, d), "doc_id", lambda rows, groups: metrics.auc(rows, "y", "score", groups), "auc", 60, 42))
+    found = bootstrap.replicate_auc(predictions(spark, d), "y", "score", "doc_id", DRAWS, 42)
+    return rounded(bootstrap.interval(found, "auc", [], max(20, DRAWS // 10)))
 
 
 def _views(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +132,9 @@ SQL = {
     "score_board": f"WITH {ASSAY}, l AS (SELECT grp, measured, y, unnest(['score', 'price', 'odd']) AS score, unnest([score, -measured, score * y]) AS s FROM a), g AS (SELECT * FROM l WHERE NOT (score = 'odd' AND grp % 3 = 0)), f AS (SELECT * FROM g QUALIFY min(s) OVER (PARTITION BY score, grp) < max(s) OVER (PARTITION BY score, grp)), k AS (SELECT score, grp, y, {_TIES.format('score, grp', 'measured')} AS rm, {_TIES.format('score, grp', 's')} AS r FROM f), p AS (SELECT score, grp, corr(rm, r) AS c, {_AUC} AS auc FROM k GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT score, count(*) AS n_groups, avg(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0)) AS v, avg(auc) AS auc FROM p GROUP BY 1) SELECT score, n_groups, round(v, 6) AS spearman, round(auc, 6) AS auc, round(v - (SELECT v FROM w WHERE score = 'score'), 6) AS lift FROM w",
     "aggregation_rules": f"WITH {ASSAY}, {_RANKS}, s AS (SELECT grp, coalesce(CASE WHEN isnan(corr(rm, rs)) THEN 0 ELSE corr(rm, rs) END, 0) AS v, {_AUC.replace('* r)', '* rs)')} AS auc FROM rk GROUP BY grp HAVING count(*) >= 2), p AS (SELECT n_nationkey AS protein, n_regionkey AS category, avg(v) AS v FROM s JOIN supplier ON grp = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2), c AS (SELECT avg(v) AS v FROM p GROUP BY category), o AS (SELECT y, {_TIES.format('1', 'score')} AS r FROM a) SELECT 'hierarchical' AS rule, round(avg(v), 6) AS value FROM c UNION ALL SELECT 'flat', round(avg(v), 6) FROM s JOIN supplier ON grp = s_suppkey UNION ALL SELECT 'per_gene', round(avg(auc), 6) FROM s UNION ALL SELECT 'pooled', round({_AUC}, 6) FROM o",
     "panel_mean": f"WITH {ASSAY}, {_RANKS}, s AS (SELECT grp, {_AUC.replace('* r)', '* rs)')} AS auc FROM rk WHERE grp % 7 <> 0 GROUP BY grp) SELECT round(avg(auc) OVER (), 6) AS mean, count(*) OVER () AS n_groups, grp, round(auc, 6) AS auc FROM s WHERE auc IS NOT NULL",
-    "retrieval_report": f"WITH {_N._PER}, x AS (SELECT query_id, unnest(['hit_1', 'hit_10', 'ap']) AS metric, unnest([hit_1::DOUBLE, hit_10::DOUBLE, round(ap, 6)]) AS v FROM p WHERE eligible), {weights_sql(42, 'x', 'query_id', 100)}, m AS (SELECT metric, replicate, sum(v * w) / sum(w) AS v FROM w WHERE w > 0 GROUP BY 1, 2) SELECT metric, (SELECT round(avg(v), 6) FROM x WHERE x.metric = m.metric) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS n_draws FROM m GROUP BY 1",
-    "transfer_interval": f"""WITH {_N._KNN}, {_N.LEVELS_SQL}, x AS (SELECT a.level, a.id AS query_id, (a.lab = b.lab)::INT AS v FROM l a JOIN n ON n.query_id = a.id AND r = 1 JOIN l b ON b.id = n.t AND b.level = a.level JOIN k ON k.level = a.level AND k.lab = a.lab WHERE a.q AND n_all > 1), {weights_sql(42, 'x', 'query_id', 100)}, m AS (SELECT level, replicate, sum(v * w) / sum(w) AS v FROM w WHERE w > 0 GROUP BY 1, 2) SELECT level, (SELECT count(*) FROM x WHERE x.level = m.level) AS n_answerable, (SELECT round(avg(v), 5) FROM x WHERE x.level = m.level) AS accuracy, round(1.96 * stddev_samp(v), 5) AS half_width FROM m GROUP BY 1""",
-    "bootstrap_ci_auc": f"WITH {PREDICTIONS}, {weights_sql(42, 'q', 'doc_id', 60)}, x AS (SELECT replicate, y, score, unnest(range(w)) FROM w WHERE w > 0), k AS (SELECT replicate, y, {_TIES.format('replicate', 'score')} AS r FROM x), a AS (SELECT {_AUC} AS v FROM k GROUP BY replicate) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_draws FROM a WHERE v IS NOT NULL",
+    "retrieval_report": f"WITH {_N._PER}, x AS (SELECT query_id, unnest(['hit_1', 'hit_10', 'ap']) AS metric, unnest([hit_1::DOUBLE, hit_10::DOUBLE, round(ap, 6)]) AS v FROM p WHERE eligible), {weights_sql(42, 'x', 'query_id', MEAN_DRAWS)}, m AS (SELECT metric, replicate, sum(v * w) / sum(w) AS v FROM w WHERE w > 0 GROUP BY 1, 2) SELECT metric, (SELECT round(avg(v), 6) FROM x WHERE x.metric = m.metric) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS n_draws FROM m GROUP BY 1",
+    "transfer_interval": f"""WITH {_N._KNN}, {_N.LEVELS_SQL}, x AS (SELECT a.level, a.id AS query_id, (a.lab = b.lab)::INT AS v FROM l a JOIN n ON n.query_id = a.id AND r = 1 JOIN l b ON b.id = n.t AND b.level = a.level JOIN k ON k.level = a.level AND k.lab = a.lab WHERE a.q AND n_all > 1), {weights_sql(42, 'x', 'query_id', DRAWS)}, m AS (SELECT level, replicate, sum(v * w) / sum(w) AS v FROM w WHERE w > 0 GROUP BY 1, 2) SELECT level, (SELECT count(*) FROM x WHERE x.level = m.level) AS n_answerable, (SELECT round(avg(v), 5) FROM x WHERE x.level = m.level) AS accuracy, round(1.96 * stddev_samp(v), 5) AS half_width FROM m GROUP BY 1""",
+    "bootstrap_ci_auc": f"WITH {PREDICTIONS}, {weights_sql(42, 'q', 'doc_id', DRAWS)}, x AS (SELECT replicate, y, score, unnest(range(w)) FROM w WHERE w > 0), k AS (SELECT replicate, y, {_TIES.format('replicate', 'score')} AS r FROM x), a AS (SELECT {_AUC} AS v FROM k GROUP BY replicate) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_draws FROM a WHERE v IS NOT NULL",
     "baseline_views": f"WITH {_LAST}, v AS (SELECT *, CASE WHEN length(task) > 4 THEN 'linear' ELSE 'knn' END AS probe FROM t), b AS (SELECT task, split, metric, value AS base FROM t WHERE model = 'org/model-1') SELECT probe, split, task, metric, model, round(value, 6) AS value, round(base, 6) AS base, round(value - base, 6) AS delta FROM v LEFT JOIN b USING (task, split, metric) WHERE (probe, split) IN (('linear', 'test'), ('knn', 'validation'))",
     "model_columns": f"WITH {RESULTS} SELECT task, " + ", ".join(f"round(arg_max(value, row_no) FILTER (model = 'org/model-{k}'), 6) AS m{k}" for k in range(5)) + " FROM r WHERE split = 'test' AND metric = 'AUC' GROUP BY 1",
     "ordered_models": f"WITH {_LAST} SELECT CASE WHEN model LIKE '%model-3%' THEN 0 WHEN model LIKE '%model-1%' THEN 1 ELSE 2 END AS place, model, task, split, metric, value FROM t ORDER BY ALL",

@@ -22,7 +22,7 @@ def duck():
 
 
 def rows(pdf):
-    clean = lambda v: None if v is None or v != v else round(float(v), 4) + 0.0 if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)
+    clean = lambda v: None if v is None or v != v else round(float(v), 9) + 0.0 if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else str(v)
     return sorted(str([clean(v) for v in r]) for r in pdf[sorted(pdf.columns)].itertuples(index=False))
 
 
