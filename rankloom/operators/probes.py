@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators import many
 from rankloom.operators.metrics import class_metrics, confusion, regression, spearman
 
 
@@ -48,13 +49,36 @@ def fit_predict(train: DataFrame, test: DataFrame, vector: str, kind: str, probl
     return make_probe(kind, problem, s[0], s[1] or 1.0, s[2]).fit(a).transform(b)
 
 
-def evaluate(predicted: DataFrame, problem: str) -> DataFrame:
-    """The metric block of predictions."""
-    return regression(predicted, "y", "prediction", []) if problem == "regression" else class_metrics(confusion(predicted, "y", "prediction"))
+def evaluate(predicted: DataFrame, problem: str, groups: list[str] = ()) -> DataFrame:
+    """The metric block of predictions (of each group)."""
+    groups = list(groups)
+    return regression(predicted, "y", "prediction", groups) if problem == "regression" else class_metrics(confusion(predicted, "y", "prediction", groups), groups)
+
+
+def fold_predictions(df: DataFrame, vector: str, problem: str, fold: str) -> DataFrame:
+    """df with prediction: each fold's rows by a linear probe of all other rows. All folds are fitted together; rows without vector, y or fold are left out."""
+    rows = df.filter(F.col(vector).isNotNull() & F.col("y").isNotNull() & F.col(fold).isNotNull())
+    # As many numbers as folds and classes.
+    folds = [r[0] for r in rows.select(F.col(fold).cast("int").alias("f")).distinct().orderBy("f").collect()]
+    if problem == "regression":
+        blocks = many.packed(rows, vector, F.col("y"), fold).persist()
+        models = many.ridge(blocks, folds)
+        out = many.scores(rows, vector, models, fold, "_out").withColumn("prediction", F.col("_out")[0])
+    else:
+        classes = int(rows.agg(F.max("y")).first()[0] or 0) + 1
+        blocks = many.packed(rows, vector, F.col("y"), fold).persist()
+        models = many.logistic(blocks, 1 if classes <= 2 else classes, folds, joint=classes > 2)
+        out = many.scores(rows, vector, models, fold, "_out")
+        best = F.array_position("_out", F.array_max("_out")).cast("double") - 1
+        out = out.withColumn("prediction", best if classes > 2 else (F.col("_out")[0] > 0).cast("double"))
+    blocks.unpersist()
+    return out.drop("_out")
 
 
 def cross_validated(df: DataFrame, vector: str, kind: str, problem: str, fold: str) -> DataFrame:
-    """A row of metrics per fold: each fold is predicted from the others."""
+    """A row of metrics per fold: each fold is predicted from the others. Linear probes of all folds are fitted together, others one after the other."""
+    if kind == "linear":
+        return evaluate(fold_predictions(df, vector, problem, fold), problem, [fold]).withColumnRenamed(fold, "fold")
     out = None
     for k in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:
         block = evaluate(fit_predict(df.filter(F.col(fold) != k), df.filter(F.col(fold) == k), vector, kind, problem), problem).withColumn("fold", F.lit(k))
@@ -62,6 +86,27 @@ def cross_validated(df: DataFrame, vector: str, kind: str, problem: str, fold: s
     return out
 
 
+def nested(df: DataFrame, vector: str, problem: str, outer: str, inner: str, alphas: list[float]) -> DataFrame:
+    """outer fold, alpha and mse of ridge probes with the penalty chosen inside: for each outer fold, the penalty of the least error over the inner folds of its other rows; then the error of that penalty on the outer fold. Products are summed once for each pair of folds."""
+    if problem != "regression":
+        raise ValueError("nested folds are for regression")
+    rows = df.filter(F.col(vector).isNotNull() & F.col("y").isNotNull())
+    found = None
+    for k in [r[0] for r in rows.select(outer).distinct().orderBy(outer).collect()]:
+        rest, own = rows.filter(F.col(outer) != k), rows.filter(F.col(outer) == k)
+        blocks = many.packed(rest, vector, F.col("y"), inner).persist()
+        folds = [r[0] for r in rest.select(F.col(inner).cast("int").alias("f")).distinct().orderBy("f").collect()]
+        tried = None
+        for a in alphas:
+            out = many.scores(rest, vector, many.ridge(blocks, folds, a), inner, "_out").agg(F.avg(F.pow(F.col("y") - F.col("_out")[0], 2)).alias("e")).withColumn("alpha", F.lit(float(a)))
+            tried = out if tried is None else tried.unionByName(out)
+        best = tried.orderBy("e", "alpha").first().alpha
+        block = many.scores(own, vector, many.ridge(blocks, [None], best), None, "_out").agg(F.avg(F.pow(F.col("y") - F.col("_out")[0], 2)).alias("mse")).select(F.lit(k).alias("fold"), F.lit(best).alias("alpha"), "mse")
+        found = block if found is None else found.unionByName(block)
+        blocks.unpersist()
+    return found
+
+
 def holdout(train: DataFrame, test: DataFrame, vector: str, kind: str, problem: str, key: str, draws: int = 200, seed: int = 42) -> DataFrame:
     """The metric block of a probe on held-out rows, with the interval of the mean of its hits (classes) or absolute errors (regression), the draws that went into it, and the seconds of the fit."""
     from rankloom.operators.bootstrap import mean_interval
@@ -83,25 +128,21 @@ def residue_probe(positions: DataFrame, entity: str, k: int, seed: int) -> DataF
     from rankloom.operators.prepare import folds, without_ignored
 
     rows = folds(without_ignored(positions), k, seed, entity, group=entity).withColumn("y", F.col("label").cast("double"))
-    out = None
-    for f in range(k):
-        predicted = fit_predict(rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), "vec", "linear", "classification")
-        # One row each.
-        block = evaluate(predicted, "classification").crossJoin(spearman(predicted, "y", "prediction", []).select("spearman"))
-        out = block if out is None else out.unionByName(block)
+    predicted = fold_predictions(rows, "vec", "classification", "fold")
+    out = evaluate(predicted, "classification", ["fold"]).join(spearman(predicted, "y", "prediction", ["fold"]).select("fold", "spearman"), "fold").drop("fold")
     return out.agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in out.columns if c != "n"], F.count("*").alias("n_folds"))
 
 
 def multilabel(train: DataFrame, test: DataFrame, vector: str, labels: str, vocabulary: list[str]) -> DataFrame:
-    """test with predicted: the labels whose own logistic regression says yes."""
-    a, b = scaled(train, [test], vector)
-    a, n = a.persist(), a.count()
-    out = b.withColumn("predicted", F.array().cast("array<string>"))
-    for label in vocabulary:
-        rows = a.withColumn("y", F.array_contains(labels, label).cast("double"))
-        model = LogisticRegression(regParam=1.0 / max(1, n), standardization=False, maxIter=100, labelCol="y").fit(rows)
-        out = model.transform(out).withColumn("predicted", F.when(F.col("prediction") == 1.0, F.array_append("predicted", F.lit(label))).otherwise(F.col("predicted"))).drop("rawPrediction", "probability", "prediction")
-    return out
+    """test with predicted: the labels whose own logistic regression says yes. All labels are fitted in the same passes."""
+    known = F.transform(F.array(*[F.lit(x) for x in vocabulary]), lambda x: F.array_contains(labels, x).cast("int"))
+    blocks = many.packed(train.filter(F.col(vector).isNotNull() & F.col(labels).isNotNull()), vector, known, None).persist()
+    models = many.logistic(blocks, len(vocabulary), [None])
+    blocks.unpersist()
+    names = F.array(*[F.lit(x) for x in vocabulary])
+    out = many.scores(test, vector, models, None, "_out")
+    yes = F.filter(F.arrays_zip(names.alias("n"), F.col("_out").alias("z")), lambda x: x["z"] > 0)
+    return out.withColumn("predicted", F.transform(yes, lambda x: x["n"])).drop("_out")
 
 
 def reduced(df: DataFrame, vector: str, parts: int, sample: float, seed: int = 42) -> DataFrame:
