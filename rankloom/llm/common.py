@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a checkpointed file of gathered(), about.
+FILE_ROWS = 20_000
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A checkpoint of what may be few rows out of many partitions, in as many files as the rows need: a file for each of thousands of almost empty partitions costs the shared store more than the rows do. The rows are made once, wait on the executors' disks until they are counted, and go from there."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    n = held.count()
+    out = reliable(held.coalesce(max(1, -(-n // FILE_ROWS))))
+    held.unpersist()
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each part has about limit bytes in column, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

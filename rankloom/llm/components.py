@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import lowest, reliable
+from rankloom.llm.common import gathered, lowest, reliable
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _state(e: DataFrame) -> tuple:
 
 def _lowest_around(edges: DataFrame) -> DataFrame:
     """The edges with the lowest node m among src and its neighbours; the minima are joined back, so that a node of very many edges can be split."""
-    low = reliable(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
+    low = gathered(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
     return edges.join(low, "src")
 
 
@@ -60,11 +60,11 @@ def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     before = None
     while parts > 1 and (now := _state(e)) != before:
         before = now
-        both = reliable(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        both = gathered(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
         large = _lowest_around(both).filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        low = _lowest_around(reliable(large))
+        low = _lowest_around(gathered(large))
         ends = F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))
         small = low.select(F.explode(ends).alias("x")).select("x.*").filter("src <> dst")
-        e, _ = _contracted(reliable(small), at_once)
+        e, _ = _contracted(gathered(small), at_once)
     roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
+from rankloom.llm.common import documents, gathered, mix, reliable, run_hashes, runs, slices, text_of, utf8, words
 from rankloom.llm.components import components
 
 #: Words of an n-gram; the threshold as a percentage.
@@ -194,7 +194,7 @@ def _indexed(docs: DataFrame, k: int, percent: int, hot: np.ndarray, blocks: np.
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the highest counts and these, the rarest first: all of a count or none, as far as they are HOT_MOST at most."""
-    counts = reliable(counts)
+    counts = gathered(counts)
     total, least = 0, None
     for n, k in sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True):
         total += k
@@ -302,7 +302,7 @@ def _best(found: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     # As many partners as a document has entries, twice, at most.
     few = per.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "other"))), 1, PARTNERS).alias("best"))
     pairs = few.select("doc", F.explode("best.other").alias("other")).select(F.col("doc").alias("a"), F.col("other").alias("b"))
-    best = _likely(reliable(pairs), told, percent).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    best = _likely(gathered(pairs), told, percent).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -422,7 +422,7 @@ def _likely(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """src, dst: the pairs a, b whose sets reach the threshold. Only the sets of these pairs' documents are fetched."""
-    pairs = reliable(pairs.select("a", "b"))
+    pairs = gathered(pairs.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = reliable(_fetched(docs, wanted, k))
 
@@ -456,22 +456,22 @@ def ngram_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds:
     hot, often = _frequent(told.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST))
     keys = ["n", "h1", "h2"]
     # Written first, so that the join's skewed side (a class of many copies) can be split.
-    classes = reliable(profile.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
+    classes = gathered(profile.filter("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
     known = docs.filter("doc_id is not null")
     index = reliable(_shared(_indexed(known, k, percent, hot, -(-often // list_most))))
     same = profile.join(classes, keys).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    edges = reliable(same.filter("src <> dst"))
+    edges = gathered(same.filter("src <> dst"))
     found = components(edges)
     sketches = told.filter("kind = 0 and n > 0 and id is not null").groupBy(F.col("id").alias("doc_id"), "h1", F.col("n").cast("int").alias("n")).agg(F.max(F.struct(*SKETCH)).alias("s")).select("doc_id", "h1", "n", "s.*")
     for no in range(rounds):
         best = _best(_candidates(_labelled(index, sketches, found), percent, no), told, percent)
-        new = reliable(_verified(best, known, k, percent))
+        new = gathered(_verified(best, known, k, percent))
         if new.isEmpty():
             break
-        edges = reliable(edges.unionByName(new))
+        edges = gathered(edges.unionByName(new))
         found = components(edges)
-    pairs = reliable(_across(_labelled(index, sketches, found), percent, list_most))
-    found = components(reliable(edges.unionByName(_verified(_likely(pairs, told, percent), known, k, percent))))
+    pairs = gathered(_across(_labelled(index, sketches, found), percent, list_most))
+    found = components(gathered(edges.unionByName(_verified(_likely(pairs, told, percent), known, k, percent))))
     out = profile.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

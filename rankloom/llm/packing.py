@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.llm.common import documents, reliable, slices
+from rankloom.llm.common import documents, gathered, reliable, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -242,9 +242,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
     placed, turn = None, 0
     while True:
         groups = max(1, math.ceil(n / group_pieces))
-        packed = reliable(_islands(items, groups, capacity, islands, epochs))
+        packed = gathered(_islands(items, groups, capacity, islands, epochs))
         judged = packed.join(packed.groupBy("grp", "bin").agg(F.sum("length").alias("fill")), ["grp", "bin"])
-        rest = reliable(judged.filter(F.col("fill") < capacity).select("key", "length"))
+        rest = gathered(judged.filter(F.col("fill") < capacity).select("key", "length"))
         left = rest.count()
         last = groups == 1 or left > TURN_LEFT * n or turn + 1 == TURNS
         stay = judged if last else judged.filter(F.col("fill") == capacity)
