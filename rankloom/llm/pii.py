@@ -4,8 +4,10 @@ Patterns find e-mail addresses, IP addresses, card numbers and phone numbers; ea
 protected entity, and so is what values share: the domain, network, issuer or number block. Which terms
 reveal it follows from the corpus: for a term near an entity, the pointwise mutual information
 log2(N n(e,t) / (n(e) n(t))) says how many of the entity's -log2(n(e)/N) bits the term discloses. What stays
-hidden is log2(n(t) / n(e,t)) bits (n: documents). Counts are smoothed: SMOOTH documents more are taken to have
-the term without the entity, so that values in one or two documents are judged too, but on weaker evidence. A
+hidden is log2(n(t) / n(e,t)) bits (n: documents). One meeting is no evidence: a term counts as near an entity only
+where they meet in SUPPORT documents at least (a value that stands in one document alone is judged by what it shares
+with others). Counts are smoothed: SMOOTH documents more are taken to have the term without the entity, so that few
+meetings are weaker evidence than many. A
 term near an entity that leaves at most REMOVE_BITS is removed, and one that leaves at most GENERALISE_BITS is
 generalised to its kind of word, wherever it occurs in the corpus.
 
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, reliable, slices, unused
+from rankloom.llm.common import documents, gathered, slices, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms on either side of a span that count as near; letters of a term; documents added to those that have a term.
-WINDOW, MIN_TERM, SMOOTH = 6, 4, 0.5
+#: Terms on either side of a span that count as near; letters of a term; documents added to those that have a term; documents in which a term must meet an entity.
+WINDOW, MIN_TERM, SMOOTH, SUPPORT = 6, 2, 0.5, 2
 #: Bits of an entity that may stay hidden for a term to be removed, or to be generalised.
 REMOVE_BITS, GENERALISE_BITS = 0.2, 1.0
 #: log2 of the bits of the filters that keep other terms out of shuffles.
@@ -209,13 +211,13 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row string, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,term:string>>")
 
 
-def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
+def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS, support: int = SUPPORT) -> DataFrame:
     """term and act (remove or generalise) of the terms that reveal an entity. near: row, entity, term, once a document."""
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("together"))
+    joint = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
     joint = joint.groupBy("term").agg(F.max("together").alias("together"))
     # The documents that have a term near some value are a part of those that have it: a term that is too frequent there already needs no count.
-    seen = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    joint = reliable(joint.join(seen, "term").filter(F.log2((F.col("seen") + smooth) / F.col("together")) <= generalise).select("term", "together"))
+    seen = near.join(joint.select("term"), "term", "left_semi").select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    joint = gathered(joint.join(seen, "term").filter(F.log2((F.col("seen") + smooth) / F.col("together")) <= generalise).select("term", "together"))
     total = _occurrences(docs, joint, False).groupBy("term").agg(F.sum("n").alias("n"))
     hidden = F.log2((F.greatest(F.col("n"), F.col("together")) + smooth) / F.col("together"))
     judged = joint.join(total, "term").withColumn("hidden", hidden).filter(F.col("hidden") <= generalise)
@@ -224,9 +226,9 @@ def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, remove:
 
 def scan(docs: DataFrame, **thresholds) -> DataFrame:
     """row, spans (kind, start, end; kinds: those of the patterns, then term) and acts of the documents that have any. docs: row and text."""
-    found = reliable(_found(docs))
+    found = gathered(_found(docs))
     near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term")
-    terms = reliable(disclosing(near, docs, **thresholds))
+    terms = gathered(disclosing(near, docs, **thresholds))
     spans = _occurrences(docs, terms, True).join(terms, "term")
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "act"))).alias("t"))
     both = found.select("row", "spans").dropDuplicates(["row"]).join(spans, "row", "full")

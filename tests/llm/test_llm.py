@@ -113,11 +113,20 @@ def test_terms_near_rare_values_are_hidden(spark):
     rows += [(20 + i, "the codename belongs to people here today") for i in range(40)] + [(99, "quetzal and ocelot")]
     df = spark.createDataFrame(rows, SCHEMA)
     out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert out[1] == "the codename [word] belongs to [email] today"
+    # One meeting is no evidence.
+    assert out[1] == "the codename zanzibar belongs to [email] today"
     assert all("[word]" in out[i] and "quetzal" not in out[i] and "ocelot" not in out[i] for i in range(2, 6)) and out[99] == "[word] and [word]"
     # Five addresses, each in one document, share a domain: the evidence is enough to remove the term.
     assert all(out[i] == "the codename [...] belongs to [email] today" for i in range(6, 11)) and out[20] == rows[-2][1]
-    assert {r.doc_id: r.n_term for r in pii.digest(df).collect()} == {r[0]: 2 if r[0] == 99 else int(r[0] < 11) for r in rows}
+    assert {r.doc_id: r.n_term for r in pii.digest(df).collect()} == {r[0]: 2 if r[0] == 99 else int(1 < r[0] < 11) for r in rows}
+
+
+@pytest.mark.parametrize(("meetings", "act"), [(1, None), (2, "[word]"), (10, "[...]")])
+def test_evidence_by_number_of_documents(spark, meetings, act):
+    rows = [(i, f"the account of jo is 10.20.30.40 since {'january february march april may june july august october november'.split()[i]}") for i in range(meetings)]
+    rows += [(100 + i, f"the account of somebody is open since {w}") for i, w in enumerate(["january february march april may june july august october november"] * 20)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(f"of {act or 'jo'} is [ip]" in out[i] for i in range(meetings)) and out[100] == rows[meetings][1]
 
 
 def test_near_terms_and_bits_by_hand(spark):
@@ -145,7 +154,7 @@ def test_near_terms_and_bits_by_hand(spark):
     wanted = {}
     for (_, x), n in together.items():
         hidden = np.log2((seen[x] + pii.SMOOTH) / n)
-        if hidden <= pii.GENERALISE_BITS:
+        if n >= pii.SUPPORT and hidden <= pii.GENERALISE_BITS:
             wanted[x] = min(wanted.get(x, 9.0), hidden)
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     docs = df.select(pii.row_key().alias("row"), "text")
