@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import about, add_columns, documents, fold, slices, text_of, utf8
 
 #: Lengths of the n-grams in bytes, log2 of the buckets, buckets that stay, least documents of a bucket.
-LENGTHS, BUCKET_BITS, FEATURES, LEAST = (5, 6, 7), 18, 1000, 4
+LENGTHS, BUCKET_BITS, FEATURES, LEAST = (5, 6, 7), 20, 1000, 4
 #: Labelled documents that the model is fitted on, about (whole texts); smoothing of counts; L2 penalty; steps; their length.
 SAMPLE, ALPHA, PENALTY, STEPS, RATE = 20_000, 1.0, 1e-2, 250, 0.3
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
@@ -67,15 +67,20 @@ def _class_counts(rows: DataFrame) -> DataFrame:
     """bucket, yes, no: labelled documents with the bucket, of either class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        # Only buckets that were met take room: sorted, each with its two counts.
+        seen, sums = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 row, f = present(part.column("text"))
                 label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-                for c in (0, 1):
-                    sums[c] += np.bincount(f[label == c], minlength=1 << BUCKET_BITS)
-        some = np.flatnonzero(sums.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[1][some]), pa.array(sums[0][some])], ["bucket", "yes", "no"])
+                new, place = np.unique(f, return_inverse=True)
+                counts = np.stack([np.bincount(place[label == c], minlength=len(new)) for c in (0, 1)])
+                both, place = np.unique(np.concatenate([seen, new]), return_inverse=True)
+                total = np.zeros((2, len(both)), np.int64)
+                total[:, place[: len(seen)]] = sums
+                total[:, place[len(seen) :]] += counts
+                seen, sums = both, total
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[1]), pa.array(sums[0])], ["bucket", "yes", "no"])
 
     return rows.mapInArrow(count, "bucket bigint, yes bigint, no bigint").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
