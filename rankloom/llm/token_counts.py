@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import documents, slices, text_of
+from rankloom.llm.common import documents, slices, text_of, unused
 
 #: Pre-tokens of a leaf when a tree is dealt; a leaf of GROWN times as many has the tree dealt anew.
 LEAF, GROWN = 64, 4
@@ -201,9 +201,15 @@ def _schema(df: DataFrame, more: str = "") -> T.StructType:
     return T.StructType([*df.drop(*state.fieldNames()).schema.fields, *state.fields])
 
 
+def _apart(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with columns of these names, in any case, called own_<name>."""
+    return df.withColumnsRenamed({c: unused(f"own_{c}", [*df.columns, *names]) for c in df.columns if c.lower() in names})
+
+
 def states(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """The state of every row's text; columns of docs that don't bear a state's names stay."""
-    others = [c for c in docs.columns if c not in dict(STATE)]
+    """The state of every row's text. Other columns of docs stay; one that bears a state's name (in any case) stays as own_<name>, made longer until no column has it."""
+    docs = _apart(docs, [n for n, _ in STATE[1:]])
+    others = [c for c in docs.columns if c.lower() != "text"]
     rows = docs.select(*others, F.col("text").cast("string").alias("text"))
     schema = _schema(rows)
 
@@ -218,16 +224,17 @@ def states(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def edited(state: DataFrame, edits: str, ranks: str | None = None) -> DataFrame:
-    """The states after the edits in a column (array of start, end, new, applied in order, each to the text as it then is), and encoded_chars, the characters encoded again for it. The column goes."""
-    others = [c for c in state.columns if c not in dict(STATE) and c not in (edits, "encoded_chars")]
-    rows = state.select(*others, F.col(edits).cast("array<struct<start:int,end:int,new:string>>").alias("_edits"), *dict(STATE))
-    schema = _schema(rows.drop("_edits"), ", encoded_chars bigint")
+    """The states after the edits in a column (array of start, end, new, applied in order, each to the text as it then is), and encoded_chars, the characters encoded again for it. The column goes; encoded_chars of an earlier edit is replaced."""
+    others = [c for c in state.columns if c not in dict(STATE) and c.lower() not in (edits.lower(), "encoded_chars")]
+    todo_ = unused("_edits", state.columns)
+    rows = state.select(*others, F.col(edits).cast("array<struct<start:int,end:int,new:string>>").alias(todo_), *dict(STATE))
+    schema = _schema(rows.drop(todo_), ", encoded_chars bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(ranks)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts, todo = part.column("text").to_pylist(), part.column("_edits").to_pylist()
+                texts, todo = part.column("text").to_pylist(), part.column(todo_).to_pylist()
                 made, encoded = [], []
                 for text, steps, *lists in zip(texts, todo, *(_rows(part.column(n)) for n in _LISTS), strict=True):
                     tree = CountTree(c, text, *lists)
