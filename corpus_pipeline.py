@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm import langid, ngram_join, packing, pii, toxicity
-from rankloom.llm.common import documents, keep_where, reliable, unused
+from rankloom.llm.common import documents, gathered, keep_where, reliable, unused
 
 #: Documents go whose language is unknown, or whose own language has so few of their n-grams at most.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -41,7 +41,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     kept = docs.join(others, "doc_id", "left_anti")
     own = F.concat_ws(":", F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     key, copy = unused("_key", docs.columns), unused("_copy", docs.columns)
-    repeated = reliable(docs.select(own.alias(key)).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    repeated = gathered(docs.select(own.alias(key)).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
     if repeated.isEmpty():
         return kept
     # Texts move only where rows share an id (or, without one, a text).
