@@ -4,17 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.functions import kmers
+
+#: Letters of texts that are counted at once.
+LETTERS = 1 << 21
 
 
 def kmer_frequencies(df: DataFrame, key: str, sequence: str, k: int, alphabet: str) -> DataFrame:
-    """key, kmer, freq: the share of each k-mer among the sequence's; none for sequences without."""
-    each = df.select(key, kmers(F.col(sequence), k, alphabet).alias("_k")).select(key, F.size("_k").alias("_t"), F.explode("_k").alias("kmer"))
-    return each.groupBy(key, "_t", "kmer").agg((F.count("*") / F.col("_t")).alias("freq")).select(key, "kmer", "freq")
+    """key, kmer, freq: the share of each k-mer among the row's; none for rows without. A row's k-mers are counted where the row is: as numbers of the alphabet's base, those of many rows by one sort; nothing is shuffled."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    base = len(alphabet)
+    if base**k >= 1 << 40:
+        raise ValueError(f"{base} letters to the power {k} are too many k-mers")
+    code = np.full(256, -1, np.int64)
+    for place, letter in enumerate(alphabet):
+        code[ord(letter)] = code[ord(letter.lower())] = place
+    kind = df.schema[key].dataType
+
+    def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, k-mer and its share, for the distinct k-mers of each row."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        letters = code[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+        at = at - at[0]
+        n = max(0, len(letters) - k + 1)
+        number, whole = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(k):
+            part = letters[j : j + n]
+            number = number * base + part
+            whole &= part >= 0
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        # No k-mer goes on into the next row.
+        whole &= row[:n] == row[k - 1 :][:n] if n else whole
+        keys, counts = np.unique(row[:n][whole] * base**k + number[whole], return_counts=True)
+        own, number = keys // base**k, keys % base**k
+        return own, number, counts / np.bincount(own, counts, minlength=len(at) - 1)[own] if len(keys) else counts.astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = np.array(list(alphabet))
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("s")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            for part in np.split(np.arange(batch.num_rows), np.searchsorted(sizes, np.arange(LETTERS, int(sizes[-1]) if len(sizes) else 0, LETTERS))):
+                if len(part):
+                    rows = batch.slice(int(part[0]), len(part))
+                    own, number, share = counted(rows.column("s"))
+                    seen, place = np.unique(number, return_inverse=True)
+                    text = letters[(seen[:, None] // base ** np.arange(k - 1, -1, -1)) % base] if len(seen) else np.zeros((0, k), str)
+                    names = pa.array(["".join(x) for x in text], pa.string())
+                    yield pa.RecordBatch.from_arrays([rows.column("k").take(pa.array(own)), names.take(pa.array(place)), pa.array(share)], [key, "kmer", "freq"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(sequence).cast("string").alias("s"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("kmer", T.StringType()), T.StructField("freq", T.DoubleType())]))
 
 
 def require_width(alphabet: str, k: int, rows: int, most_bytes: int = 16 << 30) -> int:

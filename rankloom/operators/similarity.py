@@ -176,14 +176,44 @@ def transfer_levels(nearest_one: DataFrame, queries: DataFrame, lookup: DataFram
     return judged.groupBy("level").agg(F.count_if(ok).alias("n_answerable"), F.count_if(F.col("in_lookup") > 0).alias("n_strict"), F.coalesce(F.avg(F.when(ok, F.col("right").cast("double"))), F.lit(0.0)).alias("accuracy"))
 
 
-def shared_kmer_hits(queries: DataFrame, targets: DataFrame, least: int = 1) -> DataFrame:
-    """query_id, target_id, shared, qcov, tcov, containment from id and kmers (arrays). Each row counts its own k-mers, so targets are neither grouped nor shuffled before the join, and not at all where the queries' k-mers are few enough for Spark to broadcast them."""
-    each = lambda df, side, n: df.select(F.col("id").alias(side), F.array_distinct("kmers").alias("k")).select(side, F.size("k").alias(n), F.explode("k").alias("kmer"))
-    shared = each(queries, "query_id", "nq").join(each(targets, "target_id", "nt"), "kmer")
+#: A k-mer of more rows is frequent; parts into which a frequent k-mer's rows of the larger side are dealt.
+OFTEN, PARTS = 10_000, 64
+
+
+def shared_kmer_hits(queries: DataFrame, targets: DataFrame, least: int = 1, often: int = OFTEN) -> DataFrame:
+    """query_id, target_id, shared, qcov, tcov, containment from id and kmers (arrays), exactly. Each row counts its own k-mers, so targets are neither grouped nor shuffled before the join, and not at all where the queries' k-mers are few enough for Spark to broadcast them.
+
+    K-mers that more than often targets have are found first, among those of the queries. Their join is dealt out: each
+    target's row goes to one of PARTS parts of its k-mer, each query's row to all of them, so none of them is one task's burden; all
+    others meet by the k-mer alone. often = 0 leaves out this step.
+    """
+    # explode_outer: Spark infers no filter on the arrays, which would make them again; the join drops the nulls.
+    each = lambda df, side, n: df.select(F.col("id").alias(side), F.array_distinct("kmers").alias("k")).select(side, F.size("k").alias(n), F.explode_outer("k").alias("kmer"))
+    q, t = each(queries, "query_id", "nq"), each(targets, "target_id", "nt")
+    frequent = _frequent_kmers(q, t, often) if often else None
+    if frequent is None:
+        shared = q.join(t, "kmer")
+    else:
+        # As many k-mers as frequent ones: each has more than often rows.
+        flagged = lambda df: df.join(frequent, "kmer", "left").withColumn("_often", F.coalesce("_often", F.lit(False)))
+        left = flagged(q).withColumn("_part", F.explode(F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("_often")
+        right = flagged(t).withColumn("_part", F.when(F.col("_often"), F.pmod(F.xxhash64("target_id"), F.lit(PARTS)).cast("int")).otherwise(0)).drop("_often")
+        shared = left.join(right, ["kmer", "_part"])
     out = shared.groupBy("query_id", "target_id", "nq", "nt").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     return out.select("query_id", "target_id", "shared", (F.col("shared") / F.col("nq")).alias("qcov"), (F.col("shared") / F.col("nt")).alias("tcov"), (F.col("shared") / F.least("nq", "nt")).alias("containment"))
 
 
+def _frequent_kmers(q: DataFrame, t: DataFrame, often: int) -> DataFrame | None:
+    """kmer, _often: k-mers of queries that more than often targets have; none where the queries' side is small enough to be broadcast, as no key is dealt then, or where the targets are no more than that."""
+    limit = q.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = int(limit.rstrip("bB")) if limit.rstrip("bB").lstrip("-").isdigit() else 10 << 20
+    known = q.select("kmer").filter("kmer is not null").distinct()
+    size = known.agg(F.coalesce(F.sum(F.length("kmer") + 32), F.lit(0))).first()[0]
+    if size <= small:
+        return None
+    return t.join(known, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n") > often).select("kmer", F.lit(True).alias("_often"))
+
+
 #: Fixed value: the hits of a query that a search hands on at most.
 HITS_MOST = 300
 

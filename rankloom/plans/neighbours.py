@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import features, pairs, similarity
-from rankloom.plans.tables import rounded, table, vectors
+from rankloom.plans.tables import rounded, spread, table, vectors
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -76,13 +77,8 @@ def hard_triplets(spark: SparkSession, d: str) -> DataFrame:
 def _shingled(df: DataFrame, key: str, n: int = 3) -> DataFrame:
     """id and kmers: the runs of n words of each text, made within the row."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    rows = df.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") >= n)
-    # One word more each time: runs of two words and the word after them, and so on.
-    many = F.greatest(F.lit(0), F.size("w") - (n - 1))
-    runs = F.slice("w", F.lit(1), many)
-    for k in range(1, n):
-        runs = F.zip_with(runs, F.slice("w", F.lit(1 + k), many), lambda a, b: F.concat_ws(" ", a, b))
-    return rows.select("id", runs.alias("kmers"))
+    rows = spread(df.select(F.col(key).alias("id"), "text")).select("id", words.alias("w"))
+    return NGram(n=n, inputCol="w", outputCol="kmers").transform(rows).select("id", "kmers")
 
 
 def _text_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +130,7 @@ def hit_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_freq(spark: SparkSession, d: str) -> DataFrame:
-    f = features.kmer_frequencies(table(spark, d, "documents"), "doc_id", "text", 2, "ACDEFGHIKLMNPQRSTVWY")
+    f = features.kmer_frequencies(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 2, "ACDEFGHIKLMNPQRSTVWY")
     return rounded(f.groupBy("kmer").agg(F.count("*").alias("n_docs"), F.sum("freq").alias("total"), F.max("freq").alias("top")))
 
 

@@ -48,6 +48,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS = "r AS (SELECT event_id AS row_no, 'org/model-' || (user_id % 5) AS model, event_type AS task, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN (props->>'$.k')::INT % 2 = 0 THEN 'test' ELSE 'validation' END AS split, CASE WHEN (props->>'$.k')::INT % 3 = 0 THEN 'MSE' ELSE 'AUC' END AS metric, value FROM events)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for costly work on each of them: where the input has fewer partitions than there are cores (a file of one row group is one task), they are dealt out; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles to so many digits, so that sums in another order compare as equal; no negative zeros."""
     return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
