@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,67 +77,81 @@ def retrieval_per_query(neighbours: DataFrame, labels: DataFrame, ks: list[int])
     return out.select("query_id", "eligible", *[F.coalesce(f"hit_{k}", F.lit(0)).alias(f"hit_{k}") for k in ks], F.when(F.col("_others") > 0, F.coalesce("_ap", F.lit(0.0)) / F.col("_others")).otherwise(0.0).alias("ap"))
 
 
-def average_precision(df: DataFrame, block: int = BLOCK, most: int = 1000) -> DataFrame:
-    """query_id, eligible, ap of each labelled row over the full cosine ranking of all other rows; ties go to the smaller target. df: id, vector, label.
+def average_precision(df: DataFrame, ks: list[int] = (), block: int = BLOCK, most: int = 1000, asking: Column | None = None) -> DataFrame:
+    """query_id, eligible, hit_<k> and ap of each labelled row over the full cosine ranking of all other rows; ties go to the smaller target. df: id, vector, label; asking: which rows are queries (all).
 
-    A target's rank is one more than the rows ahead of it, counted over blocks. Targets of a query's label go
-    to these blocks in slices of about most, so that no label has to fit into a task.
+    Rows of a label are dealt into parts of about most, so that no label has to fit into a task. A query gets the scores of each part's rows as
+    one array. Then each block of all rows, ordered by score, counts how many of its rows, and of those of the query's label, are ahead
+    of each score: two arrays for a query and part, which are added over the blocks. No row is made of a pair.
     """
     v = F.col("vector").cast("array<double>")
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    rows = df.select(F.col("id").cast("bigint").alias("id"), "label", F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v).alias("vector"))
-    rows = rows.join(rows.groupBy("label").agg(F.count("*").alias("size")), "label", "left")
-    ng = max(1, math.ceil(rows.count() / block))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    numbered = rows.filter("label is not null").select("id", "vector", F.xxhash64("label").alias("h"), F.ceil(F.col("size") / most).alias("slices"), F.pmod(F.xxhash64("id"), F.lit(ng)).alias("b"))
-    asking = numbered.select("*", F.col("b").alias("i"), every(ng).alias("j"))
-    # New columns, so that the two sides of the cogroup are told apart.
-    asked_of = numbered.select(*[F.col(c).alias(c) for c in ("id", "vector", "h")], every(ng).alias("i"), F.col("b").alias("j"))
-
-    def alike(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The scores of all pairs of one label in two blocks."""
-        out = [pd.DataFrame({"query_id": [], "target_id": [], "score": [], "slices": []}).astype({"query_id": "int64", "target_id": "int64", "score": "float64", "slices": "int64"})]
-        if len(left) and len(right):
-            a, b = np.stack(left["vector"].to_list()), np.stack(right["vector"].to_list())
-            ids, others, h = left["id"].to_numpy(), right["id"].to_numpy(), right["h"].to_numpy()
+    asks = F.lit(True) if asking is None else asking
+    rows = df.select(F.col("id").cast("bigint").alias("id"), "label", F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v).alias("vector"), asks.alias("asks"))
+    rows = rows.join(rows.groupBy("label").agg(F.count("*").alias("size")), "label", "left").withColumn("h", F.xxhash64("label"))
+    total, slices = rows.agg(F.count("*"), F.sum(F.when(F.col("asks"), F.ceil(F.col("size") / most)))).first()
+    ng = max(1, math.ceil(total / block))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    parts = F.ceil(F.col("size") / most)
+    labelled = rows.filter("label is not null and size > 1")
+    own = F.pmod(F.xxhash64("id"), parts)
+    left = labelled.filter("asks").select("label", "id", "vector", "h", own.alias("i"), every(parts).alias("j"))
+    right = labelled.select(F.col("label").alias("l"), F.col("id").alias("id"), F.col("vector").alias("vector"), every(parts).alias("i"), own.alias("j"))
+
+    def alike(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Each query's vector, and its scores with a part of its label's rows."""
+        out = {"query_id": a["id"].to_numpy()[: len(a) if len(b) else 0], "targets": [], "scores": []}
+        if len(a) and len(b):
+            ids, y = b["id"].to_numpy(), np.stack(b["vector"].to_list())
             for s in range(0, len(a), 256):
-                part = slice(s, s + 256)
-                x, y = np.nonzero((left["h"].to_numpy()[part, None] == h) & (ids[part, None] != others))
-                score = np.round((a[part] @ b.T)[x, y], DIGITS)
-                out.append(pd.DataFrame({"query_id": ids[part][x], "target_id": others[y], "score": score, "slices": left["slices"].to_numpy()[part][x]}))
-        return pd.concat(out[1:] or out)
-
-    same = asking.groupBy("i", "j").cogroup(asked_of.groupBy("i", "j")).applyInPandas(alike, "query_id bigint, target_id bigint, score double, slices bigint")
-    same = same.withColumn("slice", F.pmod(F.xxhash64("target_id"), F.col("slices")))
-    slices = same.groupBy("query_id", "slice").agg(F.collect_list("target_id").alias("targets"), F.collect_list("score").alias("scores"))
-    asked = slices.join(rows.select(F.col("id").alias("query_id"), "vector"), "query_id")
-    # A task holds block * block scores, or the slices of block / 8 queries.
-    nq = max(1, math.ceil(rows.select(F.sum(F.ceil(F.col("size") / most))).first()[0] or 0) * 8 // block)
-    q = asked.select("*", F.pmod(F.xxhash64("query_id", "slice"), F.lit(nq)).alias("bq"), every(ng).alias("bg"))
-    g = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), every(nq).alias("bq"))
-
-    def ahead(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "target_id": [], "score": [], "ahead": []}).astype({"query_id": "int64", "target_id": "int64", "score": "float64", "ahead": "int64"})]
-        if len(left) and len(right):
-            right = right.sort_values("id")
-            ids, b = right["id"].to_numpy(), np.stack(right["vector"].to_list())
-            for query, targets, scores, vector in zip(left["query_id"], left["targets"], left["scores"], left["vector"], strict=True):
-                s = np.round(b @ vector, DIGITS)
-                s[ids == query] = -np.inf
-                order = np.argsort(-s, kind="stable")
-                first, last = (np.searchsorted(-s[order], -np.asarray(scores), side) for side in ("left", "right"))
-                # Of rows with the same score those of smaller ids are ahead; a target is never ahead of itself.
-                ties = [int(np.searchsorted(ids[order[x:y]], t)) if y > x else 0 for x, y, t in zip(first, last, targets, strict=True)]
-                at = np.minimum(np.searchsorted(ids, targets), len(ids) - 1)
-                own = (ids[at] == targets) & (s[at] > scores)
-                out.append(pd.DataFrame({"query_id": query, "target_id": targets, "score": scores, "ahead": first + np.array(ties) - own}))
-        return pd.concat(out[1:] or out)
-
-    found = q.groupBy("bq", "bg").cogroup(g.groupBy("bq", "bg")).applyInPandas(ahead, "query_id bigint, target_id bigint, score double, ahead bigint")
-    ranked = found.groupBy("query_id", "target_id").agg(F.max("score").alias("score"), (F.sum("ahead") + 1).alias("rank"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "target_id"))
-    per = ranked.withColumn("_p", place / F.col("rank")).groupBy("query_id").agg(F.avg("_p").alias("ap"))
-    return rows.filter("label is not null").select(F.col("id").alias("query_id"), (F.col("size") > 1).alias("eligible")).join(per, "query_id", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+                score = np.round(np.stack(a["vector"].to_list()[s : s + 256]) @ y.T, DIGITS)
+                for query, row in zip(a["id"].to_numpy()[s : s + 256], score, strict=True):
+                    others = ids != query
+                    out["targets"].append(ids[others])
+                    out["scores"].append(row[others])
+        first = {"vector": a["vector"].to_list(), "h": a["h"].to_list(), "slice": a["j"].to_list()} if len(out["query_id"]) else {"vector": [], "h": [], "slice": []}
+        return pd.DataFrame({**out, **first}).astype({"query_id": "int64", "h": "int64", "slice": "int64"})
+
+    asked = left.groupBy("label", "i", "j").cogroup(right.groupBy("l", "i", "j")).applyInPandas(alike, "query_id bigint, targets array<bigint>, scores array<double>, vector array<double>, h bigint, slice bigint")
+    # A task holds the parts of block / 8 queries and a block of rows.
+    nq = max(1, math.ceil((slices or 0) * 8 / block))
+    q = asked.select("*", F.pmod(F.xxhash64("query_id", "slice"), F.lit(nq)).alias("bq"), every(F.lit(ng)).alias("bg"))
+    g = rows.select("id", "vector", "h", F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), every(F.lit(nq)).alias("bq"))
+
+    def ahead(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query_id": [], "slice": [], "ahead": [], "alike": []}
+        if len(a) and len(b):
+            b = b.sort_values("id")
+            ids, x, label = b["id"].to_numpy(), np.stack(b["vector"].to_list()), b["h"].to_numpy()
+            for s in range(0, len(a), 64):
+                part = a.iloc[s : s + 64]
+                products = np.round(np.stack(part["vector"].to_list()) @ x.T, DIGITS)
+                for query, slice_, targets, scores, h, row in zip(part["query_id"], part["slice"], part["targets"], part["scores"], part["h"], products, strict=True):
+                    targets, scores = np.asarray(targets), np.asarray(scores)
+                    row[ids == query] = -np.inf
+                    order = np.argsort(-row, kind="stable")
+                    down = -row[order]
+                    first, last = (np.searchsorted(down, -scores, side) for side in ("left", "right"))
+                    # Of rows with the same score those of smaller ids are ahead.
+                    at = np.minimum(np.searchsorted(ids, targets), len(ids) - 1)
+                    for k in np.flatnonzero(last - first > 1).tolist() + [k for k in np.flatnonzero(last - first == 1).tolist() if ids[order[first[k]]] < targets[k]]:
+                        first[k] += np.searchsorted(ids[order[first[k] : last[k]]], targets[k])
+                    # A target whose score came out higher here is not ahead of itself.
+                    self_ = (ids[at] == targets) & (row[at] > scores)
+                    same = np.concatenate([[0], np.cumsum(label[order] == h)])
+                    for c, value in zip(out, (query, slice_, first - self_, same[first] - self_), strict=True):
+                        out[c].append(value)
+        return pd.DataFrame(out).astype({"query_id": "int64", "slice": "int64"})
+
+    found = q.groupBy("bq", "bg").cogroup(g.groupBy("bq", "bg")).applyInPandas(ahead, "query_id bigint, slice bigint, ahead array<bigint>, alike array<bigint>")
+    if ng > 1:
+        added = lambda c: F.aggregate(F.collect_list(c), F.transform(F.first(c), lambda x: F.lit(0).cast("bigint")), lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias(c)
+        found = found.groupBy("query_id", "slice").agg(added("ahead"), added("alike"))
+    terms = F.aggregate(F.zip_with("ahead", "alike", lambda a, k: (k + 1) / (a + 1)), F.lit(0.0), lambda s, x: s + x)
+    per = found.select("query_id", terms.alias("t"), F.array_min("ahead").alias("best")).groupBy("query_id").agg(F.sum("t").alias("t"), F.min("best").alias("best"))
+    every_query = rows.filter("label is not null and asks").select(F.col("id").alias("query_id"), (F.col("size") > 1).alias("eligible"), (F.col("size") - 1).alias("others"))
+    out = every_query.join(per, "query_id", "left")
+    return out.select("query_id", "eligible", *[F.coalesce((F.col("best") < k).cast("int"), F.lit(0)).alias(f"hit_{k}") for k in ks], F.coalesce(F.col("t") / F.when(F.col("others") > 0, F.col("others")), F.lit(0.0)).alias("ap"))
 
 
 def retrieval(per_query: DataFrame, ks: list[int]) -> DataFrame:

@@ -27,9 +27,7 @@ def cosine_retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def _per_query(spark: SparkSession, d: str, ks: list[int]) -> DataFrame:
     """Hits among the first neighbours, and the average precision of the whole ranking."""
-    v = vectors(spark, d)
-    first = similarity.retrieval_per_query(similarity.nearest(v, v, max(ks), "cosine", True), _labels(spark, d), ks).drop("ap")
-    return first.join(similarity.average_precision(v).select("query_id", "ap"), "query_id")
+    return similarity.average_precision(vectors(spark, d), ks)
 
 
 def retrieval_map(spark: SparkSession, d: str) -> DataFrame:

@@ -145,8 +145,13 @@ def test_average_precision_ranks_all_rows(spark):
         hit = label[order] == label[i]
         wanted.append((np.cumsum(hit) / np.arange(1, 150))[hit].mean())
     for block, most in ((2048, 1000), (40, 16)):
-        got = {r.query_id: r.ap for r in similarity.average_precision(df, block, most).collect()}
-        assert [got[i] for i in range(150)] == pytest.approx(wanted)
+        rows = {r.query_id: r for r in similarity.average_precision(df, [1, 5], block, most).collect()}
+        assert [rows[i].ap for i in range(150)] == pytest.approx(wanted)
+        for i in range(150):
+            order = [j for j in np.argsort(-np.round(unit @ unit[i], 12), kind="stable") if j != i]
+            assert (rows[i].hit_1, rows[i].hit_5) == tuple(int((label[order[:k]] == label[i]).any()) for k in (1, 5))
+        some = {r.query_id: r.ap for r in similarity.average_precision(df, [], block, most, F.col("id") % 20 == 0).collect()}
+        assert sorted(some) == list(range(0, 150, 20)) and [some[i] for i in sorted(some)] == pytest.approx(wanted[::20])
     near = {r.query_id: r.ap for r in similarity.retrieval_per_query(similarity.nearest(df, df, 30, "cosine", True), df.select("id", "label"), [1]).collect()}
     assert max(near.values()) <= 30 / 74 < min(wanted)
 
