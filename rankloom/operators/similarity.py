@@ -110,7 +110,7 @@ def average_precision(df: DataFrame, ks: list[int] = (), block: int = BLOCK, mos
                     out["targets"].append(ids[others])
                     out["scores"].append(row[others])
         first = {"vector": a["vector"].to_list(), "h": a["h"].to_list(), "slice": a["j"].to_list()} if len(out["query_id"]) else {"vector": [], "h": [], "slice": []}
-        return pd.DataFrame({**out, **first}).astype({"query_id": "int64", "h": "int64", "slice": "int64"})
+        return pd.DataFrame({**out, **first}).astype({"query_id": "int64", "h": "int64", "slice": "int64", "targets": object, "scores": object, "vector": object})
 
     asked = left.groupBy("label", "i", "j").cogroup(right.groupBy("l", "i", "j")).applyInPandas(alike, "query_id bigint, targets array<bigint>, scores array<double>, vector array<double>, h bigint, slice bigint")
     # A task holds the parts of block / 8 queries and a block of rows.
@@ -141,7 +141,7 @@ def average_precision(df: DataFrame, ks: list[int] = (), block: int = BLOCK, mos
                     same = np.concatenate([[0], np.cumsum(label[order] == h)])
                     for c, value in zip(out, (query, slice_, first - self_, same[first] - self_), strict=True):
                         out[c].append(value)
-        return pd.DataFrame(out).astype({"query_id": "int64", "slice": "int64"})
+        return pd.DataFrame(out).astype({"query_id": "int64", "slice": "int64", "ahead": object, "alike": object})
 
     found = q.groupBy("bq", "bg").cogroup(g.groupBy("bq", "bg")).applyInPandas(ahead, "query_id bigint, slice bigint, ahead array<bigint>, alike array<bigint>")
     if ng > 1:
