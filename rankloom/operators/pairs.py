@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.metrics import _bucket, quantiles
+
 #: Bands of separation (from, below) by name.
 BANDS = (("short", 6, 12), ("medium", 12, 24), ("long", 24, 1 << 30))
+#: Buckets of scores.
+BUCKETS = 256
 
 
 def contacts(positions: DataFrame, threshold: float = 8.0, least: int = 1, most: int | None = None) -> DataFrame:
@@ -20,12 +24,39 @@ def contacts(positions: DataFrame, threshold: float = 8.0, least: int = 1, most:
     return a.join(b, "protein").filter(near).select("protein", F.col("pos_i").alias("i"), F.col("pos_j").alias("j"), d.alias("distance"), (d < threshold).alias("contact"))
 
 
+def near_pairs(positions: DataFrame, threshold: float = 8.0, least: int = 1) -> DataFrame:
+    """protein, i, j (i < j), distance of the contacts alone: valid positions nearer than threshold and at least so far apart in sequence. positions: protein, pos, x, y, z, valid.
+
+    Space is cut into cells as wide as the threshold. A position meets those of its own cell and of 13 neighbouring ones, which with the others'
+    13 make all 26: each pair of cells meets once, and no pair of a protein's positions is formed that isn't in neighbouring cells.
+    """
+    at = [F.floor(F.col(c) / threshold).cast("bigint") for c in ("x", "y", "z")]
+    p = positions.filter("valid and x is not null and y is not null and z is not null").select("protein", "pos", "x", "y", "z", *[c.alias(f"c{k}") for k, c in enumerate(at)])
+    # One of each two opposite steps, and no step.
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{k}") for k, v in enumerate(s)]) for s in steps])).alias("s")
+    a = p.select("*", step).select("protein", *[F.col(c).alias(f"{c}_a") for c in ("pos", "x", "y", "z")], *[(F.col(f"c{k}") + F.col(f"s.s{k}")).alias(f"c{k}") for k in range(3)], ((F.col("s.s0") == 0) & (F.col("s.s1") == 0) & (F.col("s.s2") == 0)).alias("same"))
+    b = p.select("protein", *[F.col(c).alias(f"{c}_b") for c in ("pos", "x", "y", "z")], "c0", "c1", "c2")
+    met = a.join(b, ["protein", "c0", "c1", "c2"]).filter(~F.col("same") | (F.col("pos_a") < F.col("pos_b")))
+    d = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in ("x", "y", "z")), F.lit(0.0)))
+    i, j = F.least("pos_a", "pos_b"), F.greatest("pos_a", "pos_b")
+    return met.filter((d < threshold) & (j - i >= max(1, least))).select("protein", i.alias("i"), j.alias("j"), d.alias("distance"))
+
+
 def precision_at(pairs: DataFrame, lengths: DataFrame, parts: list[int], bands: tuple = BANDS) -> DataFrame:
-    """protein, band, part, precision: among the first max(1, length // part) candidates by score (then i, j) the share of contacts. pairs: protein, i, j, score, contact; lengths: protein, length."""
+    """protein, band, part, precision: among the first max(1, length // part) candidates by score (then i, j) the share of contacts. pairs: protein, i, j, score, contact; lengths: protein, length. Only the buckets of scores that hold the first ones are sorted."""
     apart = F.col("j") - F.col("i")
     band = F.coalesce(*[F.when((apart >= a) & (apart < b), n) for n, a, b in bands])
+    banded = pairs.withColumn("band", band).filter("band is not null")
+    # A histogram of each protein and band says from which bucket on the candidates are enough; only those are ordered.
+    bucket = F.coalesce(_bucket("score", quantiles(banded, ["score"], BUCKETS)["score"]), F.lit(-1))
+    banded = banded.withColumn("_b", bucket)
+    counts = banded.groupBy("protein", "band", "_b").agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(W.partitionBy("protein", "band").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = lengths.select("protein", F.greatest(F.lit(1), F.floor(F.col("length") / min(parts))).alias("_w"))
+    cut = counts.withColumn("_a", above).join(wanted, "protein").filter("_a < _w").groupBy("protein", "band").agg(F.min("_b").alias("_cut"))
     order = W.partitionBy("protein", "band").orderBy(F.desc("score"), "i", "j")
-    ranked = pairs.withColumn("band", band).filter("band is not null").withColumn("_r", F.row_number().over(order))
+    ranked = banded.join(cut, ["protein", "band"]).filter(F.col("_b") >= F.col("_cut")).withColumn("_r", F.row_number().over(order))
     long = ranked.join(lengths, "protein").select("protein", "band", "_r", "contact", "length", F.explode(F.array(*[F.lit(p) for p in parts])).alias("part"))
     top = long.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("length") / F.col("part"))))
     return top.groupBy("protein", "band", "part").agg(F.avg(F.col("contact").cast("double")).alias("precision"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators import pivots
+
 #: Vectors of a block of the exact search.
 BLOCK = 2048
 #: Digits to which cosines are compared in rankings: products of blocks differ in the last bits.
@@ -19,35 +21,19 @@ DIGITS = 10
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """query_id, target_id, score, rank: the k best targets of each query, exactly; ties go to the smaller target.
 
-    queries and gallery have id and vector. Both are dealt into blocks of bounded size, each pair of blocks
-    is one product in a task, which hands on k candidates per query; the best of them win. metric: cosine
+    queries and gallery have id and vector. A gallery of one block is compared with blocks of queries; a larger one is
+    dealt into shells around pivots (pivots.nearest), of which only those within reach are compared. Scores are measured row by row, so they don't depend on blocks. metric: cosine
     (zero vectors score 0) or euclidean (score is the negative distance).
     """
-    # Few large blocks of queries: each vector of the gallery is sent once to each of them.
-    nq, ng = max(1, math.ceil(queries.count() / (4 * block))), max(1, math.ceil(gallery.count() / block))
-    q = queries.select(F.col("id").cast("bigint").alias("id"), F.col("vector"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("bq"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ng - 1).cast("bigint"))).alias("bg"))
-    g = gallery.select(F.col("id").cast("bigint").alias("id"), F.col("vector"), F.pmod(F.xxhash64("id"), F.lit(ng)).alias("bg"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("bq"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "target_id": [], "score": []}).astype({"query_id": "int64", "target_id": "int64", "score": "float64"})
-        right = right.sort_values("id")
-        a, b = np.stack(left["vector"].to_list()).astype(float), np.stack(right["vector"].to_list()).astype(float)
-        ids, out = right["id"].to_numpy(), []
-        if metric == "cosine":
-            a, b = (x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1) for x in (a, b))
-        for s in range(0, len(a), 256):
-            x, own = a[s : s + 256], left["id"].to_numpy()[s : s + 256]
-            score = x @ b.T if metric == "cosine" else -np.sqrt(np.maximum(((x[:, None, :] - b[None]) ** 2).sum(2), 0)) if b.size < 1 << 18 else -np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ b.T + (b**2).sum(1), 0))
-            if exclude_self:
-                score[own[:, None] == ids] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(x)), top.shape[1])
-            out.append(pd.DataFrame({"query_id": own[rows], "target_id": ids[top.ravel()], "score": score[rows, top.ravel()]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["score"])]
-
-    found = q.groupBy("bq", "bg").cogroup(g.groupBy("bq", "bg")).applyInPandas(best, "query_id bigint, target_id bigint, score double")
+    q, g = (df.select(F.col("id").cast("bigint").alias("id"), "vector") for df in (queries, gallery))
+    n = g.count()
+    if n <= block:
+        parts = max(1, math.ceil(q.count() / (4 * block)))
+        left = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        right = g.select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_part"))
+        found = pivots.compared(left, right, ["part"], k, metric, exclude_self)
+    else:
+        found, _ = pivots.nearest(q, g, k, metric, exclude_self, block, n)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "target_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

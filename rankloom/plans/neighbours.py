@@ -165,6 +165,11 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.groupBy("protein").agg(F.count("*").alias("n"), F.count_if("contact").alias("n_contacts"), F.avg("distance").alias("mean_distance")))
 
 
+def near_contacts(spark: SparkSession, d: str) -> DataFrame:
+    c = pairs.near_pairs(_positions(spark, d), 8.0, 6)
+    return rounded(c.groupBy("protein").agg(F.count("*").alias("n"), F.sum("distance").alias("total"), F.max(F.col("j") - F.col("i")).alias("widest")), 4)
+
+
 def precision_at_l(spark: SparkSession, d: str) -> DataFrame:
     p = _positions(spark, d)
     c = pairs.contacts(p, 8.0, 6).withColumn("score", F.round(100 * F.abs(F.sin(F.col("i") * 12.9 + F.col("j") * 78.2)), 3))
@@ -178,7 +183,7 @@ def apc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pairs.average_product_correction(m).groupBy("protein").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean")), 5)
 
 
-QUERIES = {f.__name__: f for f in (cosine_retrieval_recall, retrieval_map, retrieval_per_query, retrieval_full_ap, nn_transfer_levels, knn_vote, knn_regression, hard_triplets, shared_kmer_hits, ranked_hits, best_hit, decontaminate, contamination_report, hit_label_transfer, hit_class_scores, hit_coverage, kmer_freq, mean_pool, diversity, span_pool, contacts, precision_at_l, apc)}
+QUERIES = {f.__name__: f for f in (cosine_retrieval_recall, retrieval_map, retrieval_per_query, retrieval_full_ap, nn_transfer_levels, knn_vote, knn_regression, hard_triplets, shared_kmer_hits, ranked_hits, best_hit, decontaminate, contamination_report, hit_label_transfer, hit_class_scores, hit_coverage, kmer_freq, mean_pool, diversity, span_pool, contacts, near_contacts, precision_at_l, apc)}
 
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _COSINE = f"{_E}, n AS (SELECT a.id AS q, b.id AS t, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM e a JOIN e b ON a.id <> b.id QUALIFY r <= 30)"
@@ -225,6 +230,7 @@ SELECT anchor, p.o AS positive, n.o AS negative, round(p.d, 5) AS d_positive, ro
     "diversity": f"WITH {_RES}, u AS (SELECT protein, i, x / sqrt(sum(x * x) OVER (PARTITION BY protein, pos)) AS x FROM d), s AS (SELECT protein, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM u GROUP BY protein, i) SELECT protein, max(n) AS n, round(1 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)), 5) AS diversity FROM s GROUP BY 1",
     "span_pool": f"WITH {_RES}, m AS (SELECT protein, avg(x) FILTER (pos >= 2 AND pos < 5) AS a, avg(x) AS b FROM d GROUP BY protein, i) SELECT protein AS pair_id, round(sqrt(sum((a - b) * (a - b))), 5) AS distance FROM m GROUP BY 1",
     "contacts": f"WITH {_POS} SELECT protein, count(*) AS n, count(*) FILTER (distance < 8) AS n_contacts, round(avg(distance), 6) AS mean_distance FROM c GROUP BY 1",
+    "near_contacts": f"WITH {_POS} SELECT protein, count(*) AS n, round(sum(distance), 4) AS total, max(j - i)::INT AS widest FROM c WHERE distance < 8 GROUP BY 1",
     "precision_at_l": f"""WITH {_POS}, b AS (SELECT protein, i, j, distance < 8 AS contact, CASE WHEN j - i < 12 THEN 'short' WHEN j - i < 24 THEN 'medium' ELSE 'long' END AS band, round(100 * abs(sin(i * 12.9::DOUBLE + j * 78.2::DOUBLE)), 3) AS score FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY protein, band ORDER BY score DESC, i, j) AS r FROM b), l AS (SELECT protein, max(pos) AS length FROM p GROUP BY 1),
 t AS (SELECT k.protein, band, part, avg(contact::INT) AS v FROM k JOIN l USING (protein), (SELECT unnest([1, 2, 5]) AS part) WHERE r <= greatest(1, length // part) GROUP BY 1, 2, 3) SELECT band, part, round(avg(v), 5) AS precision FROM t GROUP BY 1, 2""",

@@ -220,3 +220,31 @@ def test_mutations_outside_the_alphabet_are_refused(spark):
     df = spark.createDataFrame([("KLM",)], "s string")
     put = lambda m: df.select(fn.apply_mutations(F.col("s"), fn.parse_mutations(F.lit(m)))).first()[0]
     assert put("K1A:M3C") == "ALC" and put("K1Z") is None and put("L1A") is None
+
+
+def test_grid_contacts_equal_all_pairs(spark):
+    from rankloom.operators import pairs
+
+    rng = np.random.default_rng(8)
+    rows = [(p, i, *(float(v) for v in rng.uniform(-30, 30, 3)), bool(rng.random() > 0.1)) for p in range(3) for i in range(120)]
+    rows += [(9, i, 1.0, 1.0, 8.0 * (i % 2), True) for i in range(40)] + [(9, 50, None, 0.0, 0.0, True)]
+    df = spark.createDataFrame(rows, "protein int, pos int, x double, y double, z double, valid boolean")
+    for least in (1, 6):
+        got = {(r.protein, r.i, r.j): r.distance for r in pairs.near_pairs(df, 8.0, least).collect()}
+        every = pairs.contacts(df.filter("x is not null"), 8.0, least).filter("contact").collect()
+        assert got == pytest.approx({(r.protein, r.i, r.j): r.distance for r in every}) and got
+
+
+def test_precision_orders_only_what_it_needs(spark):
+    from rankloom.operators import pairs
+
+    rng = np.random.default_rng(9)
+    rows = [(p, i, j, float(np.round(rng.random(), 2)) if rng.random() > 0.05 else None, bool(rng.random() < 0.2)) for p in range(3) for i in range(60) for j in range(i + 1, 60)]
+    df = spark.createDataFrame(rows, "protein int, i int, j int, score double, contact boolean")
+    lengths = spark.createDataFrame([(0, 60), (1, 3), (2, 500)], "protein int, length int")
+    got = {(r.protein, r.band, r.part): r.precision for r in pairs.precision_at(df, lengths, [1, 5]).collect()}
+    for (p, band, part), value in got.items():
+        low, high = {n: (a, b) for n, a, b in pairs.BANDS}[band]
+        own = sorted((r for r in rows if r[0] == p and low <= r[2] - r[1] < high), key=lambda r: (-(r[3] if r[3] is not None else -1), r[1], r[2]))
+        assert value == pytest.approx(np.mean([r[4] for r in own[: max(1, {0: 60, 1: 3, 2: 500}[p] // part)]]))
+    assert len(got) == 18
