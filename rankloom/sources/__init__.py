@@ -123,29 +123,25 @@ def with_file(df: DataFrame) -> DataFrame:
 
 
 def append_results(spark: SparkSession, new: DataFrame, path: str, recovery: str, keys: list[str], order: str) -> str:
-    """Merges new rows into a result table of parquet, partitioned by Model, and returns the path written. If the old rows can't be read, the new ones go to the recovery path instead, and the old files stay as they are.
-
-    The merged rows are staged in full before a partition of the table is replaced, and the staged copy goes afterwards; a run that ends between leaves it for the next.
-    """
+    """Adds rows to a result table in versions and returns the path written. Rows of one key (which includes the day) replace each other, the last by order stays. Old rows are not read for it; if the table's manifest, or files that are due to be merged, can't be read, the new rows go to the recovery path instead, and the table stays as it is. Two writers at once both get in."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
-    from rankloom.operators.warehouse import merge_new
+    from rankloom.sources import versions
 
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    staged = f"{path}_staged"
-    if not files.exists(hadoop(path)):
-        new.write.partitionBy("Model").parquet(path)
-        return path
     try:
-        old = spark.read.parquet(path)
-        touched = new.select("Model").distinct()
-        # Old files are read here: a damaged one shows now or never.
-        merge_new(old.join(touched, "Model", "left_semi"), new, keys, order).write.mode("overwrite").parquet(staged)
-    except (PySparkException, Py4JJavaError):
+        versions.add(spark, path, new, keys, order)
+    except (PySparkException, Py4JJavaError, ValueError, KeyError):
         new.write.mode("append").parquet(recovery)
         return recovery
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Model").parquet(path)
-    files.delete(hadoop(staged), True)
     return path
+
+
+def read_results(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """The rows of a result table that append_results keeps."""
+    from rankloom.sources import versions
+
+    rows = versions.read(spark, path, keys, order)
+    if rows is None:
+        raise ValueError(f"no version of {path}")
+    return rows.drop("first_seen", "_part")

@@ -5,40 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.warehouse import last_writes, latest_cells
-from rankloom.sources import fasta_columns
+from rankloom.operators.warehouse import latest_cells
+from rankloom.sources import fasta_columns, versions
 
+#: Versions of a table that stay readable.
+KEEP = 3
 
-def collect_results(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, write_keys: list[str], order: str):
-    """A query that keeps a table of the last write of each full key from a folder of JSON lines, in versions: batch n merges with the newest version below n into version n, so that a repeated batch replaces itself, readers of an older version lose nothing, and a batch costs as much as the table and itself. latest_version() reads it."""
+
+def collect_results(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, write_keys: list[str], order: str, keep: int = KEEP):
+    """A query that keeps a table of the last write of each full key from a folder of JSON lines. A batch adds its own rows to the table as a new version (rankloom.sources.versions), so it costs as much as its keys; a repeated batch is not added again, a late row counts by its order, and versions older than the last keep are dropped. latest_version() reads it."""
     rows = spark.readStream.schema(schema).json(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        before = _version_below(df.sparkSession, table, number)
-        new = df.withColumn("first_seen", F.col(order))
-        every = new if before is None else df.sparkSession.read.parquet(f"{table}/version={before}").unionByName(new)
         # Writes of one cell under several keys are all kept: which of them counts is decided by who reads.
-        last_writes(every, write_keys, order).write.mode("overwrite").parquet(f"{table}/version={number}")
+        versions.add(df.sparkSession, table, df, write_keys, order, checkpoint, number)
+        versions.expire(df.sparkSession, table, keep)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version_below(spark: SparkSession, table: str, number: int) -> int | None:
-    """The number of the newest whole version of a table below a number; only names of folders are listed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path(table)):
-        return None
-    found = [int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(path(table)) if files.exists(path(s.getPath(), "_SUCCESS"))]
-    return max((n for n in found if n < number), default=None)
-
-
-def latest_version(spark: SparkSession, table: str, cell_keys: list[str], date: str) -> DataFrame:
+def latest_version(spark: SparkSession, table: str, write_keys: list[str], cell_keys: list[str], date: str, order: str) -> DataFrame:
     """The latest row of each cell in the newest version of a table that collect_results keeps."""
-    newest = _version_below(spark, table, 1 << 62)
-    if newest is None:
+    rows = versions.read(spark, table, write_keys, order)
+    if rows is None:
         raise ValueError(f"no version of {table}")
-    return latest_cells(spark.read.parquet(f"{table}/version={newest}"), cell_keys, date).drop("first_seen")
+    return latest_cells(rows, cell_keys, date).drop("first_seen", "_part")
 
 
 def filter_corpus(spark: SparkSession, source: str, stop: DataFrame, target: str, checkpoint: str):

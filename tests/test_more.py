@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom import functions as fn
 from rankloom import sources
 from rankloom.operators import audit, features, metrics, prepare, probes, similarity, variants, warehouse
+from rankloom.sources import versions
 from rankloom.streaming import collect_results, latest_version
 
 
@@ -60,9 +61,18 @@ def test_streamed_results_keep_the_latest(spark, tmp_path):
         collect_results(spark, str(tmp_path / "in"), schema, table, str(tmp_path / "ck"), ["task", "note", "day"], "n").awaitTermination()
     every = spark.createDataFrame([r for part in rows for r in part], schema)
     wanted = warehouse.collect_latest(every, ["task", "note", "day"], ["task"], "day", "n")
-    got = latest_version(spark, table, ["task"], "day")
+    got = latest_version(spark, table, ["task", "note", "day"], ["task"], "day", "n")
     assert sorted(map(tuple, got.select(*every.columns).collect())) == sorted(map(tuple, wanted.select(*every.columns).collect()))
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version=0", "version=1"]
+    assert versions.numbers(spark, table) == [0, 1]
+    # A restart after the last batch adds nothing, nor does the same batch again.
+    collect_results(spark, str(tmp_path / "in"), schema, table, str(tmp_path / "ck"), ["task", "note", "day"], "n").awaitTermination()
+    assert versions.add(spark, table, every, ["task", "note", "day"], "n", str(tmp_path / "ck"), 1) == 1
+    # Late rows: an older write of a known key doesn't count, one of a new key does.
+    late = [(0, "a", "x", "2026-01-01", 9.0), (0, "c", "z", "2026-01-01", 7.0)]
+    (tmp_path / "in" / "late.json").write_text("".join(json.dumps(dict(zip(("n", "task", "note", "day", "v"), r, strict=True))) + "\n" for r in late))
+    collect_results(spark, str(tmp_path / "in"), schema, table, str(tmp_path / "ck"), ["task", "note", "day"], "n", 2).awaitTermination()
+    got = {r.task: r.v for r in latest_version(spark, table, ["task", "note", "day"], ["task"], "day", "n").collect()}
+    assert got == {"a": 3.0, "b": 5.0, "c": 7.0} and versions.numbers(spark, table) == [1, 2]
 
 
 def vectors(n, seed=1):

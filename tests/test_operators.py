@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom import functions as fn
 from rankloom import sources
 from rankloom.operators import bootstrap, features, metrics, pairs, prepare, similarity, variants, warehouse
+from rankloom.sources import versions
 from rankloom.streaming import filter_corpus
 
 
@@ -156,18 +157,52 @@ def test_average_precision_ranks_all_rows(spark):
     assert max(near.values()) <= 30 / 74 < min(wanted)
 
 
-def test_result_table_merges_and_recovers(spark, tmp_path):
-    rows = lambda m, v: spark.createDataFrame([(m, "t", "d", v)], "Model string, Task string, Date string, value double").withColumn("n", F.lit(1))
-    table, rescue = str(tmp_path / "r"), str(tmp_path / "rec")
-    put = lambda df: sources.append_results(spark, df, table, rescue, ["Model", "Task", "Date"], "n")
-    for m, v in (("m", 1.0), ("other", 5.0), ("m", 2.0)):
-        assert put(rows(m, v)) == table
-    assert sorted(r.value for r in spark.read.parquet(table).collect()) == [2.0, 5.0]
-    assert not (tmp_path / "r_staged").exists()
-    # A damaged file: the new row is rescued, and nothing of the table changes.
-    part = next((tmp_path / "r" / "Model=m").glob("*.parquet"))
-    part.write_bytes(b"no parquet at all")
-    before = sorted(p.name for p in (tmp_path / "r").rglob("*.parquet"))
-    assert put(rows("m", 3.0)) == rescue
+def test_result_table_merges_and_recovers(spark, tmp_path, monkeypatch):
+    rows = lambda m, v, n: spark.createDataFrame([(m, "t", "d", v, n)], "Model string, Task string, Date string, value double, n int")
+    table, rescue, keys = str(tmp_path / "r"), str(tmp_path / "rec"), ["Model", "Task", "Date"]
+    put = lambda df: sources.append_results(spark, df, table, rescue, keys, "n")
+    read = lambda: sorted((r.Model, r.value) for r in sources.read_results(spark, table, keys, "n").collect())
+    for n, (m, v) in enumerate((("m", 1.0), ("other", 5.0), ("m", 2.0))):
+        assert put(rows(m, v, n)) == table
+    assert read() == [("m", 2.0), ("other", 5.0)]
+    # A new version's files are as many as its keys.
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "r" / "data").rglob("*.parquet"))
+    before = size()
+    put(spark.range(5000).selectExpr("concat('x', id) AS Model", "'t' AS Task", "'d' AS Date", "1.0D AS value", "10 AS n"))
+    large = size() - before
+    put(rows("m", 2.5, 11))
+    assert size() - before - large < large / 10
+    # A run that ends between its files and its manifest: nobody sees its rows, and the next run is not disturbed.
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            put(rows("m", 99.0, 99))
+    assert ("m", 2.5) in read()
+    # Two writers: the second one's number is taken when it commits, so it takes the next with both writers' rows.
+    own = versions._commit
+    state = {"first": True}
+
+    def beaten(*a):
+        if state.pop("first", None):
+            versions.add(spark, table, rows("first", 1.0, 12), keys, "n")
+        own(*a)
+
+    monkeypatch.setattr(versions, "_commit", beaten)
+    number = versions.numbers(spark, table)[-1]
+    assert put(rows("second", 2.0, 12)) == table and versions.numbers(spark, table)[-1] == number + 2
+    assert {("first", 1.0), ("second", 2.0), ("m", 2.5)} <= set(read())
+    with pytest.raises(versions.Conflict):
+        own(spark, table, versions.manifest(spark, table))
+    # Parts of many files are merged; old versions can be read until they expire.
+    for k in range(10):
+        put(rows("m", float(k), 20 + k))
+    made = versions.manifest(spark, table)
+    assert max(map(len, made["folders"].values())) <= versions.MOST and ("m", 9.0) in read()
+    assert ("m", 2.5) in {(r.Model, r.value) for r in versions.read(spark, table, keys, "n", number).collect()}
+    versions.expire(spark, table, 1)
+    assert versions.numbers(spark, table) == [made["number"]] and ("m", 9.0) in read()
+    # A damaged manifest: the new row is rescued, and nothing of the table changes.
+    (tmp_path / "r" / "manifests" / f"{made['number']}.json").write_text("{")
+    assert put(rows("m", 3.0, 50)) == rescue
     assert [r.value for r in spark.read.parquet(rescue).collect()] == [3.0]
-    assert sorted(p.name for p in (tmp_path / "r").rglob("*.parquet")) == before
+
