@@ -153,19 +153,46 @@ def profile_rows(df: DataFrame, key: str, sequence: str, scorer: Callable[[], Ca
     return df.select(key, sequence, "positions").mapInPandas(run, f"wt_id {dict(df.dtypes)[key]}, pos int, symbol string, logp double")
 
 
+#: Buckets of a cache table.
+CACHE_BUCKETS = 64
+
+
+def embed_cached(df: DataFrame, sequence: str, embedder: Callable[[], Callable[[list[str]], list]], table: str, model: str, buckets: int = CACHE_BUCKETS) -> DataFrame:
+    """df with embedding, from a cache table that is filled on the way: sequences that it lacks are embedded once and added in the same run, so the next run embeds none of them. The key is the sha2 of the model's name and settings and the sequence; vectors of another configuration are never taken.
+
+    The table is bucketed by key: it is joined where it lies, and only df is shuffled.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.concat_ws("|", F.lit(model), F.col(sequence)), 256)
+    keyed = df.withColumn("_key", key)
+    held = spark.table(table).select(F.col("key").alias("_key")) if spark.catalog.tableExists(table) else None
+    todo = keyed.filter(F.col(sequence).isNotNull()).select("_key", F.col(sequence).alias("_s")).dropDuplicates(["_key"])
+    if held is not None:
+        todo = todo.join(held.hint("merge"), "_key", "left_anti")
+    made = todo.mapInPandas(_embedded(embedder), "_key string, embedding array<float>").withColumnRenamed("_key", "key")
+    made.write.format("parquet").bucketBy(buckets, "key").sortBy("key").mode("append").saveAsTable(table)
+    spark.catalog.refreshTable(table)
+    # Two runs at once may both have added a key: one row of each counts.
+    cache = spark.table(table).groupBy(F.col("key").alias("_key")).agg(F.first("embedding").alias("embedding"))
+    return keyed.join(cache.hint("merge"), "_key", "left").drop("_key")
+
+
+def _embedded(embedder: Callable[[], Callable[[list[str]], list]]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = embedder()
+        for x in frames:
+            yield pd.DataFrame({"_key": x["_key"], "embedding": [list(map(float, v)) for v in f(x["_s"].tolist())]})
+
+    return run
+
+
 def embed_distinct(df: DataFrame, sequence: str, embedder: Callable[[], Callable[[list[str]], list]], cache: DataFrame | None = None, model: str = "") -> DataFrame:
     """df with embedding: each distinct sequence is embedded once, or taken from a cache of key and embedding. The key is the sha2 of the model's name and settings and the sequence, so that a vector of another configuration is never taken. embedder: makes the function once per task."""
     keyed = df.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(model), F.col(sequence)), 256))
     todo = keyed.select("_key", F.col(sequence).alias("_s")).dropDuplicates(["_key"])
     if cache is not None:
         todo = todo.join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = embedder()
-        for x in frames:
-            yield pd.DataFrame({"_key": x["_key"], "embedding": [list(map(float, v)) for v in f(x["_s"].tolist())]})
-
-    made = todo.mapInPandas(run, "_key string, embedding array<float>")
+    made = todo.mapInPandas(_embedded(embedder), "_key string, embedding array<float>")
     if cache is not None:
         made = made.unionByName(cache.select(F.col("key").alias("_key"), F.col("embedding").cast("array<float>").alias("embedding")))
     return keyed.join(made, "_key", "left").drop("_key")

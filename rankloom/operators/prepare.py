@@ -219,6 +219,13 @@ def hold_out_last(df: DataFrame, entity: str, least: int = 5, out: str = "split"
     return df.join(order, entity)
 
 
+def answerable_split(queries: DataFrame, lookup: DataFrame, label: str, path: str, name: str = "answerable") -> DataFrame:
+    """The answerable queries, written as a split of their own below path."""
+    from rankloom.sources import write_split
+
+    return write_split(answerable(queries, lookup, label), path, name)
+
+
 def answerable(queries: DataFrame, lookup: DataFrame, label: str) -> DataFrame:
     """The queries whose label the lookup has."""
     return queries.join(lookup.select(label).distinct(), label, "left_semi")
@@ -286,6 +293,14 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def rows_or_error(df: DataFrame, units: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """df and the error rows of its units: none where df has rows, else a row for each unit that says what has none left, so that other units go on."""
+    from rankloom.operators.warehouse import failure_rows
+
+    failed = failure_rows(units, f"no rows left: {what}")
+    return df, failed.limit(0) if not df.isEmpty() else failed
+
+
 def group_limits(df: DataFrame, group: str, key: str, most: int | None = None, rows: int | None = None) -> DataFrame:
     """Groups larger than most go; of each other group at most the first rows by key stay."""
     if most is not None:

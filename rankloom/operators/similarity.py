@@ -264,27 +264,58 @@ def class_scores(hits: DataFrame, queries: DataFrame, labels: DataFrame, score:
     return got.select("query_id", F.coalesce("label", "_f").alias("predicted"), F.coalesce("s", F.lit(0.0)).alias("best"))
 
 
-def triplet_levels(df: DataFrame, bucket: str, levels: dict[str, str | None]) -> DataFrame:
-    """Per level: anchors that have both partners, and the mean soft margin log(1 + exp(d_positive - d_negative)) of their hardest triplet in a bucket of bounded size: the farthest row of the same label, and the nearest of another label with the same parent. levels: a label column and its parent's (or None); df: id, vector, bucket and these."""
+def hard_triplets(df: DataFrame, levels: dict[str, str | None], asking: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """anchor, level, positive, negative, d_positive, d_negative: of all rows the farthest of the anchor's label and the nearest of another label with the same parent; ties go to the smaller id. Anchors that lack either at a level have no row there.
+
+    levels: a label column and its parent's (or None); df: id, vector and these; asking: which rows are anchors (all). Both partners of all levels come
+    from one product of two blocks; a task hands on one row an anchor and level. Rows without a label of every level are left out.
+    """
     names = list(levels)
-    side = lambda s: df.select(bucket, F.col("id").alias(f"id_{s}"), F.col("vector").alias(f"v_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in names])
-    square = lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))
-    d = F.sqrt(F.aggregate(F.zip_with("v_a", "v_b", square), F.lit(0.0), lambda s, x: s + x))
-    met = side("a").join(side("b"), bucket).filter("id_a <> id_b").withColumn("d", d)
-    same = {c: F.col(f"{c}_a") == F.col(f"{c}_b") for c in names}
-    far = [F.max(F.when(same[c], F.col("d"))).alias(f"p_{c}") for c in names]
-    near = [F.min(F.when(~same[c] & (same[p] if p else F.lit(True)), F.col("d"))).alias(f"n_{c}") for c, p in levels.items()]
-    per = met.groupBy("id_a").agg(*far, *near)
-    long = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(f"p_{c}").alias("p"), F.col(f"n_{c}").alias("n")) for c in names])).alias("x")).select("x.*")
-    return long.filter("p is not null and n is not null").groupBy("level").agg(F.count("*").alias("n_anchors"), F.avg(F.log1p(F.exp(F.col("p") - F.col("n")))).alias("loss"))
-
-
-def hard_triplets(df: DataFrame, bucket: str) -> DataFrame:
-    """Per anchor of a bucket of bounded size: the farthest row of its label, the nearest of another, both distances. df: id, label, vector and bucket."""
-    a = df.select(bucket, F.col("id").alias("anchor"), F.col("label").alias("_la"), F.col("vector").alias("_va"))
-    b = df.select(bucket, F.col("id").alias("other"), F.col("label").alias("_lb"), F.col("vector").alias("_vb"))
-    d = F.sqrt(F.aggregate(F.zip_with("_va", "_vb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, bucket).filter("anchor <> other").withColumn("d", d)
-    same = F.col("_la") == F.col("_lb")
-    out = pairs.groupBy("anchor").agg(F.max(F.when(same, F.struct(F.col("d"), (-F.col("other")).alias("o")))).alias("p"), F.min(F.when(~same, F.struct(F.col("d"), F.col("other").alias("o")))).alias("n"))
-    return out.filter("p is not null and n is not null").select("anchor", (-F.col("p.o")).alias("positive"), F.col("n.o").alias("negative"), F.col("p.d").alias("d_positive"), F.col("n.d").alias("d_negative"))
+    rows = df.dropna(subset=names).select(F.col("id").cast("bigint").alias("id"), "vector", *[F.xxhash64(c).alias(c) for c in names], (F.lit(True) if asking is None else asking).alias("_asks"))
+    n, k = rows.agg(F.count("*"), F.count_if("_asks")).first()
+    ng, nq = max(1, math.ceil(n / block)), max(1, math.ceil(k / (4 * block)))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    left = rows.filter("_asks").select("id", "vector", *names, F.pmod(F.xxhash64("id"), F.lit(nq)).alias("bq"), every(ng).alias("bg"))
+    right = rows.select(*[F.col(c).alias(c) for c in ("id", "vector", *names)], every(nq).alias("_bq"), F.pmod(F.xxhash64("id"), F.lit(ng)).alias("_bg"))
+    parents = list(levels.values())
+
+    def partner(score: np.ndarray, ok: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of x the best allowed row of y (sign 1: farthest), and its distance; -1 where none is allowed."""
+        value = np.where(ok, sign * score, -np.inf)
+        best = value.max(1)
+        i, j = np.nonzero((value >= (best - 1e-9 * (1 + np.abs(np.where(np.isfinite(best), best, 0))))[:, None]) & np.isfinite(value))
+        d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+        order = np.lexsort((ids[j], -sign * d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+        who, far = np.full(len(x), -1), np.zeros(len(x))
+        who[i[first]], far[i[first]] = j[first], d[first]
+        return who, far
+
+    def mine(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"anchor": [], "level": [], "side": [], "other": [], "d": []}).astype({"anchor": "int64", "level": "int32", "side": "int32", "other": "int64", "d": "float64"})]
+        if len(a) and len(b):
+            y, ids = np.stack(b["vector"].to_list()).astype(float), b["id"].to_numpy()
+            for s in range(0, len(a), 256):
+                part = a.iloc[s : s + 256]
+                x, own = np.stack(part["vector"].to_list()).astype(float), part["id"].to_numpy()
+                score = (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)
+                other = own[:, None] != ids
+                for k, (c, p) in enumerate(zip(names, parents, strict=True)):
+                    same = part[c].to_numpy()[:, None] == b[c].to_numpy()
+                    kin = part[p].to_numpy()[:, None] == b[p].to_numpy() if p else True
+                    for side, ok, sign in ((0, same & other, 1), (1, ~same & kin, -1)):
+                        who, d = partner(score, ok, x, y, ids, sign)
+                        at = who >= 0
+                        out.append(pd.DataFrame({"anchor": own[at], "level": np.int32(k), "side": np.int32(side), "other": ids[who[at]], "d": d[at]}).astype(out[0].dtypes.to_dict()))
+        return pd.concat(out)
+
+    found = left.groupBy("bq", "bg").cogroup(right.groupBy("_bq", "_bg")).applyInPandas(mine, "anchor bigint, level int, side int, other bigint, d double")
+    best = found.groupBy("anchor", "level").agg(F.max(F.when(F.col("side") == 0, F.struct("d", (-F.col("other")).alias("o")))).alias("p"), F.min(F.when(F.col("side") == 1, F.struct("d", F.col("other").alias("o")))).alias("n"))
+    level = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("level") + 1)
+    return best.filter("p is not null and n is not null").select("anchor", level.alias("level"), (-F.col("p.o")).alias("positive"), F.col("n.o").alias("negative"), F.col("p.d").alias("d_positive"), F.col("n.d").alias("d_negative"))
+
+
+def triplet_loss(triplets: DataFrame) -> DataFrame:
+    """Per level: anchors and the mean soft margin log(1 + exp(d_positive - d_negative)) of their hardest triplets."""
+    return triplets.groupBy("level").agg(F.count("*").alias("n_anchors"), F.avg(F.log1p(F.exp(F.col("d_positive") - F.col("d_negative")))).alias("loss"))

@@ -216,3 +216,14 @@ def sweep(tasks: DataFrame, seeds: list[int]) -> DataFrame:
 def failure_rows(units: DataFrame, error: str) -> DataFrame:
     """Rows that stand for failed units."""
     return units.withColumn("Error", F.lit(error)).withColumn("EvalStrategy", F.lit(FAILED))
+
+
+def with_settings(df: DataFrame, settings: str = "settings", out: str = "ScorerSettings") -> DataFrame:
+    """df with a scorer's settings (a map) as one text, names in order: a part of a score's identity, so scores of other settings are never taken for these. Without settings it is empty."""
+    pairs = F.transform(F.array_sort(F.map_keys(settings)), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(F.col(settings), k), F.lit(""))))
+    return df.withColumn(out, F.coalesce(F.concat_ws(",", pairs), F.lit("")))
+
+
+def score_identity(df: DataFrame, settings: str = "settings", version: str = "CodeVersion") -> list[str]:
+    """The columns that identify a score: those of a result, its scorer's settings, and the code version. Rows need with_defaults() and with_settings()."""
+    return [*IDENTITY, "ScorerSettings", version]

@@ -104,7 +104,8 @@ def long_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded_markers(spark: SparkSession, d: str) -> DataFrame:
-    half = F.bround((F.col("row_no") % 64 + 0.5).cast("decimal(10,1)"), 0).cast("bigint")
+    # Halves of the fifth digit: to even.
+    half = fn.rounded(((F.col("row_no") % 64 + 0.5) / 100000).cast("decimal(12,6)")).cast("double")
     keys = ["model", "task", "split", "metric"]
     rows = latest_results(spark, d).select(*keys, half.alias("half"))
     return baseline_delta(spark, d).select(*keys, fn.delta_sign(F.col("delta")).alias("sign")).join(rows, keys)
@@ -142,7 +143,7 @@ SQL = {
     "identity_keys": f"WITH {RESULTS} SELECT concat_ws('|', task, CASE WHEN row_no % 4 = 0 THEN 'Samples=500' END, CASE WHEN row_no % 3 = 0 THEN 'Probe=knn' END, CASE WHEN split <> 'test' THEN 'EvalSplit=' || split END) AS identity, count(*) AS n FROM r GROUP BY 1",
     "long_rows": f"WITH {RESULTS}, w AS (SELECT model, task, split, max(value) FILTER (metric = 'AUC' AND row_no % 2 = 0) AS auc, max(value) FILTER (metric = 'MSE') AS mse, CASE WHEN length(task) > 5 THEN 'Spearman' WHEN length(task) > 4 THEN 'MSE' ELSE 'AUC' END AS dec FROM r GROUP BY 1, 2, 3), f AS (SELECT *, CASE WHEN dec = 'AUC' AND auc IS NOT NULL THEN 'AUC' WHEN dec = 'MSE' AND mse IS NOT NULL THEN 'MSE' WHEN auc IS NOT NULL THEN 'AUC' WHEN mse IS NOT NULL THEN 'MSE' ELSE dec END AS name FROM w) SELECT model, task, split, name AS metric_name, round(CASE name WHEN 'AUC' THEN auc WHEN 'MSE' THEN mse END, 6) AS metric_value FROM f UNION ALL SELECT model, task, split, 'MSE', round(mse, 6) FROM f WHERE name <> 'MSE' AND mse IS NOT NULL",
     "long_records": f"WITH {RESULTS}, d AS (SELECT row_no, value AS v, row_no % 4 AS k, CASE WHEN row_no % 3 = 0 THEN 'AUC' ELSE 'F1_Macro' END AS dec FROM r), o AS (SELECT row_no, CASE k WHEN 0 THEN CASE dec WHEN 'AUC' THEN 'AUC' ELSE 'F1_Macro' END WHEN 1 THEN 'AUC' WHEN 2 THEN 'Accuracy' ELSE dec END AS metric_name, CASE k WHEN 0 THEN CASE dec WHEN 'AUC' THEN v / 2 ELSE v END WHEN 1 THEN v WHEN 2 THEN v / 4 END AS v FROM d UNION ALL SELECT row_no, 'AUC', CASE k WHEN 0 THEN v / 2 ELSE v END FROM d WHERE dec <> 'AUC' AND k < 2) SELECT row_no, metric_name, round(v, 6) AS metric_value FROM o",
-    "rounded_markers": f"WITH {_LAST}, b AS (SELECT task, split, metric, value AS base FROM t WHERE model = 'org/model-0'), x AS (SELECT t.*, round(value - base, 6) AS delta FROM t LEFT JOIN b USING (task, split, metric)) SELECT model, task, split, metric, CASE WHEN delta > 1e-4 THEN 'up' WHEN delta < -1e-4 THEN 'down' ELSE 'same' END AS sign, (row_no % 64 + row_no % 2)::BIGINT AS half FROM x",
+    "rounded_markers": f"WITH {_LAST}, b AS (SELECT task, split, metric, value AS base FROM t WHERE model = 'org/model-0'), x AS (SELECT t.*, round(value - base, 6) AS delta FROM t LEFT JOIN b USING (task, split, metric)) SELECT model, task, split, metric, CASE WHEN delta > 1e-4 THEN 'up' WHEN delta < -1e-4 THEN 'down' ELSE 'same' END AS sign, round((row_no % 64 + row_no % 2) / 100000.0, 5)::DOUBLE AS half FROM x",
     "ranked_hits_expected": f"WITH {_N._HITS} SELECT query_id, target_id, shared, floor(8 / shared)::BIGINT AS expected, round(containment, 6) AS containment, row_number() OVER (PARTITION BY query_id ORDER BY floor(8 / shared), hits.containment DESC, target_id)::INT AS rank FROM hits QUALIFY rank <= 300",
     "hit_label_sets": f"WITH {_N._LABELLED}, o AS (SELECT query_id, target_id FROM k WHERE r = 1) SELECT item_id AS query_id, CASE WHEN doc_id IS NULL THEN '' ELSE concat_ws(',', lang, source) END AS predicted, doc_id IS NOT NULL AS covered FROM benchmark LEFT JOIN o ON query_id = item_id LEFT JOIN documents ON doc_id = target_id",
 }

@@ -68,8 +68,7 @@ def knn_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_triplets(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d).withColumn("bucket", F.floor(F.col("id") / 64))
-    return rounded(similarity.hard_triplets(v, "bucket"), 5)
+    return rounded(similarity.hard_triplets(vectors(spark, d), {"label": None}, F.col("id") % 20 == 0).drop("level"), 5)
 
 
 def _shingled(df: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -214,7 +213,7 @@ SQL = {
     "nn_transfer_levels": f"""WITH {_KNN}, {LEVELS_SQL} SELECT a.level, count(*) FILTER (n_all > 1) AS n_answerable, count(*) FILTER (n_look > 0) AS n_strict, round(coalesce(avg((a.lab = b.lab)::INT) FILTER (n_all > 1), 0), 6) AS accuracy FROM l a JOIN n ON n.query_id = a.id AND r = 1 JOIN l b ON b.id = n.t AND b.level = a.level JOIN k ON k.level = a.level AND k.lab = a.lab WHERE a.q GROUP BY 1""",
     "knn_vote": f"WITH {_KNN}, c AS (SELECT query_id, label, count(*) AS k FROM n GROUP BY 1, 2) SELECT query_id, label AS predicted FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, label) = 1",
     "knn_regression": f"WITH {_KNN} SELECT query_id, round(avg(label), 6) AS predicted FROM n GROUP BY 1",
-    "hard_triplets": f"""WITH {_E}, d AS (SELECT a.id AS anchor, b.id AS o, a.label = b.label AS same, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id // 64 = b.id // 64 AND a.id <> b.id),
+    "hard_triplets": f"""WITH {_E}, d AS (SELECT a.id AS anchor, b.id AS o, a.label = b.label AS same, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id % 20 = 0 AND a.id <> b.id),
 p AS (SELECT anchor, o, d FROM d WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY d DESC, o) = 1), n AS (SELECT anchor, o, d FROM d WHERE NOT same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY d, o) = 1)
 SELECT anchor, p.o AS positive, n.o AS negative, round(p.d, 5) AS d_positive, round(n.d, 5) AS d_negative FROM p JOIN n USING (anchor)""",
     "shared_kmer_hits": f"WITH {_HITS} SELECT {_SHOWN} FROM hits",

@@ -28,7 +28,7 @@ def aligned_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d).select("id", "vector")
-    p = v.select(F.col("id").alias("left"), ((F.col("id") * 7 + 1) % 100).alias("right"))
+    p = v.select(F.col("id").alias("left"), F.pmod(F.col("id") * 7 + 1, F.lit(v.count())).alias("right"))
     total = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
     return rounded(features.pair_vectors(p, v, "left", "right").select("left", "right", F.size("vector").alias("width"), total.alias("total")), 3)
 
@@ -58,16 +58,16 @@ def coupling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = pairs.contacts(_positions(spark, d), 60.0, 6).withColumn("k", F.concat_ws("-", "protein", "i", "j"))
-    kept = prepare.balanced_pairs(c, "protein", "contact", "k", 42, 40)
+    c = pairs.contacts(_positions(spark, d), 8.0, 6).withColumn("k", F.concat_ws("-", "protein", "i", "j"))
+    kept = prepare.balanced_pairs(c, "protein", "contact", "k", 42, 2000)
     return kept.groupBy("protein", "contact").agg(F.count("*").alias("n"), F.sum(F.col("i") * 1000 + F.col("j")).alias("places"))
 
 
 def triplet_levels(spark: SparkSession, d: str) -> DataFrame:
     label = F.col("label")
     c, a = (label % 2).cast("string"), F.concat_ws(".", (label % 2).cast("string"), (label % 5).cast("string"))
-    v = vectors(spark, d).select("id", "vector", F.floor(F.col("id") / 64).alias("bucket"), c.alias("c"), a.alias("a"), F.concat_ws(".", a, label.cast("string")).alias("h"))
-    return rounded(similarity.triplet_levels(v, "bucket", {"c": None, "a": "c", "h": "a"}), 5)
+    v = vectors(spark, d).select("id", "vector", c.alias("c"), a.alias("a"), F.concat_ws(".", a, label.cast("string")).alias("h"))
+    return rounded(similarity.triplet_loss(similarity.hard_triplets(v, {"c": None, "a": "c", "h": "a"}, F.col("id") % 20 == 0)), 5)
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -146,11 +146,13 @@ def multilabel_ovr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Are two positions' vectors on one side of their table's first component? After PCA, balanced pairs, whole proteins on one side of the split; products of parts say it."""
     rows = probes.reduced(_residues(spark, d), "vec", 4, 1.0)
     p = table(spark, d, "embeddings").select(F.col("vec_id").alias("protein"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(8) for j in range(i + 1, 8)])).alias("x")).select("protein", "x.*")
-    f = pairs.pair_features(rows, p).withColumn("y", ((F.col("i") + F.col("j") + F.col("protein")) % 2).cast("double"))
-    sides = prepare.hash_split(f, 42, "protein")
-    return probes.evaluate(probes.fit_predict(sides.filter("split = 'train'"), sides.filter("split = 'test'"), "features", "linear", "classification").drop("features"), "classification")
+    f = pairs.pair_features(rows, p).withColumn("contact", F.col("features")[0] > 0).withColumn("k", F.concat_ws("-", "protein", "i", "j"))
+    even = prepare.balanced_pairs(f, "protein", "contact", "k", 42).withColumn("y", F.col("contact").cast("double"))
+    folded = prepare.folds(even, 4, 42, "k", group="protein")
+    return probes.cross_validated(folded, "features", "linear", "classification", "fold").orderBy("fold")
 
 
 def residue_probe(spark: SparkSession, d: str) -> DataFrame:
@@ -163,13 +165,13 @@ _CHANGE = f"{_VAR}, ch AS (SELECT variant_id, wt_id, p, w, m, {_LOGP.format('m')
 _PROFILE = "f AS (SELECT n_nationkey AS wt_id, p, i, -((n_nationkey * 7 + p * 3 + i * 5) % 11) / 4.0 AS lp FROM nation, (SELECT unnest(range(9)) AS p), (SELECT unnest(range(10)) AS i)), g AS (SELECT *, lp * 0.5 - (p % 3) / 8.0 AS lq FROM f)"
 SQL = {
     "aligned_positions": "WITH v AS (SELECT vec_id AS protein, embedding AS e, 8 - (vec_id % 3 = 0)::INT AS n, (vec_id * 7919 + 12345678)::VARCHAR AS s FROM embeddings), x AS (SELECT protein, n, unnest(range(n)) AS p, e, s FROM v), y AS (SELECT protein, n, s[p + 1]::INT AS l, e[p * 8 + 1]::DOUBLE AS f FROM x) SELECT protein, count(*) AS n, max((n <> 8)::INT) AS misaligned, sum(l)::BIGINT AS labels, round(sum(f), 5) AS first FROM y WHERE l <> 9 GROUP BY 1",
-    "pair_embedding": f"WITH {_E}, j AS (SELECT a.id AS l, b.id AS r, list_concat(a.v, b.v) AS v FROM e a JOIN e b ON b.id = (a.id * 7 + 1) % 100) SELECT l AS \"left\", r AS \"right\", len(v)::INT AS width, round(list_dot_product(v, range(len(v))::DOUBLE[]), 3) AS total FROM j",
+    "pair_embedding": f"WITH {_E}, j AS (SELECT a.id AS l, b.id AS r, list_concat(a.v, b.v) AS v FROM e a JOIN e b ON b.id = (a.id * 7 + 1) % (SELECT count(*) FROM e)) SELECT l AS \"left\", r AS \"right\", len(v)::INT AS width, round(list_dot_product(v, range(len(v))::DOUBLE[]), 3) AS total FROM j",
     "wildtype_cosine": f"WITH {_E}, w AS (SELECT label, min(id) AS wild FROM e GROUP BY 1), c AS (SELECT a.label, a.id * 7919 % 1000 AS y, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN w USING (label) JOIN e b ON b.id = wild), k AS (SELECT label, s, rank() OVER (PARTITION BY label ORDER BY y) + (count(*) OVER (PARTITION BY label, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS rs FROM c) SELECT label, count(*) AS n, round(corr(ry, rs), 6) AS spearman, round(avg(s), 6) AS mean FROM k GROUP BY 1 HAVING count(*) >= 2",
     "pair_features": f"WITH {_RES}, q AS (SELECT a.protein, a.pos AS i, b.pos AS j, a.i AS k, a.x AS x, b.x AS y FROM d a JOIN d b ON a.protein = b.protein AND a.i = b.i AND ((a.pos = 0 AND b.pos = 5) OR (a.pos = 1 AND b.pos = 7))) SELECT protein, i::INT AS i, j::INT AS j, k::INT AS place, round(x * y, 5) AS value FROM q UNION ALL SELECT protein, i::INT, j::INT, (k + 8)::INT, round(abs(x - y), 5) FROM q UNION ALL SELECT DISTINCT protein, i::INT, j::INT, 16, round(ln(1 + j - i), 5) FROM q",
     "coupling": "WITH x AS (SELECT vec_id AS protein, unnest(range(64)) AS p, embedding AS e FROM embeddings), r AS (SELECT protein, (p // 32) * 10 AS i, (p // 16) % 2 * 10 AS j, (p // 4) % 4 AS a, p % 4 AS b, e[p + 1]::DOUBLE AS v FROM x), c AS (SELECT *, v - avg(v) OVER (PARTITION BY protein, i, j, b) AS u FROM r), z AS (SELECT protein, i, j, u - avg(u) OVER (PARTITION BY protein, i, j, a) AS u FROM c), n AS (SELECT protein, i, j, sqrt(sum(u * u)) AS s FROM z GROUP BY 1, 2, 3), s AS (SELECT n.protein, n.i, n.j, CASE WHEN n.i = n.j THEN 0 ELSE (n.s + t.s) / 2 END AS s FROM n JOIN n t ON n.protein = t.protein AND n.i = t.j AND n.j = t.i), q AS (SELECT *, sum(s) OVER (PARTITION BY protein, i) AS ri, sum(s) OVER (PARTITION BY protein, j) AS cj, sum(s) OVER (PARTITION BY protein) AS t FROM s) SELECT protein, i::INT AS i, j::INT AS j, round(CASE WHEN abs(i - j) < 6 THEN 0 WHEN t = 0 THEN s ELSE s - ri * cj / t END, 5) + 0.0 AS score FROM q",
-    "balanced_pairs": f"WITH {_POS}, b AS (SELECT protein, i, j, distance < 60 AS contact, (('0x' || substr(md5('42|' || protein || '-' || i || '-' || j), 1, 8))::BIGINT) AS h, protein || '-' || i || '-' || j AS k FROM c), s AS (SELECT protein, least(count(*) FILTER (contact), count(*) FILTER (NOT contact), 20) AS n FROM b GROUP BY 1), r AS (SELECT b.*, n, row_number() OVER (PARTITION BY b.protein, contact ORDER BY h, k) AS r FROM b JOIN s USING (protein)) SELECT protein, contact, count(*) AS n, sum(i * 1000 + j)::BIGINT AS places FROM r WHERE r <= n GROUP BY 1, 2",
-    "triplet_levels": f"""WITH {_E}, l AS (SELECT id, v, id // 64 AS b, label % 2 AS c, (label % 2) || '.' || (label % 5) AS a, (label % 2) || '.' || (label % 5) || '.' || label AS h FROM e),
-m AS (SELECT x.id, list_distance(x.v, y.v) AS d, x.c = y.c AS c, x.a = y.a AS a, x.h = y.h AS h FROM l x JOIN l y ON x.b = y.b AND x.id <> y.id),
+    "balanced_pairs": f"WITH {_POS}, b AS (SELECT protein, i, j, distance < 8 AS contact, (('0x' || substr(md5('42|' || protein || '-' || i || '-' || j), 1, 8))::BIGINT) AS h, protein || '-' || i || '-' || j AS k FROM c), s AS (SELECT protein, least(count(*) FILTER (contact), count(*) FILTER (NOT contact), 1000) AS n FROM b GROUP BY 1), r AS (SELECT b.*, n, row_number() OVER (PARTITION BY b.protein, contact ORDER BY h, k) AS r FROM b JOIN s USING (protein)) SELECT protein, contact, count(*) AS n, sum(i * 1000 + j)::BIGINT AS places FROM r WHERE r <= n GROUP BY 1, 2",
+    "triplet_levels": f"""WITH {_E}, l AS (SELECT id, v, label % 2 AS c, (label % 2) || '.' || (label % 5) AS a, (label % 2) || '.' || (label % 5) || '.' || label AS h FROM e),
+m AS (SELECT x.id, list_distance(x.v, y.v) AS d, x.c = y.c AS c, x.a = y.a AS a, x.h = y.h AS h FROM l x JOIN l y ON x.id % 20 = 0 AND x.id <> y.id),
 t AS (SELECT id, 'c' AS level, max(d) FILTER (c) AS p, min(d) FILTER (NOT c) AS n FROM m GROUP BY id UNION ALL SELECT id, 'a', max(d) FILTER (a), min(d) FILTER (NOT a AND c) FROM m GROUP BY id UNION ALL SELECT id, 'h', max(d) FILTER (h), min(d) FILTER (NOT h AND a) FROM m GROUP BY id)
 SELECT level, count(*) AS n_anchors, round(avg(ln(1 + exp(p - n))), 5) AS loss FROM t WHERE p IS NOT NULL AND n IS NOT NULL GROUP BY 1""",
     "weighted_variant_score": f"WITH {_CHANGE}, q AS (SELECT DISTINCT wt_id, p, ((wt_id::INT * 7 + p * 3) % 11)::DOUBLE AS v FROM e), z AS (SELECT *, CASE WHEN stddev_pop(v) OVER g <= 1e-8 THEN 0 ELSE (v - avg(v) OVER g) / stddev_pop(v) OVER g END AS z FROM q WINDOW g AS (PARTITION BY wt_id)) SELECT variant_id, round(sum(change * greatest(0.2, least(1.0, 1 / (1 + exp(z))))), 5) AS score FROM ch JOIN z USING (wt_id, p) GROUP BY 1",

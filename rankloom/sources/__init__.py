@@ -104,11 +104,32 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def read_score_files(spark: SparkSession, path: str, most: float = 900.0) -> DataFrame:
-    """file, n, n_scored, mean, sd (population) of JSON arrays of scores, one a file; values that are no finite numbers below most don't count."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<string>").alias("v"))
+    """file, n, n_scored, mean, sd (population) and side of JSON files of scores, an array of numbers each, or an object with the scores under `z-score` or zscore (or of records with them); values that are no finite numbers below most don't count.
+
+    side is train or test where the file's name says so; of files whose name says neither, the larger half (by values) is train, the others test.
+    """
+    kinds = ("array<string>", "struct<`z-score`:array<string>,zscore:array<string>>", "array<struct<`z-score`:string,zscore:string>>")
+    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    trimmed = F.ltrim("value")
+    objects = F.from_json("value", kinds[2])
+    named = F.from_json("value", kinds[1])
+    records = F.transform(objects, lambda x: F.coalesce(x["z-score"], x["zscore"]))
+    values = F.when(trimmed.startswith("{"), F.coalesce(named["z-score"], named["zscore"])).when(trimmed.rlike(r"^\[\s*\{"), records).otherwise(F.from_json("value", kinds[0]))
+    rows = text.select("file", values.alias("v"))
     numbers = F.filter(F.transform("v", lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & (x < most))
-    each = rows.select("file", F.size("v").alias("n"), F.explode_outer(numbers).alias("x"))
-    return each.groupBy("file", "n").agg(F.count("x").alias("n_scored"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    each = rows.select("file", F.coalesce(F.size("v"), F.lit(0)).alias("n"), F.explode_outer(numbers).alias("x"))
+    per = each.groupBy("file", "n").agg(F.count("x").alias("n_scored"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    name = F.lower("file")
+    said = F.when(name.contains("test"), "test").when(name.contains("train"), "train")
+    unsaid = per.filter(said.isNull()).agg(F.percentile("n", 0.5).alias("_half"))
+    # One row.
+    return per.crossJoin(F.broadcast(unsaid)).withColumn("side", F.coalesce(said, F.when(F.col("n") >= F.col("_half"), "train").otherwise("test"))).drop("_half")
+
+
+def write_split(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Writes rows as a split of their own below path and returns them as they were written."""
+    df.write.mode("overwrite").parquet(f"{path}/split={name}")
+    return df.sparkSession.read.parquet(f"{path}/split={name}")
 
 
 def newest(df: DataFrame, keys: list[str], path: str, time: str) -> DataFrame:

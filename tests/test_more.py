@@ -1,6 +1,7 @@
 """Sources, streams, probes and gates on hand-built inputs."""
 
 import json
+import random
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -258,3 +259,78 @@ def test_precision_orders_only_what_it_needs(spark):
         own = sorted((r for r in rows if r[0] == p and low <= r[2] - r[1] < high), key=lambda r: (-(r[3] if r[3] is not None else -1), r[1], r[2]))
         assert value == pytest.approx(np.mean([r[4] for r in own[: max(1, {0: 60, 1: 3, 2: 500}[p] // part)]]))
     assert len(got) == 18
+
+
+def test_cache_is_written_back_and_joined_where_it_lies(spark):
+    import uuid
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder():
+        def f(seqs):
+            calls.add(len(seqs))
+            return [[float(len(s)), 1.0] for s in seqs]
+
+        return f
+
+    table = f"cache_{uuid.uuid4().hex}"
+    df = spark.createDataFrame([(1, "AAA"), (2, "AAA"), (3, "CC"), (4, None)], "id int, seq string")
+    try:
+        for total in (2, 2):
+            out = features.embed_cached(df, "seq", embedder, table, "m1|norm=l2", 4)
+            assert {r.id: r.embedding and r.embedding[0] for r in out.collect()} == {1: 3.0, 2: 3.0, 3: 2.0, 4: None} and calls.value == total
+        features.embed_cached(df.limit(1), "seq", embedder, table, "m1|norm=none", 4).collect()
+        assert calls.value == 3
+        features.embed_cached(spark.createDataFrame([(5, "AAA"), (6, "DDDD")], "id int, seq string"), "seq", embedder, table, "m1|norm=l2", 4).collect()
+        assert calls.value == 4
+        # The cache's files are read by bucket, and what is exchanged is the rows alone.
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        cached = plan[plan.index("SortMergeJoin") :]
+        left = cached.split("SortMergeJoin [")[1].split("]")[0]
+        assert "Bucketed: true" in cached and all(x.startswith(f" hashpartitioning({left}") for x in cached.split("Exchange")[1:])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_decontamination_from_end_to_end(spark, tmp_path):
+    from rankloom.plans import decontamination
+
+    rng = random.Random(6)
+    seq = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    corpus = {f"c{k}": seq(60) for k in range(12)}
+    tasks = {"one": {"a": corpus["c1"], "b": seq(60)}, "two": {"a": corpus["c2"][:56] + seq(4), "b": corpus["c1"]}, "none": {"x": seq(50)}}
+    write = lambda name, rows: (tmp_path / name).write_text("".join(f">{i} text\n{s[:30]}\n{s[30:]}\n" for i, s in rows.items()))
+    write("corpus.fa", corpus)
+    for name, rows in tasks.items():
+        write(f"{name}.fa", rows)
+    out = decontamination.decontaminated(spark, str(tmp_path / "corpus.fa"), {n: str(tmp_path / f"{n}.fa") for n in tasks}, str(tmp_path / "out"))
+    assert {r.id: r.seq for r in sources.read_fasta(spark, out.corpus).collect()} == {k: v for k, v in corpus.items() if k not in ("c1", "c2")}
+    assert [r[0] for r in spark.read.text(out.stop_list).collect()] == ["c1", "c2"]
+    assert {r.task: (r.n_leaking, round(r.percent, 3)) for r in decontamination.report_of(spark, out).collect()} == {"one": (1, 8.333), "two": (2, 16.667), None: (2, 16.667)}
+
+
+def test_score_files_of_all_forms(spark, tmp_path):
+    files = {"a_train.json": [1.0, 2.0], "b_TEST.json": {"z-score": [1, "x", 3]}, "c.json": [{"z-score": 2.0, "pos": 1}, {"zscore": "4"}], "d.json": {"zscore": [5.0]}, "e.json": []}
+    for name, v in files.items():
+        (tmp_path / name).write_text(json.dumps(v))
+    got = {r.file: (r.n, r.n_scored, r["mean"], r.side) for r in sources.read_score_files(spark, str(tmp_path)).collect()}
+    assert got == {"a_train.json": (2, 2, 1.5, "train"), "b_TEST.json": (3, 2, 2.0, "test"), "c.json": (2, 2, 3.0, "train"), "d.json": (1, 1, 5.0, "train"), "e.json": (0, 0, None, "test")}
+
+
+def test_splits_errors_and_identities(spark, tmp_path):
+    q, look = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, label string"), spark.createDataFrame([("a",)], "label string")
+    assert [r.id for r in prepare.answerable_split(q, look, "label", str(tmp_path)).collect()] == [1] and (tmp_path / "split=answerable").exists()
+    units = spark.createDataFrame([("t1",)], "Task string")
+    _, bad = prepare.rows_or_error(q.filter("id > 9"), units, "after label filtering")
+    assert [(r.Task, r.EvalStrategy) for r in bad.collect()] == [("t1", warehouse.FAILED)]
+    assert prepare.rows_or_error(q, units, "x")[1].count() == 0
+    rows = spark.createDataFrame([("t", {"window": "512", "mode": "masked"}, 1.0, 1), ("t", {"mode": "masked", "window": "512"}, 2.0, 2), ("t", {"mode": "unmasked"}, 3.0, 3), ("t", None, 4.0, 4)], "Task string, settings map<string,string>, value double, n int")
+    made = warehouse.with_settings(warehouse.with_defaults(rows.withColumn("Date", F.lit("2026-01-01"))))
+    kept = warehouse.latest(made, warehouse.score_identity(made), "Date", "n")
+    assert sorted((r.ScorerSettings, r.value) for r in kept.collect()) == [("", 4.0), ("mode=masked,window=512", 2.0), ("mode=unmasked", 3.0)]
+
+
+def test_paired_inputs_in_order_of_roles(spark):
+    df = spark.createDataFrame([("w", "m", "x")], "wildtype string, mutant string, other string")
+    got = prepare.paired(df, {"wildtype": "wildtype", "mutant": "mutant"}).first().pair
+    assert list(got.asDict().items()) == [("mutant", "m"), ("wildtype", "w")]
