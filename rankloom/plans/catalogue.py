@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["boards", "datasets", "evaluation", "neighbours", "residues", "results"]
+MODULES = ["boards", "datasets", "evaluation", "models", "neighbours", "residues", "results"]
 
 
 def _merged(what: str) -> dict:

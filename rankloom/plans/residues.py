@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom import functions as fn
@@ -83,13 +84,19 @@ def weighted_variant_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = _profile(spark, d).withColumnRenamed("wt_id", "id")
-    return p, p.withColumn("logp", F.col("logp") * 0.5 - (F.col("pos") % 3) / 8)
+    """Each position's vector as two distributions over eight symbols: of its parts, and of half of them."""
+    each = _residues(spark, d).select(F.col("protein").cast("string").alias("id"), "pos", F.posexplode("vec").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    whole = W.partitionBy("id", "pos")
+    of = lambda x: each.select("id", "pos", F.substring(F.lit("ACDEFGHI"), F.col("i") + 1, F.lit(1)).alias("symbol"), (x - F.log(F.sum(F.exp(x)).over(whole))).alias("logp"))
+    return of(F.col("x")), of(F.col("x") * 0.5)
 
 
 def position_window_divergence(spark: SparkSession, d: str) -> DataFrame:
     div = variants.symmetric_divergence(*_profiles(spark, d)).withColumnRenamed("id", "wt_id")
-    return rounded(variants.window_divergence(div, _changes(spark, d).select("variant_id", "wt_id", "pos"), 2), 5)
+    n = table(spark, d, "embeddings").count()
+    places = F.array_distinct(F.array(F.col("c_nationkey") % 8, (F.col("c_nationkey") * 3 + 1) % 8))
+    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("variant_id"), (F.col("c_custkey") % n).cast("string").alias("wt_id"), F.explode(places.cast("array<int>")).alias("pos"))
+    return rounded(variants.window_divergence(div, changes, 2), 5)
 
 
 def soft_target_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +169,7 @@ def residue_probe(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (aligned_positions, pair_embedding, wildtype_cosine, pair_features, coupling, balanced_pairs, triplet_levels, weighted_variant_score, position_window_divergence, soft_target_delta, conservation_delta, likelihood_delta, mutation_windows, mutation_strings, missing_parts, edit_spans, probe_gbt, multilabel_ovr, pair_probe, residue_probe)}
 
 _CHANGE = f"{_VAR}, ch AS (SELECT variant_id, wt_id, p, w, m, {_LOGP.format('m')} - {_LOGP.format('w')} AS change FROM e WHERE w <> m)"
-_PROFILE = "f AS (SELECT n_nationkey AS wt_id, p, i, -((n_nationkey * 7 + p * 3 + i * 5) % 11) / 4.0 AS lp FROM nation, (SELECT unnest(range(9)) AS p), (SELECT unnest(range(10)) AS i)), g AS (SELECT *, lp * 0.5 - (p % 3) / 8.0 AS lq FROM f)"
+_PROFILE = f"{_RES}, g AS (SELECT protein::VARCHAR AS id, pos, x - ln(sum(exp(x)) OVER (PARTITION BY protein, pos)) AS lp, x * 0.5 - ln(sum(exp(x * 0.5)) OVER (PARTITION BY protein, pos)) AS lq FROM d)"
 SQL = {
     "aligned_positions": "WITH v AS (SELECT vec_id AS protein, embedding AS e, 8 - (vec_id % 3 = 0)::INT AS n, (vec_id * 7919 + 12345678)::VARCHAR AS s FROM embeddings), x AS (SELECT protein, n, unnest(range(n)) AS p, e, s FROM v), y AS (SELECT protein, n, s[p + 1]::INT AS l, e[p * 8 + 1]::DOUBLE AS f FROM x) SELECT protein, count(*) AS n, max((n <> 8)::INT) AS misaligned, sum(l)::BIGINT AS labels, round(sum(f), 5) AS first FROM y WHERE l <> 9 GROUP BY 1",
     "pair_embedding": f"WITH {_E}, j AS (SELECT a.id AS l, b.id AS r, list_concat(a.v, b.v) AS v FROM e a JOIN e b ON b.id = (a.id * 7 + 1) % (SELECT count(*) FROM e)) SELECT l AS \"left\", r AS \"right\", len(v)::INT AS width, round(list_dot_product(v, range(len(v))::DOUBLE[]), 3) AS total FROM j",
@@ -175,8 +182,8 @@ m AS (SELECT x.id, list_distance(x.v, y.v) AS d, x.c = y.c AS c, x.a = y.a AS a,
 t AS (SELECT id, 'c' AS level, max(d) FILTER (c) AS p, min(d) FILTER (NOT c) AS n FROM m GROUP BY id UNION ALL SELECT id, 'a', max(d) FILTER (a), min(d) FILTER (NOT a AND c) FROM m GROUP BY id UNION ALL SELECT id, 'h', max(d) FILTER (h), min(d) FILTER (NOT h AND a) FROM m GROUP BY id)
 SELECT level, count(*) AS n_anchors, round(avg(ln(1 + exp(p - n))), 5) AS loss FROM t WHERE p IS NOT NULL AND n IS NOT NULL GROUP BY 1""",
     "weighted_variant_score": f"WITH {_CHANGE}, q AS (SELECT DISTINCT wt_id, p, ((wt_id::INT * 7 + p * 3) % 11)::DOUBLE AS v FROM e), z AS (SELECT *, CASE WHEN stddev_pop(v) OVER g <= 1e-8 THEN 0 ELSE (v - avg(v) OVER g) / stddev_pop(v) OVER g END AS z FROM q WINDOW g AS (PARTITION BY wt_id)) SELECT variant_id, round(sum(change * greatest(0.2, least(1.0, 1 / (1 + exp(z))))), 5) AS score FROM ch JOIN z USING (wt_id, p) GROUP BY 1",
-    "position_window_divergence": f"WITH {_CHANGE}, {_PROFILE}, s AS (SELECT wt_id::VARCHAR AS wt_id, p, sum((exp(lp) - exp(lq)) * (lp - lq)) / 2 AS d FROM g GROUP BY 1, 2), w AS (SELECT wt_id, p, sum(d) OVER (PARTITION BY wt_id ORDER BY p RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w FROM s) SELECT variant_id, round(-sum(w.w), 5) AS score FROM ch JOIN w USING (wt_id, p) GROUP BY 1",
-    "soft_target_delta": f"WITH {_PROFILE} SELECT wt_id::VARCHAR AS id, p::INT AS pos, round(sum(exp(lp) * (lq - lp)), 5) AS delta FROM g GROUP BY 1, 2",
+    "position_window_divergence": f"WITH {_PROFILE}, s AS (SELECT id, pos, sum((exp(lp) - exp(lq)) * (lp - lq)) / 2 AS d FROM g GROUP BY 1, 2), w AS (SELECT id, pos, sum(d) OVER (PARTITION BY id ORDER BY pos RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w FROM s), c AS (SELECT DISTINCT c_custkey AS variant_id, (c_custkey % (SELECT count(*) FROM embeddings))::VARCHAR AS id, unnest([c_nationkey % 8, (c_nationkey * 3 + 1) % 8]) AS pos FROM customer) SELECT variant_id, round(-sum(w.w), 5) AS score FROM c JOIN w USING (id, pos) GROUP BY 1",
+    "soft_target_delta": f"WITH {_PROFILE} SELECT id, pos::INT AS pos, round(sum(exp(lp) * (lq - lp)), 5) AS delta FROM g GROUP BY 1, 2",
     "conservation_delta": f"WITH {_CHANGE} SELECT variant_id, round(-avg((change - p % 4) ** 2), 5)::DOUBLE AS score FROM ch GROUP BY 1",
     "likelihood_delta": f"WITH {_VAR} SELECT variant_id AS id, round(avg({_LOGP.format('m')}) - avg({_LOGP.format('w')}), 6)::DOUBLE AS delta FROM e GROUP BY 1",
     "mutation_windows": f"WITH {_CHANGE} SELECT variant_id, p::INT AS pos, (CASE WHEN p < 2 THEN 0 WHEN p + 2 >= 9 THEN 5 ELSE p - 2 END)::INT AS start, (CASE WHEN p < 2 THEN 4 WHEN p + 2 >= 9 THEN 9 ELSE p + 2 END)::INT AS \"end\" FROM ch",
