@@ -34,6 +34,25 @@ def _bucket(value: str, bounds: list) -> Column:
     return F.when(part == 0, 0).otherwise((part - 1) * 16 + below(own))
 
 
+#: Rows of a group that one window sorts; larger groups are dealt into buckets.
+GROUP_ROWS = 200_000
+
+
+def small_groups(df: DataFrame, groups: list[str], most: int = GROUP_ROWS) -> bool:
+    """Whether each group has so few rows that a window over it is no task's burden."""
+    if not groups:
+        return False
+    return (df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= most
+
+
+def window_ranks(df: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
+    """df with the mean rank (from 1) of each value among its group's rows, for small groups: one exchange by group serves all values. values: column and the name of its rank."""
+    for v, out in values.items():
+        ties = F.count("*").over(W.partitionBy(*groups, v))
+        df = df.withColumn(out, F.rank().over(W.partitionBy(*groups).orderBy(v)) + (ties - 1) / 2)
+    return df
+
+
 def running_counts(df: DataFrame, value: str, groups: list[str], extra: dict[str, Column] | None = None, bounds: list | None = None) -> DataFrame:
     """One row per group and value: n (rows), before (rows of smaller values) and, for each extra aggregate, its sum here and before_<name>.
 
@@ -66,10 +85,17 @@ def tie_ranks(df: DataFrame, value: str, groups: list[str], out: str, extra: dic
 def spearman(df: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
     """spearman and n per group; groups of fewer than two rows go, constant ones count 0."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    if small_groups(rows, groups):
+        return _correlated(window_ranks(rows.select(*groups, F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(1).alias("_c")), groups, {"_a": "_ra", "_b": "_rb"}), groups)
     bounds = quantiles(rows, [a, b])
     # Rows with the same values are one weighted row in the joins, so that a frequent value costs no more than its distinct partners.
     pairs = rows.groupBy(*groups, a, b).agg(F.count("*").alias("_c"))
     ranked = pairs.join(tie_ranks(rows, a, groups, "_ra", None, bounds[a]), [*groups, a]).join(tie_ranks(rows, b, groups, "_rb", None, bounds[b]), [*groups, b])
+    return _correlated(ranked, groups)
+
+
+def _correlated(ranked: DataFrame, groups: list[str]) -> DataFrame:
+    """spearman and n from rows with _ra, _rb and how often they stand."""
     total = lambda c: F.sum(F.col("_c") * c)
     x, y = F.col("_ra"), F.col("_rb")
     sums = ranked.groupBy(*groups).agg(F.sum("_c").alias("n"), total(x).alias("_x"), total(y).alias("_y"), total(x * x).alias("_xx"), total(y * y).alias("_yy"), total(x * y).alias("_xy"))
@@ -81,9 +107,13 @@ def spearman(df: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str, groups: list[str]) -> DataFrame:
     """auc, n and n_pos per group, ties counted half; null where a group has one class or a row without label."""
     rows = df.withColumn("_y", F.col(label).cast("int"))
-    per = running_counts(rows, score, groups, {"pos": F.sum(F.coalesce("_y", F.lit(0))), "none": F.count_if(F.col("_y").isNull())})
-    ranks = F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2))
-    out = per.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("none").alias("_none"), ranks.alias("_r"))
+    if small_groups(rows, groups):
+        ranked = window_ranks(rows.filter(F.col(score).isNotNull()).select(*groups, "_y", F.col(score).alias("_s")), groups, {"_s": "_rank"})
+        out = ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("n_pos"), F.count_if(F.col("_y").isNull()).alias("_none"), F.sum(F.col("_y") * F.col("_rank")).alias("_r"))
+    else:
+        per = running_counts(rows, score, groups, {"pos": F.sum(F.coalesce("_y", F.lit(0))), "none": F.count_if(F.col("_y").isNull())})
+        ranks = F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2))
+        out = per.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("none").alias("_none"), ranks.alias("_r"))
     neg = F.col("n") - F.col("n_pos")
     value = (F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * neg)
     return out.select(*groups, F.when((F.col("_none") == 0) & (F.col("n_pos") > 0) & (neg > 0), value).alias("auc"), "n", "n_pos")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -236,6 +238,30 @@ def hash_split(df: DataFrame, seed: int, *keys: str, out: str = "split") -> Data
     return df.withColumn(out, F.when(split_hash(seed, *keys) % 10 < 8, "train").otherwise("test"))
 
 
+#: Rows of a group that one window numbers.
+GROUP_ROWS = 200_000
+
+
+def numbered(df: DataFrame, groups: list[str], seed: int, key: str, out: str, most: int = GROUP_ROWS) -> DataFrame:
+    """df with out: each row's number (from 1) in its group, in the hashed order of seed and key (then by key). A group of more than most rows is cut into stretches of the order, which are numbered apart and shifted by the rows before them, so no task orders a whole large group."""
+    order = split_hash(seed, key)
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("_size")).filter(F.col("_size") > most)
+    window = W.partitionBy(*groups).orderBy(order, key)
+    if sizes.isEmpty():
+        return df.withColumn(out, F.row_number().over(window))
+    match = lambda left, right, names: reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_g{k}"]) for k, n in enumerate(names)])
+    renamed = lambda t: t.withColumnsRenamed({g: f"_g{k}" for k, g in enumerate(groups)})
+    large = renamed(sizes)
+    hashed = df.withColumn("_h", order)
+    parts = F.coalesce(F.ceil(F.col("_size") / most), F.lit(1))
+    cut = hashed.join(large, match(hashed, large, groups), "left").withColumn("_stretch", F.floor(F.col("_h") * parts / (1 << 32))).drop("_size", *[f"_g{k}" for k in range(len(groups))])
+    counts = cut.groupBy(*groups, "_stretch").agg(F.count("*").alias("_n"))
+    shift = renamed(counts.withColumn("_shift", F.sum("_n").over(W.partitionBy(*groups).orderBy("_stretch")) - F.col("_n")).withColumnRenamed("_stretch", "_of").filter("_shift > 0"))
+    inside = cut.withColumn("_r", F.row_number().over(W.partitionBy(*groups, "_stretch").orderBy("_h", key)))
+    both = inside.join(shift, match(inside, shift, groups) & (F.col("_stretch") == F.col("_of")), "left")
+    return both.withColumn(out, (F.col("_r") + F.coalesce("_shift", F.lit(0))).cast("int")).select(*[c for c in df.columns if c != out], out)
+
+
 def folds(df: DataFrame, k: int, seed: int, key: str, label: str | None = None, group: str | None = None, out: str = "fold") -> DataFrame:
     """Fold numbers: by group (all its rows in one fold), else dealt in turn in a hashed order inside each label if every label has k rows, else inside buckets of the hash."""
     if group is not None:
@@ -243,16 +269,14 @@ def folds(df: DataFrame, k: int, seed: int, key: str, label: str | None = None,
     if label is not None:
         least = df.groupBy(label).count().agg(F.min("count")).first()[0]
         if least is not None and least >= k:
-            order = W.partitionBy(label).orderBy(split_hash(seed, key), key)
-            return df.withColumn(out, ((F.row_number().over(order) - 1) % k).cast("int"))
+            return numbered(df, [label], seed, key, "_r").withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
     return df.withColumn(out, (split_hash(seed, key) % k).cast("int"))
 
 
 def within_group_split(df: DataFrame, group: str, key: str, seed: int, least: int = 10) -> DataFrame:
     """In each group of least rows at least: the first floor(0.8 n) in a hashed order are train, the others test."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n")).filter((F.col("_n") >= least) & (F.floor(0.8 * F.col("_n")) >= 2))
-    order = W.partitionBy(group).orderBy(split_hash(seed, key), key)
-    ranked = df.join(sizes, group).withColumn("_r", F.row_number().over(order))
+    ranked = numbered(df.join(sizes, group), [group], seed, key, "_r")
     return ranked.withColumn("split", F.when(F.col("_r") <= F.floor(0.8 * F.col("_n")), "train").otherwise("test")).drop("_r", "_n")
 
 
@@ -334,5 +358,4 @@ def require_disjoint(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
 def balanced_pairs(df: DataFrame, entity: str, label: str, key: str, seed: int, most: int = 2000) -> DataFrame:
     """Per entity as many positive as negative rows, at most half of most each, the first in a hashed order."""
     sizes = df.groupBy(entity).agg(F.least(F.count_if(F.col(label)), F.count_if(~F.col(label)), F.lit(most // 2)).alias("_k"))
-    order = W.partitionBy(entity, label).orderBy(split_hash(seed, key), key)
-    return df.join(sizes, entity).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_k")).drop("_r", "_k")
+    return numbered(df.join(sizes, entity), [entity, label], seed, key, "_r").filter(F.col("_r") <= F.col("_k")).drop("_r", "_k")

@@ -334,3 +334,27 @@ def test_paired_inputs_in_order_of_roles(spark):
     df = spark.createDataFrame([("w", "m", "x")], "wildtype string, mutant string, other string")
     got = prepare.paired(df, {"wildtype": "wildtype", "mutant": "mutant"}).first().pair
     assert list(got.asDict().items()) == [("mutant", "m"), ("wildtype", "w")]
+
+
+def test_numbers_of_large_groups_are_those_of_one_window(spark):
+    df = spark.range(900).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "b").alias("g"), (F.col("id") % 5).alias("h"))
+    for groups in (["g"], ["g", "h"]):
+        one = {r.id: r.n for r in prepare.numbered(df, groups, 7, "id", "n").collect()}
+        many = {r.id: r.n for r in prepare.numbered(df, groups, 7, "id", "n", 40).collect()}
+        assert one == many and len(many) == 900
+    assert {r.n for r in prepare.numbered(df, ["g"], 7, "id", "n", 40).filter("g = 'hot'").collect()} == set(range(1, 601))
+
+
+def test_ranks_of_small_and_large_groups_agree(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(int(g), float(np.round(rng.standard_normal(), 1)), float(rng.integers(0, 5)), int(rng.integers(0, 2))) for g in rng.integers(0, 4, 500)] + [(9, 1.0, 2.0, 1), (9, 1.0, 3.0, 1), (8, None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y int")
+    small = [sorted(map(str, f.collect())) for f in (metrics.spearman(df, "a", "b", ["g"]), metrics.auc(df, "y", "a", ["g"]))]
+    monkeypatch.setattr(metrics, "small_groups", lambda *a: False)
+    large = [{r.g: r for r in f.collect()} for f in (metrics.spearman(df, "a", "b", ["g"]), metrics.auc(df, "y", "a", ["g"]))]
+    monkeypatch.undo()
+    again = [{r.g: r for r in f.collect()} for f in (metrics.spearman(df, "a", "b", ["g"]), metrics.auc(df, "y", "a", ["g"]))]
+    assert small and all(a.keys() == b.keys() for a, b in zip(large, again, strict=True))
+    for a, b in zip(large, again, strict=True):
+        for g in a:
+            assert tuple(v for v in a[g] if v is not None) == pytest.approx(tuple(v for v in b[g] if v is not None))
