@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,13 +75,21 @@ def require_width(alphabet: str, k: int, rows: int, most_bytes: int = 16 << 30)
     return width
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "mean") -> DataFrame:
-    """The mean of each key's vectors, part by part."""
-    parts = df.select(*keys, F.posexplode(vector).alias("_i", "_x"))
+def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "mean", mask: Column | None = None) -> DataFrame:
+    """The mean of each key's vectors, part by part; mask: of the rows for which it holds (keys without any are left out)."""
+    parts = (df if mask is None else df.filter(mask)).select(*keys, F.posexplode(vector).alias("_i", "_x"))
     per = parts.groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"))
     return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(out))
 
 
+def joined_blocks(blocks: list[DataFrame], keys: list[str], vectors: list[str], out: str = "vector") -> DataFrame:
+    """keys and out: the vectors of several tables, one after the other, of the keys that all of them have."""
+    joined = blocks[0].select(*keys, F.col(vectors[0]).alias("_0"))
+    for k, (block, v) in enumerate(zip(blocks[1:], vectors[1:], strict=True), 1):
+        joined = joined.join(block.select(*keys, F.col(v).alias(f"_{k}")), keys)
+    return joined.select(*keys, F.concat(*[f"_{k}" for k in range(len(blocks))]).alias(out))
+
+
 def diversity(df: DataFrame, key: str, vector: str) -> DataFrame:
     """One less the mean cosine of all pairs of a key's vectors, from the sum of unit vectors: 1 - (|sum|^2 - sum of squares) / (n (n - 1)); 0 for fewer than two."""
     from rankloom.functions import unit

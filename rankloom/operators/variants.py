@@ -57,6 +57,17 @@ def z_scores(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return out
 
 
+def ensemble_scores(df: DataFrame, group: str, terms: dict[str, float], out: str = "ensemble") -> DataFrame:
+    """df with out, the weighted sum of the terms' z-scores within the group, and n_terms. A term that is null or not finite for any row of a group is left out for the whole group, so that its rows stay comparable."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
+    whole = df.groupBy(group).agg(*[F.bool_and(finite(c)).alias(f"_w_{c}") for c in terms])
+    clean = df.join(whole, group).withColumns({f"_t_{c}": F.when(F.col(f"_w_{c}"), F.col(c).cast("double")) for c in terms})
+    z = z_scores(clean, group, [f"_t_{c}" for c in terms])
+    total = sum((F.when(F.col(f"_w_{c}"), F.col(f"z__t_{c}") * w).otherwise(0.0) for c, w in terms.items()), F.lit(0.0))
+    n = sum((F.col(f"_w_{c}").cast("int") for c in terms), F.lit(0))
+    return z.withColumns({out: total, "n_terms": n}).select(*df.columns, out, "n_terms")
+
+
 def ensemble_grid(df: DataFrame, group: str, measured: str, terms: list[str], step: float) -> DataFrame:
     """weights (as text) and the mean over groups of the Spearman correlation of the weighted z-scores, for all weights of the simplex at a step."""
     parts = round(1 / step)

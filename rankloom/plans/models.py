@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import metrics, prepare, probes
-from rankloom.plans.tables import rounded, table, vectors
+from rankloom.operators import features, metrics, prepare, probes, variants
+from rankloom.plans.neighbours import _RES, _residues
+from rankloom.plans.tables import ASSAY, assay, rounded, table, vectors
 
 
 def _two_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +40,21 @@ def paired_inputs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("c_custkey", "pair.*")
 
 
-QUERIES = {f.__name__: f for f in (ridge_folds, ridge_fold_errors, group_ridge_score, paired_inputs)}
+def ensemble_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Price, quantity and, in groups where it is whole, their ratio."""
+    a = assay(spark, d).withColumn("ratio", F.when(F.col("grp") % 3 == 0, F.when(F.col("y") == 1, F.lit(float("nan")))).otherwise(F.col("measured") / F.col("score")))
+    e = variants.ensemble_scores(a, "grp", {"measured": 1.0, "score": 0.5, "ratio": 2.0})
+    return rounded(e.groupBy("grp").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.max("ensemble").alias("top"), F.avg(F.col("ensemble") * F.col("y")).alias("mean_of_positive")), 5)
+
+
+def masked_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of all positions and that of two in three, one after the other."""
+    r = _residues(spark, d)
+    blocks = [features.mean_vectors(r, ["protein"], "vec"), features.mean_vectors(r, ["protein"], "vec", mask=F.col("pos") % 3 > 0)]
+    return rounded(features.joined_blocks(blocks, ["protein"], ["mean", "mean"]).select("protein", F.posexplode("vector").alias("i", "x")), 5)
+
+
+QUERIES = {f.__name__: f for f in (ridge_folds, ridge_fold_errors, group_ridge_score, paired_inputs, ensemble_scores, masked_pool)}
 
 _T = "t AS (SELECT vec_id AS id, label, (vec_id % 4)::INT AS fold, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS y FROM embeddings)"
 # Standardised: the diagonal of the products is n, and the penalty is 1.
@@ -54,4 +69,6 @@ p AS (SELECT label, y, round(my + (a - ma) * (ay * bb - ab * by_) / (aa * bb - a
 k AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY y) + (count(*) OVER (PARTITION BY label, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY label ORDER BY p) + (count(*) OVER (PARTITION BY label, p) - 1) / 2.0 AS rp FROM p), g AS (SELECT label, count(*) AS n, corr(ry, rp) AS c FROM k GROUP BY 1 HAVING count(*) >= 2)
 SELECT count(*) AS n_groups, sum(n)::BIGINT AS n, round(avg(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0)), 6) AS spearman FROM g""",
     "paired_inputs": "SELECT c_custkey, c_name AS mutant, c_mktsegment AS wildtype FROM customer",
+    "ensemble_scores": f"WITH {ASSAY}, t AS (SELECT *, CASE WHEN grp % 3 <> 0 THEN measured / score END AS ratio FROM a), z AS (SELECT grp, y, (measured - avg(measured) OVER g) / stddev_pop(measured) OVER g + 0.5 * (score - avg(score) OVER g) / stddev_pop(score) OVER g + CASE WHEN grp % 3 <> 0 THEN 2 * (ratio - avg(ratio) OVER g) / stddev_pop(ratio) OVER g ELSE 0 END AS e FROM t WINDOW g AS (PARTITION BY grp)) SELECT grp, count(*) AS n, max(CASE WHEN grp % 3 = 0 THEN 2 ELSE 3 END)::INT AS n_terms, round(max(e), 5) AS top, round(avg(e * y), 5) AS mean_of_positive FROM z GROUP BY 1",
+    "masked_pool": f"WITH {_RES} SELECT protein, i, round(avg(x), 5) AS x FROM d GROUP BY 1, 2 UNION ALL SELECT protein, i + 8, round(avg(x), 5) FROM d WHERE pos % 3 > 0 GROUP BY 1, 2",
 }
