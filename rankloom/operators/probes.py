@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators import many
+from rankloom.operators import many, similarity
 from rankloom.operators.metrics import class_metrics, confusion, regression, spearman
 
 
@@ -42,13 +42,27 @@ def make_probe(kind: str, problem: str, n: int, spread: float = 1.0, classes: in
     raise ValueError(f"no probe {kind} for {problem}")
 
 
-def fit_predict(train: DataFrame, test: DataFrame, vector: str, kind: str, problem: str) -> DataFrame:
-    """test with prediction; both frames have y (a number; for classes from 0)."""
+def fit_predict(train: DataFrame, test: DataFrame, vector: str, kind: str, problem: str, key: str = "id", k: int = 3, weighted: bool = False) -> DataFrame:
+    """test with prediction; both frames have y (a number; for classes from 0). kind: linear, gbt, or knn, which needs a key (a whole number) and looks at k training rows (at all where there are fewer), each with the inverse of its distance as weight if weighted."""
+    if kind == "knn":
+        return _by_neighbours(train, test, vector, problem, key, k, weighted)
     a, b = scaled(train, [test], vector)
     s = a.agg(F.count("*"), F.stddev_pop("y"), F.countDistinct("y")).first()
     return make_probe(kind, problem, s[0], s[1] or 1.0, s[2]).fit(a).transform(b)
 
 
+def _by_neighbours(train: DataFrame, test: DataFrame, vector: str, problem: str, key: str, k: int, weighted: bool) -> DataFrame:
+    side = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector"))
+    near = similarity.nearest(side(test), side(train), k, "euclidean")
+    if problem == "regression":
+        w = 1 / F.greatest(F.lit(1e-12), -F.col("score")) if weighted else F.lit(1.0)
+        y = train.select(F.col(key).cast("bigint").alias("target_id"), F.col("y").cast("double").alias("_y"))
+        found = near.join(y, "target_id").groupBy("query_id").agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("prediction"))
+    else:
+        found = similarity.knn_vote(near, train.select(F.col(key).cast("bigint").alias("id"), F.col("y").alias("label")), weighted).withColumnRenamed("predicted", "prediction")
+    return test.join(found, F.col(key).cast("bigint") == F.col("query_id"), "left").drop("query_id")
+
+
 def evaluate(predicted: DataFrame, problem: str, groups: list[str] = ()) -> DataFrame:
     """The metric block of predictions (of each group)."""
     groups = list(groups)
@@ -112,10 +126,13 @@ def holdout(train: DataFrame, test: DataFrame, vector: str, kind: str, problem:
     from rankloom.operators.bootstrap import mean_interval
 
     a, b = scaled(train, [test], vector)
+    # At hand before the clock runs: reading and scaling are no part of the fit.
+    a = a.persist()
     s = a.agg(F.count("*"), F.stddev_pop("y"), F.countDistinct("y")).first()
     began = time.monotonic()
     model = make_probe(kind, problem, s[0], s[1] or 1.0, s[2]).fit(a)
     seconds = time.monotonic() - began
+    a.unpersist()
     predicted = model.transform(b)
     each = F.abs(F.col("y") - F.col("prediction")) if problem == "regression" else (F.col("y") == F.col("prediction")).cast("double")
     inner = mean_interval(predicted.select(key, each.alias("_v")), key, "_v", draws, seed)

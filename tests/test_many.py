@@ -96,3 +96,17 @@ def test_no_rows(data):
     df = data[-1].filter("id < 0")
     assert many.logistic(many.packed(df, "v", F.col("y"), "fold"), 3, [None]).weights.shape == (1, 3, 0)
     assert many.ridge(many.packed(df, "v", F.col("r"), "fold"), [None]).weights.shape == (1, 1, 0)
+
+
+def test_neighbour_probe(data):
+    x, y, c, r, df = data
+    rows = df.withColumn("y", F.col("c").cast("double"))
+    train, test = rows.filter("id >= 20"), rows.filter("id < 20")
+    got = {q.id: q.prediction for q in probes.fit_predict(train, test, "v", "knn", "classification", k=5).collect()}
+    far = {q.id: q.prediction for q in probes.fit_predict(train.withColumn("y", F.col("r")), test, "v", "knn", "regression", k=5, weighted=True).collect()}
+    for i in range(20):
+        d = np.sqrt(((x[20:] - x[i]) ** 2).sum(1))
+        near = np.lexsort((np.arange(len(d)), d))[:5]
+        assert got[i] == np.bincount(c[20:][near]).argmax()
+        assert far[i] == pytest.approx((r[20:][near] / d[near]).sum() / (1 / d[near]).sum())
+    assert probes.fit_predict(train.limit(2), test, "v", "knn", "classification", k=5).filter("prediction is null").count() == 0
