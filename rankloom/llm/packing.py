@@ -41,10 +41,10 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 12
 WELL_FILLED = 0.995
 #: A turn after which more than this part of its pieces is left is the last one.
 TURN_LEFT, TURNS = 0.9, 32
-#: Distinct chunks whose ids a worker remembers, and their length at most.
+#: Distinct chunks whose ids a worker remembers (half of them since it last forgot the others), and their length at most.
 CACHE_CHUNKS, LONGEST_CACHED = 450_000, 64
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, list] = {}
 
 
 def _default_vocabulary() -> str:
@@ -76,13 +76,20 @@ def encode(texts: list[str], vocabulary: str) -> list[bytes]:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary), {}
-    tokenizer, known = _tokenizers[vocabulary]
+        _tokenizers[vocabulary] = [Tokenizer.from_file(vocabulary), {}, {}]
+    held = _tokenizers[vocabulary]
     parts = [_chunks(t) for t in texts]
     chunks = set().union(*parts)
-    if len(known) + len(chunks) > CACHE_CHUNKS:
-        known.clear()
-    new = list(chunks.difference(known))
+    if len(held[1]) + len(chunks) > CACHE_CHUNKS // 2:
+        # Chunks that come again are taken over; the others are forgotten next time.
+        held[1:] = {}, held[1]
+    tokenizer, known, before = held
+    new = []
+    for chunk in chunks.difference(known):
+        if (found := before.get(chunk)) is None:
+            new.append(chunk)
+        else:
+            known[chunk] = found
     for i in range(0, len(new), 4096):
         for chunk, found in zip(new[i : i + 4096], tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
             known[chunk] = array("I", found.ids).tobytes()
