@@ -67,8 +67,8 @@ def compared(left: DataFrame, right: DataFrame, keys: list[str], k: int, metric:
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInPandas(run, "query_id bigint, target_id bigint, score double")
 
 
-def _rooted(pivots: np.ndarray, metric: str, shells: dict | None = None):
-    """A function for batches of id and vector: adds the nearest pivot and the distance to it; shells are looked for by reached()."""
+def _rooted(pivots: np.ndarray, metric: str):
+    """A function for batches of id and vector: adds the nearest pivot and the distance to it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -145,7 +145,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str, exclude
 
     near = asked.mapInPandas(_reached(roots, metric, shells, k, True), f"id bigint, vector {kind}, shell bigint")
     found = met(near)
-    far = F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(F.lit(float("-inf") if metric == "cosine" else float("-inf")))
+    far = F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(float("-inf"))
     worst = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("q"), far.alias("kth"))
     reach = F.when(F.col("kth").isNull() | (F.col("kth") == float("-inf")), float("inf")).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth"))) if metric == "cosine" else -F.col("kth"))
     others = asked.join(worst, F.col("id") == F.col("q"), "left").select("id", "vector", reach.alias("worst"))
