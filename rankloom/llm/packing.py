@@ -36,7 +36,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of a group, about; the group's memory and time are bounded by it.
 GROUP_PIECES = 20_000
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 12
+ISLANDS, EPOCHS, POPULATION = 2, 2, 8
+#: Children of an epoch: as many as their work allows (children times pieces), between these.
+WORK, CHILDREN_LEAST, CHILDREN_MOST = 240_000, 12, 60
 #: Bins at least so full are handed on whole by crossover.
 WELL_FILLED = 0.995
 #: A turn after which more than this part of its pieces is left is the last one.
@@ -191,8 +193,8 @@ def _places(bins: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def evolve(sizes: list[int], seed: int, capacity: int, elites: list[list[int]] = (), population: int = POPULATION, children: int = CHILDREN) -> tuple[list[int], int]:
-    """One island's epoch: the best individual as each document's bin, and its bins' number. elites: individuals that begin the population."""
+def evolve(sizes: list[int], seed: int, capacity: int, elites: list[list[int]] = (), population: int = POPULATION, children: int | None = None) -> tuple[list[int], int]:
+    """One island's epoch: the best individual as each document's bin, and its bins' number. elites: individuals that begin the population; the others are best fits in orders shuffled more or less. A child of a parent that won a tournament and of any other replaces the least fit, if it is fitter."""
     rng = random.Random(seed)
     people = []
     for e in elites:
@@ -200,18 +202,24 @@ def evolve(sizes: list[int], seed: int, capacity: int, elites: list[list[int]] =
         people.append((bins, [capacity - sum(sizes[i] for i in x) for x in bins]))
     least = -(-sum(sizes) // capacity)
     while len(people) < population and not (people and len(people[-1][0]) <= least):
-        jitter = 0.0 if not people else 0.08
+        jitter = rng.choice([0.05, 0.2, 0.5]) if people else 0.0
         order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * (1 + jitter * (rng.random() - 0.5)), i))
         bins, room = [], []
         _best_fit(order, sizes, bins, room, capacity)
         people.append((bins, room))
-    for _ in range(children):
-        people.sort(key=lambda x: _fitness(x[1], capacity), reverse=True)
-        if len(people[0][0]) <= least:
+    fit = [_fitness(x[1], capacity) for x in people]
+    every = range(len(people))
+    if children is None:
+        children = max(CHILDREN_LEAST, min(CHILDREN_MOST, WORK // max(1, len(sizes))))
+    for _ in range(children if len(people) > 1 else 0):
+        if -max(fit)[0] <= least:
             break
-        a, b = rng.sample(people[: max(2, population // 2 + 1)], 2)
-        people[-1] = _crossover(a[0], b[0], sizes, capacity, rng)
-    best = max(people, key=lambda x: _fitness(x[1], capacity))
+        a, b = max(rng.sample(every, 2), key=fit.__getitem__), rng.choice(every)
+        child = _crossover(people[a][0], people[b][0], sizes, capacity, rng)
+        worst = min(every, key=fit.__getitem__)
+        if (f := _fitness(child[1], capacity)) > fit[worst]:
+            people[worst], fit[worst] = child, f
+    best = people[max(every, key=fit.__getitem__)]
     return _places(best[0], len(sizes)), len(best[0])
 
 

@@ -272,3 +272,26 @@ def test_op13_rewrites_one_document_in_ten(spark, tmp_path):
         four = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
         assert got[k] == (len(found), *four, digest(listed), digest(" ".join(x for i, x in enumerate(w) if i not in gone)))
     assert seen
+
+
+# Operator 3
+
+
+def test_evolution_beats_best_fit_on_hard_sizes():
+    from rankloom.llm import packing
+
+    rng = random.Random(7)
+    sizes = [rng.randint(500, 1100) for _ in range(3000)]
+    bins, room = [], []
+    packing._best_fit(sorted(range(3000), key=lambda i: (-sizes[i], i)), sizes, bins, room, 2048)
+    elites = [[], []]
+    for epoch in range(packing.EPOCHS):
+        found = [packing.evolve(sizes, 10 * i + epoch, 2048, elites[i]) for i in range(2)]
+        elites = [[found[i][0], found[1 - i][0]] for i in range(2)]
+    places, n = min(found, key=lambda x: x[1])
+    fill = np.bincount(places, sizes)
+    assert fill.max() <= 2048 and len(fill) == n and (fill > 0).all()
+    # Best fit takes 1,258 bins here.
+    assert len(bins) == 1258 and n <= 1248
+    # Where the first individual reaches the bound there is nothing to do.
+    assert packing.evolve([1024] * 100, 1, 2048)[1] == 50 and packing.evolve([], 1, 2048) == ([], 0)
