@@ -140,7 +140,9 @@ def fit(rows: DataFrame) -> Machine:
         m = Machine(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
         m.v[:] = 0
         return m
-    return _train(np.stack(taken["s"].to_list()), list(zip(taken["b"], taken["x"], strict=True)), label)
+    # A text without words comes back as an empty list of no type.
+    lists = [(np.asarray(b, np.int64), np.asarray(x, np.float32)) for b, x in zip(taken["b"], taken["x"], strict=True)]
+    return _train(np.stack(taken["s"].to_list()), lists, label)
 
 
 def scores(texts: pa.Array, m: Machine) -> np.ndarray:

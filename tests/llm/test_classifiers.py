@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, token_counts, toxicity
+from rankloom.llm import langid, ngram_join, pii, quality, token_counts, toxicity
 
 U32, U64 = (1 << 32) - 1, (1 << 64) - 1
 SYLLABLES = {"xa": ["ka", "to", "ri"], "yb": ["schu", "ven", "ö"], "zc": ["zh", "мо", "ли"]}
@@ -171,3 +171,79 @@ def test_states_keep_columns_that_bear_their_names(spark):
     assert after[1].text == "Any text, and more" and after[1]["own_counts"] == "mine" and after[1]["_edits"] == 3 and after[1].encoded_chars != 5
     plain = {r.doc_id: r.n_tokens for r in token_counts.totals(token_counts.states(spark.createDataFrame([(1, "Any text, and more")], "doc_id bigint, text string"))).collect()}
     assert {r.doc_id: r.n_tokens for r in token_counts.totals(token_counts.edited(state, "change")).collect()}[1] == plain[1]
+
+
+# Operator 8
+
+
+def quality_margin(machine, row, inputs_, values):
+    """The margin with every pair of inputs written out."""
+    z = machine.bias + sum(float(machine.w[i]) * x for i, x in zip(inputs_, values, strict=True))
+    for p in range(len(inputs_)):
+        for q in range(p + 1, len(inputs_)):
+            z += float(machine.v[inputs_[p]].astype(float) @ machine.v[inputs_[q]].astype(float)) * values[p] * values[q]
+    return z
+
+
+def test_quality_margins_and_slopes_by_hand(monkeypatch):
+    rng = random.Random(13)
+    texts = [*texts_of(rng, "xa", 12), "", None, "word " * 30, "One line.\nAnother, LOUD one!"]
+    label = np.array([float(rng.random() < 0.5) for _ in texts])
+    stats, (r, b, x) = quality.inputs(pa.array(texts, pa.string()))
+    lists = [(b[r == k], x[r == k].astype(np.float32)) for k in range(len(texts))]
+    machine = quality.Machine(stats.mean(0), stats.std(0) + 1e-9, 0.3)
+    machine.w[:] = np.random.default_rng(1).normal(0, 0.2, machine.w.shape)
+    machine.v[:] = np.random.default_rng(2).normal(0, 0.5, machine.v.shape)
+    rows, inputs_, values = machine.rows(stats, (r, b, x))
+    z, _ = machine.margin(rows, inputs_, values, len(texts))
+    for k in range(len(texts)):
+        at = rows == k
+        assert z[k] == pytest.approx(quality_margin(machine, k, inputs_[at].tolist(), values[at].astype(float).tolist()), abs=1e-4)
+    # One step of training moves each weight by its slope over the root of what it has seen: the slopes against differences of the loss.
+    monkeypatch.setattr(quality, "PASSES", 1)
+    trained = quality._train(stats, lists, label)
+    start = quality.Machine(stats.mean(0), stats.std(0) + 1e-9, float(np.log(label.mean() / (1 - label.mean()))))
+
+    def loss(m):
+        a, i, v = m.rows(stats, (r, b, x))
+        t, _ = m.margin(a, i, v, len(texts))
+        return float(np.mean(np.logaddexp(0, t) - label * t))
+
+    def slope(before, after):
+        d = (before - after) / quality.RATE
+        return d * 1e-2 / np.sqrt(max(1e-12, 1 - d * d))
+
+    for i in (0, 3, 6, len(quality.STATISTICS) + int(b[0]), len(quality.STATISTICS) + int(b[-1])):
+        for f in (None, 2):
+            table = "w" if f is None else "v"
+            at = i if f is None else (i, f)
+            ends = []
+            for h in (1e-2, -1e-2):
+                m = quality.Machine(start.mean, start.spread, start.bias)
+                getattr(m, table)[at] += h
+                ends.append(loss(m))
+            here = float(getattr(start, table)[at])
+            wanted = (ends[0] - ends[1]) / 2e-2 + quality.PENALTY * here
+            assert slope(here, float(getattr(trained, table)[at])) == pytest.approx(wanted, abs=3e-5, rel=2e-2)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    long = "mail ann@zoo.example.org now and read this line again. " * 6000
+    rows = [(1, long), (2, long), (2, long), (3, "short one"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.n_email for r in pii.digest(docs).collect()} == {1: 6000, 2: 6000, 3: 0, 4: 0}
+    groups = ngram_join.ngram_join(docs).collect()
+    assert len(groups) == 5 and all(r.component_id == 1 for r in groups if r.doc_id in (1, 2))
+    machine = quality.fit(docs.withColumn("label", (F.col("doc_id") < 3).cast("int")))
+    got = quality.predict(docs, machine).collect()
+    assert len(got) == 5 and len({r.score for r in got if r.doc_id == 2}) == 1
+
+
+def test_empty_table_for_each_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (k == 4 or out.columns == docs.columns)
