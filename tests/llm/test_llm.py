@@ -377,12 +377,14 @@ def test_queries_keep_their_contracts(spark, tmp_path):
     wide.write.parquet(str(tmp_path / "a" / "documents.parquet"))
     spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
     spark.createDataFrame([(i, [1.0, float(i % 5)], i % 2) for i in range(12)] + [(20, None, 1), (21, [0.0, 0.0], 1), (22, [1.0, float("nan")], 0), (23, [1.0], None)], "vec_id bigint, embedding array<double>, label int").write.parquet(str(tmp_path / "a" / "embeddings.parquet"))
-    for name in ("documents", "labels", "embeddings"):
+    spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"Turn {t}.") for c in range(5) for t in range(4)] + [(None, None, None, None)], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "a" / "conversations.parquet"))
+    for name in ("documents", "labels", "embeddings", "conversations"):
         spark.read.parquet(str(tmp_path / "a" / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
     columns = {
         "op1": "doc_id n_ids ids_crc32 round_trip ids", "op2": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_term", "op3": "doc_id piece start length ids_crc32 sequence_id offset", "op4": "vec_id n_links component_id kept",
         "op5": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op6": "doc_id held_out score predicted", "op7": "doc_id held_out lang_pred score", "op8": "doc_id held_out score predicted",
         "op9": "doc_id n_tokens n_leaves edited_tokens edited_chars encoded_chars", "op10": "doc_id n_shingles component_id",
+        "op11": "doc_id n_bytes n_removed n_spans kept_sha256", "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     }
     queries = registry.queries()
     assert sorted(k.split("_")[0] for k in queries) == sorted(columns)
@@ -390,7 +392,7 @@ def test_queries_keep_their_contracts(spark, tmp_path):
         out = query(spark, str(tmp_path / "a"))
         assert out.columns == columns[name.split("_")[0]].split(), name
         rows = out.collect()
-        assert len(rows) == (16 if name.startswith("op4") else len(docs)), name
+        assert len(rows) == (16 if name.startswith("op4_") else 6 if name.startswith("op12_") else len(docs)), name
         assert all(r.score is not None and 0 <= r.score <= 1 for r in rows if "score" in r)
         assert query(spark, str(tmp_path / "none")).count() == 0, name
 
