@@ -1,25 +1,27 @@
 """Exact nearest rows with pivots: blocks that the triangle inequality rules out are not compared.
 
 Some gallery rows are pivots. Every gallery row belongs to its nearest pivot, and rows of a pivot are dealt into blocks by
-their distance to it, so a block is a shell. A query's distance to a shell's pivot bounds its distance to all of the shell's rows. In a first round each query is
-compared with the shells nearest to it, which gives it k candidates; in a second one with those others whose bound is no further than its
-k-th candidate. Cosines are compared as distances of unit vectors.
+their distance to it, so a block is (a part of) a shell. A query's distance to a shell's pivot bounds its distance to all of the shell's rows. Queries of
+a pivot are blocks too. Such a block is first compared with the shells of its pivot, which gives each query k candidates; then with all others, but for queries
+whose k-th candidate is nearer than the bound. Cosines are compared as distances of unit vectors. A task keeps k candidates a query and reads the gallery as a stream (blocks.met).
 
-Only pivots and one line for each block (PIVOTS and BLOCKS_MOST at most) reach the driver and are sent to tasks.
+Only pivots and one line for each of them (PIVOTS) reach the driver; they and one line for each shell (PIVOTS times CUTS at most) are sent to tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pivots; blocks at most (beyond that they grow); cuts of a pivot's distances; shells of the first round.
-PIVOTS, BLOCKS_MOST, CUTS, FIRST = 128, 1 << 16, 64, 2
+from rankloom.operators import blocks
+
+#: Pivots; cuts of a pivot's distances; queries of a block at most, about; scores that are measured at once.
+PIVOTS, CUTS, QUERIES, PIECE = 128, 64, 512, 1 << 15
 #: Distances that differ by less may come out either way round in products; candidates so close are measured again one by one.
 SLACK = 1e-9
 
@@ -88,67 +90,118 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0))
 
 
-def _reached(pivots: np.ndarray, metric: str, shells: pd.DataFrame, k: int, first: bool):
-    """A function for batches of queries: a row for each shell that a query has to be compared with. In the first round the nearest shells until they hold FIRST shells and k + 1 rows; then, with worst (its k-th candidate's distance) at hand, all others within reach."""
-    number, pivot, low, high, size = (shells[c].to_numpy() for c in ("shell", "pivot", "low", "high", "size"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for s in range(0, len(f), max(1, (1 << 21) // max(1, len(shells)))):
-                part = f.iloc[s : s + max(1, (1 << 21) // max(1, len(shells)))]
-                x = np.stack(part["vector"].to_list()).astype(float)
-                zero = ~x.any(1) if metric == "cosine" else np.zeros(len(x), bool)
-                d = distances(unit(x) if metric == "cosine" else x, pivots)[:, np.maximum(pivot, 0)]
-                bound = np.maximum(np.maximum(d - high, low - d), 0)
-                bound[:, pivot < 0] = 0  # zero vectors are always compared
-                bound[zero] = 0
-                order = np.argsort(bound + 1e-3 * np.abs(d - (low + high) / 2), axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1)
-                early = np.zeros(bound.shape, bool)
-                np.put_along_axis(early, order, (np.arange(len(shells)) < FIRST) | (held - size[order] < k + 1), axis=1)
-                use = early if first else ~early & (bound <= part["worst"].to_numpy()[:, None] + 1e-6)
-                i, j = np.nonzero(use)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[i], "vector": part["vector"].to_numpy()[i], "shell": number[j]})
-
-    return run
+def _measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows i of x with rows j of y, one by one."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), PIECE):
+        a, b = x[i[s : s + PIECE]], y[j[s : s + PIECE]]
+        out[s : s + PIECE] = (a * b).sum(1) if metric == "cosine" else -np.sqrt(((a - b) ** 2).sum(1))
+    return out
+
+
+class _Best:
+    """The k best rows so far of a block of queries."""
+
+    def __init__(self, own: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, metric: str, exclude_self: bool) -> None:
+        self.k, self.metric, self.exclude_self, self.own = k, metric, exclude_self, own
+        self.zero = ~x.any(1) if metric == "cosine" else np.zeros(len(x), bool)
+        self.x = unit(x) if metric == "cosine" else x
+        self.norms, self.far = (self.x**2).sum(1), distances(self.x, pivots)
+        self.ids, self.scores = np.zeros((len(x), k), np.int64), np.full((len(x), k), -np.inf)
+        self.compared = np.zeros(len(x), np.int64)
+
+    def reached(self, pivot: int, low: float, high: float) -> np.ndarray:
+        """Queries that the shell may hold a better row for."""
+        if pivot < 0:  # zero vectors are always compared
+            return np.arange(len(self.x))
+        kth = self.scores[:, -1]
+        worst = np.sqrt(np.maximum(0, 2 - 2 * kth)) if self.metric == "cosine" else -kth
+        bound = np.maximum(self.far[:, pivot] - high, low - self.far[:, pivot])
+        return np.flatnonzero(self.zero | (bound <= worst + 1e-6))
+
+    def add(self, at: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
+        """Compares the queries at with a block of rows. A product finds the candidates; their scores are measured row by row, so they are the same in any block."""
+        self.compared[at] += 1
+        y = unit(y) if self.metric == "cosine" else y
+        squares = (y**2).sum(1)
+        for s in range(0, len(at), 256):
+            rows = at[s : s + 256]
+            x, k = self.x[rows], min(self.k, len(y))
+            near = x @ y.T if self.metric == "cosine" else 2 * x @ y.T - self.norms[rows, None] - squares
+            if self.exclude_self:
+                near[self.own[rows, None] == ids] = -np.inf
+            kth = self.scores[rows, -1]
+            kth = kth if self.metric == "cosine" else -(kth**2)
+            if np.isinf(kth).any():
+                kth = np.maximum(kth, np.partition(near, -k, axis=1)[:, -k])
+            size = 0 if self.metric == "cosine" else self.norms[rows] + squares.max(initial=0)
+            slack = SLACK * (1 + np.abs(np.where(np.isfinite(kth), kth, 0))) + 1e-12 * size
+            i, j = np.nonzero((near >= (kth - slack)[:, None]) & np.isfinite(near))
+            if not len(i):
+                continue
+            score = _measured(x, y, i, j, self.metric)
+            # Those at hand and the new ones, by score and then by id.
+            some = np.unique(i)
+            held, place = np.nonzero(np.isfinite(self.scores[rows[some]]))
+            who = np.concatenate([i, some[held]])
+            target = np.concatenate([ids[j], self.ids[rows[some[held]], place]])
+            score = np.concatenate([score, self.scores[rows[some[held]], place]])
+            order = np.lexsort((target, -score, who))
+            who, target, score = who[order], target[order], score[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            who, target, score, place = (v[place < self.k] for v in (who, target, score, place))
+            self.ids[rows[who], place], self.scores[rows[who], place] = target, score
+
+    def rows(self) -> pa.RecordBatch:
+        q, place = np.nonzero(np.isfinite(self.scores))
+        found = self.own[q], self.ids[q, place], self.scores[q, place], place.astype(np.int32) + 1, np.where(place == 0, self.compared[q], 0)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "target_id", "score", "rank", "compared"])
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str, exclude_self: bool, block: int, rows: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """query_id, target_id, score of candidates among which each query's k best are; and a row with n_pairs (queries times shells) and n_compared. rows: how many gallery has. queries and gallery: id, vector."""
-    block = max(block, math.ceil(rows / BLOCKS_MOST))
+    """query_id, target_id, score, rank: each query's k best rows; and a row with n_pairs (queries times blocks) and n_compared. rows: how many gallery has. queries and gallery: id, vector."""
     seeds = gallery.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     roots = np.stack(seeds["vector"].to_list()).astype(float)
     roots = unit(roots[roots.any(1)]) if metric == "cosine" else roots
-    kind = dict(gallery.dtypes)["vector"]
     if not len(roots):
         roots = np.zeros((1, len(seeds["vector"][0])))
-    rooted = gallery.select("id", "vector").mapInPandas(_rooted(roots, metric), f"id bigint, vector {kind}, pivot int, far double")
-    cuts = rooted.groupBy("pivot").agg(F.percentile_approx("far", [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("cuts"), F.count("*").alias("n"))
+    rooted = lambda df: df.select("id", "vector").mapInPandas(_rooted(roots, metric), f"id bigint, vector {dict(df.dtypes)['vector']}, pivot int, far double")
+    placed = rooted(gallery)
+    cuts = placed.groupBy("pivot").agg(F.percentile_approx("far", [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("cuts"), F.count("*").alias("n"))
     # As many rows as pivots.
-    dealt = rooted.join(F.broadcast(cuts), "pivot")
+    dealt = placed.join(F.broadcast(cuts), "pivot")
     place = F.size(F.filter("cuts", lambda c: c <= F.col("far")))
-    parts = F.ceil(F.col("n") / block)
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / (CUTS * block)))
-    shell = F.struct("pivot", F.floor(place * parts / CUTS).alias("part"), F.pmod(F.xxhash64("id"), salts).alias("salt"))
-    dealt = dealt.withColumn("shell", F.xxhash64(F.struct(shell.alias("s")))).select("id", "vector", "pivot", "far", "shell")
-    shells = dealt.groupBy("shell", "pivot").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("size")).toPandas()
-    asked = queries.select("id", "vector")
-    # Queries of a shell are dealt into parts too, each of which meets the whole shell.
-    total = max(1, asked.count())
-
-    def met(wanted: DataFrame) -> DataFrame:
-        several = F.greatest(F.lit(1), F.ceil(F.count("*") / (4 * block))).alias("parts")
-        sizes = wanted.groupBy(F.col("shell").alias("of")).agg(several)
-        left = wanted.join(sizes, F.col("shell") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("id", "vector", "shell", "part")
-        right = dealt.join(sizes, F.col("shell") == F.col("of")).select("id", "vector", F.col("shell").alias("_shell"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("_part"))
-        return compared(left, right, ["shell", "part"], k, metric, exclude_self)
-
-    near = asked.mapInPandas(_reached(roots, metric, shells, k, True), f"id bigint, vector {kind}, shell bigint")
-    found = met(near)
-    far = F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(float("-inf"))
-    worst = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("q"), far.alias("kth"))
-    reach = F.when(F.col("kth").isNull() | (F.col("kth") == float("-inf")), float("inf")).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth"))) if metric == "cosine" else -F.col("kth"))
-    others = asked.join(worst, F.col("id") == F.col("q"), "left").select("id", "vector", reach.alias("worst"))
-    more = others.mapInPandas(_reached(roots, metric, shells, k, False), f"id bigint, vector {kind}, shell bigint")
-    share = near.select("id").unionByName(more.select("id")).agg(F.lit(total * len(shells)).cast("bigint").alias("n_pairs"), F.count("*").alias("n_compared"), F.lit(len(shells)).alias("n_shells"))
-    return found.unionByName(met(more)), share
+    dealt = dealt.withColumn("shell", F.floor(place * F.ceil(F.col("n") / block) / CUTS)).select("id", "vector", "pivot", "far", "shell")
+    sizes = dealt.groupBy("pivot", "shell").agg(F.ceil(F.count("*") / min(block, blocks.CHUNK)).alias("parts"))
+    # As many rows as pivots and cuts at most. Rows of a shell, however many are alike, are dealt into blocks.
+    dealt = dealt.join(F.broadcast(sizes), ["pivot", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    kinds = {"id": "<i8", "vector": blocks.kind(gallery), "far": "<f8"}
+    shells = blocks.packed(dealt, ["pivot", "shell", "part"], kinds)
+    asked = rooted(queries)
+    several = asked.groupBy("pivot").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    asked = asked.join(F.broadcast(several), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    own = {"id": "<i8", "vector": blocks.kind(queries)}
+
+    def run(stream: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for row in stream:
+            if row["turn"] == blocks.OWN:
+                if best is not None:
+                    yield best.rows()
+                q = blocks.unpacked({c: row[f"q_{c}"] for c in own}, own)
+                best = _Best(q["id"], q["vector"], roots, k, metric, exclude_self)
+            else:
+                g = blocks.unpacked({c: row[f"g_{c}"] for c in kinds}, kinds)
+                at = best.reached(row["g_pivot"], g["far"].min(), g["far"].max())
+                if len(at):
+                    best.add(at, g["vector"], g["id"])
+        if best is not None:
+            yield best.rows()
+
+    n = sum(r.parts for r in several.collect())
+    # The shells of a query's own pivot come first; what they give rules out others.
+    same = F.col("q_pivot") == F.col("g_pivot")
+    found = blocks.met(blocks.packed(asked, ["pivot", "part"], own), shells.drop("shell", "part"), same, run, "query_id bigint, target_id bigint, score double, rank int, compared bigint", n, ~same)
+    counted = shells.agg(F.count("*").alias("n_shells")).crossJoin(queries.agg(F.count("*").alias("n")))  # one row each
+    share = found.agg(F.sum("compared").alias("n_compared")).crossJoin(counted).select((F.col("n") * F.col("n_shells")).alias("n_pairs"), "n_compared", "n_shells")
+    return found.drop("compared"), share

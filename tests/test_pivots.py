@@ -46,3 +46,15 @@ def test_few_rows(spark):
     df = frame(spark, clustered(60, 3))
     assert similarity.nearest(df, df.filter("id < 3"), 5, "euclidean", True, 2).count() == 57 * 3 + 3 * 2
     assert similarity.nearest(df.filter("id < 0"), df, 5, "cosine", True, 10).count() == 0
+
+
+def test_no_query_is_repeated_and_blocks_of_copies_stay_small(spark, monkeypatch):
+    x = clustered(2000, 4)
+    x[500:1500] = x[20]
+    seen, met = [], pivots.blocks.met
+    monkeypatch.setattr(pivots.blocks, "met", lambda asked, gallery, *more: seen.append((asked, gallery)) or met(asked, gallery, *more))
+    found = {(r.query_id, r["rank"]): r.target_id for r in similarity.nearest(frame(spark, x), frame(spark, x), 3, "cosine", True, 40).collect()}
+    assert [found[700, k] for k in (1, 2, 3)] == [5, 6, 7] and [found[5, k] for k in (1, 2, 3)] == [6, 7, 8]
+    asked, gallery = ([len(r.id) // 8 for r in df.collect()] for df in seen[0])
+    assert sum(asked) == sum(gallery) == 2000
+    assert max(gallery) <= 80
