@@ -206,3 +206,23 @@ def test_result_table_merges_and_recovers(spark, tmp_path, monkeypatch):
     assert put(rows("m", 3.0, 50)) == rescue
     assert [r.value for r in spark.read.parquet(rescue).collect()] == [3.0]
 
+
+
+def test_average_precision_hands_on_a_row_a_query_and_not_its_scores(spark):
+    """Labels of any size (null, alone, small, over several slices), copies across labels; shuffled rows grow with the rows."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((240, 4))
+    x[40:100] = x[0]
+    label = [None if i % 31 == 0 else 900 + i if i % 29 == 0 else i % 3 if i % 2 else 10 + i // 20 for i in range(240)]
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id bigint, vector array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block, most in ((2048, 1 << 17), (16, 20)):
+        out = similarity.average_precision(df, [1], block, most)
+        got = {r.query_id: r for r in out.collect()}
+        assert set(got) == {i for i in range(240) if label[i] is not None}
+        for i in got:
+            order = [j for j in np.argsort(-np.round(unit @ unit[i], 10), kind="stable") if j != i]
+            hit = np.array([label[j] == label[i] for j in order])
+            wanted = (np.cumsum(hit) / np.arange(1, 240))[hit].mean() if hit.any() else 0.0
+            assert got[i].ap == pytest.approx(wanted) and got[i].eligible == bool(hit.any()) and got[i].hit_1 == int(hit[0])
+        assert "array<bigint>" not in str(out._jdf.queryExecution().executedPlan()) and "FlatMapCoGroups" not in str(out._jdf.queryExecution().executedPlan())
