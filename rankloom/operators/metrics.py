@@ -34,19 +34,27 @@ def _bucket(value: str, bounds: list) -> Column:
     return F.when(part == 0, 0).otherwise((part - 1) * 16 + below(own))
 
 
-#: Rows of a group that one window sorts; larger groups are dealt into buckets.
-GROUP_ROWS = 200_000
+#: Rows of a group that one window sorts; larger groups are dealt into buckets. Rows that one task sorts, about.
+GROUP_ROWS, TASK_ROWS = 200_000, 500_000
 
 
-def small_groups(df: DataFrame, groups: list[str], most: int = GROUP_ROWS) -> bool:
-    """Whether each group has so few rows that a window over it is no task's burden."""
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks so many rows are dealt to: as there are cores, and more where each would have more than TASK_ROWS."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def small_groups(df: DataFrame, groups: list[str], most: int = GROUP_ROWS) -> int:
+    """Where each group has so few rows that a window over it is no task's burden: to how many tasks the groups are dealt. Otherwise 0."""
     if not groups:
-        return False
-    return (df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= most
+        return 0
+    largest, rows = df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return tasks(df, rows or 0) if (largest or 0) <= most else 0
 
 
-def window_ranks(df: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
-    """df with the mean rank (from 1) of each value among its group's rows, for small groups: one exchange by group serves all values. values: column and the name of its rank."""
+def window_ranks(df: DataFrame, groups: list[str], values: dict[str, str], parts: int | None = None) -> DataFrame:
+    """df with the mean rank (from 1) of each value among its group's rows, for small groups: one exchange by group serves all values. values: column and the name of its rank; parts: how many tasks get the groups, so that what one sorts doesn't grow with the rows."""
+    if parts:
+        df = df.repartition(parts, *groups)
     for v, out in values.items():
         ties = F.count("*").over(W.partitionBy(*groups, v))
         df = df.withColumn(out, F.rank().over(W.partitionBy(*groups).orderBy(v)) + (ties - 1) / 2)
@@ -85,8 +93,8 @@ def tie_ranks(df: DataFrame, value: str, groups: list[str], out: str, extra: dic
 def spearman(df: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
     """spearman and n per group; groups of fewer than two rows go, constant ones count 0."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    if small_groups(rows, groups):
-        return _correlated(window_ranks(rows.select(*groups, F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(1).alias("_c")), groups, {"_a": "_ra", "_b": "_rb"}), groups)
+    if parts := small_groups(rows, groups):
+        return _correlated(window_ranks(rows.select(*groups, F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(1).alias("_c")), groups, {"_a": "_ra", "_b": "_rb"}, parts), groups)
     bounds = quantiles(rows, [a, b])
     # Rows with the same values are one weighted row in the joins, so that a frequent value costs no more than its distinct partners.
     pairs = rows.groupBy(*groups, a, b).agg(F.count("*").alias("_c"))
@@ -107,8 +115,8 @@ def _correlated(ranked: DataFrame, groups: list[str]) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str, groups: list[str]) -> DataFrame:
     """auc, n and n_pos per group, ties counted half; null where a group has one class or a row without label."""
     rows = df.withColumn("_y", F.col(label).cast("int"))
-    if small_groups(rows, groups):
-        ranked = window_ranks(rows.filter(F.col(score).isNotNull()).select(*groups, "_y", F.col(score).alias("_s")), groups, {"_s": "_rank"})
+    if parts := small_groups(rows, groups):
+        ranked = window_ranks(rows.filter(F.col(score).isNotNull()).select(*groups, "_y", F.col(score).alias("_s")), groups, {"_s": "_rank"}, parts)
         out = ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("n_pos"), F.count_if(F.col("_y").isNull()).alias("_none"), F.sum(F.col("_y") * F.col("_rank")).alias("_r"))
     else:
         per = running_counts(rows, score, groups, {"pos": F.sum(F.coalesce("_y", F.lit(0))), "none": F.count_if(F.col("_y").isNull())})
@@ -174,7 +182,8 @@ def score_board(df: DataFrame, group: str, measured: str, binary: str, scores: l
     """score, group, spearman, auc, n of several scores of the same rows; a score that is constant or not finite in a group is left out there."""
     long = df.select(group, measured, binary, F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("_s")) for s in scores])).alias("x")).select(group, measured, binary, "x.*")
     good = long.groupBy("score", group).agg((F.min("_s") < F.max("_s")).alias("a"), F.bool_and(F.col("_s").isNotNull() & ~F.isnan("_s") & (F.abs("_s") != float("inf"))).alias("b")).filter("a and b").select("score", group)
-    rows = long.join(good, ["score", group])
+    # Spark takes the exploded rows for fewer than they are, and would send them whole to the driver to broadcast them.
+    rows = long.hint("merge").join(good, ["score", group])
     return spearman(rows, measured, "_s", ["score", group]).join(auc(rows, binary, "_s", ["score", group]).drop("n", "n_pos"), ["score", group])
 
 

@@ -358,3 +358,18 @@ def test_ranks_of_small_and_large_groups_agree(spark, monkeypatch):
     for a, b in zip(large, again, strict=True):
         for g in a:
             assert tuple(v for v in a[g] if v is not None) == pytest.approx(tuple(v for v in b[g] if v is not None))
+
+
+def test_groups_are_dealt_to_more_tasks_as_rows_grow(spark, monkeypatch):
+    df = spark.range(600).select((F.col("id") % 40).alias("g"), (F.col("id") * 7 % 13).cast("double").alias("a"), (F.col("id") * 5 % 11).cast("double").alias("b"))
+    wanted = {r.g: r.spearman for r in metrics.spearman(df, "a", "b", ["g"]).collect()}
+    monkeypatch.setattr(metrics, "TASK_ROWS", 20)
+    out = metrics.spearman(df, "a", "b", ["g"])
+    assert {r.g: r.spearman for r in out.collect()} == pytest.approx(wanted)
+    assert "REPARTITION_BY_NUM" in str(out._jdf.queryExecution().executedPlan()) and metrics.small_groups(df, ["g"]) == 30
+
+
+def test_score_board_never_broadcasts_its_rows(spark):
+    df = spark.range(60).select((F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("m"), (F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("s"))
+    plan = str(metrics.score_board(df, "g", "m", "y", ["s"])._jdf.queryExecution().optimizedPlan())
+    assert "strategy=merge" in plan
