@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions import AMINO_ACIDS, differences
-from rankloom.operators.metrics import spearman
+from rankloom.operators.metrics import spearman, tasks
 
 
 def variant_scores(variants: DataFrame, profile: DataFrame, alphabet: str = AMINO_ACIDS) -> DataFrame:
@@ -50,8 +50,9 @@ def consensus(sequences: DataFrame, group: str, key: str, sequence: str) -> Data
 
 def z_scores(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """z_<column>: less the group's mean, over its population deviation; 0 where that is about 0."""
+    df = df.repartition(tasks(df, df.count()), group)  # no task's part grows with the rows
     stats = df.groupBy(group).agg(*[x for c in columns for x in (F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_d_{c}"))])
-    out = df.join(stats, group)
+    out = df.hint("merge").join(stats, group)
     for c in columns:
         out = out.withColumn(f"z_{c}", F.when(F.col(f"_d_{c}") <= 1e-8, 0.0).otherwise((F.col(c) - F.col(f"_a_{c}")) / F.col(f"_d_{c}"))).drop(f"_a_{c}", f"_d_{c}")
     return out

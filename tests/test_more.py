@@ -373,3 +373,12 @@ def test_score_board_never_broadcasts_its_rows(spark):
     df = spark.range(60).select((F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("m"), (F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("s"))
     plan = str(metrics.score_board(df, "g", "m", "y", ["s"])._jdf.queryExecution().optimizedPlan())
     assert "strategy=merge" in plan
+
+
+def test_z_scores_never_broadcast_rows(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TASK_ROWS", 5)
+    df = spark.range(60).select((F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("s"))
+    out = variants.z_scores(df, "g", ["s"])
+    plan = str(out._jdf.queryExecution().executedPlan())
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
+    assert out.count() == 60 and abs(out.agg(F.sum("z_s")).first()[0]) < 1e-9
