@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import _bucket, quantiles
+from rankloom.operators.metrics import GROUP_ROWS, _bucket, quantiles, tasks
 
 #: Bands of separation (from, below) by name.
 BANDS = (("short", 6, 12), ("medium", 12, 24), ("long", 24, 1 << 30))
@@ -14,6 +14,13 @@ BANDS = (("short", 6, 12), ("medium", 12, 24), ("long", 24, 1 << 30))
 BUCKETS = 256
 
 
+def dealt(rows: DataFrame, protein: str) -> DataFrame:
+    """Rows of positions dealt to tasks by protein, as many tasks as their pairs need: what one task makes and sorts doesn't grow with the rows, and what follows by protein (windows, joins, aggregates) takes place where its pairs are made."""
+    n = F.col("count")
+    proteins, made = rows.groupBy(protein).count().agg(F.count("*"), F.sum(F.floor(n * (n - 1) / 2))).first()
+    return rows.repartition(max(1, min(proteins, tasks(rows, made or 0))), protein)
+
+
 def contacts(positions: DataFrame, threshold: float = 8.0, least: int = 1, most: int | None = None) -> DataFrame:
     """protein, i, j (i < j), distance, contact of all pairs of valid positions at least so far apart in sequence. positions: protein, pos, x, y, z, valid."""
     p = positions.filter("valid").select("protein", "pos", "x", "y", "z")
@@ -43,21 +50,40 @@ def near_pairs(positions: DataFrame, threshold: float = 8.0, least: int = 1) ->
     return met.filter((d < threshold) & (j - i >= max(1, least))).select("protein", i.alias("i"), j.alias("j"), d.alias("distance"))
 
 
-def precision_at(pairs: DataFrame, lengths: DataFrame, parts: list[int], bands: tuple = BANDS) -> DataFrame:
-    """protein, band, part, precision: among the first max(1, length // part) candidates by score (then i, j) the share of contacts. pairs: protein, i, j, score, contact; lengths: protein, length. Only the buckets of scores that hold the first ones are sorted."""
-    apart = F.col("j") - F.col("i")
-    band = F.coalesce(*[F.when((apart >= a) & (apart < b), n) for n, a, b in bands])
-    banded = pairs.withColumn("band", band).filter("band is not null")
-    # A histogram of each protein and band says from which bucket on the candidates are enough; only those are ordered.
+def _first(pairs: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
+    """pairs with their length and _r, their place in the order of their protein and band, up to max(1, length // least)."""
+    order = W.partitionBy("protein", "band").orderBy(F.desc("score"), "i", "j")
+    return pairs.withColumn("_r", F.row_number().over(order)).join(lengths, "protein").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("length") / least)))
+
+
+def _needed(banded: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
+    """Of large proteins and bands the candidates of the buckets of scores that hold the first ones: a histogram says from which bucket on they are enough."""
     bucket = F.coalesce(_bucket("score", quantiles(banded, ["score"], BUCKETS)["score"]), F.lit(-1))
     banded = banded.withColumn("_b", bucket)
     counts = banded.groupBy("protein", "band", "_b").agg(F.count("*").alias("_n"))
     above = F.coalesce(F.sum("_n").over(W.partitionBy("protein", "band").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wanted = lengths.select("protein", F.greatest(F.lit(1), F.floor(F.col("length") / min(parts))).alias("_w"))
+    wanted = lengths.select("protein", F.greatest(F.lit(1), F.floor(F.col("length") / least)).alias("_w"))
     cut = counts.withColumn("_a", above).join(wanted, "protein").filter("_a < _w").groupBy("protein", "band").agg(F.min("_b").alias("_cut"))
-    order = W.partitionBy("protein", "band").orderBy(F.desc("score"), "i", "j")
-    ranked = banded.join(cut, ["protein", "band"]).filter(F.col("_b") >= F.col("_cut")).withColumn("_r", F.row_number().over(order))
-    long = ranked.join(lengths, "protein").select("protein", "band", "_r", "contact", "length", F.explode(F.array(*[F.lit(p) for p in parts])).alias("part"))
+    return banded.join(cut, ["protein", "band"]).filter(F.col("_b") >= F.col("_cut")).drop("_b", "_cut")
+
+
+def precision_at(pairs: DataFrame, lengths: DataFrame, parts: list[int], bands: tuple = BANDS, most: int = GROUP_ROWS) -> DataFrame:
+    """protein, band, part, precision: among the first max(1, length // part) candidates by score (then i, j) the share of contacts. pairs: protein, i, j, score, contact; lengths: protein, length.
+
+    A protein's candidates in a band are ordered where they are if there are at most so many (most); pairs that are dealt by protein are then never
+    shuffled. Of larger ones only the buckets of scores that hold the first ones are ordered.
+    """
+    apart = F.col("j") - F.col("i")
+    band = F.coalesce(*[F.when((apart >= a) & (apart < b), n) for n, a, b in bands])
+    banded = pairs.select("protein", "i", "j", "score", "contact", band.alias("band")).filter("band is not null")
+    large = banded.groupBy("protein", "band").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("protein", "band")
+    if large.isEmpty():
+        first = _first(banded, lengths, min(parts))
+    else:
+        # At most one large group for each so many rows is broadcast.
+        small, needed = banded.join(F.broadcast(large), ["protein", "band"], "left_anti"), _needed(banded.join(F.broadcast(large), ["protein", "band"], "left_semi"), lengths, min(parts))
+        first = _first(small, lengths, min(parts)).unionByName(_first(needed, lengths, min(parts)))
+    long = first.select("protein", "band", "_r", "contact", "length", F.explode(F.array(*[F.lit(p) for p in parts])).alias("part"))
     top = long.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("length") / F.col("part"))))
     return top.groupBy("protein", "band", "part").agg(F.avg(F.col("contact").cast("double")).alias("precision"))
 

@@ -154,7 +154,7 @@ def span_pool(spark: SparkSession, d: str) -> DataFrame:
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    e = table(spark, d, "events")
+    e = pairs.dealt(table(spark, d, "events").select("user_id", "ts", "event_id", "value", "props", "event_type"), "user_id")
     pos = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("int")
     return e.select(F.col("user_id").alias("protein"), pos.alias("pos"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), F.hour("ts").cast("double").alias("z"), (F.col("event_type") != "error").alias("valid"))
 

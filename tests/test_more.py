@@ -382,3 +382,30 @@ def test_z_scores_never_broadcast_rows(spark, monkeypatch):
     plan = str(out._jdf.queryExecution().executedPlan())
     assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
     assert out.count() == 60 and abs(out.agg(F.sum("z_s")).first()[0]) < 1e-9
+
+
+def test_precision_is_the_same_for_small_and_large_groups(spark):
+    from rankloom.operators import pairs
+
+    rng = np.random.default_rng(9)
+    rows = [(p, i, j, float(np.round(rng.random(), 2)) if rng.random() > 0.05 else None, bool(rng.random() < 0.2)) for p, n in ((0, 60), (1, 20), (2, 45)) for i in range(n) for j in range(i + 1, n)]
+    df = spark.createDataFrame(rows, "protein int, i int, j int, score double, contact boolean")
+    lengths = spark.createDataFrame([(0, 60), (1, 3), (2, 500)], "protein int, length int")
+    one, mixed, large = ({(r.protein, r.band, r.part): r.precision for r in pairs.precision_at(df, lengths, [1, 5], most=most).collect()} for most in (10_000, 300, 0))
+    # No pair of 20 positions is a long one.
+    assert one == pytest.approx(mixed) and one == pytest.approx(large) and len(one) == 16
+
+
+def test_pairs_are_dealt_by_their_number_and_never_shuffled(spark, monkeypatch):
+    from rankloom.operators import pairs
+    from rankloom.plans import neighbours
+
+    df = spark.range(400).select((F.col("id") % 20).alias("p"), "id")
+    monkeypatch.setattr(metrics, "TASK_ROWS", 380)
+    # 20 proteins of 20 positions make 3,800 pairs: ten tasks; no more than proteins.
+    assert pairs.dealt(df, "p").rdd.getNumPartitions() == 10
+    monkeypatch.setattr(metrics, "TASK_ROWS", 2)
+    assert pairs.dealt(df, "p").rdd.getNumPartitions() == 20
+    assert pairs.dealt(df.filter("id < 0"), "p").count() == 0
+    plan = neighbours.precision_at_l(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(protein" in line]
