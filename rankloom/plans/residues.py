@@ -157,6 +157,7 @@ def pair_probe(spark: SparkSession, d: str) -> DataFrame:
     rows = probes.reduced(_residues(spark, d), "vec", 4, 1.0)
     p = table(spark, d, "embeddings").select(F.col("vec_id").alias("protein"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(8) for j in range(i + 1, 8)])).alias("x")).select("protein", "x.*")
     f = pairs.pair_features(rows, p).withColumn("contact", F.col("features")[0] > 0).withColumn("k", F.concat_ws("-", "protein", "i", "j"))
+    f = f.repartition(metrics.tasks(p, p.count()), "protein")
     even = prepare.balanced_pairs(f, "protein", "contact", "k", 42).withColumn("y", F.col("contact").cast("double"))
     folded = prepare.folds(even, 4, 42, "k", group="protein")
     return probes.cross_validated(folded, "features", "linear", "classification", "fold").orderBy("fold")

@@ -409,3 +409,13 @@ def test_pairs_are_dealt_by_their_number_and_never_shuffled(spark, monkeypatch):
     assert pairs.dealt(df.filter("id < 0"), "p").count() == 0
     plan = neighbours.precision_at_l(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(protein" in line]
+
+
+def test_balanced_pairs_number_pairs_where_they_are_made(spark):
+    from rankloom.plans import residues
+
+    df = residues.balanced_pairs(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(protein" in line]
+    per = {(r.protein, r.contact): r.n for r in df.collect()}
+    assert per and all(n == per[(p, not contact)] for (p, contact), n in per.items())
