@@ -11,14 +11,14 @@ def _buckets(df: DataFrame, buckets: int | None = None) -> int:
     return buckets or max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def quantiles(df: DataFrame, values: list[str], buckets: int | None = None) -> dict[str, list]:
-    """Bounds that deal the values of several columns into buckets, all from one pass."""
+def quantiles(df: DataFrame, values: list[str], buckets: int | None = None, repeated: bool = False) -> dict[str, list]:
+    """Bounds that deal the values of several columns into buckets, all from one pass; a frequent value's bound as often as it fills a bucket, if repeated."""
     n = _buckets(df, buckets)
     if n == 1:
         return {v: [] for v in values}
     cuts = [i / n for i in range(1, n)]
     row = df.agg(*[F.percentile_approx(v, cuts, 40 * n).alias(f"b{k}") for k, v in enumerate(values)]).first()
-    return {v: sorted(set(row[k] or [])) for k, v in enumerate(values)}
+    return {v: sorted(row[k] or [] if repeated else set(row[k] or [])) for k, v in enumerate(values)}
 
 
 def _bucket(value: str, bounds: list) -> Column:
